@@ -27,6 +27,53 @@ def op1_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import urlglob
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlglob.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP3_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import arc, storage
+
+    old, new = storage.new_path(spark, "op4-arc"), storage.new_path(spark, "op4-warc")
+    arc.write_arc(table(spark, sf_dir, "pages"), old)
+    arcs = arc.archives(spark, old)
+    arc.to_warc(arcs, arc.revisits(arc.arc_payloads(arcs)), new)
+    records = arc.warc_records(arc.archives(spark, new))
+    return records.select(F.col("source").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f"""
+
+
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import packing
 
@@ -43,10 +90,15 @@ def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repair_ids": op1_repair_ids,
+        "op2_glob_automaton": op2_glob_automaton,
+        "op3_exact_topk": op3_exact_topk,
+        "op4_arc_to_warc": op4_arc_to_warc,
         "op5_hierarchical_packing": op5_hierarchical_packing,
         "op9_speculative_bpe": op9_speculative_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from epochal.llm import urlglob
+
+    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL}
