@@ -81,12 +81,28 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import linerules
+
+    out = linerules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", (F.col("n_lines") - F.col("n_removed_lines")).alias("n_kept_lines")
+    )
+
+
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import bpe
 
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import qda
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return qda.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repair_ids": op1_repair_ids,
@@ -94,11 +110,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_topk": op3_exact_topk,
         "op4_arc_to_warc": op4_arc_to_warc,
         "op5_hierarchical_packing": op5_hierarchical_packing,
+        "op6_line_rules": op6_line_rules,
         "op9_speculative_bpe": op9_speculative_bpe,
+        "op10_quality_qda": op10_quality_qda,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from epochal.llm import urlglob
+    from epochal.llm import linerules, urlglob
 
-    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL}
+    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql()}
