@@ -90,6 +90,31 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import cpsjoin
+
+    return cpsjoin.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS v
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w)::BIGINT - 2, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.v = b.v AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (
+  WITH RECURSIVE r(x, y) AS (
+    SELECT doc_id, doc_id FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x, min(y) AS m FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id, r.m = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id"""
+
+
 def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import bpe
 
@@ -111,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_arc_to_warc": op4_arc_to_warc,
         "op5_hierarchical_packing": op5_hierarchical_packing,
         "op6_line_rules": op6_line_rules,
+        "op8_cpsjoin": op8_cpsjoin,
         "op9_speculative_bpe": op9_speculative_bpe,
         "op10_quality_qda": op10_quality_qda,
     }
@@ -119,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from epochal.llm import linerules, urlglob
 
-    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql()}
+    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql(), "op8_cpsjoin": OP8_SQL}
