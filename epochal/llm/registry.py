@@ -90,6 +90,17 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import linejoin
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linejoin.decisions(docs).withColumnRenamed("doc_id", "__id")
+    zero = F.lit(0).cast("long")
+    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("__id"), "left").select(
+        "doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_removed", zero).alias("n_removed"), "removed"
+    )
+
+
 def op8_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import cpsjoin
 
@@ -136,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_arc_to_warc": op4_arc_to_warc,
         "op5_hierarchical_packing": op5_hierarchical_packing,
         "op6_line_rules": op6_line_rules,
+        "op7_segment_edit_join": op7_segment_edit_join,
         "op8_cpsjoin": op8_cpsjoin,
         "op9_speculative_bpe": op9_speculative_bpe,
         "op10_quality_qda": op10_quality_qda,
