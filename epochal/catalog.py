@@ -1,20 +1,16 @@
-"""Every registered query with its SQL counterpart."""
+"""Every registered query of the panel engine with its SQL counterpart."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from epochal import registry
+from epochal.plans import clusters, joins, kernels, orbits, panels, rollups, windows  # noqa: F401  (they register their queries)
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "occupancy_7d"
 
-FLAGSHIP = ""
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
