@@ -99,7 +99,8 @@ def peaks(df: DataFrame, value: str = "value", least: float = 0.0, width: int =
 
 def runs(df: DataFrame, state: Column, output: str = "run") -> DataFrame:
     """Numbers of the maximal runs of equal state, from 1."""
-    changed = F.when(state.eqNullSafe(F.lag(state).over(ordered())), 0).otherwise(1)
+    later = F.lag(F.lit(1)).over(ordered()).isNotNull()
+    changed = F.when(later & state.eqNullSafe(F.lag(state).over(ordered())), 0).otherwise(1)
     return df.withColumn("__c", changed).withColumn(output, F.sum("__c").over(ordered())).drop("__c")
 
 
