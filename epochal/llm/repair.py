@@ -32,8 +32,10 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 RULES_A_ROUND = 2048
 MIN_COUNT = 16
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 STEP = 256
+#: Starts of shards are broadcast up to so many (24 bytes each), else joined by a shuffle.
+BROADCAST_SHARDS = 500_000
 MAGIC = b"EPRG"
 
 
@@ -145,19 +147,14 @@ class Block:
             base = self.base
             for a, b in self.rules.tolist():
                 done.append((done[a - base] if a >= base else struct.pack("<I", a)) + (done[b - base] if b >= base else struct.pack("<I", b)))
-            size = self.rule_lengths.astype(np.int64)
-            self._parts = np.frombuffer(b"".join(done), "<u4"), np.cumsum(size) - size, size
-        flat, first, _ = self._parts
-        size = self.lengths(symbols)
+            # plain ids come first in the table and stand for themselves
+            flat = np.concatenate([np.arange(base, dtype="<u4"), np.frombuffer(b"".join(done), "<u4")])
+            size = np.concatenate([np.ones(base, np.int64), self.rule_lengths.astype(np.int64)])
+            self._parts = flat, np.cumsum(size) - size, size
+        flat, first, size = self._parts
+        size = size[symbols]
         ends = np.cumsum(size)
-        out = np.repeat(symbols.astype(np.uint32), size)
-        big = np.repeat(symbols >= self.base, size)
-        start = np.zeros(len(symbols), np.int64)
-        rule = symbols >= self.base
-        start[rule] = first[symbols[rule] - self.base]
-        where = np.flatnonzero(big)
-        out[where] = flat[(np.repeat(start - (ends - size), size))[where] + where]
-        return out
+        return flat[np.repeat(first[symbols] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def document(self, n: int) -> np.ndarray:
         """Ids of the ``n``-th document: only its own symbols are expanded."""
@@ -260,4 +257,6 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 )
 
     docs = shards.select("part", "shard", "block").mapInArrow(run, kind)
+    if sizes.count() <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
     return docs.join(starts, ["part", "shard"]).select(key, (F.col("part_start") + F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids")

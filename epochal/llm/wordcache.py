@@ -15,8 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Words kept by a worker; beyond it the store starts afresh.
-MAX_WORDS = 400_000
+#: Words kept by a worker in each of two generations: at so many, the younger one takes the place of the older.
+MAX_WORDS = 500_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x02"
 JOINED = 2_000
@@ -42,6 +42,8 @@ class WordEncoder:
         alone = self._ids([MARK, "a", "ab"])
         self.mark = alone[0][0] if len(alone[0]) == 1 and got == [*alone[1], *alone[0], *alone[1], *alone[0], *alone[2]] else None
         self.cores: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks = {m: np.asarray(self._ids([m])[0], "<u4").tobytes() for m in ".,!?;:"}
         probe = [("Abc", "."), ("Éà", ","), ("x", "!"), ("don", "?"), ("ÿþ", ";"), ("Q", ":")]
         self.plain = all(self._ids([w + m])[0] == self._ids([w.lower()])[0] + self._ids([m])[0] for w, m in probe)
@@ -68,10 +70,13 @@ class WordEncoder:
             else:
                 odd.append(w)
         known = self.cores
-        found = self._encode(sorted(cores.difference(known)))
+        missing, old = cores.difference(known), self.old_cores
+        found = {c: old[c] for c in missing if c in old}
+        found |= self._encode(sorted(missing.difference(found)))
         if len(known) + len(found) > MAX_WORDS:
             found |= {c: known[c] for c in cores if c in known}
-            known.clear()
+            self.old_cores, self.cores = known, {}
+        known = self.cores
         known.update(found)
         out = self._encode(odd)
         for w, core, tail in simple:
@@ -105,11 +110,13 @@ class WordEncoder:
         new = new.difference(self.known)
         extra = {}
         if new:
-            extra = self._learn(sorted(new))
+            old = self.old
+            extra = {w: old[w] for w in new if w in old}
+            if unseen := new.difference(extra):
+                extra |= self._learn(sorted(unseen))
             if len(self.known) + len(extra) > MAX_WORDS:
-                kept = {w for words in split for w in words} - extra.keys()
-                extra |= {w: self.known[w] for w in kept}
-                self.known = {"": b""}
+                extra |= {w: self.known[w] for words in split for w in words if w in self.known}
+                self.old, self.known = self.known, {"": b""}
             self.known.update((w, x) for w, x in extra.items() if len(w) <= MAX_KEPT_CHARS)
         known = self.known
         if extra.keys() <= known.keys():
