@@ -52,8 +52,8 @@ def test_lines_fail_by_rule(spark):
 
 
 def test_documents_losing_too_much_go(spark):
-    good, bad = "This is a line of plain words which ends as sentences do.", "menu menu menu menu menu menu menu menu menu menu more"
-    rows = [(1, f"{good}\n{good[:-1]}, again.\n{bad}"), (2, f"{good}\n{bad}\n{bad}s\n{bad}es\n"), (3, None), (4, "Short.")]
+    good, bad = "This is a line of plain words which ends as sentences do.", "home shop cart news help menu about jobs press blog more"
+    rows = [(1, f"{good}\nAnother one follows it with words of its own.\n{bad}"), (2, f"{good}\n{bad}\nlogin search topics\nterms contact imprint sitemap\n"), (3, None), (4, "Short.")]
     got = {r.doc_id: (r.kept, r.base_failed, r.clean_text) for r in linerules.clean(frame(spark, rows)).collect()}
     assert got[1][0] and bad not in got[1][2] and not got[2][0] and not got[2][1]
     assert got[3][:2] == (False, True) and got[4][:2] == (False, True)
