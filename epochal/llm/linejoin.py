@@ -8,8 +8,11 @@ A line is cut into ``edits + 1`` even segments.  Of two lines within the
 threshold, one segment of the shorter stands unchanged in the longer, close to
 its place: so every line is indexed by (length, segment number, segment), and
 probes the index of each length from its own down to ``edits`` less with the
-substrings at the places that the segment can have moved to.  Lines that meet
-are verified by a banded bit-parallel edit distance: the band of 2 * edits + 1
+substrings at the places that the segment can have moved to.  Of lines that
+meet, those whose letters differ in more than ``edits`` edits can change are no
+pairs: index and probe carry the counts of ``LETTERS``, so that many near
+copies with one segment in common don't become all their pairs.  Pairs are
+verified by a banded bit-parallel edit distance: the band of 2 * edits + 1
 cells of a column is one word, carried on from character to character.
 
 DataFrame functions only.  Equal lines are one line from the start, by a
@@ -23,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochal.llm import components, storage
-from epochal.llm.textstats import let
+from epochal.llm.textstats import count_chars, let
 
 EDITS = 2
 SHORTEST = 20
+#: Characters whose counts are held against each other before a pair is made (any will do; frequent ones tell more apart).
+LETTERS = " abcdehilmnorstu"
 #: Keys of lines that take part in a verification are broadcast up to so many, else joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -69,6 +74,26 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*out)
 
 
+def bag(line: Column) -> Column:
+    """How often each of ``LETTERS`` stands in a line, modulo 4, two bits each."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        out = out + F.shiftleft(count_chars(line, c).bitwiseAND(F.lit(3).cast("long")), 2 * i)
+    return out
+
+
+def bags_within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two bags are as close as those of strings within ``edits``: an edit moves two counts by one at most.
+
+    Counts modulo 4 differ by one where their low bits differ, and else by two
+    where their high bits do.
+    """
+    ones = F.lit(int("01" * len(LETTERS), 2)).cast("long")
+    differ = a.bitwiseXOR(b)
+    low, high = differ.bitwiseAND(ones), F.shiftright(differ, 1).bitwiseAND(ones)
+    return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low))) <= 2 * edits
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are at most ``edits`` apart: a banded bit-parallel edit distance.
 
@@ -123,23 +148,24 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def candidates(distinct: DataFrame, edits: int) -> DataFrame:
-    """Pairs of line keys that share a segment.  ``distinct``: ``h``, ``line``, one row a line."""
-    length = F.length("line")
-    sized = distinct.where(length >= SHORTEST).select("h", "line", length.alias("n"))
-    index = sized.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("s"))
-    probe = sized.select(F.col("h").alias("g"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("t"))
-    pairs = index.join(probe, (F.col("s") == F.col("t")) & (F.col("h") != F.col("g")))
+    """Pairs of line keys that share a segment and have close bags.  ``distinct``: ``h``, ``line``, ``bag``, one row a line."""
+    sized = distinct.select("h", "line", "bag", F.length("line").alias("n"))
+    index = sized.select("h", F.col("bag").alias("u"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("s"))
+    probe = sized.select(F.col("h").alias("g"), F.col("bag").alias("v"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("t"))
+    pairs = index.join(probe, (F.col("s") == F.col("t")) & (F.col("h") != F.col("g")) & bags_within(F.col("u"), F.col("v"), edits))
     return pairs.select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b")).distinct()
 
 
 def links(docs_lines: DataFrame, edits: int) -> DataFrame:
     """Verified pairs ``a``, ``b`` of line keys.  ``docs_lines``: ``h``, ``line`` with repetition."""
-    distinct = docs_lines.dropDuplicates(["h"])
+    long_lines = docs_lines.where(F.length("line") >= SHORTEST)
+    # bags are taken below the exchange of distinct lines: once a line, not once a key
+    distinct = long_lines.withColumn("bag", bag(F.col("line"))).dropDuplicates(["h"])
     pairs = storage.written(candidates(distinct, edits), "line-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     keys = storage.written(needed.select(F.col("h").alias("k")), "line-keys")
     few = keys.count() <= BROADCAST_LINES
-    texts = docs_lines.where(F.length("line") >= SHORTEST).join(F.broadcast(keys) if few else keys, F.col("h") == F.col("k")).select("h", "line").dropDuplicates(["h"])
+    texts = long_lines.join(F.broadcast(keys) if few else keys, F.col("h") == F.col("k")).select("h", "line").dropDuplicates(["h"])
     texts = storage.written(texts, "line-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     longer = F.length("x") >= F.length("y")

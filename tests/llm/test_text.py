@@ -260,3 +260,14 @@ def test_pipeline_of_odd_documents(spark):
     for some in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, some, SF_DIR).count() >= 0
+
+
+def test_bags_never_part_lines_within_the_threshold(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice(linejoin.LETTERS + "xyzé.") for _ in range(rng.randint(20, 60)))
+        rows.append((a, varied(rng, a)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", linejoin.bags_within(linejoin.bag(F.col("a")), linejoin.bag(F.col("b")), 2).alias("close")).collect()
+    assert all(r.close for r in got if edits(r.a, r.b) <= 2)
+    assert not all(r.close for r in got)
