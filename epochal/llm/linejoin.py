@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochal.llm import components, storage
-from epochal.llm.textstats import count_chars, let
+from epochal.llm.textstats import let
 
 EDITS = 2
 SHORTEST = 20
 #: Characters whose counts are held against each other before a pair is made (any will do; frequent ones tell more apart).
-LETTERS = " abcdehilmnorstu"
+LETTERS = " etaonihsrdlumbc"
 #: Keys of lines that take part in a verification are broadcast up to so many, else joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -75,10 +75,15 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
 
 
 def bag(line: Column) -> Column:
-    """How often each of ``LETTERS`` stands in a line, modulo 4, two bits each."""
-    out = F.lit(0).cast("long")
+    """How often each of ``LETTERS`` stands in a line, modulo 4, two bits each.
+
+    A letter is counted by taking it out; the next one is looked for in what is left.
+    """
+    out, left = F.lit(0).cast("long"), line
     for i, c in enumerate(LETTERS):
-        out = out + F.shiftleft(count_chars(line, c).bitwiseAND(F.lit(3).cast("long")), 2 * i)
+        rest = F.replace(left, F.lit(c))
+        out = out + F.shiftleft((F.octet_length(left) - F.octet_length(rest)).cast("long").bitwiseAND(F.lit(3).cast("long")), 2 * i)
+        left = rest
     return out
 
 
