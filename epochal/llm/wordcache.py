@@ -72,7 +72,7 @@ class WordEncoder:
         known = self.cores
         missing, old = cores.difference(known), self.old_cores
         found = {c: old[c] for c in missing if c in old}
-        found |= self._encode(sorted(missing.difference(found)))
+        found |= self._encode(list(missing.difference(found)))
         if len(known) + len(found) > MAX_WORDS:
             found |= {c: known[c] for c in cores if c in known}
             self.old_cores, self.cores = known, {}
@@ -113,11 +113,12 @@ class WordEncoder:
             old = self.old
             extra = {w: old[w] for w in new if w in old}
             if unseen := new.difference(extra):
-                extra |= self._learn(sorted(unseen))
+                extra |= self._learn(list(unseen))
             if len(self.known) + len(extra) > MAX_WORDS:
                 extra |= {w: self.known[w] for words in split for w in words if w in self.known}
                 self.old, self.known = self.known, {"": b""}
-            self.known.update((w, x) for w, x in extra.items() if len(w) <= MAX_KEPT_CHARS)
+            short = max(map(len, extra)) <= MAX_KEPT_CHARS
+            self.known.update(extra if short else {w: x for w, x in extra.items() if len(w) <= MAX_KEPT_CHARS})
         known = self.known
         if extra.keys() <= known.keys():
             find = known.__getitem__
