@@ -32,7 +32,8 @@ def periodogram(df: DataFrame, frequencies: list[float]) -> DataFrame:
     tau = F.atan2("s2", "c2") / 2  # the phase that makes sine and cosine orthogonal
     cc, ss = (F.col("n") + F.col("c2") * F.cos(2 * tau) + F.col("s2") * F.sin(2 * tau)) / 2, (F.col("n") - F.col("c2") * F.cos(2 * tau) - F.col("s2") * F.sin(2 * tau)) / 2
     yc, ys = F.col("yc") * F.cos(tau) + F.col("ys") * F.sin(tau), F.col("ys") * F.cos(tau) - F.col("yc") * F.sin(tau)
-    power = (yc * yc / cc + ys * ys / ss) / (2 * F.col("v"))
+    # a single row or a constant has no power
+    power = F.try_divide(F.try_divide(yc * yc, cc) + F.try_divide(ys * ys, ss), 2 * F.col("v"))
     return sums.select("object", "f", power.alias("power"))
 
 
@@ -50,7 +51,10 @@ def lagged_correlation(df: DataFrame, x: str, y: str, lags: int) -> DataFrame:
     """Correlation of ``x`` with ``y`` some rows later, of each object, over the rows that overlap."""
     shifted = F.array(*(F.struct(F.lit(k).alias("lag"), F.lead(y, k).over(ordered()).alias("z")) for k in range(lags + 1)))
     rows = df.withColumn("__all", shifted).withColumn("p", F.explode("__all")).where("p.z IS NOT NULL")
-    return rows.groupBy("object", F.col("p.lag").alias("lag")).agg(F.count("*").alias("n"), F.corr(x, F.col("p.z")).alias("r"))
+    z = F.when(F.col(x).isNotNull(), F.col("p.z"))
+    # where a side is constant there is no correlation, and corr() would divide by zero
+    r = F.try_divide(F.covar_pop(x, z), F.stddev_pop(x) * F.stddev_pop(z))
+    return rows.groupBy("object", F.col("p.lag").alias("lag")).agg(F.count("*").alias("n"), r.alias("r"))
 
 
 # -- kernels ----------------------------------------------------------------------

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochal.operators import kernels
 from epochal.plans.clusters import vecs
 from epochal.plans.windows import P
-from epochal.registry import query
+from epochal.registry import query, whole
 from epochal.sources.tables import DAY, event_panel, table
 
 FREQUENCIES = [0.1, 0.2, 0.5, 1.0]
 
 
-def few(spark, sf_dir):
-    return event_panel(spark, sf_dir).where("object <= 20")
+#: Three queries whose SQL reads the first objects do so too; under the same names with _all they take every object.
+FIRST = " WHERE object <= 20"
+FEW = f"{P}, e AS (SELECT * FROM p{FIRST})"
 
 
-FEW = f"{P}, e AS (SELECT * FROM p WHERE object <= 20)"
+def few(spark, sf_dir):
+    return event_panel(spark, sf_dir).where("object <= 20")
 
 
 @query(
@@ -28,8 +32,8 @@ x AS (SELECT object, f, 2 * pi() * f * (t - t0) / {float(DAY)} AS w, value - m A
 s AS (SELECT object, f, sum(sin(2 * w)) AS s2, sum(cos(2 * w)) AS c2, sum(y * sin(w)) AS ys, sum(y * cos(w)) AS yc, count(*) AS n, first(v) AS v FROM x GROUP BY 1, 2), q AS (SELECT *, atan2(s2, c2) / 2 AS a FROM s)
 SELECT object, f, round((pow(yc * cos(a) + ys * sin(a), 2) / ((n + c2 * cos(2 * a) + s2 * sin(2 * a)) / 2) + pow(ys * cos(a) - yc * sin(a), 2) / ((n - c2 * cos(2 * a) - s2 * sin(2 * a)) / 2)) / (2 * v), 5) AS power FROM q""",
 )
-def lomb_scargle(spark, sf_dir):
-    return kernels.periodogram(few(spark, sf_dir), FREQUENCIES).withColumn("power", F.round("power", 5))
+def lomb_scargle(spark, sf_dir, panel=few):
+    return kernels.periodogram(panel(spark, sf_dir), FREQUENCIES).withColumn("power", F.round("power", 5))
 
 
 @query(
@@ -37,31 +41,35 @@ def lomb_scargle(spark, sf_dir):
     f"""WITH {FEW}, r AS (SELECT object, row_number() OVER (PARTITION BY object ORDER BY t, rec) - 1 AS i, count(*) OVER (PARTITION BY object) AS n, value - avg(value) OVER (PARTITION BY object) AS y FROM e),
 s AS (SELECT object, k, sum(y * cos(2 * pi() * k * i / n)) AS re, sum(y * sin(2 * pi() * k * i / n)) AS im, first(n) AS n FROM r, range(1, 6) g(k) GROUP BY 1, 2) SELECT object, k::INT AS k, round(2 * sqrt(re * re + im * im) / n, 6) AS amplitude FROM s""",
 )
-def dft_small(spark, sf_dir):
-    return kernels.dft(few(spark, sf_dir), 5).withColumn("amplitude", F.round("amplitude", 6))
+def dft_small(spark, sf_dir, panel=few):
+    return kernels.dft(panel(spark, sf_dir), 5).withColumn("amplitude", F.round("amplitude", 6))
 
 
 @query(
     "lagged_xcorr",
     f"""WITH {FEW}, l AS (SELECT object, value, k, lead(value, k::INT) OVER (PARTITION BY object, k ORDER BY t, rec) AS z FROM e, range(0, 4) g(k)) SELECT object, k::INT AS lag, count(*) AS n, round(corr(value, z), 6) AS r FROM l WHERE z IS NOT NULL GROUP BY 1, 2""",
 )
-def lagged_xcorr(spark, sf_dir):
-    return kernels.lagged_correlation(few(spark, sf_dir), "value", "value", 3).withColumn("r", F.round("r", 6))
+def lagged_xcorr(spark, sf_dir, panel=few):
+    return kernels.lagged_correlation(panel(spark, sf_dir), "value", "value", 3).withColumn("r", F.round("r", 6))
+
+
+for f in (lomb_scargle, dft_small, lagged_xcorr):
+    whole(f.__name__, FIRST, partial(f, panel=event_panel))
 
 
 @query("fft_amplitude")
 def fft_amplitude(spark, sf_dir):
-    return kernels.spectrum(few(spark, sf_dir), 0.25)
+    return kernels.spectrum(event_panel(spark, sf_dir), 0.25)
 
 
 @query("welch_density")
 def welch_density(spark, sf_dir):
-    return kernels.welch(few(spark, sf_dir), 0.25)
+    return kernels.welch(event_panel(spark, sf_dir), 0.25)
 
 
 @query("wavelet_z")
 def wavelet_z(spark, sf_dir):
-    return kernels.weighted_wavelet(few(spark, sf_dir), FREQUENCIES)
+    return kernels.weighted_wavelet(event_panel(spark, sf_dir), FREQUENCIES)
 
 
 @query("ewm_derivative")
@@ -86,8 +94,10 @@ def spaced_rows(spark, sf_dir):
 
 @query("assignment")
 def assignment(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey <= 400")
-    rows = part.select((F.col("p_partkey") % 4).alias("problem"), (F.floor(F.col("p_partkey") / 4) % 10).alias("row"), F.floor(F.col("p_partkey") / 40).alias("col"), F.col("p_retailprice").alias("cost"))
+    """Every 400 parts are four problems of ten rows and ten columns."""
+    part = table(spark, sf_dir, "part")
+    problem = F.floor(F.col("p_partkey") / 400) * 4 + F.col("p_partkey") % 4
+    rows = part.select(problem.alias("problem"), (F.floor(F.col("p_partkey") / 4) % 10).alias("row"), F.floor(F.col("p_partkey") / 40).alias("col"), F.col("p_retailprice").alias("cost"))
     return kernels.assignment(rows)
 
 
@@ -101,4 +111,4 @@ def density_validity(spark, sf_dir):
 
 @query("metropolis_draws")
 def metropolis_draws(spark, sf_dir):
-    return kernels.metropolis(few(spark, sf_dir))
+    return kernels.metropolis(event_panel(spark, sf_dir))
