@@ -49,3 +49,28 @@ def test_parts_are_dealt_from_nought(spark, tmp_path):
     database(SF_DIR).execute(f"COPY (SELECT i AS p_partkey, (i * 37 % 101)::DOUBLE AS p_retailprice FROM range(800) t(i)) TO '{tmp_path}/part.parquet'")
     rows = catalog.queries()["assignment"](spark, str(tmp_path)).collect()
     assert {(r.problem, r.row) for r in rows} == {(p, i) for p in range(8) for i in range(10)} and len(rows) == 80
+
+
+# -- every order --------------------------------------------------------------
+@pytest.fixture(scope="module")
+def gaps(tmp_path_factory):
+    """Orders of the first year, without those of some days."""
+    folder = tmp_path_factory.mktemp("gaps")
+    db = database(SF_DIR)
+    db.execute(f"COPY (SELECT * REPLACE (TIMESTAMP '2020-01-01' + to_days((o_orderkey % 300)::INT) AS o_orderdate) FROM orders WHERE o_orderkey % 300 % 7 NOT IN (2, 3)) TO '{folder}/orders.parquet'")
+    for name in set(TABLES) - {"orders"}:
+        os.symlink(f"{SF_DIR}/{name}.parquet", folder / f"{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["calendar_gapfill", "centered_81d_mean", "history_lags", "forecast_errors", "sliding_windows"])
+def test_all_orders_as_in_sql(spark, gaps, name):
+    out = catalog.queries()[f"{name}_all"](spark, gaps)
+    same(out, database(gaps), catalog.oracle_sql()[f"{name}_all"])
+    assert "o_orderkey" not in catalog.oracle_sql()[f"{name}_all"]
+
+
+def test_calendar_counts_every_order(spark, gaps):
+    rows = catalog.queries()["calendar_gapfill_all"](spark, gaps).collect()
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{gaps}/orders.parquet").count()
+    assert any(r.n == 0 and r.v for r in rows)
