@@ -254,43 +254,6 @@ def assignment(df: DataFrame) -> DataFrame:
     return df.select("problem", "row", "col", "cost").groupBy("problem").applyInPandas(run, "problem long, row long, col long, cost double")
 
 
-def mutual_reachability_tree(df: DataFrame) -> DataFrame:
-    """Of each cluster (``label``): rows, and the longest edge between inner nodes of the minimum spanning tree of mutual reachability.
-
-    The tree is grown inside one task a cluster, from vectors alone (Prim), in
-    memory that follows the cluster's rows: meant for clusters that were
-    sampled before, as the reference measure's cost is quadratic.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["v"].to_numpy()).astype(float)
-        n, d = x.shape
-        if n < 3:
-            return pd.DataFrame({"label": [rows["label"].iloc[0]], "n": [n], "sparseness": [None]}).astype({"sparseness": float})
-        core = np.empty(n)
-        for i in range(n):
-            far = np.sqrt(((x - x[i]) ** 2).sum(1))
-            far = far[far > 0]
-            scale = far.min() if len(far) else 1.0
-            core[i] = scale * (((scale / far) ** d).sum() / (n - 1)) ** (-1 / d) if len(far) else 0.0
-        best, parent, inside = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
-        best[0], degree, edges = 0.0, np.zeros(n, int), []
-        for _ in range(n):
-            i = int(np.where(inside, np.inf, best).argmin())
-            inside[i] = True
-            if parent[i] >= 0:
-                edges.append((best[i], i, parent[i]))
-                degree[i] += 1
-                degree[parent[i]] += 1
-            reach = np.maximum(np.sqrt(((x - x[i]) ** 2).sum(1)), np.maximum(core, core[i]))
-            closer = ~inside & (reach < best)
-            best[closer], parent[closer] = reach[closer], i
-        inner = [w for w, a, b in edges if degree[a] > 1 and degree[b] > 1] or [w for w, _, _ in edges]
-        return pd.DataFrame({"label": [rows["label"].iloc[0]], "n": [n], "sparseness": [max(inner)]})
-
-    return df.select("label", "v").groupBy("label").applyInPandas(run, "label int, n long, sparseness double")
-
-
 def metropolis(df: DataFrame, steps: int = 400, burn: int = 200, chains: int = 2) -> DataFrame:
     """Adaptive random-walk draws of each object's mean under a normal likelihood with its own deviation; seeds follow from object and chain."""
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epochal.operators import kernels
+from epochal.operators import kernels, validity
 from epochal.plans.clusters import vecs
 from epochal.plans.windows import P
 from epochal.registry import query, whole
@@ -103,10 +102,8 @@ def assignment(spark, sf_dir):
 
 @query("density_validity")
 def density_validity(spark, sf_dir):
-    """The tree is quadratic in a cluster's rows, so it is grown over at most 2,000 of each, picked by a hash of the id."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id")
-    some = vecs(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 2000")
-    return kernels.mutual_reachability_tree(some)
+    """Over all rows of every label; quadratic by its contract, in pairs of blocks."""
+    return validity.density_validity(vecs(spark, sf_dir).withColumnRenamed("vec_id", "id"), 64)
 
 
 @query("metropolis_draws")
