@@ -19,6 +19,8 @@ from epochal.llm import textstats
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 LEAST_LEFT = 0.5
+#: What may follow a sentence on its line: ASCII white space (the CR of CRLF too) and no-break spaces.
+SPACES = " \t\n\x0b\x0c\r\u00a0\u2007\u202f"
 #: Last characters of a sentence, closing quotes and brackets included.
 SENTENCE_ENDS = ".!?…:;\"'”’»)]。！？"
 DOUBLED = r"[!?#*$%&]{2,}( |$)"
@@ -44,7 +46,7 @@ BOILERPLATE = (
 
 def bad_line(line: Column) -> Column:
     """Whether a non-blank line fails."""
-    last = F.right(F.rtrim(line), F.lit(1))
+    last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
     ends = F.instr(F.lit(SENTENCE_ENDS), last) > 0
     doubled = 4 * F.regexp_count(line, F.lit(DOUBLED)) >= F.size(F.split(line, " "))
     has_doubled = _any(line, [c + c for c in "!?#*$%&"])
