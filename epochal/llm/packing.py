@@ -15,7 +15,6 @@ A task packs its documents in buffers of bounded size; nothing is shuffled.
 
 from __future__ import annotations
 
-import struct
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -31,7 +30,6 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 16 * 4096
 #: Documents are packed together up to so many tokens.
 BUFFER_TOKENS = 4 << 20
-STEP = 256
 
 Piece = tuple[int, int, int]  # document, start, length
 
@@ -136,11 +134,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, tail = encoder(tokenizer), struct.pack("<I", end)
+        own = encoder(tokenizer)
         base = TaskContext.get().partitionId() << 36
         sequences = groups = size = 0
         keys: list = []
-        held: list[bytes] = []
+        held: list[bytes] = []  # little-endian ids
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal sequences, groups, size
@@ -164,12 +162,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         key_type = None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, STEP):
-                rows = batch.slice(at, STEP)
-                for k, ids in zip(rows.column(0).to_pylist(), own.encode(rows.column(1).to_pylist(), tail), strict=True):
-                    keys.append(k)
-                    held.append(ids)
-                    size += len(ids) // 4
+            for k, ids in zip(batch.column(0).to_pylist(), own.texts(batch.column(1), end), strict=True):
+                keys.append(k)
+                held.append(ids.astype("<u4").tobytes())
+                size += len(ids)
                 if size >= BUFFER_TOKENS:
                     yield from emit()
         if held:

@@ -2,12 +2,13 @@
 
 Documents, in ascending ``doc_id`` order (nulls first, then ties by text), are
 encoded and cut into shards of whole documents.  Each shard is compressed on
-its own in the manner of Re-Pair: rounds of counting all neighbouring id pairs
-and replacing the frequent ones by new symbols (nonterminals), until no pair is
-frequent.  A shard stores its rules, the expansion length of every rule and
-the remaining sequence, so that any document can be found and expanded without
-its neighbours.  No rule spans two documents, as pairs with the end id are
-never replaced.
+its own by Re-Pair in rounds: neighbouring id pairs are counted, of those with
+``MIN_COUNT`` places or more the frequent ones are replaced by new symbols
+(nonterminals) before rarer ones that overlap them, and rounds go on until no
+pair is frequent.  A shard stores its rules, the expansion length of every
+rule and the remaining sequence, so that any document can be found and
+expanded without its neighbours.  No rule spans two documents, as pairs with
+the end id are never replaced.
 
 Files are Parquet, one row a shard: ``part``, ``shard``, ``n_docs``,
 ``n_tokens`` and ``block``, the self-describing bytes (see ``pack_block``).
@@ -29,57 +30,89 @@ from epochal.llm.wordcache import encoder
 END_ID = 2
 #: A shard is closed at so many ids (a longer document is a shard of its own).
 SHARD_TOKENS = 1 << 20
-ROUNDS = 8
-RULES_A_ROUND = 2048
+#: Pairs with so many places in a shard are frequent (a parameter of the format: rarer ones save little).
 MIN_COUNT = 16
 BUCKET_BITS = 18
-STEP = 256
+#: Leading characters of texts that part equal ids into ranges; they only choose a task.
+TIE_CHARS = 32
 #: Starts of shards are broadcast up to so many (24 bytes each), else joined by a shuffle.
 BROADCAST_SHARDS = 500_000
 MAGIC = b"EPRG"
 
 
-def build_grammar(ids: np.ndarray, end: int = END_ID, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
+def _buckets(left: np.ndarray, right: np.ndarray, turn: int) -> np.ndarray:
+    """A hash bucket of each pair, another one in each round."""
+    return ((left * np.uint32(0x9E3779B1)) ^ ((right + np.uint32(turn)) * np.uint32(0x85EBCA6B))) >> np.uint32(32 - BUCKET_BITS)
+
+
+def _frequent(left: np.ndarray, right: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs, rarer ones first; which places hold one; and each such place's pair.
+
+    All places are counted in buckets first; those of heavy buckets are sorted.
+    Of two frequent pairs with one bucket the rarer is left out.
+    """
+    bucket = _buckets(left, right, turn)
+    some = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= MIN_COUNT)[bucket])
+    bucket, keys = bucket[some], (left[some].astype(np.uint64) << np.uint64(32)) | right[some]
+    order = np.sort(keys)
+    cuts = np.concatenate([[0], np.flatnonzero(order[1:] != order[:-1]) + 1, [len(order)]])
+    times = np.diff(cuts)
+    often = times >= MIN_COUNT
+    pairs = order[cuts[:-1][often]][np.argsort(times[often], kind="stable")]
+    if not len(pairs):
+        return pairs, some[:0], some[:0]
+    table = np.zeros(1 << BUCKET_BITS, np.int32)
+    table[_buckets((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32), turn)] = np.arange(len(pairs))
+    number = table[bucket]
+    hit = pairs[number] == keys
+    return pairs, some[hit], number[hit]
+
+
+def _disjoint(at: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Of overlapping places that of the more frequent pair; of a run of one pair every second, from the first."""
+    beside = np.diff(at) == 1
+    before = np.concatenate([[-1], np.where(beside, number[:-1], -1)])
+    after = np.concatenate([np.where(beside, number[1:], -1), [-1]])
+    order = np.arange(len(at))
+    first = np.maximum.accumulate(np.where(before == number, 0, order))
+    return ((order - first) % 2 == 0) & (before <= number) & (after <= number)
+
+
+def build_grammar(ids: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.ndarray, int]:
     """``(rules, sequence, base)``: rule ``i`` is symbol ``base + i`` and stands for its two symbols.
 
-    A round finds the frequent pairs in two steps: all pairs are counted in
-    hash buckets, then those of heavy buckets are counted exactly.
+    A round looks only at places that can have become frequent: beside symbols
+    of the last round, and at frequent pairs that were not replaced.  A pair
+    with too few places left by more frequent ones waits for the next round;
+    the most frequent one always keeps half of its places or more, so each
+    round shortens the sequence.
     """
     seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
-    rules = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2 * MIN_COUNT:
-            break
-        left, right = seq[:-1], seq[1:]
-        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B)) * np.uint32(5)) >> np.uint32(32 - BUCKET_BITS)
-        count = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-        least = max(MIN_COUNT, int(np.partition(count, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
-        at = np.flatnonzero((count >= least)[bucket] & (left != end) & (right != end))
-        keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        pairs, times = np.unique(keys, return_counts=True)
-        pairs, times = pairs[times >= MIN_COUNT], times[times >= MIN_COUNT]
+    rules: list[np.ndarray] = []
+    total = turn = 0
+    at = np.flatnonzero((seq[:-1] != end) & (seq[1:] != end))
+    while len(at):
+        pairs, hit, number = _frequent(seq[at], seq[at + 1], turn)
         if not len(pairs):
             break
-        if len(pairs) > RULES_A_ROUND:
-            pairs = np.sort(pairs[np.argsort(-times, kind="stable")[:RULES_A_ROUND]])
-        rule = np.searchsorted(pairs, keys)
-        rule[rule == len(pairs)] = 0
-        hit = pairs[rule] == keys
-        at, rule = at[hit], rule[hit]
-        # overlapping places: in each run of neighbours every second one, from the first
-        order = np.arange(len(at))
-        first = np.ones(len(at), bool)
-        first[1:] = np.diff(at) != 1
-        keep = (order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 0
-        at, rule = at[keep], rule[keep]
-        seq = seq.copy()
-        seq[at] = (base + len(rules) + rule).astype(np.uint32)
-        stays = np.ones(len(seq), bool)
-        stays[at + 1] = False
-        seq = seq[stays]
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-    return rules, seq, base
+        at = at[hit]
+        keep = _disjoint(at, number)
+        live = np.bincount(number[keep], minlength=len(pairs)) >= MIN_COUNT // 2
+        symbol = (base + total + np.cumsum(live) - 1).astype(np.uint32)
+        keep &= live[number]
+        own = at[keep]
+        rules.append(pairs[live])
+        total, turn = total + int(live.sum()), turn + 1
+        seq[own] = symbol[number[keep]]
+        stays, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        stays[own + 1] = False
+        look[at] = True
+        look[np.maximum(own - 1, 0)] = True
+        seq, look = seq[stays], look[stays]
+        at = np.flatnonzero(look[:-1] & (seq[:-1] != end) & (seq[1:] != end))
+    flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    return np.stack([flat >> np.uint64(32), flat & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), seq, base
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -189,35 +222,33 @@ def write(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text:
         from pyspark import TaskContext
 
         own, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail = struct.pack("<I", end)
         keys: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal shard, size
-            counts = np.array([len(h) // 4 for h in held], np.int64)
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = [part, shard, len(keys), len(ids), pack_block(keys, counts, ids)]
+            counts = np.array([len(h) for h in held], np.int64)
+            row = [part, shard, len(keys), size, pack_block(keys, counts, np.concatenate(held))]
             keys.clear()
             held.clear()
             shard, size = shard + 1, 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], SHARDS.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                rows = batch.slice(at, STEP)
-                for k, ids in zip(rows.column(0).to_pylist(), own.encode(rows.column(1).to_pylist(), tail), strict=True):
-                    if size and size + len(ids) // 4 > SHARD_TOKENS:
-                        yield close()
-                    keys.append(k)
-                    held.append(ids)
-                    size += len(ids) // 4
+            for k, ids in zip(batch.column(0).to_pylist(), own.texts(batch.column(1), end), strict=True):
+                if size and size + len(ids) > SHARD_TOKENS:
+                    yield close()
+                keys.append(k)
+                held.append(ids)
+                size += len(ids)
         if held:
             yield close()
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    dealt = rows.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
+    # rows of one id (or none) are parted by how their texts begin
+    order = [F.col(key).asc_nulls_first(), F.left(F.col(text), F.lit(TIE_CHARS)).asc_nulls_first()]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
     dealt.mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(path)
 
 

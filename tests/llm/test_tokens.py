@@ -178,3 +178,27 @@ def test_packed_rows(spark, monkeypatch):
             assert offset == end
             end += n
         assert end & (end - 1) == 0 and end <= 4096
+
+
+def test_rounds_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    words = [rng.integers(3, 90, rng.integers(1, 9)) for _ in range(40)]
+    ids = np.concatenate([np.append(words[i], 2) if rng.random() < 0.05 else words[i] for i in rng.zipf(1.5, 9000) % 40]).astype(np.uint32)
+    rules, seq, base = repair.build_grammar(ids)
+    pairs, times = np.unique(np.stack([seq[:-1], seq[1:]], 1)[(seq[:-1] != 2) & (seq[1:] != 2)], axis=0, return_counts=True)
+    assert len(rules) > 100 and all(n < repair.MIN_COUNT or a == b for (a, b), n in zip(pairs.tolist(), times.tolist(), strict=True))
+    assert (repair.Block(repair.pack_block([1], np.array([len(ids)]), ids)).all_ids() == ids).all()
+
+
+def test_rows_without_an_id_are_parted_by_their_texts(spark):
+    rows = [(None, f"text {n % 700} of none", None, None, None, None) for n in range(900)] + [(n, "x", None, None, None, None) for n in range(30)]
+    path = storage.new_path(spark, "shards")
+    repair.write(frame(spark, rows).repartition(4), registry.tokenizer("word_bpe_49k.json"), path)
+    assert spark.read.parquet(path).select("part").distinct().count() > 2
+    lib, start, want = library("word_bpe_49k.json"), 0, []
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
+        ids = [*lib.encode(r[1], add_special_tokens=False).ids, 2]
+        want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = repair.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
