@@ -33,9 +33,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``vertex`` and ``component`` (its smallest member) of every vertex of an edge; loops count, nulls don't.
 
     The edge list must be of integers.  Vertices without edges are not there.
+    A round's table goes when that of the next one is written; the last stays,
+    as the result is read from it.
     """
     start = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    now = storage.written(start, "edges")
+    spark = edges.sparkSession
+    path = storage.new_path(spark, "edges")
+    now = storage.written(start, "edges", path)
     before = None
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -43,7 +47,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.unionByName(now.where("a = b")).distinct()
         small = _joined(large)
         star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        now = storage.written(star, "edges")
+        last, path = path, storage.new_path(spark, "edges")
+        now = storage.written(star, "edges", path)
+        storage.delete(spark, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -22,6 +22,8 @@ equality only; lines without a word are left alone.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,18 @@ LETTERS = " etaonihsrdlumbc"
 BROADCAST_LINES = 1_000_000
 
 
+def text_key(text: Column) -> Column:
+    """31 bits of a text's hash: tells rows of one id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 33)
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0), ``line`` of every line with a word."""
-    split = F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), split).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """``doc_id``, ``n_lines`` (of its row), ``spot`` (text key, then line number from 0) and ``line`` of every line with a word."""
+    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.cast("long").alias("line_no"), x.alias("line")))
+    with_words = F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.shiftleft(text_key(F.col(text)), 32).alias("t"), with_words.alias("own"))
+    each = rows.select("doc_id", "t", F.size("own").alias("n_lines"), F.inline("own"))
+    return each.select("doc_id", "n_lines", F.col("t").bitwiseOR(F.col("line_no")).alias("spot"), "line")
 
 
 def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -179,31 +189,43 @@ def links(docs_lines: DataFrame, edits: int) -> DataFrame:
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_removed`` and ``removed`` of each document with a line.
+    """``doc_id``, ``text_key``, ``n_lines``, ``n_removed`` and ``removed`` of each document with a line.
 
     ``removed``: line number, and the document and number of the class's first
-    line.  Lines of rows with a null id take no part; rows with one id are one
-    document: lines at the same place of it are the same line.
+    line.  Lines of rows with a null id take no part.  Rows of one id and one
+    text are one document; different texts of one id are documents of their
+    own, ordered by ``text_key``.
     """
     found = lines(docs, key, text).where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("line"))
-    placed = storage.written(found.select("doc_id", "line_no", "h"), "lines")
+    placed = storage.written(found.select("doc_id", "n_lines", "spot", "h"), "lines")
     same = components.connected(links(found.select("h", "line"), edits))
     same = same.where("vertex <> component").select(F.col("vertex").alias("h"), "component")
-    classed = placed.join(same, "h", "left").select("doc_id", "line_no", F.coalesce("component", "h").alias("c"))
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no").cast("decimal(10,0)")
+    classed = placed.join(same, "h", "left").select("doc_id", "spot", F.coalesce("component", "h").alias("c"))
+    spots = F.lit(Decimal(1 << 63))
+    place = F.col("doc_id").cast("decimal(19,0)") * spots + F.col("spot").cast("decimal(19,0)")
     # one more grouping key that follows from the class: a join by class deals both sides anew
     first = classed.groupBy("c", (F.col("c") % 7).alias("__r")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("k"), "first")
     again = classed.join(first, F.col("c") == F.col("k")).where(place > F.col("first"))
-    back = F.floor(F.col("first") / F.lit(1 << 31)).cast("long")
-    again = again.select("doc_id", "line_no", back.alias("first_doc"), (F.col("first") - back.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)")).cast("int").alias("first_line"))
-    gone = again.distinct().groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.array_sort(F.collect_list(F.struct("line_no", "first_doc", "first_line"))).alias("removed"))
-    counts = placed.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "removed")
+    first_spot = F.pmod(F.col("first"), spots)
+    again = again.select("doc_id", "spot", ((F.col("first") - first_spot) / spots).cast("long").alias("first_doc"), _line_no(first_spot.cast("long")).alias("first_line"))
+    removed = F.struct(_line_no(F.col("spot")).alias("line_no"), "first_doc", "first_line")
+    gone = again.distinct().groupBy("doc_id", _text_key(F.col("spot")).alias("text_key")).agg(F.count("*").alias("n_removed"), F.array_sort(F.collect_list(removed)).alias("removed"))
+    counts = placed.groupBy("doc_id", _text_key(F.col("spot")).alias("text_key")).agg(F.max("n_lines").cast("long").alias("n_lines"))
+    return counts.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "removed")
+
+
+def _text_key(spot: Column) -> Column:
+    return F.shiftrightunsigned(spot, 32)
+
+
+def _line_no(spot: Column) -> Column:
+    return spot.bitwiseAND(F.lit((1 << 32) - 1).cast("long")).cast("int")
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated lines cut out of ``text``; other columns as they are, null and empty texts too."""
-    gone = decisions(docs, edits, key, text).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.transform("removed", lambda x: x["line_no"]).alias("__gone"))
-    both = docs.join(gone, F.col(key) == F.col("__id"), "left")
+    gone = decisions(docs, edits, key, text).where("n_removed > 0")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.transform("removed", lambda x: x["line_no"]).alias("__gone"))
+    both = docs.join(gone, (F.col(key) == F.col("__id")) & (text_key(F.col(text)) == F.col("__key")), "left")
     left = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
     return both.select(*(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns))

@@ -94,9 +94,10 @@ def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import linejoin
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = linejoin.decisions(docs).withColumnRenamed("doc_id", "__id")
+    found = linejoin.decisions(docs).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    own = docs.select("doc_id", linejoin.text_key(F.col("text")).alias("text_key"))
     zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("__id"), "left").select(
+    return own.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left").select(
         "doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_removed", zero).alias("n_removed"), "removed"
     )
 

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) is a folder made and set.
+    Only a session whose executors are the driver's own threads may name none:
+    a folder of this machine is made and set.  On a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="epochal-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -24,12 +28,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet to shared storage and read again.
+def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """``df`` written as Parquet to shared storage (a new path, or the given one) and read again.
 
     Cuts the lineage: what is read back survives the loss of any executor, and
     later actions do not repeat the work above.
     """
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of this job that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

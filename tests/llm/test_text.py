@@ -124,6 +124,16 @@ def line_rows():
     return [*rows, (-5, base[0]), (100, None), (None, base[0]), (7, rows[7][1]), (101, base[1] + "\n" + base[1])]
 
 
+def test_different_texts_under_one_id_keep_their_own_lines(spark):
+    line = "This sentence stands in the corpus more than once."
+    own = "A wholly unrelated unique sentence lives here."
+    rows = [(1, line), (7, line + "\nfirst text of seven"), (7, own + "\nsecond text of seven"), (7, own + "\nsecond text of seven"), (-3, own + " xyzzy"), (-9, own[:-1])]
+    got = sorted(r.text for r in linejoin.dedup(frame(spark, rows)).collect())
+    assert got == sorted([line, "first text of seven", "second text of seven", "second text of seven", own + " xyzzy", own[:-1]])
+    lines = {(r.doc_id, r.n_lines, r.n_removed, tuple(map(tuple, r.removed or []))) for r in linejoin.decisions(frame(spark, rows)).collect()}
+    assert lines == {(1, 1, 0, ()), (7, 2, 1, ((0, 1, 0),)), (7, 2, 1, ((0, -9, 0),)), (-3, 1, 0, ()), (-9, 1, 0, ())}
+
+
 def test_line_decisions(spark):
     rows = line_rows()
     got = {r.doc_id: sorted(map(tuple, r.removed)) for r in linejoin.decisions(frame(spark, rows)).collect() if r.removed}
