@@ -7,7 +7,8 @@ batch of queries goes through the terms one after another, adding
 keeps each query's best of the block, and a ranked window merges the blocks.
 
 Queries are copied once to every block, block by block in bounded batches; a
-task holds one block and one batch.  This is quadratic work by nature (every
+task holds one block and one batch.  Blocks are dealt by ranges, several to a
+block, so that each has a task of its own.  This is quadratic work by nature (every
 query against every row) that spreads over blocks.
 """
 
@@ -92,16 +93,18 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", v
     Score: integer inner product of floor(256 x).  Ties go to the smaller id;
     fewer than ``k`` other rows: all of them.  Rows with a null id or an
     unusable vector take no part; a row repeated under one id counts as often
-    as it is there, but never for a query of that id.  Components beyond
-    2**20 or so may overflow 64-bit scores.
+    as it is there, but never for a query of that id.  A query id with several
+    usable vectors asks with the smallest of them (array order).  Components
+    beyond 2**20 or so may overflow 64-bit scores.
     """
     good = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
     total = good.count()
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-total // BLOCK_ROWS), min(tasks, -(-total // LEAST_ROWS)))
-    data = good.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = good.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
-    dealt = data.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id")
+    # rows of one id may be many: their vectors part them
+    data = good.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    asked = good.where("q").groupBy("id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
+    dealt = data.unionByName(asked).repartitionByRange(4 * blocks, "block").sortWithinPartitions("block", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, parts, ready = None, [], [], None

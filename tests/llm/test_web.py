@@ -80,6 +80,14 @@ def test_search_with_few_or_no_rows(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_a_repeated_query_asks_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 2.0]), (2, [0.5, 2.0]), (3, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, k=3).collect())
+    one = 256 * 256
+    assert found == [(0, 1, 3, 3 * one), (0, 2, 2, 2 * one), (0, 3, 2, 2 * one)]
+
+
 def test_sparse_postings():
     rows = np.array([[0, 2, 0], [1, 0, 0], [0, 3, 5]], np.int64)
     lists = topk.postings(rows)
