@@ -3,19 +3,23 @@
 An ARC file opens with a ``filedesc`` record that states its version; the
 version says which fields a record's header line has, the last of them the
 declared length of the content that follows.  Each ARC record becomes a WARC
-record: an identifier is derived from its own values, the date is rewritten,
-the type follows from the content (HTTP responses, other resources, the
-``filedesc`` record as ``warcinfo``), and block and payload digests are taken.
-A payload of at least ``REVISIT_BYTES`` that an earlier record has as well
-becomes a ``revisit`` that names that record and stores no payload.
-
-Archives are files of bounded size that Spark writes and reads, gzip-packed as
-a whole; a record larger than an archive's bound has one of its own.
+record: its identifier is derived from the place it has in the ARC archives
+(so no two share one, whatever they hold), the date is rewritten, the type
+follows from the content (HTTP responses, other resources, the ``filedesc``
+record as ``warcinfo``), and block and payload digests are taken.  A payload of
+at least ``REVISIT_BYTES`` that an earlier record has as well becomes a
+``revisit`` that names that record and stores no payload.
+
+Archives are files of bounded size that Spark writes and reads.  Each record
+is a gzip member of its own, so that it can be read by its place alone; a
+record larger than an archive's bound has an archive of its own.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of the records of an archive, before they are compressed.
 ARCHIVE_BYTES = 16 << 20
+#: Compressed bytes of the archives that a task converts.
+TASK_BYTES = 32 << 20
 REVISIT_BYTES = 100
 #: Header fields of ARC records by version, and WARC's profile of revisits.
 FIELDS = {
@@ -37,6 +44,7 @@ TITLES = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: HTTP header that carries a record's number in the source table.
 ID_HEADER = b"X-Source-Record"
@@ -47,6 +55,8 @@ class ArcRecord(NamedTuple):
     version: int
     fields: dict[str, str]
     content: bytes
+    #: Number of the byte where its header line starts.
+    offset: int = 0
 
 
 def read_arc(raw: bytes) -> Iterator[ArcRecord]:
@@ -79,7 +89,7 @@ def read_arc(raw: bytes) -> Iterator[ArcRecord]:
         length = int(values[-1])
         if stop + 1 + length > len(raw):
             raise ValueError(f"truncated record at byte {at}")
-        yield ArcRecord(version, dict(zip(names, values, strict=True)), raw[stop + 1 : stop + 1 + length])
+        yield ArcRecord(version, dict(zip(names, values, strict=True)), raw[stop + 1 : stop + 1 + length], at)
         at = stop + 1 + length
 
 
@@ -112,9 +122,9 @@ def header_value(header: bytes, name: bytes) -> bytes | None:
     return None
 
 
-def record_id(source: int | None, digest: str) -> str:
-    """An identifier that depends on the record's number and payload alone, so that a revisit can name it."""
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{source}|{digest}'.encode()).digest()[:16], version=5)}>"
+def record_id(archive: str, offset: int) -> str:
+    """Identifier of the record that starts at a byte of an archive, whose name must be its own."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{archive}|{offset}'.encode()).digest()[:16], version=5)}>"
 
 
 def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -123,21 +133,28 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "surrogateescape") + b"\r\n" + block
 
 
-def convert(record: ArcRecord, refers_to: int | None = None) -> bytes:
-    """The WARC record of an ARC record; ``refers_to``: number of the record with the same payload."""
+class Original(NamedTuple):
+    """The record that a revisit repeats: its number in the source table, archive and offset."""
+
+    source: int
+    archive: str
+    offset: int
+
+
+def convert(record: ArcRecord, archive: str = "-", refers_to: Original | None = None) -> bytes:
+    """The WARC record of a record of ARC archive ``archive``."""
     url, date = record.fields["url"], iso_date(record.fields["date"])
     sha = lambda b: hashlib.sha256(b).hexdigest()
+    own = ("WARC-Record-ID", record_id(archive, record.offset))
     if url.startswith("filedesc:"):
         info = f"software: epochal\r\nformat: WARC file version 1.1\r\nsource-format: ARC {record.version}\r\n".encode()
-        return warc_record("warcinfo", [("WARC-Record-ID", record_id(None, sha(url.encode()))), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], info)
+        return warc_record("warcinfo", [own, ("WARC-Date", date), ("Content-Type", "application/warc-fields")], info)
     http = record.content.startswith(b"HTTP/")
     header, payload = http_parts(record.content) if http else (b"", record.content)
-    number = header_value(header, ID_HEADER)
-    source = int(number) if number else None
     digest = sha(payload)
     block = record.content if refers_to is None else header
     headers = [
-        ("WARC-Record-ID", record_id(source, digest)),
+        own,
         ("WARC-Date", date),
         ("WARC-Target-URI", url),
         ("WARC-IP-Address", record.fields["ip"]),
@@ -145,7 +162,12 @@ def convert(record: ArcRecord, refers_to: int | None = None) -> bytes:
         ("WARC-Block-Digest", f"sha256:{sha(block)}"),
     ]
     if refers_to is not None:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Record", str(refers_to)), ("X-Payload-Length", str(len(payload)))]
+        headers += [
+            ("WARC-Profile", REVISIT_PROFILE),
+            ("WARC-Refers-To", record_id(refers_to.archive, refers_to.offset)),
+            ("X-Refers-To-Record", str(refers_to.source)),
+            ("X-Payload-Length", str(len(payload))),
+        ]
     headers.append(("Content-Type", "application/http; msgtype=response" if http else record.fields["content_type"]))
     return warc_record("revisit" if refers_to is not None else "response" if http else "resource", headers, block)
 
@@ -171,31 +193,56 @@ def read_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 FILES = T.StructType([T.StructField("value", T.BinaryType())])
 
 
-def _files(parts: Iterator, open_with, make, between: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows of one archive each: records are made and joined until ``ARCHIVE_BYTES``."""
+def member(record: bytes) -> bytes:
+    """A record as a gzip member."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
+def unpacked(archive: bytes) -> bytes:
+    """All members of an archive, one after another."""
+    with gzip.GzipFile(fileobj=io.BytesIO(archive)) as file:
+        return file.read()
+
+
+def _files(parts: Iterator, open_with, make) -> Iterator[pa.RecordBatch]:
+    """Rows of one archive each: records are made and packed until ``ARCHIVE_BYTES``.
+
+    ``make`` gets the record's archive (counted in the task) and offset.
+    """
     held: list[bytes] = []
     size = count = 0
+
+    def close() -> pa.RecordBatch:
+        # a member ends with its size, whose highest byte is 0 below 16 MB; else an empty member follows
+        data = b"".join(held) if held[-1].endswith(b"\0") else b"".join([*held, member(b"")])
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], ["value"])
+
     for part in parts:
         if size >= ARCHIVE_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], ["value"])
+            yield close()
             held, size, count = [], 0, count + 1
         if not held:
-            held.append(open_with(count))
-        held.append(make(part, count, size))
-        size += len(held[-1])
+            first = open_with(count)
+            held.append(member(first))
+            size += len(first)
+        record = make(part, count, size)
+        held.append(member(record))
+        size += len(record)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], ["value"])
+        yield close()
 
 
-def _save(files: DataFrame, path: str, end: str) -> None:
-    """One file a row; the writer's line end closes the last record."""
-    files.select(F.col("value").cast("string")).write.options(maxRecordsPerFile=1, lineSep=end, compression="gzip").text(path)
+def _save(files: DataFrame, path: str) -> None:
+    """One file a row; the writer's line end is the last byte of the last member (see ``_files``)."""
+    files.select(F.col("value").cast("string")).write.options(maxRecordsPerFile=1, lineSep="\0").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", version: int | None = None) -> None:
     """ARC archives of a table of pages; ``version`` None: both versions in turns.
 
-    Null bodies are empty payloads, null URLs and numbers are left out.
+    Null bodies are empty payloads, null URLs and numbers are left out.  Rows
+    with repeated numbers are records of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +254,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
         def open_with(count: int) -> bytes:
             now[0] = v = version or 1 + (task + count) % 2
             content = f"{v} 0 epochal\n{TITLES[v]}\n".encode()
-            return f"filedesc://{task}-{count}.arc 0.0.0.0 {DATE} text/plain {len(content)}\n".encode() + content
+            return f"filedesc://{task}-{count}.arc 0.0.0.0 {DATE} text/plain {len(content)}\n".encode() + content + b"\n"
 
         def parts() -> Iterator[tuple[str, bytes]]:
             for batch in batches:
@@ -217,73 +264,97 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
 
         def line(part: tuple[str, bytes], count: int, offset: int) -> bytes:
             address, content = part
-            return arc_line(now[0], address, DATE, len(content), offset, f"{task}-{count}.arc") + content
+            return arc_line(now[0], address, DATE, len(content), offset, f"{task}-{count}.arc") + content + b"\n"
 
-        return _files(parts(), open_with, line, b"\n")
+        return _files(parts(), open_with, line)
 
     rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(body).cast("string").cast("binary"))
-    _save(rows.mapInArrow(run, FILES), path, "\n")
+    _save(rows.mapInArrow(run, FILES), path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """``path``, ``length`` and ``content`` of the archives of a folder; lengths alone are read without contents."""
+    return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
 
 PAYLOADS = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("source", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())]
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("source", T.LongType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload_digest", T.StringType()),
+    ]
 )
 
 
 def arc_payloads(arcs: DataFrame) -> DataFrame:
-    """Number, size and digest of every record's payload."""
+    """Place, number, size and digest of every record's payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for record in read_arc(zlib.decompress(raw.as_py(), 47)):
+                for record in read_arc(unpacked(raw.as_py())):
                     if record.fields["url"].startswith("filedesc:"):
                         continue
                     header, payload = http_parts(record.content) if record.content.startswith(b"HTTP/") else (b"", record.content)
                     number = header_value(header, ID_HEADER)
-                    rows.append((path, int(number) if number else None, len(payload), hashlib.sha256(payload).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate([pa.string(), pa.int64(), pa.int64(), pa.string()])], PAYLOADS.names)
+                    rows.append((path, record.offset, int(number) if number else None, len(payload), hashlib.sha256(payload).hexdigest()))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], PAYLOADS.names)
 
     return arcs.mapInArrow(run, PAYLOADS)
 
 
 def revisits(payloads: DataFrame) -> DataFrame:
-    """Of each archive: which of its records repeat which record (the smallest number with the payload).
+    """Of each archive (``path``): which of its records repeat which record.
+
+    Of numbered records with a payload that of the smallest number is the
+    original; others that bear this number too (a table with repeated numbers)
+    are no revisits, and revisits name the first of them by path and offset.
+    Records without a number are never originals.
 
     Payloads are grouped by digest and size but joined by digest, so that both
     sides of the join are plain exchanges, whose hot digests Spark can split.
     """
     long = payloads.where(F.col("payload_bytes") >= REVISIT_BYTES)
-    first = long.groupBy("payload_digest", "payload_bytes").agg(F.min("source").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("payload_digest", "refers_to")
-    again = long.join(first, "payload_digest").where("NOT source <=> refers_to")
-    return again.groupBy("path").agg(F.collect_list(F.struct("source", "refers_to", "payload_digest")).alias("again"))
+    place = F.when(F.col("source").isNotNull(), F.struct("source", "path", "offset"))
+    first = long.groupBy("payload_digest", "payload_bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("payload_digest", "first")
+    again = long.join(first, "payload_digest").where("NOT source <=> first.source")
+    return again.groupBy("path").agg(F.collect_list(F.struct("offset", "first")).alias("again"))
 
 
 def to_warc(arcs: DataFrame, again: DataFrame, path: str) -> None:
-    """Convert each archive into WARC archives under ``path``."""
+    """Convert each archive into WARC archives under ``path``.
+
+    Archives are dealt by name to as many tasks as keep each at ``TASK_BYTES``
+    or so (at least to the session's shuffle partitions), with their revisits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+
+        def open_with(count: int) -> bytes:
+            headers = [("WARC-Record-ID", record_id(f"{path}/{task}-{count}", 0)), ("WARC-Date", iso_date(DATE)), ("Content-Type", "application/warc-fields")]
+            return warc_record("metadata", headers, b"") + END
+
         def parts() -> Iterator[bytes]:
             for batch in batches:
-                for raw, pairs in zip(batch.column(0), batch.column(1), strict=True):
-                    known = {(p["source"], p["payload_digest"]): p["refers_to"] for p in pairs.as_py() or []}
-                    for record in read_arc(zlib.decompress(raw.as_py(), 47)):
-                        refers = None
-                        if known and record.content.startswith(b"HTTP/"):
-                            header, payload = http_parts(record.content)
-                            number = header_value(header, ID_HEADER)
-                            refers = known.get((int(number) if number else None, hashlib.sha256(payload).hexdigest()))
-                        yield convert(record, refers)
+                for name, raw, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    known = {p["offset"]: Original(p["first"]["source"], p["first"]["path"], p["first"]["offset"]) for p in pairs.as_py() or []}
+                    for record in read_arc(unpacked(raw.as_py())):
+                        yield convert(record, name, known.get(record.offset)) + END
 
-        return _files(parts(), lambda count: warc_record("metadata", [("WARC-Record-ID", record_id(count, "archive")), ("WARC-Date", iso_date(DATE)), ("Content-Type", "application/warc-fields")], b""), lambda record, count, offset: record, b"\r\n\r\n")
+        return _files(parts(), open_with, lambda record, count, offset: record)
 
-    joined = arcs.join(again, "path", "left").select("content", "again")
-    _save(joined.mapInArrow(run, FILES), path, "\r\n\r\n")
+    spark = arcs.sparkSession
+    total = arcs.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    joined = arcs.select("path", "content").repartition(tasks, "path").join(again.repartition(tasks, "path"), "path", "left").select("path", "content", "again")
+    _save(joined.mapInArrow(run, FILES), path)
 
 
 RECORDS = T.StructType(
@@ -298,7 +369,7 @@ def warc_records(warcs: DataFrame) -> DataFrame:
         for batch in batches:
             for raw in batch.column(1):
                 rows = []
-                for headers, block in read_warc(zlib.decompress(raw.as_py(), 47)):
+                for headers, block in read_warc(unpacked(raw.as_py())):
                     kind = headers["WARC-Type"]
                     if kind not in ("response", "revisit", "resource"):
                         continue

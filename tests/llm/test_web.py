@@ -132,6 +132,37 @@ def test_archives_both_versions(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == want(PAGES)
 
 
+def test_record_ids_are_unique_and_named_by_revisits(spark, monkeypatch):
+    monkeypatch.setattr(arc, "ARCHIVE_BYTES", 900)
+    body, other = "x" * 150, "z" * 300
+    pages = [(n % 4 or None, f"http://a/{n}", body) for n in range(12)] + [(n, "http://b/", other) for n in (9, 8, 8, 9)] + [(None, "u", "n" * 200)] * 2 + [(5, "v", "short"), (5, "v", "short")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    old, new = storage.new_path(spark, "arc"), storage.new_path(spark, "warc")
+    arc.write_arc(df, old)
+    arcs = arc.archives(spark, old)
+    arc.to_warc(arcs, arc.revisits(arc.arc_payloads(arcs)), new)
+    ids, named, kinds = [], [], []
+    for row in arc.archives(spark, new).collect():
+        raw = arc.unpacked(row.content)
+        for headers, _ in arc.read_warc(raw):
+            ids.append(headers["WARC-Record-ID"])
+            kinds.append(headers["WARC-Type"])
+            if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"].endswith(hashlib.sha256(other.encode()).hexdigest()):
+                assert f"{arc.ID_HEADER.decode()}: 8" in raw.decode()
+            if "WARC-Refers-To" in headers:
+                named.append(headers["WARC-Refers-To"])
+        # every record is a member of its own
+        assert row.content.count(b"\x1f\x8b\x08") >= raw.count(b"WARC/1.1\r\n")
+    assert len(ids) == len(set(ids)) and set(named) <= set(ids) and len(set(named)) == 2
+    assert kinds.count("revisit") == 9 + 2 and kinds.count("response") == 3 + 2 + 2 + 2
+
+
+def test_an_archive_that_ends_with_a_huge_record(spark):
+    page = (1, "http://a/", "é" * (9 << 20))
+    got = archived(spark, [page]).select("payload_bytes", "record_type").collect()
+    assert [tuple(r) for r in got] == [(18 << 20, "response")]
+
+
 def test_no_pages(spark):
     assert archived(spark, []).count() == 0
 
