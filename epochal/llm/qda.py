@@ -26,10 +26,10 @@ POOLED, RIDGE = 0.2, 0.02
 FEATURES = ("f_words", "f_word_length", "f_symbols", "f_bangs", "f_upper", "f_digits", "f_distinct", "f_line_words", "f_ends", "f_repeats")
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and ``FEATURES`` of each document; a null text counts as an empty one."""
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """Key, ``more`` columns and ``FEATURES`` of each document; a null text counts as an empty one."""
     t = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(key), t.alias("__t"), textstats.words(t).alias("__w"))
+    own = docs.select(F.col(key), *more, t.alias("__t"), textstats.words(t).alias("__w"))
     n = F.size("__w")
     chars = F.length("__t")
     odds = lambda part, whole: F.log((part + F.lit(0.5)) / (whole - part + F.lit(0.5)))
@@ -46,7 +46,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         odds(F.least(-sentence, n), n),
         odds(F.size(F.filter(F.zip_with("__w", F.slice("__w", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False)))), n),
     )
-    return own.select(key, *(v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=True)))
+    return own.select(key, *more, *(v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=True)))
 
 
 @dataclass(frozen=True)
@@ -116,17 +116,39 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def fit(stats: DataFrame, labels: DataFrame, key: str, label: str) -> Model:
+    """A model of the rows of ``stats`` (key and ``FEATURES``) that have a label and are not held out.
+
+    A labelled row counts once for each of its documents; labels of null keys
+    and null labels count for nothing.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).alias("__label"))
+    return learn(stats.join(known, F.col(key) == F.col("__key")).where(~held_out(F.col(key))), "__label")
+
+
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Key, ``held_out``, ``score`` and ``predicted`` of each row of ``docs``.
 
     Statistics are taken once and written to shared storage; the fit and the
-    scores read them from there.  A labelled row counts once for each of its
-    documents; labels of null keys and null labels count for nothing.
+    scores read them from there.
     """
     from epochal.llm import storage
 
     stats = storage.written(features(docs, key, text), "qda-features")
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), F.col(label).alias("__label"))
-    model = learn(stats.join(known, F.col(key) == F.col("__key")).where(~held_out(F.col(key))), "__label")
+    model = fit(stats, labels, key, label)
     out = stats.select(key, held_out(F.col(key)).alias("held_out"), probability(model).cast("double").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose own text is scored one half or more.
+
+    Each row is judged by itself, whatever its key: rows travel with their
+    statistics, so nothing is shuffled but what the fit needs.
+    """
+    from epochal.llm import storage
+
+    held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("__id"), F.col(text).alias("__text"))
+    stats = storage.written(features(held, "__id", "__text", "__row"), "qda-rows")
+    model = fit(stats.select(F.col("__id").alias(key), *FEATURES), labels, key, label)
+    return stats.where(probability(model) >= 0.5).select("__row.*")

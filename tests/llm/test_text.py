@@ -241,6 +241,56 @@ def test_scores_of_odd_rows(spark):
     assert qda.score(docs.limit(0), labels).count() == 0
 
 
+def twin_features(text):
+    """The statistics of one text, in plain Python."""
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, chars = len(w), len(t)
+    odds = lambda part, whole: np.log((part + 0.5) / (whole - part + 0.5))
+    ends = len(re.findall(r"[.!?]", t))
+    return [
+        np.log1p(n), np.log1p(len("".join(w).encode()) / max(n, 1)), odds(sum(t.count(c) for c in "#*$%&|<>"), chars), odds(t.count("!"), chars),
+        odds(len(re.findall("[A-Z]", t)), chars), odds(len(re.findall("[0-9]", t)), chars), odds(len(set(w)), n), np.log1p(n / (t.count("\n") + 1)),
+        odds(min(ends, n), n), odds(sum(a == b for a, b in zip(w, w[1:], strict=False)), n),
+    ]
+
+
+@tables
+def test_scores_equal_a_plain_discriminant(spark):
+    """The same shrinkage discriminant, fitted and applied by NumPy on whole covariance matrices."""
+    docs = registry.table(spark, SF_DIR, "documents").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in registry.table(spark, SF_DIR, "labels").collect()}
+    x = np.array([twin_features(r.text) for r in docs])
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs])
+    y = np.array([labels.get(r.doc_id, -1) for r in docs])
+    use = ~held & (y >= 0)
+    own = [x[use & (y == c)] for c in (0, 1)]
+    n = np.array([len(o) for o in own])
+    pooled = sum(len(o) * np.cov(o.T, bias=True) for o in own) / n.sum()
+    scale, centre = np.sqrt(np.maximum(np.diag(pooled), 1e-6)), x[use].mean(0)
+    log = []
+    for o, k in zip(own, n, strict=True):
+        cov = (0.8 * np.cov(o.T, bias=True) + 0.2 * pooled) / np.outer(scale, scale)
+        cov = 0.98 * cov + 0.02 * np.trace(cov) / len(cov) * np.eye(len(cov)) + 1e-9 * np.eye(len(cov))
+        z = (x - o.mean(0)) / scale
+        log.append(np.log(k / n.sum()) - np.linalg.slogdet(cov)[1] / 2 - np.einsum("ni,ij,nj->n", z, np.linalg.inv(cov), z) / 2)
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+    got = {r.doc_id: r.score for r in registry.op10_quality_qda(spark, SF_DIR).collect()}
+    assert np.allclose([got[r.doc_id] for r in docs], want, atol=1e-6) and centre.shape == (10,)
+
+
+def test_rows_are_accepted_by_their_own_text(spark):
+    good = [(i, "a plain line of some words that goes on and ends. " * (1 + i % 4)) for i in range(30)]
+    bad = [(i, "BUY!! NOW!! ### $$$ " * (2 + i % 5)) for i in range(30, 60)]
+    rows = [*good, *bad, (3, bad[0][1]), (40, good[0][1]), (None, good[1][1]), (None, bad[1][1])]
+    labels = spark.createDataFrame([(i, 1 if i < 30 else 0) for i in range(60)], "doc_id long, quality int")
+    docs = frame(spark, rows).withColumn("f_words", F.lit("clash"))
+    out = qda.accepted(docs, labels)
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    assert got == sorted((str(i), t) for i, t in [*good, (40, good[0][1]), (None, good[1][1])])
+
+
 # -- pipeline -------------------------------------------------------------------
 @tables
 def test_pipeline_stages(spark):
