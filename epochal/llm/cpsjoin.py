@@ -1,22 +1,33 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-Documents are sets of word shingles, embedded as minwise tokens.  Independent
-trees branch them: a node passes each of its documents on to children chosen
-by the values of a few selected minwise tokens, so similar documents meet in
-some node with high probability.  Small nodes are compared exhaustively (by
-sketches, which only propose families); nodes that are too large branch again,
-and those that never get small are compared block by block.  Families of
-proposed documents are then confirmed on their full sets.
-
-Equal sets are one class from the start.  Within a family links are found
-breadth-first, each document against those not reached yet, so a large group
-costs few comparisons and gives a spanning forest, not all its pairs.
-Families beyond ``FAMILY`` documents are compared in pairs of blocks.
+Documents are sets of word shingles, embedded as minwise tokens.  Equal sets
+are one vertex from the start, named by 64 bits of the set's hash (a billion
+different sets hold two of one name with a chance of 3 %).  Independent trees
+branch the vertices: a node passes each of its members on to children chosen by
+the values of two selected minwise tokens, so similar ones meet in some node
+with high probability.  Small nodes are compared exhaustively (by sketches,
+which only propose families); nodes that are too large branch again, and those
+that never get small are compared as described below.  Families of proposed
+vertices are then confirmed on their full sets.
+
+Chance of a miss: a pair of similarity ``s`` shares a child by one token with
+chance ``s``.  It meets in no node of a tree with ``m = 1 - s + s * q``, where
+``q`` is the chance that two tokens a level lead to no common node ``DEPTH``
+levels below (``q <- (1 - s + s * q) ** 2`` from 0).  ``trees`` takes as many
+trees as make ``m ** trees`` at most ``MISS``.
+
+Within a group (node or family) links are found breadth-first, each member
+against those not reached yet, so a large group costs few comparisons and gives
+a spanning forest, not all its pairs.  A group larger than a task's limit is
+dealt to blocks.  Each block is compared with itself and with the first block;
+what is not in the group's largest component after that is compared with all of
+the group.  A group of near copies so costs its links, not pairs of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +37,15 @@ from pyspark.sql import types as T
 
 from epochal.llm import components, storage
 
-#: Trees start from so many selected tokens: a pair at the least similarity of 85 % misses all with probability 0.15**TREES.
-TREES = 10
+#: Chance that a pair at the least similarity meets in no node of any tree.
+MISS = 1e-6
 #: Minwise tokens of a document; the low byte of each is its sketch.
 TOKENS = 128
 #: A node of more documents branches again, at most ``DEPTH`` times.
 NODE = 2_000
-DEPTH = 6
+DEPTH = 4
+#: Tokens that a node selects for its children.
+CHILDREN = 2
 #: Sketches propose a pair at so many equal bytes less than the similarity asks for (6 standard deviations).
 SLACK = 6.0
 #: Documents of a family that are confirmed together.
@@ -42,6 +55,14 @@ MAX_WORDS = 500_000
 MASK = (1 << 64) - 1
 
 
+def trees(percent: int, depth: int | None = None) -> int:
+    """Trees that a least similarity asks for."""
+    apart, q = 1 - percent / 100, 0.0
+    for _ in range(DEPTH if depth is None else depth):
+        q = (apart + (1 - apart) * q) ** CHILDREN
+    return max(1, math.ceil(math.log(MISS) / math.log(max(apart + (1 - apart) * q, 1e-9))))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -105,21 +126,28 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 SKETCHED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_key", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
-        T.StructField("key_a", T.LongType()),
-        T.StructField("key_b", T.LongType()),
+        T.StructField("vertex", T.LongType()),
         T.StructField("roots", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.BinaryType()),
     ]
 )
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """Size of each document's set, a 128-bit key of the set, its first tokens and its sketch."""
+def set_key(own: np.ndarray) -> int:
+    """64 bits of a set's hash, signed."""
+    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    value = xxhash.xxh3_64_intdigest(own.tobytes())
+    return value - ((value & (1 << 63)) << 1)
 
+
+def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Size of each document's set, its vertex, first tokens and sketch.  ``docs``: ``doc_id``, ``text``, ``text_key``."""
+    roots = trees(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(k)
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
@@ -128,15 +156,13 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 full = [n for n, s in enumerate(sets) if len(s)]
                 tokens = minwise([sets[n] for n in full]) if full else np.zeros((0, TOKENS), np.uint64)
                 row = dict(zip(full, range(len(full)), strict=True))
-                keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                signed = lambda x: (x & MASK) - ((x & (1 << 63)) << 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([signed(x) for x in keys], pa.int64()),
-                        pa.array([signed(x >> 64) for x in keys], pa.int64()),
-                        pa.array([tokens[row[n], :TREES].view(np.int64) if n in row else None for n in range(len(sets))], pa.list_(pa.int64())),
+                        pa.array([set_key(s) for s in sets], pa.int64()),
+                        pa.array([tokens[row[n], :roots].view(np.int64) if n in row else None for n in range(len(sets))], pa.list_(pa.int64())),
                         pa.array([tokens[row[n]].astype(np.uint8).tobytes() if n in row else None for n in range(len(sets))], pa.binary()),
                     ],
                     SKETCHED.names,
@@ -192,137 +218,173 @@ def _edges(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([g[n] for g in got], pa.int64()) for n in (0, 1)], EDGES.names)
 
 
-def _blocks(rows: DataFrame, group: str, size: str, limit: int) -> DataFrame:
-    """Rows of a group dealt to blocks, once to every pair of blocks they belong to (``block_a`` <= ``block_b``)."""
-    count = F.ceil(F.col(size) / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("__n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda j: F.struct(F.least(F.col("__own"), j).alias("block_a"), F.greatest(F.col("__own"), j).alias("block_b")))
-    return rows.withColumn("__n", count).withColumn("__own", own).withColumn("__p", F.explode(pairs)).withColumns({"block_a": F.col("__p.block_a"), "block_b": F.col("__p.block_b")}).drop("__n", "__own", "__p", size)
+Near = Callable[[list[bytes]], Callable[[int, np.ndarray], np.ndarray]]
 
 
-def _propose(nodes: DataFrame, least_equal: int) -> DataFrame:
-    """Edges between documents of a node (or pair of blocks of one) with similar sketches."""
+def _compare(dealt: DataFrame, near_of: Near) -> DataFrame:
+    """Spanning edges within each (``group``, ``block_a``, ``block_b``) of ``vertex`` and ``data``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _groups(batches, 3):
             table = pa.Table.from_batches(parts)
             ids = table.column(3).to_numpy()
-            if len(ids) < 2:
-                continue
-            sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(len(ids), TOKENS)
-            got = _edges(_spread(ids, lambda n, rest: (sketch[rest] == sketch[n]).sum(1) >= least_equal))  # noqa: B023
-            if got is not None:
-                yield got
+            if len(ids) > 1:
+                got = _edges(_spread(ids, near_of(table.column(4).to_pylist())))
+                if got is not None:
+                    yield got
+
+    keyed = dealt.select("group", "block_a", "block_b", "vertex", "data")
+    return keyed.repartition("group", "block_a", "block_b").sortWithinPartitions("group", "block_a", "block_b").mapInArrow(run, EDGES)
 
-    keyed = nodes.select("node", "block_a", "block_b", "doc_id", "sketch")
-    return keyed.repartition("node", "block_a", "block_b").sortWithinPartitions("node", "block_a", "block_b").mapInArrow(run, EDGES)
+
+def linked(rows: DataFrame, limit: int, near_of: Near) -> DataFrame:
+    """Edges that span the components of each group.  ``rows``: ``group``, ``size`` (its rows), ``vertex``, ``data``.
+
+    No task holds more than two blocks of ``limit`` rows or so.
+    """
+    count = lambda size: F.ceil(F.col(size) / F.lit(limit)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64("vertex", F.lit(seed)), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = rows.withColumn("own", block(count("size"), 7))
+    # members of the first block go to all blocks
+    first = own.withColumn("block_a", F.explode(F.when(F.col("own") == 0, every(count("size"))).otherwise(F.array("own")))).withColumn("block_b", F.lit(-1))
+    edges = _compare(first, near_of)
+    large = own.where(F.col("size") > limit)
+    if large.isEmpty():
+        return edges
+    edges = storage.written(edges, "first-edges")
+    known = components.connected(edges).withColumnRenamed("vertex", "v")
+    placed = large.select("group", "vertex").join(known, F.col("vertex") == F.col("v"), "left").select("group", "vertex", F.coalesce("component", "vertex").alias("c"))
+    placed = storage.written(placed, "placed")
+    main = placed.groupBy("group", "c").count().groupBy("group").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    main = main.where("n > most").select(F.col("group").alias("g"), "main", (F.col("n") - F.col("most")).alias("left"))
+    rest = placed.join(main, F.col("group") == F.col("g")).where("c <> main").select(F.col("group").alias("g"), F.col("vertex").alias("v"))
+    sized = large.join(main.select("g", "left"), F.col("group") == F.col("g")).drop("g")
+    all_rows = sized.withColumn("block_a", F.explode(every(count("left")))).withColumn("block_b", F.col("own"))
+    few = sized.join(rest, (F.col("group") == F.col("g")) & (F.col("vertex") == F.col("v")), "left_semi")
+    few = few.withColumn("block_a", block(count("left"), 8)).withColumn("block_b", F.explode(every(count("size"))))
+    columns = ["group", "block_a", "block_b", "vertex", "data"]
+    return edges.unionByName(_compare(all_rows.select(columns).unionByName(few.select(columns)), near_of))
+
+
+def sketch_near(least_equal: int) -> Near:
+    def of(data: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+        sketch = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), TOKENS)
+        return lambda n, rest: (sketch[rest] == sketch[n]).sum(1) >= least_equal
+
+    return of
 
 
 def proposals(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges that span every proposed family.  ``reps``: ``doc_id``, ``roots``, ``sketch``, one row a set."""
+    """Edges that span every proposed family.  ``reps``: ``vertex``, ``roots``, ``sketch``, one row a vertex."""
     chance = percent / 100
-    least_equal = int(TOKENS * chance - SLACK * (TOKENS * chance * (1 - chance)) ** 0.5)
-    rows = reps.select("doc_id", F.posexplode("roots").alias("tree", "value")).select("doc_id", F.xxhash64("tree", "value").alias("node"))
+    near = sketch_near(int(TOKENS * chance - SLACK * (TOKENS * chance * (1 - chance)) ** 0.5))
+    sketches = reps.select("vertex", F.col("sketch").alias("data"))
+    rows = reps.select("vertex", F.posexplode("roots").alias("tree", "value")).select("vertex", F.xxhash64("tree", "value").alias("group"))
     out = None
     for depth in range(DEPTH + 1):
         # one more grouping key that follows from the node: a join by node deals both sides anew
-        sizes = rows.groupBy("node", (F.col("node") % 5).alias("__r")).count().where("count > 1").select(F.col("node").alias("__node"), F.col("count").alias("size"))
-        shared = rows.join(sizes, F.col("node") == F.col("__node")).select("node", "size", "doc_id")
+        sizes = rows.groupBy("group", (F.col("group") % 5).alias("__r")).count().where("count > 1").select(F.col("group").alias("__group"), F.col("count").alias("size"))
+        shared = rows.join(sizes, F.col("group") == F.col("__group")).select("group", "size", "vertex")
         shared = storage.written(shared, "nodes")
         last = depth == DEPTH
         small = shared if last else shared.where(F.col("size") <= NODE)
-        found = _propose(_blocks(small.join(reps.select("doc_id", "sketch"), "doc_id"), "node", "size", NODE), least_equal)
+        found = linked(small.join(sketches, "vertex"), NODE, near)
         out = found if out is None else out.unionByName(found)
         large = shared.where(F.col("size") > NODE)
         if last or large.isEmpty():
             return out
-        # each node selects one token, and a second one in some nodes: 1/similarity children a document on average
-        first = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(TOKENS)).cast("int")
-        second = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(1)), F.lit(TOKENS)).cast("int")
-        both = F.pmod(F.xxhash64("node", F.lit(depth), F.lit(2)), F.lit(1000)) < F.lit(int(1000 * (1 / chance - 1)))
-        chosen = F.explode(F.when(both, F.array(first, second)).otherwise(F.array(first))).alias("token")
-        rows = large.join(reps.select("doc_id", "sketch"), "doc_id").select("doc_id", "node", "sketch", chosen)
-        rows = rows.select("doc_id", F.xxhash64("node", "token", F.expr("substring(sketch, token + 1, 1)")).alias("node"))
+        # tokens differ from node to node; those of one node differ from each other
+        first = F.pmod(F.xxhash64("group", F.lit(depth)), F.lit(TOKENS)).cast("int")
+        step = F.pmod(F.xxhash64("group", F.lit(depth), F.lit(1)), F.lit(TOKENS // CHILDREN)).cast("int") + 1
+        chosen = F.explode(F.array(*((first + n * step) % TOKENS for n in range(CHILDREN)))).alias("token")
+        rows = large.join(sketches, "vertex").select("vertex", "group", "data", chosen)
+        rows = rows.select("vertex", F.xxhash64("group", "token", F.expr("substring(data, token + 1, 1)")).alias("group"))
     raise AssertionError
 
 
-def confirm(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
+def set_near(percent: int) -> Near:
+    def of(data: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+        sets = [np.frombuffer(s, np.uint64) for s in data]
+        size = np.array([len(s) for s in sets])
+        _, local = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        mark = np.zeros(local.max() + 1, bool)
+
+        def near(n: int, rest: np.ndarray) -> np.ndarray:
+            # sizes alone rule out most of what is no link
+            fit = 100 * np.minimum(size[rest], size[n]) >= percent * np.maximum(size[rest], size[n])
+            out = np.zeros(len(rest), bool)
+            if not fit.any():
+                return out
+            own = local[starts[n] : starts[n] + size[n]]
+            mark[own] = True
+            some = rest[fit]
+            ends = np.cumsum(size[some])
+            place = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - size[some]), size[some])
+            common = np.add.reduceat(mark[local[place]].astype(np.int64), ends - size[some])
+            mark[own] = False
+            out[fit] = 100 * common >= percent * (size[some] + size[n] - common)
+            return out
+
+        return near
+
+    return of
+
+
+def confirm(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Spanning links of the families: ``percent`` of the union or more in common, on full sets.
 
-    ``families``: ``vertex`` (a document) and ``component`` (its family).
+    ``members``: ``rep`` (a document that has the set), ``vertex`` and ``family``.
+    Rows of one id are read once a task and set.
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(k)
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                sets = [s.tobytes() for s in own.sets(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sets, pa.binary())], ["doc_id", "family", "size", "set"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _groups(batches, 3):
-            table = pa.Table.from_batches(parts)
-            ids = table.column(3).to_numpy()
-            if len(ids) < 2:
-                continue
-            sets = [np.frombuffer(s, np.uint64) for s in table.column(4).to_pylist()]
-            size = np.array([len(s) for s in sets])
-            _, local = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.cumsum(size) - size
-            mark = np.zeros(local.max() + 1, bool)
-
-            def near(n: int, rest: np.ndarray) -> np.ndarray:
-                # sizes alone rule out most of what is no link
-                fit = (100 * np.minimum(size[rest], size[n]) >= percent * np.maximum(size[rest], size[n]))  # noqa: B023
-                out = np.zeros(len(rest), bool)
-                if not fit.any():
-                    return out
-                own = local[starts[n] : starts[n] + size[n]]  # noqa: B023
-                mark[own] = True  # noqa: B023
-                some = rest[fit]
-                ends = np.cumsum(size[some])  # noqa: B023
-                place = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - size[some]), size[some])  # noqa: B023
-                common = np.add.reduceat(mark[local[place]].astype(np.int64), ends - size[some])  # noqa: B023
-                mark[own] = False  # noqa: B023
-                out[fit] = 100 * common >= percent * (size[some] + size[n] - common)  # noqa: B023
-                return out
-
-            got = _edges(_spread(ids, near))
-            if got is not None:
-                yield got
-
-    sizes = families.groupBy("component", (F.col("component") % 5).alias("__r")).agg(F.count("*").alias("size")).select(F.col("component").alias("family"), "size")
-    members = families.join(sizes, F.col("component") == F.col("family")).select(F.col("vertex").alias("doc_id"), "family", "size")
-    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("family", T.LongType()), T.StructField("size", T.LongType()), T.StructField("set", T.BinaryType())])
-    full = docs.join(members, "doc_id").select("doc_id", "text", "family", "size").mapInArrow(shingled, kind)
-    keyed = _blocks(full, "family", "size", FAMILY).select("family", "block_a", "block_b", "doc_id", "set")
-    return keyed.repartition("family", "block_a", "block_b").sortWithinPartitions("family", "block_a", "block_b").mapInArrow(run, EDGES)
+                sets = own.sets(part.column(0).to_pylist())
+                keep = []
+                for n, (vertex, s) in enumerate(zip(part.column(1).to_pylist(), sets, strict=True)):
+                    if vertex not in seen and set_key(s) == vertex:
+                        seen.add(vertex)
+                        keep.append(n)
+                some = part.take(pa.array(keep, pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(2), some.column(3), some.column(1), pa.array([sets[n].tobytes() for n in keep], pa.binary())], ["group", "size", "vertex", "data"])
+
+    sizes = members.groupBy("family", (F.col("family") % 5).alias("__r")).agg(F.count("*").alias("size")).select(F.col("family").alias("group"), "size")
+    own = members.join(sizes, F.col("family") == F.col("group")).select("rep", "vertex", "group", "size")
+    kind = T.StructType([T.StructField(n, T.BinaryType() if n == "data" else T.LongType()) for n in ("group", "size", "vertex", "data")])
+    full = docs.join(own, F.col("doc_id") == F.col("rep")).select("text", "vertex", "group", "size").mapInArrow(shingled, kind)
+    return linked(storage.written(full, "sets"), FAMILY, set_near(percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row.
+    """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` and ``kept`` of each row.
 
-    Documents are linked whose ``k``-word shingle sets (A-Z lower-cased) have
+    Rows are linked whose ``k``-word shingle sets (A-Z lower-cased) have
     ``percent`` of their union or more in common; a component has the smallest
     id that links reach.  A null or empty text has an empty set and is linked
     with nothing.  A row with a null id takes no part: it is kept and has no
-    component.  Rows of one id are one document to the links; each of them is
-    returned.  An empty table gives no rows.
+    component.  Rows of one id are judged each by its own text (``text_key``:
+    its hash); those that are in the component of their id are all kept.  An
+    empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = storage.written(sketched(rows, k), "sketches")
+    known = storage.written(sketched(rows.withColumn("text_key", F.xxhash64("text")), k, percent), "sketches")
     some = known.where("doc_id IS NOT NULL AND n_shingles > 0")
-    first = some.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")).select(F.col("key_a").alias("__a"), "rep")
-    classes = storage.written(some.select("doc_id", "key_a").join(first, F.col("key_a") == F.col("__a")).select("doc_id", "rep"), "classes")
-    alone = classes.where("doc_id = rep").select("doc_id").distinct()
-    reps = storage.written(some.join(alone, "doc_id").select("doc_id", "roots", "sketch").dropDuplicates(["doc_id"]), "reps")
-    families = components.connected(proposals(reps, percent))
-    families = storage.written(families, "families")
-    links = components.connected(confirm(rows, families, k, percent))
-    links = links.where("vertex <> component").select(F.col("vertex").alias("rep"), "component")
-    whole = classes.where("doc_id <> rep").join(links, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    whole = whole.unionByName(links.select(F.col("rep").alias("doc_id"), "component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = known.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # one more grouping key that follows from the vertex: a join by vertex deals both sides anew
+    first = some.groupBy("vertex", (F.col("vertex") % 5).alias("__r")).agg(F.min("doc_id").alias("rep")).select(F.col("vertex").alias("v"), "rep")
+    first = storage.written(first, "vertices")
+    reps = some.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("vertex") == F.col("v"))).select("vertex", "roots", "sketch").dropDuplicates(["vertex"])
+    families = components.connected(proposals(storage.written(reps, "reps"), percent))
+    members = families.select("vertex", F.col("component").alias("family")).join(first, F.col("vertex") == F.col("v")).select("rep", "vertex", "family")
+    links = components.connected(confirm(rows, storage.written(members, "members"), k, percent))
+    found = links.join(first, F.col("vertex") == F.col("v")).select("v", "rep", "component")
+    least = found.groupBy("component", (F.col("component") % 5).alias("__r")).agg(F.min("rep").alias("least")).select(F.col("component").alias("c"), "least")
+    classes = first.join(found.join(least, F.col("component") == F.col("c")).select(F.col("v").alias("w"), "least"), F.col("v") == F.col("w"), "left").select("v", F.coalesce("least", "rep").alias("least"))
+    out = known.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("vertex")).alias("vertex")).join(classes, F.col("vertex") == F.col("v"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -105,7 +105,7 @@ def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import cpsjoin
 
-    return cpsjoin.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return cpsjoin.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP8_SQL = r"""

@@ -199,6 +199,42 @@ def test_near_duplicates(spark, monkeypatch, k, percent, limits):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    text = [" ".join(f"{c}{n}" for n in range(40)) for c in "abc"]
+    rows = [(3, text[0]), (7, text[0] + " tail"), (7, text[1]), (7, text[1]), (9, text[1] + " end"), (9, text[2]), (12, None), (12, text[2])]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in cpsjoin.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(3, 36, 3, True), (7, 37, 3, False), (7, 36, 7, True), (9, 37, 7, False), (9, 36, 9, True), (12, 0, 12, True), (12, 36, 9, False)}
+
+
+def test_trees_for_a_chance_of_a_miss():
+    assert [cpsjoin.trees(p) for p in (80, 85)] == [10, 8]
+    assert cpsjoin.trees(80, depth=0) == 9 and cpsjoin.trees(50) > 20
+
+
+@pytest.mark.parametrize("depth", [1, 4])
+def test_recall_where_nodes_branch(spark, monkeypatch, depth):
+    """Pairs near the threshold among many documents of one template, which share most nodes, but aren't similar."""
+    monkeypatch.setattr(cpsjoin, "NODE", 40)
+    monkeypatch.setattr(cpsjoin, "FAMILY", 200)
+    monkeypatch.setattr(cpsjoin, "DEPTH", depth)
+    rng = random.Random(depth)
+    rows = []
+    for n in range(700):
+        own = [f"t{i}" for i in range(60)] + [f"d{n}w{i}" for i in range(60)]
+        rows.append((2 * n, " ".join(own)))
+        if n < 350:
+            for i in rng.sample(range(60, 120), 3):
+                own[i] = f"e{n}w{i}"
+            rows.append((2 * n + 1, " ".join(own)))
+    want = {(i, i - i % 2) for i, _ in rows}
+    sets = {i: shingles(t, 3) for i, t in rows}
+    pairs = [100 * len(sets[i] & sets[i - 1]) >= 85 * len(sets[i] | sets[i - 1]) for i in sets if i % 2]
+    got = {(r.doc_id, r.component_id) for r in cpsjoin.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert sum(pairs) > 200 and {g for g in got if g[0] % 2 == 0} == {w for w in want if w[0] % 2 == 0}
+    hit = [(i, i - 1) in got for i in sets if i % 2]
+    assert [h for h, p in zip(hit, pairs, strict=True) if p] == [True] * sum(pairs)
+
+
 def test_no_documents(spark):
     assert cpsjoin.near_duplicates(frame(spark, [])).count() == 0
 
