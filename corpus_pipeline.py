@@ -23,15 +23,9 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant takes for quality 1.
-
-    A document goes if its id is scored below one half; a null id can't be
-    looked up and stays.
-    """
+    """Rows whose own text the discriminant takes for quality 1, whatever their id."""
     labels = registry.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    scores = qda.score(docs.select("doc_id", "text"), labels)
-    low = scores.where("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(low, "doc_id", "left_anti").select(docs.columns)
+    return qda.accepted(docs, labels)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +40,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that shares four fifths of its five-word shingles."""
-    gone = cpsjoin.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The first document of each group that shares four fifths of its five-word shingles.
+
+    Rows of one id are judged each by its own text; a row with a null id stays.
+    """
+    gone = cpsjoin.near_duplicates(docs, k=5, percent=80).where("NOT kept")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
