@@ -1,48 +1,144 @@
-"""Proximity to secular resonances: linear combinations of the node's, perigee's and sun's rates."""
+"""Orbital resonances: how near combinations of secular rates come to zero, and how their angles behave.
+
+Rates are in radians a day, angles in degrees.  A definition is a row of
+whole-number coefficients; users may add their own to the built-in ones.
+"""
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUN_DEG_DAY = 0.98564736
+from epochal.functions import angles, orbital
+
+# Mean motion of the sun, rotation of the Earth, regression of the lunar node (rad/day).
+SUN_RATE = 2 * math.pi / 365.2422
+EARTH_RATE = 2 * math.pi * 1.00273790935
+MOON_NODE_RATE = -2 * math.pi / (18.6 * 365.2422)
+#: Degrees at 2000-01-01 00:00 UTC, and degrees a day from then.
+SUN_LONGITUDE = (280.460, 0.9856474)
+MOON_NODE = (125.045, -0.0529538)
+EARTH_ANGLE = (280.46061837, 360.98564736629)
+EPOCH_2000_US = 946_684_800_000_000
+#: Below this eccentricity an angle that holds the perigee means little.
+LOW_ECCENTRICITY = 1e-3
 
 
-class Resonance(NamedTuple):
-    """Whole-number coefficients of the rates (degrees a day)."""
+@dataclass(frozen=True)
+class Resonance:
+    """Coefficients of the rates of node, perigee, sun, lunar node, mean motion and Earth; angles have the same."""
 
     name: str
     family: str
-    node: int
-    perigee: int
-    sun: int
+    node: float = 0
+    perigee: float = 0
+    sun: float = 0
+    moon_node: float = 0
+    anomaly: float = 0
+    earth: float = 0
 
+    def of(self, node: Column, perigee: Column, sun: Column, moon_node: Column, anomaly: Column, earth: Column) -> Column:
+        parts = zip((self.node, self.perigee, self.sun, self.moon_node, self.anomaly, self.earth), (node, perigee, sun, moon_node, anomaly, earth), strict=True)
+        terms = [F.lit(float(c)) * x for c, x in parts if c]
+        return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
-#: Radiation-pressure, lunisolar and inclination-only combinations.
+
+# The built-in resonances.
 BUILT_IN = (
-    Resonance("srp_1", "srp", 1, 1, -1),
-    Resonance("srp_2", "srp", 1, -1, -1),
-    Resonance("srp_3", "srp", 0, 1, -1),
-    Resonance("srp_4", "srp", 0, 1, 1),
-    Resonance("srp_5", "srp", 1, 1, 1),
-    Resonance("lunisolar_1", "lunisolar", 1, 2, 0),
-    Resonance("lunisolar_2", "lunisolar", 2, 1, 0),
-    Resonance("inclination_1", "inclination", 0, 1, 0),
-    Resonance("inclination_2", "inclination", 1, 1, 0),
+    Resonance("srp_omega_minus_lambda_sun", "SRP_SOLAR_LEO", perigee=1, sun=-1),
+    Resonance("srp_omega_plus_lambda_sun", "SRP_SOLAR_LEO", perigee=1, sun=1),
+    Resonance("srp_Omega_plus_omega_minus_lambda_sun", "SRP_SOLAR_LEO", node=1, perigee=1, sun=-1),
+    Resonance("srp_omega_minus_Omega_minus_lambda_sun", "SRP_SOLAR_LEO", node=-1, perigee=1, sun=-1),
+    Resonance("srp_twoomega_plus_Omega_minus_lambda_sun", "SRP_SOLAR_LEO", node=1, perigee=2, sun=-1),
+    Resonance("meo_twoomega_plus_Omega_minus_Omega_moon", "LUNISOLAR_SECULAR_MEO", node=1, perigee=2, moon_node=-1),
+    Resonance("meo_omega_plus_Omega_minus_Omega_moon", "LUNISOLAR_SECULAR_MEO", node=1, perigee=1, moon_node=-1),
+    Resonance("inc_two_domega_plus_dOmega_zero", "INCLINATION_ONLY_SECULAR", node=1, perigee=2),
+    Resonance("inc_domega_zero", "INCLINATION_ONLY_SECULAR", perigee=1),
+    Resonance("tesseral_14_1", "TESSERAL_GROUNDTRACK", anomaly=1, earth=-14),
+    Resonance("tesseral_15_1", "TESSERAL_GROUNDTRACK", anomaly=1, earth=-15),
 )
 
 
-def best_match(df: DataFrame, tolerance: float, definitions: tuple[Resonance, ...] = BUILT_IN) -> DataFrame:
-    """Adds the nearest resonance's ``name``, ``family``, ``proximity`` and ``near``; ties to the first listed.
+def registry(families: list[str] | None = None, own: tuple[Resonance, ...] = ()) -> tuple[Resonance, ...]:
+    """Built-in definitions, then a user's own; of the given families alone, if any are given.
 
-    ``df`` has ``node`` and ``perigee`` rates in degrees a day.
+    A name used twice or a family that no definition has is an error.
+    """
+    every = (*BUILT_IN, *own)
+    names = [d.name for d in every]
+    if len(set(names)) < len(names):
+        raise ValueError(f"names used twice: {sorted({n for n in names if names.count(n) > 1})}")
+    if families is None:
+        return every
+    if unknown := set(families) - {d.family for d in every}:
+        raise ValueError(f"unknown families {sorted(unknown)}")
+    return tuple(d for d in every if d.family in families)
+
+
+def rates(df: DataFrame, sma: str = "sma", ecc: str = "ecc", inc: str = "inc") -> DataFrame:
+    """Adds ``node`` and ``perigee`` (J2 rates) and ``n`` (mean motion), radians a day."""
+    args = [F.col(c) for c in (sma, ecc, inc)]
+    day = lambda rate: rate * orbital.DAY_S
+    return df.withColumns({"node": day(orbital.node_rate(*args)), "perigee": day(orbital.perigee_rate(*args)), "n": day(orbital.mean_motion(F.col(sma)))})
+
+
+def best_match(df: DataFrame, tolerance: float = 1e-3, definitions: tuple[Resonance, ...] = BUILT_IN) -> DataFrame:
+    """Adds the nearest resonance's ``name``, ``family``, ``proximity`` (rad/day) and ``near``; ties to the first listed.
+
+    ``df`` has ``node``, ``perigee`` and ``n``; definitions whose rates are
+    null for a row don't count for it, and a row without any has nulls and is
+    not near.
     """
-    every = [F.struct(F.abs(d.node * F.col("node") + d.perigee * F.col("perigee") + d.sun * SUN_DEG_DAY).alias("p"), F.lit(n).alias("n"), F.lit(d.name).alias("name"), F.lit(d.family).alias("family")) for n, d in enumerate(definitions)]
+    external = [F.lit(x) for x in (SUN_RATE, MOON_NODE_RATE, EARTH_RATE)]
+    every = []
+    for i, d in enumerate(definitions):
+        value = F.abs(d.of(F.col("node"), F.col("perigee"), external[0], external[1], F.col("n"), external[2]))
+        every.append(F.when(value.isNotNull() & ~F.isnan(value), F.struct(value.alias("p"), F.lit(i).alias("i"), F.lit(d.name).alias("name"), F.lit(d.family).alias("family"))))
     best = F.least(*every) if len(every) > 1 else every[0]
     out = df.withColumn("__b", best)
-    return out.withColumns({"name": F.col("__b.name"), "family": F.col("__b.family"), "proximity": F.col("__b.p"), "near": F.col("__b.p") <= tolerance}).drop("__b")
+    near = F.coalesce(F.col("__b.p") <= tolerance, F.lit(False))
+    return out.withColumns({"name": F.col("__b.name"), "family": F.col("__b.family"), "proximity": F.col("__b.p"), "near": near}).drop("__b")
+
+
+def resonant_angles(df: DataFrame, definitions: tuple[Resonance, ...] = BUILT_IN, time: str = "t", low_ecc: float = LOW_ECCENTRICITY) -> DataFrame:
+    """One row a record and definition: ``resonance``, ``psi`` in [-180, 180) and ``valid``.
+
+    ``df`` has ``raan``, ``aop``, ``mean_anomaly``, ``ecc`` and a time in
+    microseconds, from which sun, lunar node and Earth take their approximate
+    angles.  An angle that holds the perigee is valid only above ``low_ecc``.
+    """
+    days = (F.col(time) - EPOCH_2000_US) / 86_400_000_000
+    sun, moon, earth = (angles.wrap_180(F.lit(a) + F.lit(b) * days) for a, b in (SUN_LONGITUDE, MOON_NODE, EARTH_ANGLE))
+    made = []
+    for d in definitions:
+        psi = angles.wrap_180(d.of(F.col("raan"), F.col("aop"), sun, moon, F.col("mean_anomaly"), earth))
+        valid = F.coalesce(F.col("ecc") > low_ecc, F.lit(False)) if d.perigee else F.lit(True)
+        made.append(F.struct(F.lit(d.name).alias("resonance"), psi.alias("psi"), valid.alias("valid")))
+    return df.withColumn("__a", F.explode(F.array(*made))).select(*df.columns, "__a.*")
+
+
+def angle_behaviour(df: DataFrame, by: list[str], order: list[str], angle: str = "psi", least: int = 24, libration_span: float = 240.0) -> DataFrame:
+    """``behaviour`` of an angle's series: ``insufficient_data``, ``circulation``, ``libration_candidate`` or ``transition_or_mixed``.
+
+    Of the wrapped angle the span counts, of the unwrapped one the distance of
+    both ends, which is the sum of its steps; nulls and NaN are left out.
+    """
+    some = df.where(F.col(angle).isNotNull() & ~F.isnan(angle))
+    # to a millionth of a degree, so that half a turn is told alike whatever the last digits
+    step = angles.wrap_180(F.round(F.col(angle) - F.lag(angle).over(Window.partitionBy(*by).orderBy(*order)), 6))
+    stats = some.withColumn("__step", step).groupBy(*by).agg(
+        F.count("*").alias("n"), (F.max(angle) - F.min(angle)).alias("span"), F.abs(F.coalesce(F.sum("__step"), F.lit(0.0))).alias("drift")
+    )
+    kind = (
+        F.when(F.col("n") < least, "insufficient_data")
+        .when((F.col("drift") > 540) & (F.col("span") > 260), "circulation")
+        .when((F.col("span") <= libration_span) & (F.col("drift") < 360), "libration_candidate")
+        .otherwise("transition_or_mixed")
+    )
+    return stats.withColumn("behaviour", kind)
 
 
 def by_object(df: DataFrame) -> DataFrame:

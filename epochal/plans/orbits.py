@@ -201,16 +201,66 @@ def beam_relations(spark, sf_dir):
 
 
 # -- resonances ---------------------------------------------------------------
-RESIDUALS = ", ".join(f"({d.node} * node + {d.perigee} * perigee + {d.sun} * {resonance.SUN_DEG_DAY}) AS r{n}" for n, d in enumerate(resonance.BUILT_IN))
-BEST = f"least({', '.join(f'abs(r{n})' for n in range(len(resonance.BUILT_IN)))})"
-CASES = lambda what: "CASE " + " ".join(f"WHEN abs(r{n}) = best THEN '{getattr(d, what)}'" for n, d in enumerate(resonance.BUILT_IN)) + " END"
-RES_SQL = f"{J2_SQL}, r AS (SELECT *, {RESIDUALS} FROM j2), b AS (SELECT *, {BEST} AS best FROM r), res AS (SELECT *, {CASES('name')} AS name, {CASES('family')} AS family, best <= 0.5 AS near FROM b)"
+#: Residuals in radians a day, written out one by one: not taken from the operator.
+RES_SQL = f"""{CLEAN_SQL},
+mm AS (SELECT *, sqrt(398600.4418 / pow(sma, 3)) AS m FROM clean),
+rates AS (SELECT *, -1.5 * 1.082635854e-3 * m * pow(6378.14 / (sma * (1 - ecc * ecc)), 2) * cos(radians(inc)) * 86400 AS om,
+  0.75 * 1.082635854e-3 * m * pow(6378.14 / (sma * (1 - ecc * ecc)), 2) * (5 * pow(cos(radians(inc)), 2) - 1) * 86400 AS w,
+  m * 86400 AS n, 2 * pi() / 365.2422 AS sun, -2 * pi() / (18.6 * 365.2422) AS moon, 2 * pi() * 1.00273790935 AS earth FROM mm),
+every AS (
+  SELECT rec, object, t, sma, inc, list_sort([
+    {{'p': abs(w - sun), 'i': 0, 'name': 'srp_omega_minus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
+    {{'p': abs(w + sun), 'i': 1, 'name': 'srp_omega_plus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
+    {{'p': abs(om + w - sun), 'i': 2, 'name': 'srp_Omega_plus_omega_minus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
+    {{'p': abs(w - om - sun), 'i': 3, 'name': 'srp_omega_minus_Omega_minus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
+    {{'p': abs(2 * w + om - sun), 'i': 4, 'name': 'srp_twoomega_plus_Omega_minus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
+    {{'p': abs(2 * w + om - moon), 'i': 5, 'name': 'meo_twoomega_plus_Omega_minus_Omega_moon', 'family': 'LUNISOLAR_SECULAR_MEO'}},
+    {{'p': abs(w + om - moon), 'i': 6, 'name': 'meo_omega_plus_Omega_minus_Omega_moon', 'family': 'LUNISOLAR_SECULAR_MEO'}},
+    {{'p': abs(2 * w + om), 'i': 7, 'name': 'inc_two_domega_plus_dOmega_zero', 'family': 'INCLINATION_ONLY_SECULAR'}},
+    {{'p': abs(w), 'i': 8, 'name': 'inc_domega_zero', 'family': 'INCLINATION_ONLY_SECULAR'}},
+    {{'p': abs(n - 14 * earth), 'i': 9, 'name': 'tesseral_14_1', 'family': 'TESSERAL_GROUNDTRACK'}},
+    {{'p': abs(n - 15 * earth), 'i': 10, 'name': 'tesseral_15_1', 'family': 'TESSERAL_GROUNDTRACK'}}])[1] AS e FROM rates),
+res AS (SELECT rec, object, t, sma, inc, e.name AS name, e.family AS family, e.p AS best, e.p <= 0.01 AS near FROM every)"""
 
 
 def near_resonances(spark, sf_dir):
-    args = [F.col(c) for c in ("sma", "ecc", "inc")]
-    rows = clean(spark, sf_dir).withColumns({"node": orbital.per_day(orbital.node_rate(*args)), "perigee": orbital.per_day(orbital.perigee_rate(*args))})
-    return resonance.best_match(rows, tolerance=0.5)
+    return resonance.best_match(resonance.rates(clean(spark, sf_dir)), tolerance=0.01)
+
+
+#: A dozen definitions' worth of rows is made of each record, so the angles of four families' first ones are asked for.
+ANGLES_SQL = f"""{CLEAN_SQL},
+d AS (SELECT *, (t - 946684800000000) / 86400000000.0::DOUBLE AS days FROM clean),
+e AS (SELECT rec, object, t, ecc, raan, aop, mean_anomaly, 280.460 + 0.9856474::DOUBLE * days AS sun, 125.045 - 0.0529538::DOUBLE * days AS moon, 280.46061837 + 360.98564736629::DOUBLE * days AS earth FROM d),
+a AS (
+  SELECT rec, object, t, 'srp_omega_minus_lambda_sun' AS resonance, aop - sun AS x, ecc > 1e-3 AS valid FROM e
+  UNION ALL SELECT rec, object, t, 'meo_omega_plus_Omega_minus_Omega_moon', aop + raan - moon, ecc > 1e-3 FROM e
+  UNION ALL SELECT rec, object, t, 'inc_domega_zero', aop, ecc > 1e-3 FROM e
+  UNION ALL SELECT rec, object, t, 'tesseral_15_1', mean_anomaly - 15 * earth, true FROM e),
+psi AS (SELECT rec, object, t, resonance, valid, x + 180 - 360 * floor((x + 180) / 360) - 180 AS psi FROM a)"""
+ASKED = ("srp_omega_minus_lambda_sun", "meo_omega_plus_Omega_minus_Omega_moon", "inc_domega_zero", "tesseral_15_1")
+
+
+def angle_rows(spark, sf_dir):
+    rows = clean(spark, sf_dir).select("rec", "object", "t", "ecc", "raan", "aop", "mean_anomaly")
+    return resonance.resonant_angles(rows, tuple(d for d in resonance.BUILT_IN if d.name in ASKED))
+
+
+@query("resonance_angles", f"WITH {ANGLES_SQL} SELECT rec, resonance, round(psi, 6) AS psi, valid FROM psi")
+def resonance_angles(spark, sf_dir):
+    return angle_rows(spark, sf_dir).select("rec", "resonance", F.round("psi", 6).alias("psi"), "valid")
+
+
+@query(
+    "resonance_behaviour",
+    f"""WITH {ANGLES_SQL},
+s AS (SELECT *, round(psi - lag(psi) OVER (PARTITION BY object, resonance ORDER BY t, rec), 6) AS d FROM psi),
+g AS (SELECT object, resonance, count(*) AS n, max(psi) - min(psi) AS span, abs(coalesce(sum(d + 180 - 360 * floor((d + 180) / 360) - 180), 0)) AS drift FROM s GROUP BY ALL)
+SELECT object, resonance, n, round(span, 3) AS span, round(drift, 3) AS drift,
+       CASE WHEN n < 24 THEN 'insufficient_data' WHEN drift > 540 AND span > 260 THEN 'circulation' WHEN span <= 240 AND drift < 360 THEN 'libration_candidate' ELSE 'transition_or_mixed' END AS behaviour FROM g""",
+)
+def resonance_behaviour(spark, sf_dir):
+    out = resonance.angle_behaviour(angle_rows(spark, sf_dir), ["object", "resonance"], ["t", "rec"])
+    return out.select("object", "resonance", "n", F.round("span", 3).alias("span"), F.round("drift", 3).alias("drift"), "behaviour")
 
 
 @query("resonance_best_match", f"WITH {RES_SQL} SELECT rec, name, family, round(best, 6) AS proximity, near FROM res")
