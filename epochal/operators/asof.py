@@ -1,7 +1,11 @@
 """As-of, range and interval joins that never compare all pairs of an object.
 
-Nearest rows come from one union and one sort of both sides; range joins go
-through time buckets, so that a hot object spreads over its buckets.
+Nearest rows come from one union of both sides, cut into time buckets of each
+object: in a bucket the last row before and the first after are carried by
+running windows in both directions (linear in the rows), and what lies beyond
+it comes from a second window over the ends of buckets, one row a bucket.  So
+an object with very many rows is as many tasks as it has buckets.  Range joins
+go through time buckets as well.
 """
 
 from __future__ import annotations
@@ -10,6 +14,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of both sides that a bucket holds on average over an object's span.
+BUCKET_ROWS = 100_000
+
+
+def _around(both: DataFrame) -> DataFrame:
+    """Adds ``__b`` and ``__a``: the last ``__hit`` before each row and the first after it, in the order of ``__t``, ``__side``, ``__rank``."""
+    span = both.groupBy("__key").agg(F.count("*").alias("n"), F.min("__t").alias("t0"), F.max("__t").alias("t1"))
+    width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / F.lit(BUCKET_ROWS))), F.lit(1)).cast("long")
+    large = span.where(F.col("n") > BUCKET_ROWS).select(F.col("__key").alias("__k"), width.alias("__w"))
+    bucket = F.when(F.col("__w").isNull(), F.lit(0).cast("long")).otherwise(F.floor(F.col("__t") / F.col("__w")))
+    cut = both.join(large, F.col("__key") == F.col("__k"), "left").withColumn("__bucket", bucket).drop("__k", "__w")
+    order = [F.col("__t"), F.col("__side"), F.col("__rank").asc_nulls_first()]
+    back = [F.col("__t").desc(), F.col("__side").desc(), F.col("__rank").desc_nulls_last()]
+    w = Window.partitionBy("__key", "__bucket")
+    so_far = (Window.unboundedPreceding, -1)
+    near = cut.withColumns({"__b": F.last("__hit", True).over(w.orderBy(*order).rowsBetween(*so_far)), "__a": F.last("__hit", True).over(w.orderBy(*back).rowsBetween(*so_far))})
+    # ends of buckets: each one's last and first answer, handed on to the buckets beside it
+    place = F.struct("__t", "__side", "__rank", "__hit")
+    ends = cut.where("__hit IS NOT NULL").groupBy("__key", "__bucket").agg(F.max(place).alias("high"), F.min(place).alias("low"))
+    ends = ends.select(F.col("__key").alias("__k"), F.col("__bucket").alias("__n"), F.col("high.__hit").alias("high"), F.col("low.__hit").alias("low"))
+    some = cut.join(large, F.col("__key") == F.col("__k"), "left_semi").select(F.col("__key").alias("__k"), F.col("__bucket").alias("__n")).distinct()
+    walk = Window.partitionBy("__k")
+    beside = some.join(ends, ["__k", "__n"], "left").select(
+        "__k", "__n", F.last("high", True).over(walk.orderBy("__n").rowsBetween(*so_far)).alias("__before"), F.last("low", True).over(walk.orderBy(F.desc("__n")).rowsBetween(*so_far)).alias("__after")
+    )
+    out = near.join(beside, (F.col("__key") == F.col("__k")) & (F.col("__bucket") == F.col("__n")), "left")
+    return out.withColumns({"__b": F.coalesce("__b", "__before"), "__a": F.coalesce("__a", "__after")}).drop("__k", "__n", "__before", "__after")
+
+
 def nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None, tie: str = "earlier", key: str = "object", time: str = "t", fields: tuple[str, ...] = ("rec", "value")) -> DataFrame:
     """``left`` with the fields of the nearest row of ``right`` as ``near_<field>``, and ``near_t`` (null: none within tolerance).
 
@@ -22,9 +55,7 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None, tie
     own = F.struct(F.col(time), *(F.col(f) for f in fields))
     lefts = left.select(F.struct(*columns).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__rank"))
     rights = right.select(F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(fields[0]).cast("long").alias("__rank"), own.alias("__hit"))
-    both = lefts.unionByName(rights, allowMissingColumns=True)
-    w = Window.partitionBy("__key").orderBy("__t", "__side", "__rank")
-    out = both.withColumns({"__b": F.last("__hit", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__a": F.first("__hit", True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("__side = 1")
+    out = _around(lefts.unionByName(rights, allowMissingColumns=True)).where("__side = 1")
     back, ahead = F.col("__t") - F.col(f"__b.{time}"), F.col(f"__a.{time}") - F.col("__t")
     first = back <= ahead if tie == "earlier" else back < ahead
     hit = F.when(F.col("__a").isNull() | F.coalesce(first, F.lit(False)), F.col("__b")).otherwise(F.col("__a"))
@@ -37,13 +68,10 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None, tie
 def interpolated(left: DataFrame, right: DataFrame, key: str = "object", time: str = "t", value: str = "value") -> DataFrame:
     """``left`` with ``right``'s value on the line between the rows around its time; null outside."""
     columns = left.columns
-    lefts = left.select(F.struct(*columns).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(1).alias("__side"))
+    lefts = left.select(F.struct(*columns).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__rank"))
     mean = right.groupBy(F.col(key).alias("__key"), F.col(time).alias("__t")).agg(F.avg(value).alias("__v"))  # rows at one time count as their mean
     rights = mean.select("__key", "__t", F.lit(0).alias("__side"), F.struct("__t", "__v").alias("__hit"))
-    w = Window.partitionBy("__key").orderBy("__t", "__side")
-    out = lefts.unionByName(rights, allowMissingColumns=True).withColumns(
-        {"__b": F.last("__hit", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "__a": F.first("__hit", True).over(w.rowsBetween(1, Window.unboundedFollowing))}
-    )
+    out = _around(lefts.unionByName(rights, allowMissingColumns=True))
     b, a, t = F.col("__b"), F.col("__a"), F.col("__t")
     line = b["__v"] + (a["__v"] - b["__v"]) * (t - b["__t"]) / (a["__t"] - b["__t"])
     return out.where("__side = 1").select("__row.*", F.when(b["__t"] == t, b["__v"]).otherwise(line).alias(f"interpolated_{value}"))
@@ -53,11 +81,16 @@ def in_intervals(points: DataFrame, intervals: DataFrame, bucket: int, key: str
     """Points joined to the intervals of their key that hold them, both ends included.
 
     An interval is dealt to every bucket it touches and a point to its own, so
-    the join is an equi-join by key and bucket.
+    the join is an equi-join by key and bucket.  Columns of an interval that a
+    point has too come out as ``interval_<name>``.
     """
-    own = intervals.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+    name = {c: f"interval_{c}" if c in points.columns else c for c in intervals.columns}
+    own = intervals.select(*(F.col(c).alias(n) for c, n in name.items()))
+    low, high = F.col(name[start]), F.col(name[end])
+    own = own.withColumn("__b", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
     at = points.withColumn("__bucket", F.floor(F.col(time) / bucket))
-    return at.join(own, [key, "__bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("__bucket")
+    hit = (F.col(key) == F.col(name[key])) & (F.col("__bucket") == F.col("__b")) & F.col(time).between(low, high)
+    return at.join(own, hit).drop("__b", "__bucket", *([name[key]] if name[key] != key else []))
 
 
 def nearest_pair(a: DataFrame, b: DataFrame, tolerance: int, time: str = "t", rec: str = "rec") -> DataFrame:
