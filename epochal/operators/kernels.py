@@ -1,9 +1,10 @@
 """Numerical kernels over one object's series: spectra, correlation, state labels, events.
 
-Each takes a panel (``object``, ``t``, ``value``, ``rec``) and runs an Arrow
-batch a group; objects are bounded series, and nothing else meets in a task.
-Sums that plain aggregation can express (a transform at given frequencies, a
-periodogram, lagged products) are column arithmetic instead.
+Each takes a panel (``object``, ``t``, ``value``, ``rec``).  What plain sums
+express (spectra at given bins, power densities, a periodogram, lagged
+products, an exponential mean) is column arithmetic.  Steps that depend on all
+steps before them (state paths, events, spacing) run an Arrow batch a group.
+Rows without an object take no part; an object without values gives no rows.
 """
 
 from __future__ import annotations
@@ -57,45 +58,65 @@ def lagged_correlation(df: DataFrame, x: str, y: str, lags: int) -> DataFrame:
     return rows.groupBy("object", F.col("p.lag").alias("lag")).agg(F.count("*").alias("n"), r.alias("r"))
 
 
+def even_grid(df: DataFrame, cadence_days: float) -> DataFrame:
+    """``object``, ``i``, ``y``: values on the lines between an object's rows, every ``cadence_days`` from its first row on.
+
+    Of rows at one time the first (by ``rec``) counts; null values are left out.
+    """
+    own = df.where("object IS NOT NULL AND value IS NOT NULL").groupBy("object", "t").agg(F.min_by("value", "rec").alias("value"))
+    w = Window.partitionBy("object").orderBy("t")
+    step = cadence_days * 8.64e10
+    x = (F.col("t") - F.min("t").over(Window.partitionBy("object"))) / step
+    rows = own.withColumn("x", x).withColumns({"x1": F.lead("x").over(w), "y1": F.lead("value").over(w)})
+    # a pair of rows makes the grid points of [x, x1); the last row makes its own, if the grid meets it
+    last = F.coalesce(F.ceil("x1") - 1, F.floor("x"))
+    made = rows.where(F.ceil("x") <= last).select("object", "x", "x1", "value", "y1", F.explode(F.sequence(F.ceil("x"), last)).alias("i"))
+    line = F.col("value") + (F.col("y1") - F.col("value")) * (F.col("i") - F.col("x")) / (F.col("x1") - F.col("x"))
+    return made.select("object", "i", F.coalesce(line, F.col("value")).alias("y"))
+
+
 # -- kernels ----------------------------------------------------------------------
-def spectrum(df: DataFrame, cadence_days: float) -> DataFrame:
-    """One-sided amplitude spectrum of each object on an even grid: Hann window, corrected for its gain."""
+def spectrum(df: DataFrame, cadence_days: float, bins: int = 32) -> DataFrame:
+    """One-sided amplitudes of each object at the first ``bins`` frequencies of its even grid: Hann window, corrected for its gain.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.dropna(subset=["value"]).sort_values(["t", "rec"]).drop_duplicates("t")
-        empty = pd.DataFrame({"object": pd.Series(dtype="int64"), "frequency": pd.Series(dtype=float), "amplitude": pd.Series(dtype=float)})
-        if len(own) < 4:
-            return empty
-        x = (own["t"].to_numpy() - own["t"].iloc[0]) / 8.64e10
-        grid = np.arange(0, x[-1] + cadence_days / 2, cadence_days)
-        if len(grid) < 4:
-            return empty
-        y = np.interp(grid, x, own["value"].to_numpy())
-        window = np.hanning(len(grid))
-        size = np.abs(np.fft.rfft((y - y.mean()) * window)) / window.sum()
-        size[1:] *= 2
-        return pd.DataFrame({"object": own["object"].iloc[0], "frequency": np.fft.rfftfreq(len(grid), cadence_days), "amplitude": size})
-
-    return df.select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, frequency double, amplitude double")
+    A transform at given bins is a sum a bin: the grid is aggregated once, with
+    two sums a bin, and none of an object's series meets in one place.
+    Objects of fewer than four grid points have no spectrum.
+    """
+    grid = even_grid(df, cadence_days)
+    size = grid.groupBy("object").agg(F.count("*").alias("n"), F.avg("y").alias("m")).where("n >= 4")
+    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("i") / (F.col("n") - 1))
+    rows = grid.join(size, "object").select("object", "n", "i", hann.alias("w"), ((F.col("y") - F.col("m")) * hann).alias("z"))
+    angle = lambda k: 2 * math.pi * k * F.col("i") / F.col("n")
+    sums = rows.groupBy("object", "n").agg(
+        F.sum("w").alias("gain"), *(F.sum(F.col("z") * F.cos(angle(k))).alias(f"re{k}") for k in range(1, bins + 1)), *(F.sum(F.col("z") * F.sin(angle(k))).alias(f"im{k}") for k in range(1, bins + 1))
+    )
+    one = lambda k: F.when(2 * k <= F.col("n"), F.struct((k / (F.col("n") * cadence_days)).alias("frequency"), (2 * F.sqrt(F.col(f"re{k}") ** 2 + F.col(f"im{k}") ** 2) / F.col("gain")).alias("amplitude")))
+    return sums.select("object", F.explode(F.filter(F.array(*(one(k) for k in range(1, bins + 1))), lambda x: x.isNotNull())).alias("s")).select("object", "s.*")
 
 
 def welch(df: DataFrame, cadence_days: float, segment: int = 32) -> DataFrame:
-    """Power density of each object: mean over half-overlapping Hann-windowed segments."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.dropna(subset=["value"]).sort_values(["t", "rec"]).drop_duplicates("t")
-        x = (own["t"].to_numpy() - own["t"].iloc[0]) / 8.64e10 if len(own) else np.zeros(0)
-        grid = np.arange(0, x[-1] + cadence_days / 2, cadence_days) if len(x) else x
-        if len(grid) < segment:
-            return pd.DataFrame({"object": pd.Series(dtype="int64"), "frequency": pd.Series(dtype=float), "density": pd.Series(dtype=float)})
-        y = np.interp(grid, x, own["value"].to_numpy())
-        window = np.hanning(segment)
-        parts = np.lib.stride_tricks.sliding_window_view(y, segment)[:: segment // 2]
-        power = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * window)) ** 2 * cadence_days / (window**2).sum()
-        power[:, 1:-1] *= 2
-        return pd.DataFrame({"object": own["object"].iloc[0], "frequency": np.fft.rfftfreq(segment, cadence_days), "density": power.mean(0)})
+    """Power density of each object: mean over half-overlapping Hann-windowed segments of its even grid, each freed of its mean.
 
-    return df.select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, frequency double, density double")
+    A grid point belongs to two segments at most; segments are summed each on
+    its own (so a long series spreads), then averaged.
+    """
+    half = segment // 2
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * j / (segment - 1)) for j in range(segment)]
+    power, bins = sum(w * w for w in window), range(half + 1)
+    # of each bin the transform of the window alone, which a segment's mean is multiplied by
+    shape = {k: (sum(w * math.cos(2 * math.pi * k * j / segment) for j, w in enumerate(window)), sum(w * math.sin(2 * math.pi * k * j / segment) for j, w in enumerate(window))) for k in bins}
+    of = F.explode(F.array(F.floor(F.col("i") / half), F.floor(F.col("i") / half) - 1)).alias("s")
+    rows = even_grid(df, cadence_days).select("object", "i", "y", of).where("s >= 0").withColumn("j", F.col("i") - F.col("s") * half)
+    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("j") / (segment - 1))
+    angle = lambda k: 2 * math.pi * k * F.col("j") / segment
+    sums = rows.groupBy("object", "s").agg(
+        F.count("*").alias("n"), F.avg("y").alias("m"), *(F.sum(F.col("y") * hann * F.cos(angle(k))).alias(f"re{k}") for k in bins), *(F.sum(F.col("y") * hann * F.sin(angle(k))).alias(f"im{k}") for k in bins)
+    ).where(F.col("n") == segment)
+    density = lambda k: ((F.col(f"re{k}") - F.col("m") * shape[k][0]) ** 2 + (F.col(f"im{k}") - F.col("m") * shape[k][1]) ** 2) * (cadence_days / power * (1 if k in (0, half) else 2))
+    mean = sums.groupBy("object").agg(*(F.avg(density(k)).alias(f"d{k}") for k in bins))
+    one = lambda k: F.struct(F.lit(k / (segment * cadence_days)).alias("frequency"), F.col(f"d{k}").alias("density"))
+    return mean.select("object", F.explode(F.array(*map(one, bins))).alias("s")).select("object", "s.*")
 
 
 def weighted_wavelet(df: DataFrame, frequencies: list[float], taus: int = 8, decay: float = 0.0125) -> DataFrame:
@@ -103,6 +124,8 @@ def weighted_wavelet(df: DataFrame, frequencies: list[float], taus: int = 8, dec
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.dropna(subset=["value"]).sort_values(["t", "rec"])
+        if not len(own):
+            return pd.DataFrame({"object": pd.Series(dtype="int64"), **{n: pd.Series(dtype=float) for n in ("tau_days", "frequency", "z")}})
         x, y = (own["t"].to_numpy() - own["t"].iloc[0]) / 8.64e10, own["value"].to_numpy()
         out = []
         for tau in np.linspace(0, x[-1], taus):
@@ -121,17 +144,40 @@ def weighted_wavelet(df: DataFrame, frequencies: list[float], taus: int = 8, dec
                 out.append((own["object"].iloc[0], tau, f, (count - 3) * spread(fit) / (2 * max(rest, 1e-12))))
         return pd.DataFrame(out, columns=["object", "tau_days", "frequency", "z"]).astype({"object": "int64", "tau_days": float, "frequency": float, "z": float})
 
-    return df.select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, tau_days double, frequency double, z double")
+    return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, tau_days double, frequency double, z double")
 
 
-def exponential_mean(df: DataFrame, span: int, output: str = "ewm") -> DataFrame:
-    """Recursive exponential mean of each object's values in order, with weight 2 / (span + 1)."""
+#: Rows of a chunk of a series that is folded on its own.
+CHUNK = 256
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values(["t", "rec"])
-        return own.assign(**{output: own["value"].ewm(span=span, adjust=False).mean()})
 
-    return df.groupBy("object").applyInPandas(run, f"{', '.join(f'{n} {k}' for n, k in df.dtypes)}, {output} double")
+def exponential_mean(df: DataFrame, span: int, output: str = "ewm") -> DataFrame:
+    """Recursive exponential mean of each object's values in order (``t``, ``rec``), with weight 2 / (span + 1); the first value starts it.
+
+    A null value keeps the mean.  A series is folded in chunks of ``CHUNK``
+    values: a chunk's own fold and the share of the start that is left after it
+    are carried over the chunks, then each chunk is folded from its start.
+    """
+    a = 2 / (span + 1)
+    w = Window.partitionBy("object").orderBy("t", "rec")
+    placed = df.where("object IS NOT NULL").withColumn("__c", F.floor((F.row_number().over(w) - 1) / CHUNK))
+    held = placed.groupBy("object", "__c").agg(F.array_sort(F.collect_list(F.struct("t", "rec", "value", F.struct(*df.columns).alias("row")))).alias("rows"))
+    step = lambda m, x: F.when(x.isNull(), m).when(m.isNull(), x).otherwise(m + a * (x - m))
+    fold = lambda values, start: F.aggregate(values, start, step)
+    empty = F.lit(None).cast("double")
+    values = F.transform("rows", lambda r: r["value"].cast("double"))
+    known = F.filter(values, lambda x: x.isNotNull())
+    # from nothing, and the share that a start would keep
+    tails = held.select("object", "__c", fold(values, empty).alias("end"), F.pow(F.lit(1 - a), F.size(known)).alias("keep"), F.get(known, 0).alias("first"))
+    # end' = end + keep * (start - first): the fold from nothing starts at the chunk's first value; one row a chunk
+    every = tails.groupBy("object").agg(F.array_sort(F.collect_list(F.struct("__c", "end", "keep", "first"))).alias("all"))
+    carry = lambda m, x: F.when(x["end"].isNull(), m).when(m.isNull(), x["end"]).otherwise(x["end"] + x["keep"] * (m - x["first"]))
+    prefix = F.aggregate("all", F.struct(empty.alias("m"), F.array().cast("array<double>").alias("out")), lambda s, x: F.struct(carry(s["m"], x).alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out")), lambda s: s["out"])
+    starts = every.select("object", F.explode(F.arrays_zip("all", prefix.alias("start"))).alias("z")).select("object", F.col("z.all.__c").alias("__c"), F.col("z.start").alias("start"))
+    both = held.join(starts, ["object", "__c"])
+    walk = F.aggregate("rows", F.struct(F.col("start").alias("m"), F.array().cast("array<double>").alias("out")), lambda s, r: F.struct(step(s["m"], r["value"].cast("double")).alias("m"), F.concat(s["out"], F.array(step(s["m"], r["value"].cast("double")))).alias("out")), lambda s: s["out"])
+    out = both.select("rows", walk.alias("__m")).select(F.explode(F.arrays_zip("rows", "__m")).alias("z"))
+    return out.select("z.rows.row.*", F.col("z.__m").alias(output))
 
 
 def detect_events(df: DataFrame, threshold: float = 3.5, spacing_days: float = 1.0) -> DataFrame:
@@ -162,7 +208,7 @@ def detect_events(df: DataFrame, threshold: float = 3.5, spacing_days: float = 1
                 found.append([own["object"].iloc[0], t, s, d])
         return pd.DataFrame(found, columns=["object", "t", "score", "step"]).astype({"object": "int64", "t": "int64", "score": float, "step": float})
 
-    return df.select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, t long, score double, step double")
+    return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, t long, score double, step double")
 
 
 def label_states(df: DataFrame, change_cost: float = 2.0, least_days: float = 1.0) -> DataFrame:
@@ -196,7 +242,7 @@ def label_states(df: DataFrame, change_cost: float = 2.0, least_days: float = 1.
                 start = i
         return pd.DataFrame({"object": own["object"].to_numpy(), "rec": own["rec"].to_numpy(), "t": own["t"].to_numpy(), "state": [STATES[p] for p in path]})
 
-    return df.select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, rec long, t long, state string")
+    return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, rec long, t long, state string")
 
 
 def spaced(df: DataFrame, least: int) -> DataFrame:
@@ -279,4 +325,4 @@ def metropolis(df: DataFrame, steps: int = 400, burn: int = 200, chains: int = 2
                         out.append((rows["object"].iloc[0], chain, step - burn, now))
         return pd.DataFrame(out, columns=["object", "chain", "draw", "x"]).astype({"object": "int64", "chain": "int32", "draw": "int32", "x": float})
 
-    return df.select("object", "value").groupBy("object").applyInPandas(run, "object long, chain int, draw int, x double")
+    return df.where("object IS NOT NULL").select("object", "value").groupBy("object").applyInPandas(run, "object long, chain int, draw int, x double")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+#: Tasks that block pairs are dealt to, at most.
+MOST_TASKS = 20_000
 
 
 def paired(a: Column, b: Column, f) -> Column:
@@ -56,27 +58,75 @@ def centroids(df: DataFrame, cluster: str = "label", vector: str = "v") -> DataF
     return means.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def usable(vector: Column) -> Column:
+    """A vector that is not null and holds no null, NaN or infinite component."""
+    return vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+
+
+def _rows(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    """A matrix of vectors; shorter ones are zero in the coordinates they lack."""
+    column = batch.column(at)
+    flat, size = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(size.max(initial=0))
+    if (size == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = flat
+    return out
+
+
+def _wide(x: np.ndarray, width: int) -> np.ndarray:
+    return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
 def distance_sums(df: DataFrame, key: str = "vec_id", cluster: str = "label", vector: str = "v", power: float = 1.0, across: bool = True) -> DataFrame:
     """Of each row and cluster: count of its rows and sum of distances (to ``power``) to the others of them.
 
-    Rows are dealt to blocks; every block meets every other (or those of its
-    own cluster, without ``across``), and a task holds two blocks.  Zero
-    distances count as zero, also to a negative power.
+    Quadratic by definition.  Rows are dealt to blocks; each unordered pair of
+    blocks meets once (without ``across`` only rows of one cluster count), and
+    a task holds two blocks at a time.  Zero distances count as zero, also to a
+    negative power.  Rows with an unusable vector take no part; shorter vectors
+    are zero in the coordinates they lack.
     """
-    total_rows = df.count()
-    blocks = max(1, -(-total_rows // BLOCK_ROWS))
+    good = df.where(usable(F.col(vector)))
+    blocks = max(1, -(-good.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("x"), own.alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    asked = rows.select(F.col("b").alias("p"), every, F.lit(1).alias("side"), "id", "c", "x")
-    held = rows.select(every, F.col("b"), "id", "c", "x").select(F.col("o").alias("p"), F.col("b").alias("o"), F.lit(0).alias("side"), "id", "c", "x")
-    dealt = asked.unionByName(held).repartition(blocks * blocks, "p", "o").sortWithinPartitions("p", "o", "side")
-
-    def matrix(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    rows = good.select(F.col(key).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("x"), own.alias("b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    dealt = rows.select("*", other).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("o"), (F.col("b") > F.col("o")).cast("int").alias("side"), "id", "c", "x")
+    tasks = min(MOST_TASKS, blocks * (blocks + 1) // 2)
+    dealt = dealt.repartition(tasks, "p", "o").sortWithinPartitions("p", "o", "side")
+
+    def sums(a: tuple, b: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        """Both directions of a pair of blocks (ids, clusters, vectors)."""
+        width = max(a[2].shape[1], b[2].shape[1])
+        x, y = _wide(a[2], width), _wide(b[2], width)
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+        # a product loses what is very near: such distances are taken anew
+        near = np.argwhere(d * d <= 1e-7 * ((x * x).sum(1)[:, None] + (y * y).sum(1)))
+        for at in range(0, len(near), 4096):
+            i, j = near[at : at + 4096].T
+            d[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+        w = np.zeros_like(d)
+        w[d > 0] = d[d > 0] ** power
+        apart = a[0][:, None] != b[0]
+        for (ids, own_kinds, _), (_, kinds, _), weights, there in ((a, b, w, apart), (b, a, w.T, apart.T))[: 1 if same else 2]:
+            for c in np.unique(kinds).tolist():
+                at = kinds == c
+                n = there[:, at].sum(1)
+                total_ = (weights[:, at] * there[:, at]).sum(1)
+                use = (n > 0) & ((own_kinds == c) | across)
+                if use.any():
+                    parts = ids[use], own_kinds[use], np.full(use.sum(), c), n[use], total_[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()], strict=True)], ["id", "own", "other", "n", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, labels, parts = None, [], [], []
+        def close() -> Iterator[pa.RecordBatch]:
+            sides = [tuple(np.concatenate(p) for p in (s[0], s[1])) + (np.concatenate([_wide(x, max(y.shape[1] for y in s[2])) for x in s[2]]),) for s in held if s[0]]
+            if sides:
+                yield from sums(sides[0], sides[-1], now[0] == now[1])
+
+        now, held = None, [([], [], []), ([], [], [])]
         for batch in batches:
             keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in range(3)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
@@ -85,29 +135,13 @@ def distance_sums(df: DataFrame, key: str = "vec_id", cluster: str = "label", ve
                     continue
                 part = batch.slice(a, b - a)
                 if tuple(keys[a][:2]) != now:
-                    now, ids, labels, parts = tuple(keys[a][:2]), [], [], []
-                if keys[a][2] == 0:
-                    ids.append(part.column(3).to_numpy())
-                    labels.append(part.column(4).to_numpy())
-                    parts.append(matrix(part))
-                    continue
-                if not parts:
-                    continue
-                table, names, kinds = np.concatenate(parts), np.concatenate(ids), np.concatenate(labels)
-                order = np.unique(kinds)
-                out: list[tuple] = []
-                for name, kind, x in zip(part.column(3).to_numpy(), part.column(4).to_numpy(), matrix(part), strict=True):
-                    d = np.sqrt(((table - x) ** 2).sum(1))
-                    w = np.zeros_like(d)
-                    w[d > 0] = d[d > 0] ** power
-                    for c in order.tolist():
-                        if not across and c != kind:
-                            continue
-                        at = (kinds == c) & (names != name)
-                        if at.any():
-                            out.append((int(name), int(kind), c, int(at.sum()), float(w[at].sum())))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], t) for n, t in enumerate([pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()])], ["id", "own", "other", "n", "total"])
+                    if now is not None and (now[0] == now[1] or (held[0][0] and held[1][0])):
+                        yield from close()
+                    now, held = tuple(keys[a][:2]), [([], [], []), ([], [], [])]
+                for into, values in zip(held[keys[a][2]], (part.column(3).to_numpy(), part.column(4).to_numpy(), _rows(part, 5)), strict=True):
+                    into.append(values)
+        if now is not None and (now[0] == now[1] or (held[0][0] and held[1][0])):
+            yield from close()
 
     parts = dealt.mapInArrow(run, "id long, own int, other int, n long, total double")
     return parts.groupBy("id", "own", "other").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epochal.operators import density, posterior, quality, vectors
+from epochal.operators import density, posterior, quality, sampling, vectors
 from epochal.plans.orbits import CLEAN_SQL, clean
 from epochal.plans.windows import P, r
-from epochal.registry import SQL, query, whole
+from epochal.registry import query
 from epochal.sources.tables import DAY, event_panel, table
 
 V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -105,30 +103,28 @@ def centroid_correlation(spark, sf_dir):
     return means.join(other, "i").where("label < y").groupBy(F.col("label").alias("x"), "y").agg(F.round(F.corr("m", "n"), 6).alias("r"))
 
 
-@query("stratified_sample")
+@query(
+    "stratified_sample",
+    """WITH h AS (SELECT vec_id, label, (vec_id % 1000003 * 7919 + 104729) % 1000003 AS h FROM embeddings),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM h) SELECT vec_id, label FROM k WHERE k <= greatest(1, ceil(n * 0.2::DOUBLE))""",
+)
 def stratified_sample(spark, sf_dir):
-    """A fifth of each cluster, at least one row: the order is a hash of id and seed, the same on every run."""
+    """A fifth of each cluster, at least one row; the order is arithmetic on the id, the same on every run."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id")
-    return rows.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("label"))}).where("k <= greatest(1, ceil(n * 0.2))").select("vec_id", "label")
+    order = (F.col("vec_id") % 1000003 * 7919 + 104729) % 1000003
+    return sampling.stratified(rows.withColumn("h", order), "label", "h", "vec_id", 0.2).select("vec_id", "label")
 
 
 # -- posteriors: draws are an object's values, chains are record numbers modulo four ---------
-#: The queries whose SQL reads the first objects do so too; under the same names with _all they take every object.
-FIRST = " WHERE object <= 40"
-DRAWS = f"{P}, d AS (SELECT object, rec % 4 AS chain, value AS x FROM p{FIRST})"
-
-
-def all_draws(spark, sf_dir):
-    return event_panel(spark, sf_dir).select("object", (F.col("rec") % 4).alias("chain"), F.col("value").alias("x"))
+DRAWS = f"{P}, d AS (SELECT object, rec % 4 AS chain, value AS x FROM p)"
 
 
 def draws(spark, sf_dir):
-    return all_draws(spark, sf_dir).where("object <= 40")
+    return event_panel(spark, sf_dir).select("object", (F.col("rec") % 4).alias("chain"), F.col("value").alias("x"))
 
 
 @query("posterior_summary", f"WITH {DRAWS} SELECT object, count(*) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_samp(x), 6) AS sd, round(quantile_cont(x, 0.05), 6) AS q05, round(quantile_cont(x, 0.95), 6) AS q95 FROM d GROUP BY object")
-def posterior_summary(spark, sf_dir, draws=draws):
+def posterior_summary(spark, sf_dir):
     p = lambda q: F.round(F.percentile("x", F.lit(q)), 6)
     return draws(spark, sf_dir).groupBy("object").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), p(0.5).alias("median"), F.round(F.stddev_samp("x"), 6).alias("sd"), p(0.05).alias("q05"), p(0.95).alias("q95"))
 
@@ -139,7 +135,7 @@ def posterior_summary(spark, sf_dir, draws=draws):
 w AS (SELECT a.object, a.x AS low, b.x AS high, a.i FROM o a JOIN o b ON b.object = a.object AND b.i = a.i + floor(0.95::DOUBLE * a.n)),
 k AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY high - low, i) AS k FROM w) SELECT object, round(low, 6) AS low, round(high, 6) AS high FROM k WHERE k = 1""",
 )
-def hdi(spark, sf_dir, draws=draws):
+def hdi(spark, sf_dir):
     return posterior.hdi(draws(spark, sf_dir), 0.95)
 
 
@@ -148,7 +144,7 @@ def hdi(spark, sf_dir, draws=draws):
     f"""WITH {DRAWS}, c AS (SELECT object, chain, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM d GROUP BY ALL)
 SELECT object, round(sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)), 6) AS rhat FROM c GROUP BY object HAVING count(*) > 1""",
 )
-def rhat(spark, sf_dir, draws=draws):
+def rhat(spark, sf_dir):
     return posterior.rhat(draws(spark, sf_dir))
 
 
@@ -157,33 +153,24 @@ def rhat(spark, sf_dir, draws=draws):
     f"""WITH {DRAWS}, o AS (SELECT chain, x, row_number() OVER (PARTITION BY chain ORDER BY x, object) AS k, (1 + object % 3)::DOUBLE AS w, sum(1 + object % 3) OVER (PARTITION BY chain ORDER BY x, object ROWS UNBOUNDED PRECEDING)::DOUBLE AS c, sum(1 + object % 3) OVER (PARTITION BY chain)::DOUBLE AS t FROM d)
 SELECT chain, round(min(CASE WHEN (c - w / 2) / t >= 0.25 THEN x END), 6) AS q25, round(min(CASE WHEN (c - w / 2) / t >= 0.5 THEN x END), 6) AS q50, round(min(CASE WHEN (c - w / 2) / t >= 0.75 THEN x END), 6) AS q75 FROM o GROUP BY chain""",
 )
-def weighted_quantiles(spark, sf_dir, draws=draws):
+def weighted_quantiles(spark, sf_dir):
     return posterior.weighted_quantiles(draws(spark, sf_dir).withColumn("w", (1 + F.col("object") % 3).cast("double")))
 
 
 @query("precision_mean", f"WITH {DRAWS}, s AS (SELECT object, avg(x) AS m, var_samp(x) / count(*) AS v FROM d GROUP BY object) SELECT round(sum(m / v) / sum(1 / v), 6) AS mean, round(sqrt(1 / sum(1 / v)), 6) AS se, count(*) AS n FROM s WHERE v > 0")
-def precision_mean(spark, sf_dir, draws=draws):
+def precision_mean(spark, sf_dir):
     by = draws(spark, sf_dir).groupBy("object").agg(F.avg("x").alias("m"), (F.var_samp("x") / F.count("*")).alias("v")).where("v > 0")
     return by.agg(F.round(F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v")), 6).alias("mean"), F.round(F.sqrt(1 / F.sum(1 / F.col("v"))), 6).alias("se"), F.count("*").alias("n"))
 
 
 @query(
     "w1_pairs",
-    f"""WITH {DRAWS}, g AS (SELECT object, i, quantile_cont(x, 0.5) AS q FROM d, range(0) t(i) GROUP BY ALL),
-q AS (SELECT object, unnest(range(1, 20)) AS i, unnest(quantile_cont(x, [{', '.join(str(n / 20) for n in range(1, 20))}])) AS q FROM d WHERE object <= 12 GROUP BY object)
-SELECT a.object AS a, b.object AS b, round(avg(abs(a.q - b.q)), 6) AS w1 FROM q a JOIN q b ON a.i = b.i AND a.object < b.object GROUP BY 1, 2""".replace("g AS (SELECT object, i, quantile_cont(x, 0.5) AS q FROM d, range(0) t(i) GROUP BY ALL),\n", ""),
+    f"""WITH {DRAWS},
+q AS (SELECT object, unnest(range(1, 20)) AS i, unnest(quantile_cont(x, [{', '.join(str(n / 20) for n in range(1, 20))}])) AS q FROM d GROUP BY object)
+SELECT a.object AS a, b.object AS b, round(avg(abs(a.q - b.q)), 6) AS w1 FROM q a JOIN q b ON a.i = b.i AND a.object < b.object GROUP BY 1, 2""",
 )
 def w1_pairs(spark, sf_dir):
-    return posterior.wasserstein(draws(spark, sf_dir).where("object <= 12"))
-
-
-for f in (posterior_summary, hdi, rhat, weighted_quantiles, precision_mean):
-    whole(f.__name__, FIRST, partial(f, draws=all_draws))
-
-
-@query("w1_pairs_all", SQL["w1_pairs"].replace(FIRST, "").replace(" WHERE object <= 12", ""))
-def w1_pairs_all(spark, sf_dir):
-    return posterior.wasserstein(all_draws(spark, sf_dir))
+    return posterior.wasserstein(draws(spark, sf_dir))
 
 
 # -- densities ---------------------------------------------------------------------------

@@ -2,68 +2,76 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
-from epochal.operators import kernels, validity
+from epochal.operators import kernels, series, validity
 from epochal.plans.clusters import vecs
 from epochal.plans.windows import P
-from epochal.registry import query, whole
+from epochal.registry import query
 from epochal.sources.tables import DAY, event_panel, table
 
 FREQUENCIES = [0.1, 0.2, 0.5, 1.0]
 
 
-#: Three queries whose SQL reads the first objects do so too; under the same names with _all they take every object.
-FIRST = " WHERE object <= 20"
-FEW = f"{P}, e AS (SELECT * FROM p{FIRST})"
-
-
-def few(spark, sf_dir):
-    return event_panel(spark, sf_dir).where("object <= 20")
+EVENTS = f"{P}, e AS (SELECT * FROM p)"
 
 
 @query(
     "lomb_scargle",
-    f"""WITH {FEW}, m AS (SELECT object, avg(value) AS m, min(t) AS t0, var_pop(value) AS v FROM e GROUP BY object),
+    f"""WITH {EVENTS}, m AS (SELECT object, avg(value) AS m, min(t) AS t0, var_pop(value) AS v FROM e GROUP BY object),
 x AS (SELECT object, f, 2 * pi() * f * (t - t0) / {float(DAY)} AS w, value - m AS y, v FROM e JOIN m USING (object), (SELECT unnest([0.1, 0.2, 0.5, 1.0])::DOUBLE AS f) g),
 s AS (SELECT object, f, sum(sin(2 * w)) AS s2, sum(cos(2 * w)) AS c2, sum(y * sin(w)) AS ys, sum(y * cos(w)) AS yc, count(*) AS n, first(v) AS v FROM x GROUP BY 1, 2), q AS (SELECT *, atan2(s2, c2) / 2 AS a FROM s)
 SELECT object, f, round((pow(yc * cos(a) + ys * sin(a), 2) / ((n + c2 * cos(2 * a) + s2 * sin(2 * a)) / 2) + pow(ys * cos(a) - yc * sin(a), 2) / ((n - c2 * cos(2 * a) - s2 * sin(2 * a)) / 2)) / (2 * v), 5) AS power FROM q""",
 )
-def lomb_scargle(spark, sf_dir, panel=few):
-    return kernels.periodogram(panel(spark, sf_dir), FREQUENCIES).withColumn("power", F.round("power", 5))
+def lomb_scargle(spark, sf_dir):
+    return kernels.periodogram(event_panel(spark, sf_dir), FREQUENCIES).withColumn("power", F.round("power", 5))
 
 
 @query(
     "dft_small",
-    f"""WITH {FEW}, r AS (SELECT object, row_number() OVER (PARTITION BY object ORDER BY t, rec) - 1 AS i, count(*) OVER (PARTITION BY object) AS n, value - avg(value) OVER (PARTITION BY object) AS y FROM e),
+    f"""WITH {EVENTS}, r AS (SELECT object, row_number() OVER (PARTITION BY object ORDER BY t, rec) - 1 AS i, count(*) OVER (PARTITION BY object) AS n, value - avg(value) OVER (PARTITION BY object) AS y FROM e),
 s AS (SELECT object, k, sum(y * cos(2 * pi() * k * i / n)) AS re, sum(y * sin(2 * pi() * k * i / n)) AS im, first(n) AS n FROM r, range(1, 6) g(k) GROUP BY 1, 2) SELECT object, k::INT AS k, round(2 * sqrt(re * re + im * im) / n, 6) AS amplitude FROM s""",
 )
-def dft_small(spark, sf_dir, panel=few):
-    return kernels.dft(panel(spark, sf_dir), 5).withColumn("amplitude", F.round("amplitude", 6))
+def dft_small(spark, sf_dir):
+    return kernels.dft(event_panel(spark, sf_dir), 5).withColumn("amplitude", F.round("amplitude", 6))
 
 
 @query(
     "lagged_xcorr",
-    f"""WITH {FEW}, l AS (SELECT object, value, k, lead(value, k::INT) OVER (PARTITION BY object, k ORDER BY t, rec) AS z FROM e, range(0, 4) g(k)) SELECT object, k::INT AS lag, count(*) AS n, round(corr(value, z), 6) AS r FROM l WHERE z IS NOT NULL GROUP BY 1, 2""",
+    f"""WITH {EVENTS}, l AS (SELECT object, value, k, lead(value, k::INT) OVER (PARTITION BY object, k ORDER BY t, rec) AS z FROM e, range(0, 4) g(k)) SELECT object, k::INT AS lag, count(*) AS n, round(corr(value, z), 6) AS r FROM l WHERE z IS NOT NULL GROUP BY 1, 2""",
 )
-def lagged_xcorr(spark, sf_dir, panel=few):
-    return kernels.lagged_correlation(panel(spark, sf_dir), "value", "value", 3).withColumn("r", F.round("r", 6))
+def lagged_xcorr(spark, sf_dir):
+    return kernels.lagged_correlation(event_panel(spark, sf_dir), "value", "value", 3).withColumn("r", F.round("r", 6))
 
 
-for f in (lomb_scargle, dft_small, lagged_xcorr):
-    whole(f.__name__, FIRST, partial(f, panel=event_panel))
+#: Values on the lines between an object's rows, four a day.
+GRID = f"""{P}, own AS (SELECT object, t, arg_min(value, rec) AS value FROM p WHERE object IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT *, (t - min(t) OVER (PARTITION BY object)) / 2.16e10::DOUBLE AS x FROM own),
+nx AS (SELECT *, lead(x) OVER w AS x1, lead(value) OVER w AS y1 FROM x WINDOW w AS (PARTITION BY object ORDER BY t)),
+g AS (SELECT object, x, x1, value, y1, unnest(generate_series(ceil(x)::BIGINT, coalesce(ceil(x1) - 1, floor(x))::BIGINT)) AS i FROM nx),
+grid AS (SELECT object, i, coalesce(value + (y1 - value) * (i - x) / (x1 - x), value) AS y FROM g)"""
 
 
-@query("fft_amplitude")
+@query(
+    "fft_amplitude",
+    f"""WITH {GRID}, s AS (SELECT object, count(*) AS n, avg(y) AS m FROM grid GROUP BY 1 HAVING count(*) >= 4),
+w AS (SELECT object, n, i, 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) AS h, y - m AS z FROM grid JOIN s USING (object)),
+q AS (SELECT object, n, k, sum(h) AS gain, sum(z * h * cos(2 * pi() * k * i / n)) AS re, sum(z * h * sin(2 * pi() * k * i / n)) AS im FROM w, range(1, 17) r(k) WHERE 2 * k <= n GROUP BY ALL)
+SELECT object, round(k / (n * 0.25::DOUBLE), 9) AS frequency, round(2 * sqrt(re * re + im * im) / gain, 5) AS amplitude FROM q""",
+)
 def fft_amplitude(spark, sf_dir):
-    return kernels.spectrum(event_panel(spark, sf_dir), 0.25)
+    return kernels.spectrum(event_panel(spark, sf_dir), 0.25, bins=16).select("object", F.round("frequency", 9).alias("frequency"), F.round("amplitude", 5).alias("amplitude"))
 
 
-@query("welch_density")
+@query(
+    "welch_density",
+    f"""WITH {GRID}, s AS (SELECT object, unnest([i // 16, i // 16 - 1]) AS s, i, y FROM grid), j AS (SELECT object, s, i - s * 16 AS j, y, avg(y) OVER (PARTITION BY object, s) AS m, count(*) OVER (PARTITION BY object, s) AS n FROM s WHERE s >= 0),
+z AS (SELECT object, s, j, (y - m) * (0.5 - 0.5 * cos(2 * pi() * j / 31)) AS z FROM j WHERE n = 32),
+q AS (SELECT object, s, k, sum(z * cos(2 * pi() * k * j / 32)) AS re, sum(z * sin(2 * pi() * k * j / 32)) AS im FROM z, range(0, 17) r(k) GROUP BY ALL)
+SELECT object, k / 8.0::DOUBLE AS frequency, round(avg((re * re + im * im) * 0.25 * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END) / (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * j / 31), 2)) FROM range(32) w(j)), 4) AS density FROM q GROUP BY object, k""",
+)
 def welch_density(spark, sf_dir):
-    return kernels.welch(event_panel(spark, sf_dir), 0.25)
+    return kernels.welch(event_panel(spark, sf_dir), 0.25).withColumn("density", F.round("density", 4))
 
 
 @query("wavelet_z")
@@ -71,9 +79,19 @@ def wavelet_z(spark, sf_dir):
     return kernels.weighted_wavelet(event_panel(spark, sf_dir), FREQUENCIES)
 
 
-@query("ewm_derivative")
+@query(
+    "ewm_derivative",
+    f"""WITH {P}, l AS (SELECT object, list(value ORDER BY t, rec) AS v, list(rec ORDER BY t, rec) AS r FROM p GROUP BY object),
+u AS (SELECT object, v, unnest(r) AS rec, unnest(range(1, len(r) + 1)) AS i FROM l),
+m AS (SELECT object, rec, i, list_reduce(v[1:i], lambda m, x: CASE WHEN x IS NULL THEN m WHEN m IS NULL THEN x ELSE m + 0.2 * (x - m) END) AS e FROM u)
+SELECT m.rec, round(e, 6) AS ewm, round((e - lag(e) OVER w) / ((t - lag(t) OVER w) / {float(DAY)}), 5) + 0.0 AS slope FROM m JOIN p ON p.rec = m.rec WINDOW w AS (PARTITION BY m.object ORDER BY t, m.rec)""",
+)
 def ewm_derivative(spark, sf_dir):
-    return kernels.exponential_mean(event_panel(spark, sf_dir).select("object", "t", "rec", "value"), 9)
+    """Slope a day of the exponential mean; null where two rows have one time."""
+    out = kernels.exponential_mean(event_panel(spark, sf_dir).select("object", "t", "rec", "value"), 9)
+    w = series.ordered()
+    slope = F.try_divide(F.col("ewm") - F.lag("ewm").over(w), series.days(F.col("t") - F.lag("t").over(w)))
+    return out.select("rec", F.round("ewm", 6).alias("ewm"), (F.round(slope, 5) + 0.0).alias("slope"))
 
 
 @query("detect_events")
@@ -86,7 +104,13 @@ def viterbi_states(spark, sf_dir):
     return kernels.label_states(event_panel(spark, sf_dir))
 
 
-@query("spaced_rows")
+@query(
+    "spaced_rows",
+    f"""WITH RECURSIVE {P}, n AS (SELECT object, rec, t, value, row_number() OVER (PARTITION BY object ORDER BY t, rec) AS i, count(*) OVER (PARTITION BY object) AS c,
+  1 + count(*) OVER (PARTITION BY object ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY - 1} FOLLOWING) AS nxt FROM p),
+k AS (SELECT object, 1::BIGINT AS i FROM n WHERE i = 1 UNION ALL SELECT k.object, n.nxt FROM k JOIN n ON n.object = k.object AND n.i = k.i WHERE n.nxt <= n.c)
+SELECT object, t, rec, value FROM n WHERE i = c OR (object, i) IN (SELECT (object, i) FROM k)""",
+)
 def spaced_rows(spark, sf_dir):
     return kernels.spaced(event_panel(spark, sf_dir).select("object", "t", "rec", "value"), DAY)
 

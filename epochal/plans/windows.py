@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochal.operators import quality, series
-from epochal.registry import query, whole
+from epochal.registry import query
 from epochal.sources.tables import DAY, EVENT_PANEL, HOUR, event_panel, table
 
 P = f"p AS ({EVENT_PANEL})"
@@ -240,16 +238,13 @@ def maintenance_features(spark, sf_dir):
 
 
 # -- daily series of orders ---------------------------------------------------------
-#: The queries whose SQL reads every third order do so too; under the same names with _all they take every order.
-THIRD = " WHERE o_orderkey % 3 = 0"
-DAILY = f"daily AS (SELECT epoch_us(o_orderdate) // {DAY} AS d, sum(o_totalprice) AS v, count(*) AS n FROM orders{THIRD} GROUP BY 1)"
+DAILY = f"daily AS (SELECT epoch_us(o_orderdate) // {DAY} AS d, sum(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1)"
 
 
-def daily(spark, sf_dir, some="o_orderkey % 3 = 0"):
+def daily(spark, sf_dir):
     from epochal.sources.tables import micros
 
-    rows = table(spark, sf_dir, "orders").where(some)
-    return rows.groupBy(F.floor(micros("o_orderdate") / DAY).alias("d")).agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "orders").groupBy(F.floor(micros("o_orderdate") / DAY).alias("d")).agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n"))
 
 
 def calendar(rows, step=1):
@@ -266,14 +261,15 @@ f AS (SELECT *, last_value(v IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECE
   first_value(v IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1, first_value(CASE WHEN v IS NOT NULL THEN d END IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS d1 FROM j)
 SELECT d, coalesce(n, 0) AS n, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (d - d0) / (d1 - d0) END, 4) AS v FROM f""",
 )
-def calendar_gapfill(spark, sf_dir, daily=daily):
+def calendar_gapfill(spark, sf_dir):
     rows = daily(spark, sf_dir)
     # a calendar has a row a day: one task orders it, whatever the size of the data
     w = Window.orderBy("d")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("v").isNotNull(), F.col("d"))
     out = calendar(rows).join(rows, "d", "left").withColumns(
-        {"v0": F.last("v", True).over(back), "d0": F.last(known, True).over(back), "v1": F.first("v", True).over(ahead), "d1": F.first(known, True).over(ahead)}
+        {"v0": F.last("v", True).over(back), "d0": F.last(known, True).over(back), "v1": F.last("v", True).over(ahead), "d1": F.last(known, True).over(ahead)}
     )
     line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("d") - F.col("d0")) / (F.col("d1") - F.col("d0"))
     v = F.coalesce("v", F.when(F.col("v0").isNull(), F.col("v1")).when(F.col("v1").isNull(), F.col("v0")).otherwise(line))
@@ -281,7 +277,7 @@ def calendar_gapfill(spark, sf_dir, daily=daily):
 
 
 @query("centered_81d_mean", f"WITH {DAILY} SELECT d, CASE WHEN count(v) OVER w >= 40 THEN round(avg(v) OVER w, 6) END AS mean_81d, round(sin(2 * pi() * d / 4015.0), 6) AS harmonic_sin, round(cos(2 * pi() * d / 4015.0), 6) AS harmonic_cos FROM daily WINDOW w AS (ORDER BY d RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING)")
-def centered_81d_mean(spark, sf_dir, daily=daily):
+def centered_81d_mean(spark, sf_dir):
     import math
 
     w = Window.orderBy("d").rangeBetween(-40, 40)
@@ -290,7 +286,7 @@ def centered_81d_mean(spark, sf_dir, daily=daily):
 
 
 @query("history_lags", f"WITH {DAILY} SELECT d, round(lag(v) OVER w, 4) AS lag_1, round(lag(v, 2) OVER w, 4) AS lag_2, round(avg(v) OVER (ORDER BY d ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING), 6) AS mean_3_10 FROM daily WINDOW w AS (ORDER BY d)")
-def history_lags(spark, sf_dir, daily=daily):
+def history_lags(spark, sf_dir):
     w = Window.orderBy("d")
     return daily(spark, sf_dir).select("d", F.round(F.lag("v").over(w), 4).alias("lag_1"), F.round(F.lag("v", 2).over(w), 4).alias("lag_2"), F.round(F.avg("v").over(w.rowsBetween(-10, -3)), 6).alias("mean_3_10"))
 
@@ -300,7 +296,7 @@ def history_lags(spark, sf_dir, daily=daily):
     f"""WITH {DAILY}, f AS (SELECT d, v, lag(v) OVER (ORDER BY d) AS p FROM daily)
 SELECT count(*) AS n, round(avg(abs(v - p)), 3) AS mae, round(sqrt(avg((v - p) * (v - p))), 3) AS rmse, round(avg(CASE WHEN v <> 0 THEN abs((v - p) / v) END) * 100, 4) AS mape FROM f WHERE p IS NOT NULL""",
 )
-def forecast_errors(spark, sf_dir, daily=daily):
+def forecast_errors(spark, sf_dir):
     """Persistence forecast: yesterday's value."""
     e = F.col("v") - F.col("p")
     rows = daily(spark, sf_dir).withColumn("p", F.lag("v").over(Window.orderBy("d"))).where("p IS NOT NULL")
@@ -308,13 +304,10 @@ def forecast_errors(spark, sf_dir, daily=daily):
 
 
 @query("sliding_windows", f"WITH {DAILY}, o AS (SELECT *, row_number() OVER (ORDER BY d) AS i FROM daily) SELECT a.i::BIGINT AS start, count(*) AS n, round(sum(b.v), 3) AS total, round(max(b.v), 3) AS top FROM o a JOIN o b ON b.i >= a.i AND b.i < a.i + 30 WHERE (a.i - 1) % 7 = 0 GROUP BY a.i")
-def sliding_windows(spark, sf_dir, daily=daily):
+def sliding_windows(spark, sf_dir):
     """Windows of 30 rows every 7: each row goes to the windows that hold it."""
     rows = daily(spark, sf_dir).withColumn("i", F.row_number().over(Window.orderBy("d")).cast("long"))
     first = F.greatest(F.ceil((F.col("i") - 30) / 7), F.lit(0))
     starts = F.explode(F.sequence(first.cast("long"), F.floor((F.col("i") - 1) / 7).cast("long"))).alias("k")
     return rows.select("v", starts).groupBy((F.col("k") * 7 + 1).alias("start")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("total"), F.round(F.max("v"), 3).alias("top"))
 
-
-for f in (calendar_gapfill, centered_81d_mean, history_lags, forecast_errors, sliding_windows):
-    whole(f.__name__, THIRD, partial(f, daily=partial(daily, some="true")))

@@ -24,10 +24,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def whole(name: str, cut: str, f: Query) -> None:
-    """Register ``name``_all: the query over all rows; its SQL is that of ``name`` without ``cut``."""
-    if cut not in SQL[name]:
-        raise ValueError(f"{cut!r} is not in the SQL of {name}")
-    query(f"{name}_all", SQL[name].replace(cut, ""))(f)

@@ -9,8 +9,8 @@ from epochal import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-OBJECTS = ["lomb_scargle_all", "dft_small_all", "lagged_xcorr_all", "posterior_summary_all", "hdi_all", "rhat_all", "sync_target_nearest_all"]
-TOTALS = ["weighted_quantiles_all", "precision_mean_all", "w1_pairs_all", "sync_exact_intersection_all"]
+OBJECTS = ["lomb_scargle", "dft_small", "lagged_xcorr", "posterior_summary", "hdi", "rhat", "sync_target_nearest"]
+TOTALS = ["weighted_quantiles", "precision_mean", "w1_pairs", "sync_exact_intersection"]
 
 
 @pytest.fixture(scope="module")
@@ -65,12 +65,12 @@ def gaps(tmp_path_factory):
 
 @pytest.mark.parametrize("name", ["calendar_gapfill", "centered_81d_mean", "history_lags", "forecast_errors", "sliding_windows"])
 def test_all_orders_as_in_sql(spark, gaps, name):
-    out = catalog.queries()[f"{name}_all"](spark, gaps)
-    same(out, database(gaps), catalog.oracle_sql()[f"{name}_all"])
-    assert "o_orderkey" not in catalog.oracle_sql()[f"{name}_all"]
+    out = catalog.queries()[name](spark, gaps)
+    same(out, database(gaps), catalog.oracle_sql()[name])
+    assert "o_orderkey" not in catalog.oracle_sql()[name]
 
 
 def test_calendar_counts_every_order(spark, gaps):
-    rows = catalog.queries()["calendar_gapfill_all"](spark, gaps).collect()
+    rows = catalog.queries()["calendar_gapfill"](spark, gaps).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{gaps}/orders.parquet").count()
     assert any(r.n == 0 and r.v for r in rows)
