@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochal.operators.series import days, ordered
+from epochal.operators import phases
+from epochal.operators.series import centred, central_slope, days, ordered
 
-STATES = ("raising", "operational", "relocating", "lowering", "decayed")
 
 
 # -- sums -------------------------------------------------------------------------
@@ -211,38 +211,11 @@ def detect_events(df: DataFrame, threshold: float = 3.5, spacing_days: float = 1
     return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, t long, score double, step double")
 
 
-def label_states(df: DataFrame, change_cost: float = 2.0, least_days: float = 1.0) -> DataFrame:
-    """Most likely sequence of states by level and slope (Viterbi), with runs shorter than ``least_days`` given to the state before."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.dropna(subset=["value"]).sort_values(["t", "rec"])
-        n, k = len(own), len(STATES)
-        if not n:
-            return pd.DataFrame({"object": pd.Series(dtype="int64"), "rec": pd.Series(dtype="int64"), "t": pd.Series(dtype="int64"), "state": pd.Series(dtype=str)})
-        x, y = own["t"].to_numpy() / 8.64e10, own["value"].to_numpy()
-        slope = np.gradient(y, x) if n > 1 and (np.diff(x) > 0).all() else np.zeros(n)
-        slope = slope / (np.median(np.abs(slope)) + 1e-9)
-        level = (y - np.median(y)) / (np.median(np.abs(y - np.median(y))) + 1e-9)
-        cost = np.stack([np.abs(slope - 2), np.abs(slope) + np.abs(level), np.abs(np.abs(slope) - 1) + 0.5, np.abs(slope + 2), np.abs(level + 3)], 1)
-        best, back = cost[0], np.zeros((n, k), int)
-        move = change_cost * (1 - np.eye(k))
-        for i in range(1, n):
-            total = best[:, None] + move
-            back[i] = total.argmin(0)
-            best = total.min(0) + cost[i]
-        path = [int(best.argmin())]
-        for i in range(n - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        path = path[::-1]
-        start = 0
-        for i in range(1, n + 1):  # short runs take the state before them
-            if i == n or path[i] != path[start]:
-                if start and x[min(i, n - 1)] - x[start] < least_days:
-                    path[start:i] = [path[start - 1]] * (i - start)
-                start = i
-        return pd.DataFrame({"object": own["object"].to_numpy(), "rec": own["rec"].to_numpy(), "t": own["t"].to_numpy(), "state": [STATES[p] for p in path]})
-
-    return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, rec long, t long, state string")
+def label_states(df: DataFrame) -> DataFrame:
+    """Mission phases of a bare signal: slope a day and variation over fifteen rows are all that is known of it (see ``phases``)."""
+    some = df.where("object IS NOT NULL AND value IS NOT NULL")
+    known = central_slope(some).withColumn("variation", F.stddev_pop("value").over(centred(15)))
+    return phases.label(known.select("object", "t", "rec", "slope", "variation"))
 
 
 def spaced(df: DataFrame, least: int) -> DataFrame:

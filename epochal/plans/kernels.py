@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochal.operators import kernels, series, validity
+from epochal.operators import kernels, phases, series, validity
 from epochal.plans.clusters import vecs
 from epochal.plans.windows import P
 from epochal.registry import query
@@ -99,9 +99,49 @@ def detect_events(spark, sf_dir):
     return kernels.detect_events(event_panel(spark, sf_dir))
 
 
+#: Inputs of the phase scores by arithmetic on the panel: slope and variation of a hundredth of the value, the others from record numbers.
+PHASE_INPUTS = f"""{P}, f AS (SELECT object, t, rec, count(*) OVER w AS n, stddev_pop(value / 100) OVER (PARTITION BY object ORDER BY t, rec ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) * 5 AS variation,
+  coalesce(lag(t) OVER o, t) AS t0, coalesce(lead(t) OVER o, t) AS t1, coalesce(lag(value) OVER o, value) AS v0, coalesce(lead(value) OVER o, value) AS v1 FROM p WINDOW w AS (PARTITION BY object), o AS (PARTITION BY object ORDER BY t, rec)),
+x AS (SELECT object, t, rec, CASE WHEN n >= 3 AND t1 > t0 THEN (v1 - v0) / 100 / ((t1 - t0) / {float(DAY)}) ELSE 0 END AS slope, variation, (rec * 31 % 97) * 1e-5::DOUBLE AS drag, (rec * 17 % 50) / 100.0::DOUBLE AS event_rate,
+  (rec * 7 % 40 - 20)::DOUBLE AS shell_residual, (rec % 11 - 5) / 5.0::DOUBLE AS shell_drift, (rec * 13 % 100) / 100.0::DOUBLE AS evidence, (rec % 9) / 9.0::DOUBLE AS upkeep_rate, (rec % 6) / 6.0::DOUBLE AS upkeep_regularity, (rec * 5 % 21) / 21.0::DOUBLE AS upkeep_loss FROM f)"""
+
+
+def phase_inputs(spark, sf_dir):
+    panel = event_panel(spark, sf_dir).withColumn("value", F.col("value") / 100)
+    known = series.central_slope(panel).withColumn("variation", F.stddev_pop("value").over(series.centred(15)) * 5)
+    rec = F.col("rec")
+    made = {
+        "drag": (rec * 31 % 97) * 1e-5, "event_rate": (rec * 17 % 50) / 100, "shell_residual": (rec * 7 % 40 - 20).cast("double"), "shell_drift": (rec % 11 - 5) / 5,
+        "evidence": (rec * 13 % 100) / 100, "upkeep_rate": (rec % 9) / 9, "upkeep_regularity": (rec % 6) / 6, "upkeep_loss": (rec * 5 % 21) / 21,
+    }
+    return known.select("object", "t", "rec", "slope", "variation", *(v.alias(c) for c, v in made.items()))
+
+
+@query(
+    "phase_emissions",
+    f"""WITH {PHASE_INPUTS}, a AS (SELECT *, greatest(0, least(1, (-slope - 0.08) / 0.6)) AS descending, least(2, drag / 3e-4) AS d, greatest(0, 1 - abs(slope) / 0.16) AS stable FROM x),
+b AS (SELECT *, greatest(0, least(2, abs(shell_residual) / 25 + 0.7 * evidence + 0.4 * event_rate - 0.5 * upkeep_regularity - 0.8 * descending - 0.35 * least(d, 1.5))) AS rl,
+  greatest(0, least(2.2, 0.7 * descending + 0.45 * d + 0.25 * evidence + 0.25 * upkeep_loss)) AS di, greatest(0, least(2, 0.8 * descending + 0.5 * upkeep_loss + 0.25 * d - 0.45 * evidence)) AS pa,
+  greatest(0, least(1.8, 0.55 * upkeep_loss + 0.35 * d + 0.30 * descending - 0.45 * stable)) AS nw FROM a),
+e AS (SELECT rec, greatest(1e-6, 0.05) AS e0, greatest(1e-6, greatest(0, least(1, (slope - 0.2) / 0.8)) * least(1.8, 0.5 + evidence)) AS e1, greatest(1e-6, least(1, 0.55 * event_rate + 0.35 * evidence + 0.10 * abs(shell_drift))) AS e2,
+  greatest(1e-6, least(2, stable * greatest(0, 1 - variation / 8) * least(1.6, 0.25 + upkeep_regularity + 0.35 * (exp(2 * upkeep_rate) - 1) / (exp(2 * upkeep_rate) + 1)) * greatest(0.2, 1 - 0.8 * upkeep_loss) * 1.2)) AS e3,
+  greatest(1e-6, CASE WHEN rl >= 0.8 THEN rl ELSE 0.25 * rl END) AS e4, greatest(1e-6, CASE WHEN di >= 0.9 THEN di ELSE 0.2 * di END) AS e5, greatest(1e-6, CASE WHEN pa >= 0.85 THEN pa ELSE 0.25 * pa END) AS e6, greatest(1e-6, CASE WHEN nw > 0.7 THEN nw ELSE 0.25 * nw END) AS e7 FROM b)
+SELECT rec, round(e0 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS unknown, round(e1 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS raising, round(e3 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS operational, round(e4 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS relocation,
+  round(e5 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS disposal, round(e6 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS decay FROM e""",
+)
+def phase_emissions(spark, sf_dir):
+    names = {"unknown": 0, "raising": 1, "operational": 3, "relocation": 4, "disposal": 5, "decay": 6}
+    return phases.emissions(phase_inputs(spark, sf_dir)).select("rec", *(F.round(F.get("emission", i), 6).alias(n) for n, i in names.items()))
+
+
 @query("viterbi_states")
 def viterbi_states(spark, sf_dir):
-    return kernels.label_states(event_panel(spark, sf_dir))
+    return phases.cheapest_path(phases.emissions(phase_inputs(spark, sf_dir)))
+
+
+@query("phase_dwell")
+def phase_dwell(spark, sf_dir):
+    return phases.label(phase_inputs(spark, sf_dir))
 
 
 @query(
