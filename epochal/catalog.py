@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from epochal import registry
-from epochal.plans import clusters, joins, kernels, orbits, rollups, windows  # noqa: F401  (they register their queries)
+from epochal.plans import clusters, groups, joins, kernels, orbits, rollups, windows  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "occupancy_7d"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epochal.operators import occupancy as occ
+from epochal.operators import occupancy as occ, rules
 from epochal.operators import quality, series
 from epochal.plans.windows import P, r
 from epochal.registry import query
@@ -155,31 +155,25 @@ RULES = [("a", 900.0, 930.0), ("b", 920.0, 950.0), ("c", 945.0, 975.0), ("d", 97
 
 @query("shell_rule_last_match", "SELECT p_partkey, CASE " + " ".join(f"WHEN p_retailprice >= {a} AND p_retailprice < {b} THEN '{n}'" for n, a, b in reversed(RULES)) + " END AS shell FROM part")
 def shell_rule_last_match(spark, sf_dir):
-    """Half-open ranges judged in order; the last that fits wins."""
-    x, out = F.col("p_retailprice"), F
-    for name, a, b in reversed(RULES):
-        out = out.when((x >= a) & (x < b), name)
-    return table(spark, sf_dir, "part").select("p_partkey", out.alias("shell"))
+    return table(spark, sf_dir, "part").select("p_partkey", rules.last_match(F.col("p_retailprice"), RULES).alias("shell"))
 
 
 @query("altitude_regime", "SELECT p_partkey, CASE WHEN p_retailprice <= 925 THEN 'regime_0' WHEN p_retailprice <= 950 THEN 'regime_1' WHEN p_retailprice <= 975 THEN 'regime_2' END AS regime FROM part")
 def altitude_regime(spark, sf_dir):
-    x = F.col("p_retailprice")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(x <= 925, "regime_0").when(x <= 950, "regime_1").when(x <= 975, "regime_2").alias("regime"))
+    own = rules.regime(F.col("p_retailprice"), (("regime_0", 925), ("regime_1", 950), ("regime_2", 975)))
+    return table(spark, sf_dir, "part").select("p_partkey", own.alias("regime"))
 
 
 @query("nearest_reference", "WITH d AS (SELECT p_partkey, unnest([{'d': abs(p_retailprice - 910), 'n': 0}, {'d': abs(p_retailprice - 945), 'n': 1}, {'d': abs(p_retailprice - 980), 'n': 2}]) AS x FROM part) SELECT p_partkey, round(min(x).d, 6) AS distance, min(x).n::INT AS reference FROM d GROUP BY p_partkey")
 def nearest_reference(spark, sf_dir):
-    every = [F.struct(F.abs(F.col("p_retailprice") - ref).alias("d"), F.lit(n).alias("n")) for n, ref in enumerate((910.0, 945.0, 980.0))]
-    return table(spark, sf_dir, "part").withColumn("x", F.least(*every)).select("p_partkey", F.round("x.d", 6).alias("distance"), F.col("x.n").alias("reference"))
+    rows = table(spark, sf_dir, "part").withColumn("x", rules.nearest(F.col("p_retailprice"), (910.0, 945.0, 980.0)))
+    return rows.select("p_partkey", F.round("x.distance", 6).alias("distance"), "x.reference")
 
 
 @query("inclination_family", "WITH i AS (SELECT p_partkey, (p_partkey % 1810) / 10.0 AS inc FROM part) SELECT p_partkey, CASE WHEN abs(inc - 53) <= 2 THEN 'inc_53.000' WHEN abs(inc - 70) <= 2 THEN 'inc_70.000' WHEN abs(inc - 97.6) <= 2 THEN 'inc_97.600' ELSE 'unmatched' END AS family FROM i")
 def inclination_family(spark, sf_dir):
-    inc, out = F.col("inc"), F
-    for target in (53.0, 70.0, 97.6):
-        out = out.when(F.abs(inc - target) <= 2, f"inc_{target:.3f}")
-    return table(spark, sf_dir, "part").withColumn("inc", F.col("p_partkey") % 1810 / 10).select("p_partkey", out.otherwise("unmatched").alias("family"))
+    inc = F.col("p_partkey") % 1810 / 10
+    return table(spark, sf_dir, "part").select("p_partkey", rules.family(inc, (53.0, 70.0, 97.6), 2, "inc").alias("family"))
 
 
 @query("phase_sign", "SELECT event_id, CASE WHEN regexp_matches(event_type, 'error|fail') THEN -1 WHEN regexp_matches(event_type, 'purchase|signup|buy') THEN 1 ELSE 0 END AS sign FROM events")
@@ -195,7 +189,7 @@ def date_window_filter(spark, sf_dir):
 
 @query("band_filter_open", "SELECT p_partkey FROM part WHERE p_retailprice > 940 AND p_retailprice < 960")
 def band_filter_open(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_retailprice > 940 AND p_retailprice < 960").select("p_partkey")
+    return rules.in_band(table(spark, sf_dir, "part"), "p_retailprice", 940, 960).select("p_partkey")
 
 
 @query("event_layers", "SELECT event_type AS layer, count(*) AS n, sum((value >= 80)::INT)::BIGINT AS n_confident FROM events WHERE regexp_matches(event_type, '^(click|view|error|purchase|signup)') GROUP BY 1")
