@@ -1,8 +1,8 @@
 """Line-first cleaning: rules judge each line, then documents by what is left.
 
 A line fails that does not end like a sentence, that is full of doubled
-punctuation, that reads like a navigation bar, or that holds a boilerplate
-phrase.  Failing lines go; a document goes if less than ``LEAST_LEFT`` of the
+punctuation, that reads like a navigation bar, or that is short and holds a
+boilerplate phrase (in a long line the phrase is a small part of a text).  Failing lines go; a document goes if less than ``LEAST_LEFT`` of the
 characters of its non-blank lines is left, or if a base rule rejects it (too
 few words, or too many words in repeated passages).
 
@@ -27,6 +27,8 @@ DOUBLED = r"[!?#*$%&]{2,}( |$)"
 SEPARATORS = (" | ", " > ", " » ", " › ", " · ", " • ")
 SEPARATOR = r" [|>»›·•] "
 LEAST_SEPARATORS = 3
+#: Characters of a line that a boilerplate phrase can spoil.
+PHRASE_LINE = 200
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -51,7 +53,7 @@ def bad_line(line: Column) -> Column:
     doubled = 4 * F.regexp_count(line, F.lit(DOUBLED)) >= F.size(F.split(line, " "))
     has_doubled = _any(line, [c + c for c in "!?#*$%&"])
     bar = F.size(F.split(line, SEPARATOR)) > LEAST_SEPARATORS
-    phrase = _any(F.lower(line), BOILERPLATE)
+    phrase = F.when(F.length(line) <= PHRASE_LINE, _any(F.lower(line), BOILERPLATE)).otherwise(False)
     return ~ends | F.when(has_doubled, doubled).otherwise(False) | F.when(_any(line, SEPARATORS), bar).otherwise(False) | phrase
 
 
@@ -119,7 +121,7 @@ m AS (
          list_filter(l, lambda x: contains('{ends}', right(rtrim(x, ' '), 1)) AND right(rtrim(x, ' '), 1) <> ''
            AND NOT ({has("x", [c + c for c in "!?#*$%&"])} AND 4 * len(regexp_extract_all(x, '{DOUBLED}')) >= len(string_split(x, ' ')))
            AND NOT ({has("x", SEPARATORS)} AND len(regexp_split_to_array(x, '{SEPARATOR}')) > {LEAST_SEPARATORS})
-           AND NOT {has("lower(x)", BOILERPLATE)}) AS k
+           AND NOT (length(x) <= {PHRASE_LINE} AND {has("lower(x)", BOILERPLATE)})) AS k
   FROM d LEFT JOIN rep USING (doc_id)),
 j AS (
   SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM m)

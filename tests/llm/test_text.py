@@ -51,6 +51,13 @@ def test_lines_fail_by_rule(spark):
     assert [r.x for r in df.collect() if r.bad] == ["no end", "Home | News | Sport | More.", "All rights reserved.", "WOW!! SO!! GOOD!! BUY!!"]
 
 
+def test_a_phrase_spoils_short_lines_only(spark):
+    story = "She baked a cookie while it rained, and nobody in the whole house asked what it was for or who would eat it. "
+    long = story + " ".join(f"word{n}" for n in range(40)) + "."
+    got = {r.doc_id: r.kept for r in linerules.clean(frame(spark, [(1, long), (2, "We use a cookie.\n" * 30)])).collect()}
+    assert len(long) > linerules.PHRASE_LINE and got == {1: True, 2: False}
+
+
 def test_documents_losing_too_much_go(spark):
     good, bad = "This is a line of plain words which ends as sentences do.", "home shop cart news help menu about jobs press blog more"
     rows = [(1, f"{good}\nAnother one follows it with words of its own.\n{bad}"), (2, f"{good}\n{bad}\nlogin search topics\nterms contact imprint sitemap\n"), (3, None), (4, "Short.")]
