@@ -211,11 +211,11 @@ def detect_events(df: DataFrame, threshold: float = 3.5, spacing_days: float = 1
     return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, t long, score double, step double")
 
 
-def label_states(df: DataFrame) -> DataFrame:
+def label_states(df: DataFrame, rules: phases.Rules | None = None) -> DataFrame:
     """Mission phases of a bare signal: slope a day and variation over fifteen rows are all that is known of it (see ``phases``)."""
     some = df.where("object IS NOT NULL AND value IS NOT NULL")
     known = central_slope(some).withColumn("variation", F.stddev_pop("value").over(centred(15)))
-    return phases.label(known.select("object", "t", "rec", "slope", "variation"))
+    return phases.label(known.select("object", "t", "rec", "slope", "variation"), rules)
 
 
 def spaced(df: DataFrame, least: int) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochal.operators import kernels, occupancy, quality, series
+from epochal.operators import kernels, occupancy, phases, quality, series
 from epochal.sources.tables import DAY
 
 DEFAULTS: dict[str, Any] = {
@@ -21,7 +21,7 @@ DEFAULTS: dict[str, Any] = {
     "dedup": {"enabled": True, "keep": "last", "bucket": DAY // 24},
     "bins": {"edges": [0.0, 10.0, 20.0, 40.0, 80.0], "width": 7 * DAY},
     "events": {"threshold": 3.5, "spacing_days": 1.0},
-    "states": {"change_cost": 2.0, "least_days": 1.0},
+    "states": {"change_cost": 0.65, "least_dwell_days": 21.0},
 }
 
 
@@ -59,7 +59,7 @@ def run(panel: DataFrame, config: Mapping[str, Any] | None = None) -> Result:
         order = F.desc("rec") if cfg["dedup"]["keep"] == "last" else F.asc("rec")
         good = quality.keep_one(good.withColumn("__b", F.floor(F.col("t") / cfg["dedup"]["bucket"])), ["object", "__b"], [order]).drop("__b")
     good = good.withColumn("shell", occupancy.cut(F.col("value"), cfg["bins"]["edges"]))
-    states = kernels.label_states(good, **cfg["states"])
+    states = kernels.label_states(good, phases.Rules(**cfg["states"]))
     intervals = series.runs(states, F.col("state")).groupBy("object", "run").agg(F.first("state").alias("state"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n_records"))
     return Result(
         panel=good,
