@@ -204,3 +204,18 @@ def test_rows_without_an_id_are_parted_by_their_texts(spark):
         start += len(ids)
     got = repair.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids")).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_digests_of_whole_rows(spark):
+    """The registered path of byte-level encoding: digests of ids and of the decoded text, for repeated and missing keys too."""
+    import hashlib
+
+    lib = library("byte_bpe_50k.json")
+    rows = [*rows_of(texts()), (3, "again", None, None, None, None), (None, "no id", None, None, None, None)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for r in rows:
+        ids = lib.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    got = bpe.encode_digests(frame(spark, rows).repartition(3), registry.tokenizer("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
