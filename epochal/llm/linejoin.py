@@ -15,6 +15,10 @@ copies with one segment in common don't become all their pairs.  Pairs are
 verified by a banded bit-parallel edit distance: the band of 2 * edits + 1
 cells of a column is one word, carried on from character to character.
 
+Where a segment has many lines (``CROWD``), most often near copies of one
+another, they are not made pairs with one another: each is held against one of
+them, and then only lines of different classes are compared.
+
 DataFrame functions only.  Equal lines are one line from the start, by a
 64-bit hash.  Lines of fewer than ``SHORTEST`` characters are compared for
 equality only; lines without a word are left alone.
@@ -34,6 +38,10 @@ EDITS = 2
 SHORTEST = 20
 #: Characters whose counts are held against each other before a pair is made (any will do; frequent ones tell more apart).
 LETTERS = " etaonihsrdlumbc"
+#: Counted besides for the lines of crowded keys.
+OTHERS = "0123456789.,:-/gpfywvkE"
+#: From about so many index lines a key is crowded.
+CROWD = 1000
 #: Keys of lines that take part in a verification are broadcast up to so many, else joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -84,13 +92,13 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*out)
 
 
-def bag(line: Column) -> Column:
-    """How often each of ``LETTERS`` stands in a line, modulo 4, two bits each.
+def bag(line: Column, letters: str = LETTERS) -> Column:
+    """How often each of ``letters`` (31 at most) stands in a line, modulo 4, two bits each.
 
     A letter is counted by taking it out; the next one is looked for in what is left.
     """
     out, left = F.lit(0).cast("long"), line
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(letters):
         rest = F.replace(left, F.lit(c))
         out = out + F.shiftleft((F.octet_length(left) - F.octet_length(rest)).cast("long").bitwiseAND(F.lit(3).cast("long")), 2 * i)
         left = rest
@@ -103,7 +111,7 @@ def bags_within(a: Column, b: Column, edits: int) -> Column:
     Counts modulo 4 differ by one where their low bits differ, and else by two
     where their high bits do.
     """
-    ones = F.lit(int("01" * len(LETTERS), 2)).cast("long")
+    ones = F.lit(int("01" * 31, 2)).cast("long")
     differ = a.bitwiseXOR(b)
     low, high = differ.bitwiseAND(ones), F.shiftright(differ, 1).bitwiseAND(ones)
     return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low))) <= 2 * edits
@@ -162,30 +170,87 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda p: scan(p["a"], p["b"]))
 
 
-def candidates(distinct: DataFrame, edits: int) -> DataFrame:
-    """Pairs of line keys that share a segment and have close bags.  ``distinct``: ``h``, ``line``, ``bag``, one row a line."""
+def keyed(distinct: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """The index (``h``, ``u``, ``s``) and its probes (``g``, ``v``, ``t``) of distinct lines: key, bag and segment of each."""
     sized = distinct.select("h", "line", "bag", F.length("line").alias("n"))
     index = sized.select("h", F.col("bag").alias("u"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("s"))
     probe = sized.select(F.col("h").alias("g"), F.col("bag").alias("v"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("t"))
-    pairs = index.join(probe, (F.col("s") == F.col("t")) & (F.col("h") != F.col("g")) & bags_within(F.col("u"), F.col("v"), edits))
-    return pairs.select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b")).distinct()
+    return index, probe
+
+
+def met(index: DataFrame, probe: DataFrame, edits: int, more: Column | None = None) -> DataFrame:
+    """Pairs ``a`` > ``b`` of lines that meet in a segment and have close bags."""
+    on = (F.col("s") == F.col("t")) & (F.col("h") != F.col("g")) & bags_within(F.col("u"), F.col("v"), edits)
+    pairs = index.join(probe, on if more is None else on & more)
+    return pairs.select(F.greatest("h", "g").alias("a"), F.least("h", "g").alias("b"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Those of ``a``, ``b`` whose lines are within ``edits``.  ``texts``: ``h``, ``line``, one row a line."""
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    longer = F.length("x") >= F.length("y")
+    both = both.where(F.abs(F.length("x") - F.length("y")) <= edits).select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("q"))
+    return both.where(within(F.col("p"), F.col("q"), edits)).select("a", "b")
+
+
+def crowds(long_lines: DataFrame, edits: int) -> tuple[DataFrame, bool]:
+    """``s``: index keys of about ``CROWD`` lines or more, and whether they are few enough to broadcast.
+
+    Counted on every sixteenth line by hash.  Links don't depend on which keys
+    are found here: it only tells which of two exact ways a key's lines take.
+    """
+    some = long_lines.where(F.col("h").bitwiseAND(F.lit(15).cast("long")) == 0).dropDuplicates(["h"])
+    keys = some.select(F.explode(index_keys(F.col("line"), F.length("line"), edits)).alias("s"))
+    found = storage.written(keys.groupBy("s").count().where(F.col("count") * 16 >= CROWD).select(F.col("s").alias("crowd")), "line-crowds")
+    return found, found.count() <= BROADCAST_LINES
+
+
+def crowd_links(index: DataFrame, probe: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
+    """Links of the lines of crowded keys, enough to join what is linked: no pairs of lines that are of one class already.
+
+    First every line is held against one line of its key and bag.  Of the
+    classes that come of that, a key's largest is compared with the lines
+    outside it only.  Lines carry a second bag here, of ``OTHERS``.
+    """
+    index, probe = storage.written(index, "crowd-index"), storage.written(probe, "crowd-probe")
+    there = index.select("h").unionByName(probe.select(F.col("g").alias("h"))).distinct()
+    texts = distinct.join(there.select(F.col("h").alias("k")), F.col("h") == F.col("k")).select("h", "line", bag(F.col("line"), OTHERS).alias("more"))
+    texts = storage.written(texts, "crowd-texts")
+    centre = index.groupBy(F.col("s").alias("s0"), F.col("u").alias("u0")).agg(F.min("h").alias("b"))
+    stars = index.join(centre, (F.col("s") == F.col("s0")) & (F.col("u") == F.col("u0"))).where("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    near = storage.written(verified(stars, texts, edits), "crowd-stars")
+    same = components.connected(near)
+    known = storage.written(texts.join(same, F.col("h") == F.col("vertex"), "left").select(F.col("h").alias("k"), "more", F.coalesce("component", "h").alias("c")), "crowd-classes")
+    index = index.join(known, F.col("h") == F.col("k")).select("h", "u", "s", F.col("more").alias("m"), "c")
+    index = storage.written(index, "crowd-index")
+    most = index.groupBy("s", "c").count().groupBy(F.col("s").alias("key")).agg(F.max(F.struct("count", "c")).alias("most")).select("key", F.col("most.c").alias("most"))
+    index = index.join(most, F.col("s") == F.col("key")).drop("key").withColumn("inside", F.col("c") == F.col("most")).drop("most")
+    probe = probe.join(known, F.col("g") == F.col("k")).join(most, F.col("t") == F.col("key"))
+    probe = probe.select("g", "v", "t", F.col("more").alias("w"), F.col("c").alias("d"), (F.col("c") == F.col("most")).alias("within"))
+    others = (F.col("c") != F.col("d")) & bags_within(F.col("m"), F.col("w"), edits)
+    pairs = met(index.where("NOT inside"), probe, edits, others).unionByName(met(index.where("inside"), probe.where("NOT within"), edits, others))
+    return verified(storage.written(pairs.distinct(), "crowd-pairs"), texts, edits).unionByName(near)
 
 
 def links(docs_lines: DataFrame, edits: int) -> DataFrame:
-    """Verified pairs ``a``, ``b`` of line keys.  ``docs_lines``: ``h``, ``line`` with repetition."""
+    """Verified pairs ``a``, ``b`` of line keys that join all linked lines.  ``docs_lines``: ``h``, ``line`` with repetition."""
     long_lines = docs_lines.where(F.length("line") >= SHORTEST)
     # bags are taken below the exchange of distinct lines: once a line, not once a key
     distinct = long_lines.withColumn("bag", bag(F.col("line"))).dropDuplicates(["h"])
-    pairs = storage.written(candidates(distinct, edits), "line-pairs")
+    index, probe = keyed(distinct, edits)
+    crowded, small = crowds(long_lines, edits)
+    any_crowd = crowded.take(1)
+    if any_crowd:
+        crowded = F.broadcast(crowded) if small else crowded
+        hot = crowd_links(index.join(crowded, F.col("s") == F.col("crowd"), "left_semi"), probe.join(crowded, F.col("t") == F.col("crowd"), "left_semi"), distinct, edits)
+        index, probe = index.join(crowded, F.col("s") == F.col("crowd"), "left_anti"), probe.join(crowded, F.col("t") == F.col("crowd"), "left_anti")
+    pairs = storage.written(met(index, probe, edits).distinct(), "line-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     keys = storage.written(needed.select(F.col("h").alias("k")), "line-keys")
     few = keys.count() <= BROADCAST_LINES
     texts = long_lines.join(F.broadcast(keys) if few else keys, F.col("h") == F.col("k")).select("h", "line").dropDuplicates(["h"])
-    texts = storage.written(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    longer = F.length("x") >= F.length("y")
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= edits).select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("q"))
-    return both.where(within(F.col("p"), F.col("q"), edits)).select("a", "b")
+    found = verified(pairs, storage.written(texts, "line-texts"), edits)
+    return found.unionByName(hot) if any_crowd else found
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -147,6 +147,36 @@ def test_line_decisions(spark):
     assert got == brute_lines(rows) and len(got) > 10
 
 
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_crowded_segments_lose_no_link(spark, monkeypatch, crowd):
+    """Chains that no one line reaches, families with a common segment, and lone pairs among them."""
+    monkeypatch.setattr(linejoin, "CROWD", crowd)
+    rng = random.Random(crowd)
+    head = "a common head, "
+    lines = {head + "".join(rng.choice("01234") for _ in range(6)) + "-tail-" + rng.choice("xyz") for _ in range(90)}
+    chain = head + "chain of lines"
+    for _ in range(25):
+        chain = varied(rng, chain)
+        lines.add(chain)
+    lines |= {"".join(rng.choice("abcd") for _ in range(24)) for _ in range(20)}
+    rows = [(i, x) for i, x in enumerate(sorted(lines))] + [(1000 + i, t) for i, t in line_rows()[:10]]
+    distinct = frame(spark, rows).select(F.xxhash64("text").alias("h"), F.col("text").alias("line")).where("text IS NOT NULL")
+    assert linejoin.crowds(distinct.where(F.length("line") >= linejoin.SHORTEST), 2)[0].count() > 0
+    got = {r.doc_id: sorted(map(tuple, r.removed)) for r in linejoin.decisions(frame(spark, rows)).collect() if r.removed}
+    assert got == brute_lines(rows) and len(got) > 20
+
+
+def test_lines_of_one_class_are_no_pairs(spark, monkeypatch):
+    """A clique in a crowded key gives a link a line, not its square."""
+    monkeypatch.setattr(linejoin, "CROWD", 32)
+    text = "one sentence that stands in very many pages with another number: "
+    rows = [(f"{text}{i:02d}",) for i in range(100)]
+    lines = spark.createDataFrame(rows, "line string").select(F.xxhash64("line").alias("h"), "line")
+    found = linejoin.links(lines, 2)
+    assert found.count() < 300
+    assert components.connected(found).select("component").distinct().count() == 1
+
+
 def test_line_dedup_cuts_the_text_and_keeps_columns(spark):
     rows = line_rows()
     df = frame(spark, rows)
