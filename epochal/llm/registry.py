@@ -140,6 +140,12 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
+def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repair_ids": op1_repair_ids,
@@ -152,10 +158,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cpsjoin": op8_cpsjoin,
         "op9_speculative_bpe": op9_speculative_bpe,
         "op10_quality_qda": op10_quality_qda,
+        "op11_sainte_lague": op11_sainte_lague,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from epochal.llm import linerules, urlglob
+    from epochal.llm import linerules, mixing, urlglob
 
-    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql(), "op8_cpsjoin": OP8_SQL}
+    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql(), "op8_cpsjoin": OP8_SQL, "op11_sainte_lague": mixing.SQL}
