@@ -146,6 +146,12 @@ def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op12_conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from epochal.llm import conversations
+
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))).drop("repaired")
+
+
 def op13_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from epochal.llm import interactions
 
@@ -166,11 +172,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_speculative_bpe": op9_speculative_bpe,
         "op10_quality_qda": op10_quality_qda,
         "op11_sainte_lague": op11_sainte_lague,
+        "op12_conversation_fold": op12_conversation_fold,
         "op13_filter_replay": op13_filter_replay,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from epochal.llm import interactions, linerules, mixing, urlglob
+    from epochal.llm import conversations, interactions, linerules, mixing, urlglob
 
-    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql(), "op8_cpsjoin": OP8_SQL, "op11_sainte_lague": mixing.SQL, "op13_filter_replay": interactions.SQL}
+    return {"op2_glob_automaton": urlglob.sql(), "op3_exact_topk": OP3_SQL, "op4_arc_to_warc": OP4_SQL, "op6_line_rules": linerules.sql(), "op8_cpsjoin": OP8_SQL, "op11_sainte_lague": mixing.SQL, "op12_conversation_fold": conversations.SQL, "op13_filter_replay": interactions.SQL}
