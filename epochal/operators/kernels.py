@@ -152,32 +152,50 @@ CHUNK = 256
 
 
 def exponential_mean(df: DataFrame, span: int, output: str = "ewm") -> DataFrame:
-    """Recursive exponential mean of each object's values in order (``t``, ``rec``), with weight 2 / (span + 1); the first value starts it.
+    """Recursive exponential mean of each object's ``value`` (see ``exponential_means``)."""
+    return exponential_means(df, span, {"value": output})
 
-    A null value keeps the mean.  A series is folded in chunks of ``CHUNK``
+
+def exponential_means(df: DataFrame, span: int, outputs: dict[str, str]) -> DataFrame:
+    """Recursive exponential means of columns (name: output) of each object in order (``t``, ``rec``), with weight 2 / (span + 1); the first value starts them.
+
+    A null or NaN keeps the mean.  A series is folded in chunks of ``CHUNK``
     values: a chunk's own fold and the share of the start that is left after it
     are carried over the chunks, then each chunk is folded from its start.
     """
     a = 2 / (span + 1)
     w = Window.partitionBy("object").orderBy("t", "rec")
     placed = df.where("object IS NOT NULL").withColumn("__c", F.floor((F.row_number().over(w) - 1) / CHUNK))
-    held = placed.groupBy("object", "__c").agg(F.array_sort(F.collect_list(F.struct("t", "rec", "value", F.struct(*df.columns).alias("row")))).alias("rows"))
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    own = {c: f"__v{k}" for k, c in enumerate(outputs)}
+    held = placed.groupBy("object", "__c").agg(F.array_sort(F.collect_list(F.struct("t", "rec", *(number(c).alias(v) for c, v in own.items()), F.struct(*df.columns).alias("row")))).alias("rows"))
     step = lambda m, x: F.when(x.isNull(), m).when(m.isNull(), x).otherwise(m + a * (x - m))
-    fold = lambda values, start: F.aggregate(values, start, step)
-    empty = F.lit(None).cast("double")
-    values = F.transform("rows", lambda r: r["value"].cast("double"))
-    known = F.filter(values, lambda x: x.isNotNull())
-    # from nothing, and the share that a start would keep
-    tails = held.select("object", "__c", fold(values, empty).alias("end"), F.pow(F.lit(1 - a), F.size(known)).alias("keep"), F.get(known, 0).alias("first"))
+    empty, none = F.lit(None).cast("double"), F.array().cast("array<double>")
+
+    def tail(v: str):
+        values = F.transform("rows", lambda r: r[v])
+        known = F.filter(values, lambda x: x.isNotNull())
+        # the fold from nothing, the share that a start would keep, and the first value
+        return F.struct(F.aggregate(values, empty, step).alias("end"), F.pow(F.lit(1 - a), F.size(known)).alias("keep"), F.get(known, F.lit(0)).alias("first")).alias(v)
+
     # end' = end + keep * (start - first): the fold from nothing starts at the chunk's first value; one row a chunk
-    every = tails.groupBy("object").agg(F.array_sort(F.collect_list(F.struct("__c", "end", "keep", "first"))).alias("all"))
+    tails = held.select("object", "__c", *map(tail, own.values()))
+    every = tails.groupBy("object").agg(F.array_sort(F.collect_list(F.struct("__c", *own.values()))).alias("all"))
     carry = lambda m, x: F.when(x["end"].isNull(), m).when(m.isNull(), x["end"]).otherwise(x["end"] + x["keep"] * (m - x["first"]))
-    prefix = F.aggregate("all", F.struct(empty.alias("m"), F.array().cast("array<double>").alias("out")), lambda s, x: F.struct(carry(s["m"], x).alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out")), lambda s: s["out"])
-    starts = every.select("object", F.explode(F.arrays_zip("all", prefix.alias("start"))).alias("z")).select("object", F.col("z.all.__c").alias("__c"), F.col("z.start").alias("start"))
-    both = held.join(starts, ["object", "__c"])
-    walk = F.aggregate("rows", F.struct(F.col("start").alias("m"), F.array().cast("array<double>").alias("out")), lambda s, r: F.struct(step(s["m"], r["value"].cast("double")).alias("m"), F.concat(s["out"], F.array(step(s["m"], r["value"].cast("double")))).alias("out")), lambda s: s["out"])
-    out = both.select("rows", walk.alias("__m")).select(F.explode(F.arrays_zip("rows", "__m")).alias("z"))
-    return out.select("z.rows.row.*", F.col("z.__m").alias(output))
+
+    def starts(v: str):
+        # the means before each chunk
+        return F.aggregate("all", F.struct(empty.alias("m"), none.alias("out")), lambda s, x: F.struct(carry(s["m"], x[v]).alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out")), lambda s: s["out"])
+
+    begun = every.select("object", F.explode(F.arrays_zip("all", *(starts(v).alias(f"s{v}") for v in own.values()))).alias("z"))
+    begun = begun.select("object", F.col("z.all.__c").alias("__c"), *(F.col(f"z.s{v}").alias(f"s{v}") for v in own.values()))
+    both = held.join(begun, ["object", "__c"])
+
+    def walk(v: str):
+        return F.aggregate("rows", F.struct(F.col(f"s{v}").alias("m"), none.alias("out")), lambda s, r: F.struct(step(s["m"], r[v]).alias("m"), F.concat(s["out"], F.array(step(s["m"], r[v]))).alias("out")), lambda s: s["out"])
+
+    out = both.select("rows", *(walk(v).alias(f"m{v}") for v in own.values())).select(F.explode(F.arrays_zip("rows", *(f"m{v}" for v in own.values()))).alias("z"))
+    return out.select("z.rows.row.*", *(F.col(f"z.m{v}").alias(outputs[c]) for c, v in own.items()))
 
 
 def detect_events(df: DataFrame, threshold: float = 3.5, spacing_days: float = 1.0) -> DataFrame:
