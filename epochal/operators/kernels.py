@@ -58,21 +58,26 @@ def lagged_correlation(df: DataFrame, x: str, y: str, lags: int) -> DataFrame:
     return rows.groupBy("object", F.col("p.lag").alias("lag")).agg(F.count("*").alias("n"), r.alias("r"))
 
 
-def even_grid(df: DataFrame, cadence_days: float) -> DataFrame:
-    """``object``, ``i``, ``y``: values on the lines between an object's rows, every ``cadence_days`` from its first row on.
+def even_grid(df: DataFrame, cadence_days: float, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``object``, ``i``, ``y`` (of ``value``) or the given columns: values on the lines between an object's rows, every ``cadence_days`` from its first row on.
 
-    Of rows at one time the first (by ``rec``) counts; null values are left out.
+    Of rows at one time the first (by ``rec``) counts; rows where a value is
+    null or NaN are left out, for all columns alike.
     """
-    own = df.where("object IS NOT NULL AND value IS NOT NULL").groupBy("object", "t").agg(F.min_by("value", "rec").alias("value"))
+    names = columns or ("value",)
+    own = df.where("object IS NOT NULL AND t IS NOT NULL")
+    for c in names:
+        own = own.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    own = own.groupBy("object", "t").agg(*(F.min_by(c, "rec").alias(c) for c in names))
     w = Window.partitionBy("object").orderBy("t")
     step = cadence_days * 8.64e10
     x = (F.col("t") - F.min("t").over(Window.partitionBy("object"))) / step
-    rows = own.withColumn("x", x).withColumns({"x1": F.lead("x").over(w), "y1": F.lead("value").over(w)})
+    rows = own.withColumn("__x", x).withColumns({"__x1": F.lead("__x").over(w), **{f"__1{c}": F.lead(c).over(w) for c in names}})
     # a pair of rows makes the grid points of [x, x1); the last row makes its own, if the grid meets it
-    last = F.coalesce(F.ceil("x1") - 1, F.floor("x"))
-    made = rows.where(F.ceil("x") <= last).select("object", "x", "x1", "value", "y1", F.explode(F.sequence(F.ceil("x"), last)).alias("i"))
-    line = F.col("value") + (F.col("y1") - F.col("value")) * (F.col("i") - F.col("x")) / (F.col("x1") - F.col("x"))
-    return made.select("object", "i", F.coalesce(line, F.col("value")).alias("y"))
+    last = F.coalesce(F.ceil("__x1") - 1, F.floor("__x"))
+    made = rows.where(F.ceil("__x") <= last).withColumn("i", F.explode(F.sequence(F.ceil("__x"), last)))
+    line = lambda c: F.col(c) + (F.col(f"__1{c}") - F.col(c)) * (F.col("i") - F.col("__x")) / (F.col("__x1") - F.col("__x"))
+    return made.select("object", "i", *(F.coalesce(line(c), F.col(c)).alias(c if columns else "y") for c in names))
 
 
 # -- kernels ----------------------------------------------------------------------
