@@ -23,7 +23,9 @@ def _around(both: DataFrame) -> DataFrame:
     span = both.groupBy("__key").agg(F.count("*").alias("n"), F.min("__t").alias("t0"), F.max("__t").alias("t1"))
     width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / F.lit(BUCKET_ROWS))), F.lit(1)).cast("long")
     large = span.where(F.col("n") > BUCKET_ROWS).select(F.col("__key").alias("__k"), width.alias("__w"))
-    bucket = F.when(F.col("__w").isNull(), F.lit(0).cast("long")).otherwise(F.floor(F.col("__t") / F.col("__w")))
+    # rows without a key have no answer: they are only spread
+    spread = F.pmod(F.xxhash64("__t", "__rank"), F.lit(64))
+    bucket = F.when(F.col("__key").isNull(), spread).when(F.col("__w").isNull(), F.lit(0).cast("long")).otherwise(F.floor(F.col("__t") / F.col("__w")))
     cut = both.join(large, F.col("__key") == F.col("__k"), "left").withColumn("__bucket", bucket).drop("__k", "__w")
     order = [F.col("__t"), F.col("__side"), F.col("__rank").asc_nulls_first()]
     back = [F.col("__t").desc(), F.col("__side").desc(), F.col("__rank").desc_nulls_last()]
@@ -47,29 +49,59 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None, tie
     """``left`` with the fields of the nearest row of ``right`` as ``near_<field>``, and ``near_t`` (null: none within tolerance).
 
     At equal distance the earlier or the later row is taken; of rows at one
-    time, the last before and the first after by the first field.
+    time, the last before and the first after by the first field.  A left row
+    without a key or a time has no nearest row, and a right one is none.
     """
     if tie not in ("earlier", "later"):
         raise ValueError("tie is 'earlier' or 'later'")
     columns = left.columns
     own = F.struct(F.col(time), *(F.col(f) for f in fields))
     lefts = left.select(F.struct(*columns).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__rank"))
-    rights = right.select(F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(fields[0]).cast("long").alias("__rank"), own.alias("__hit"))
+    rights = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(fields[0]).cast("long").alias("__rank"), own.alias("__hit"))
     out = _around(lefts.unionByName(rights, allowMissingColumns=True)).where("__side = 1")
     back, ahead = F.col("__t") - F.col(f"__b.{time}"), F.col(f"__a.{time}") - F.col("__t")
     first = back <= ahead if tie == "earlier" else back < ahead
     hit = F.when(F.col("__a").isNull() | F.coalesce(first, F.lit(False)), F.col("__b")).otherwise(F.col("__a"))
     out = out.select("__row.*", hit.alias("__hit"))
     gap = F.abs(F.col(f"__hit.{time}") - F.col(time))
-    ok = F.lit(True) if tolerance is None else gap <= tolerance
+    ok = gap.isNotNull() if tolerance is None else gap <= tolerance
     return out.select(*columns, F.when(ok, F.col(f"__hit.{time}")).alias(f"near_{time}"), *(F.when(ok, F.col(f"__hit.{f}")).alias(f"near_{f}") for f in fields))
 
 
+def nearest_intersection(df: DataFrame, first, tolerance: int | None = None, key: str = "object", time: str = "t", rec: str = "rec") -> DataFrame:
+    """The epoch of the object ``first`` that all objects come nearest to: ``epoch``, ``key``, ``near_t``, ``near_rec`` and ``worst``, a row an object.
+
+    Candidates are the epochs of one object; each is held against all objects
+    (a stated set, so rows are candidates times objects), and the one with the
+    least (largest distance, sum of distances, epoch) is taken.  If every
+    candidate leaves an object beyond the tolerance there are no rows.
+    """
+    own = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    candidates = own.where(F.col(key) == F.lit(first)).select(F.col(time).alias("epoch")).distinct()
+    asked = candidates.crossJoin(own.select(key).distinct()).withColumn(time, F.col("epoch"))
+    near = nearest(asked, own, tolerance, key=key, time=time, fields=(rec,))
+    gap = F.abs(F.col(f"near_{time}") - F.col("epoch"))
+    score = near.groupBy("epoch").agg(F.max(gap).alias("worst"), F.sum(gap).alias("total"), F.count_if(gap.isNull()).alias("lost")).where("lost = 0")
+    best = score.agg(F.min(F.struct("worst", "total", "epoch")).alias("best")).select(F.col("best.epoch").alias("__e"), F.col("best.worst").alias("worst"))
+    return near.join(F.broadcast(best), F.col("epoch") == F.col("__e")).select("epoch", key, f"near_{time}", f"near_{rec}", "worst")
+
+
+def exact_intersection(df: DataFrame, key: str = "object", time: str = "t", rec: str = "rec") -> DataFrame:
+    """The earliest epoch that all objects share, with the last row (by ``rec``) of each object there; no rows if there is none."""
+    own = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    rows = own.groupBy(time, key).agg(F.max(rec).alias(rec))
+    shared = rows.groupBy(time).agg(F.count("*").alias("n"))
+    objects = own.agg(F.count_distinct(key).alias("all"))
+    first = shared.join(F.broadcast(objects)).where("n = all").agg(F.min(time).alias("__e"))
+    return rows.join(F.broadcast(first), F.col(time) == F.col("__e")).select(key, time, rec)
+
+
 def interpolated(left: DataFrame, right: DataFrame, key: str = "object", time: str = "t", value: str = "value") -> DataFrame:
     """``left`` with ``right``'s value on the line between the rows around its time; null outside."""
     columns = left.columns
     lefts = left.select(F.struct(*columns).alias("__row"), F.col(key).alias("__key"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__rank"))
-    mean = right.groupBy(F.col(key).alias("__key"), F.col(time).alias("__t")).agg(F.avg(value).alias("__v"))  # rows at one time count as their mean
+    known = right.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    mean = known.groupBy(F.col(key).alias("__key"), F.col(time).alias("__t")).agg(F.avg(value).alias("__v"))  # rows at one time count as their mean
     rights = mean.select("__key", "__t", F.lit(0).alias("__side"), F.struct("__t", "__v").alias("__hit"))
     out = _around(lefts.unionByName(rights, allowMissingColumns=True))
     b, a, t = F.col("__b"), F.col("__a"), F.col("__t")
