@@ -326,3 +326,13 @@ def assumed_decimal(spark, sf_dir):
     size = F.col("p_size")
     text = F.when(size % 5 != 0, F.concat(F.when(size % 2 == 0, "-").otherwise("+"), F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"), F.lit("-"), (size % 4).cast("string"))).otherwise("     ")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(tle.assumed_decimal(text), 12).alias("value"))
+
+
+@query(
+    "element_epoch_text",
+    """WITH p AS (SELECT event_id AS rec, epoch_us(ts) AS t FROM events), d AS (SELECT rec, t // 86400000000 AS d, round((t % 86400000000) / 864.0)::BIGINT AS f FROM p),
+c AS (SELECT rec, DATE '1970-01-01' + (d + CASE WHEN f >= 100000000 THEN 1 ELSE 0 END)::INT AS d, f % 100000000 AS f FROM d)
+SELECT rec, lpad((year(d) % 100)::VARCHAR, 2, '0') || lpad(dayofyear(d)::VARCHAR, 3, '0') || '.' || lpad(f::VARCHAR, 8, '0') AS epoch FROM c""",
+)
+def element_epoch_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("rec"), tle.epoch_field(micros("ts")).alias("epoch"))

@@ -35,6 +35,15 @@ def epoch_micros(field: Column) -> Column:
     return (start - 1) * 86_400_000_000 + F.round(day * 86_400_000_000.0).cast("long")
 
 
+def epoch_field(micros: Column) -> Column:
+    """``YYDDD.ffffffff`` of microseconds since 1970; a fraction that rounds to a whole day is carried into the day and the year."""
+    day = F.floor(micros / 86_400_000_000)
+    part = F.round((micros - day * 86_400_000_000) / 864.0).cast("long")
+    day = day + F.when(part >= 100_000_000, 1).otherwise(0)
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
+    return F.concat(F.lpad((F.year(date) % 100).cast("string"), 2, "0"), F.lpad(F.dayofyear(date).cast("string"), 3, "0"), F.lit("."), F.lpad((part % 100_000_000).cast("string"), 8, "0"))
+
+
 def parse(df: DataFrame, line1: str = "line1", line2: str = "line2") -> DataFrame:
     """Adds the elements of both lines; what can't be read is null."""
     one, two = F.col(line1), F.col(line2)
