@@ -69,16 +69,26 @@ def jensen_shannon(draws: DataFrame, edges: int = 80, group: str = "object", val
 
 
 def line_residuals(df: DataFrame, value: str = "value", least: int = 3, output: str = "residual") -> DataFrame:
-    """Difference from each object's least-squares line over time; null for objects of fewer than ``least`` values."""
+    """Difference from each object's least-squares line over time; null for objects of fewer than ``least`` values.
+
+    Rows without an object are one of their own; a null or NaN value has no
+    residual and takes no part in the line.
+    """
+    df = df.withColumn(value, F.when(~F.isnan(F.col(value).cast("double")), F.col(value)))
     first = df.groupBy(F.col("object").alias("__o")).agg(F.min("t").alias("__t0"))
-    rows = df.join(first, F.col("object") == F.col("__o")).withColumn("__x", days(F.col("t") - F.col("__t0")))
+    rows = df.join(first, F.col("object").eqNullSafe(F.col("__o"))).withColumn("__x", days(F.col("t") - F.col("__t0")))
     fit = rows.groupBy(F.col("object").alias("__f")).agg(F.regr_slope(value, "__x").alias("__s"), F.regr_intercept(value, "__x").alias("__i"), F.count(value).alias("__n"))
-    out = rows.join(fit, F.col("object") == F.col("__f"))
+    out = rows.join(fit, F.col("object").eqNullSafe(F.col("__f")))
     return out.select(*df.columns, F.when(F.col("__n") >= least, F.col(value) - F.col("__i") - F.col("__s") * F.col("__x")).alias(output))
 
 
 def normalised(df: DataFrame, mode: str, value: str = "value", output: str = "y") -> DataFrame:
-    """``raw``, ``detrended`` (line over row numbers), ``zscored`` (population deviation; a constant is centred) or ``differenced`` values of each object."""
+    """``raw``, ``detrended`` (line over row numbers), ``zscored`` (population deviation; a constant is centred) or ``differenced`` values of each object.
+
+    Rows without an object are one of their own; NaN counts as null, which
+    stays null and takes no part in means, deviations and lines.
+    """
+    df = df.withColumn(value, F.when(~F.isnan(F.col(value).cast("double")), F.col(value)))
     if mode == "raw":
         return df.withColumn(output, F.col(value))
     if mode == "differenced":
@@ -86,12 +96,12 @@ def normalised(df: DataFrame, mode: str, value: str = "value", output: str = "y"
     if mode == "zscored":
         fit = df.groupBy(F.col("object").alias("__f")).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
         own = (F.col(value) - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)
-        return df.join(fit, F.col("object") == F.col("__f")).withColumn(output, own).drop("__f", "__m", "__s")
+        return df.join(fit, F.col("object").eqNullSafe(F.col("__f"))).withColumn(output, own).drop("__f", "__m", "__s")
     if mode == "detrended":
         rows = df.withColumn("__i", (F.row_number().over(ordered()) - 1).cast("double"))
         fit = rows.groupBy(F.col("object").alias("__f")).agg(F.regr_slope(value, "__i").alias("__s"), F.regr_intercept(value, "__i").alias("__b"))
         own = F.coalesce(F.col(value) - F.col("__b") - F.col("__s") * F.col("__i"), F.col(value))
-        return rows.join(fit, F.col("object") == F.col("__f")).withColumn(output, own).drop("__f", "__s", "__b", "__i")
+        return rows.join(fit, F.col("object").eqNullSafe(F.col("__f"))).withColumn(output, own).drop("__f", "__s", "__b", "__i")
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -125,31 +125,33 @@ def welch(df: DataFrame, cadence_days: float, segment: int = 32) -> DataFrame:
 
 
 def weighted_wavelet(df: DataFrame, frequencies: list[float], taus: int = 8, decay: float = 0.0125) -> DataFrame:
-    """Foster's weighted wavelet Z: local weighted fits of cosine, sine and constant around ``taus`` times."""
+    """Foster's weighted wavelet Z: local weighted fits of cosine, sine and constant around ``taus`` times, even over an object's span.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.dropna(subset=["value"]).sort_values(["t", "rec"])
-        if not len(own):
-            return pd.DataFrame({"object": pd.Series(dtype="int64"), **{n: pd.Series(dtype=float) for n in ("tau_days", "frequency", "z")}})
-        x, y = (own["t"].to_numpy() - own["t"].iloc[0]) / 8.64e10, own["value"].to_numpy()
-        out = []
-        for tau in np.linspace(0, x[-1], taus):
-            for f in frequencies:
-                w = np.exp(-decay * (2 * np.pi * f * (x - tau)) ** 2)
-                total = w.sum()
-                count = total**2 / (w**2).sum()
-                if count <= 3.5:
-                    continue
-                angle = 2 * np.pi * f * (x - tau)
-                design = np.stack([np.ones_like(x), np.cos(angle), np.sin(angle)], 1)
-                beta = np.linalg.lstsq(design * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
-                fit = design @ beta
-                spread = lambda v: (w * v * v).sum() / total - ((w * v).sum() / total) ** 2  # noqa: B023, E731
-                rest = spread(y) - spread(fit)
-                out.append((own["object"].iloc[0], tau, f, (count - 3) * spread(fit) / (2 * max(rest, 1e-12))))
-        return pd.DataFrame(out, columns=["object", "tau_days", "frequency", "z"]).astype({"object": "int64", "tau_days": float, "frequency": float, "z": float})
-
-    return df.where("object IS NOT NULL").select("object", "t", "rec", "value").groupBy("object").applyInPandas(run, "object long, tau_days double, frequency double, z double")
+    A fit is sums over the object's rows, and cosine and sine about their
+    means are a system of two, so a row adds to the sums of each time and
+    frequency and no series is gathered.  Times that fewer than 3.5 rows (by
+    weight) tell of, and fits whose waves depend on each other, have no row.
+    Rows without an object, time or value (null or NaN) take no part.
+    """
+    own = df.where("object IS NOT NULL AND t IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    ends = own.groupBy(F.col("object").alias("__o")).agg(F.min("t").alias("t0"), days(F.max("t") - F.min("t")).alias("span"), F.avg("value").alias("m"))
+    rows = own.join(ends, F.col("object") == F.col("__o")).select("object", "span", days(F.col("t") - F.col("t0")).alias("x"), (F.col("value") - F.col("m")).alias("y"))
+    last = max(taus - 1, 1)
+    rows = rows.withColumn("f", F.explode(F.array(*map(F.lit, frequencies)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(taus - 1))))
+    rows = rows.withColumn("tau", F.col("span") * F.col("k") / last).withColumn("a", 2 * math.pi * F.col("f") * (F.col("x") - F.col("tau")))
+    rows = rows.withColumns({"w": F.exp(-decay * F.col("a") * F.col("a")), "c": F.cos("a"), "s": F.sin("a")})
+    w, c, s, y = (F.col(n) for n in "wcsy")
+    sums = {"s00": w, "sww": w * w, "sc": w * c, "ss": w * s, "sy": w * y, "scc": w * c * c, "scs": w * c * s, "sss": w * s * s, "scy": w * c * y, "ssy": w * s * y, "syy": w * y * y}
+    out = rows.groupBy("object", "k", "tau", "f").agg(*(F.sum(v).alias(n) for n, v in sums.items()))
+    mean = lambda n: F.col(n) / F.col("s00")
+    about = lambda two, one, other: mean(two) - mean(one) * mean(other)
+    out = out.withColumns(
+        {"n": F.try_divide(F.col("s00") * F.col("s00"), F.col("sww")), "cc": about("scc", "sc", "sc"), "cs": about("scs", "sc", "ss"), "dd": about("sss", "ss", "ss"), "p": about("scy", "sc", "sy"), "q": about("ssy", "ss", "sy"), "var": about("syy", "sy", "sy")}
+    )
+    whole = F.col("cc") * F.col("dd") - F.col("cs") * F.col("cs")
+    fit = (F.col("p") * (F.col("p") * F.col("dd") - F.col("q") * F.col("cs")) + F.col("q") * (F.col("cc") * F.col("q") - F.col("cs") * F.col("p"))) / F.col("det")
+    out = out.withColumn("det", whole).where("n > 3.5 AND det > 1e-12").withColumn("fit", fit)
+    return out.select("object", F.col("tau").alias("tau_days"), F.col("f").alias("frequency"), ((F.col("n") - 3) * F.col("fit") / (2 * F.greatest(F.col("var") - F.col("fit"), F.lit(1e-12)))).alias("z"))
 
 
 #: Rows of a chunk of a series that is folded on its own.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochal.sources.shared import checkpointed
+
 #: An order column (an evenly spread whole number below ``SPREAD``) is cut into so many ranges.
 SPREAD = 1_000_003
 RANGES = 512
@@ -40,14 +42,32 @@ def split(df: DataFrame, by: Column, shares: dict[str, int], name: str = "split"
 def leave_one_out(df: DataFrame, totals: dict[str, str], key: str = "object") -> DataFrame:
     """Of each object: count of the rows of all others, and sums of columns (name: column) over them.
 
-    A complement is the whole less the object, so nothing is repeated per object.
+    A complement is the whole less the object, so nothing is repeated per
+    object.  Null and NaN values count 0 (``<name>_known`` counts the others'
+    values that are neither); a sum over no values is null.  Rows without an
+    object are an object of their own.
     """
-    own = df.groupBy(key).agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{n}") for n, c in totals.items()))
-    whole = own.agg(F.sum("__n").alias("__wn"), *(F.sum(f"__{n}").alias(f"__w{n}") for n in totals))
-    return own.join(F.broadcast(whole)).select(key, (F.col("__wn") - F.col("__n")).alias("n_others"), *((F.col(f"__w{n}") - F.col(f"__{n}")).alias(n) for n in totals))
+    known = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c))
+    parts = [x for n, c in totals.items() for x in (F.coalesce(F.sum(known(c)), F.lit(0)).alias(f"__{n}"), F.count(known(c)).alias(f"__{n}_known"))]
+    own = df.groupBy(key).agg(F.count("*").alias("__n"), *parts)
+    names = ["n", *(x for n in totals for x in (n, f"{n}_known"))]
+    whole = own.agg(*(F.sum(f"__{n}").alias(f"__w_{n}") for n in names))
+    rest = lambda n: F.col(f"__w_{n}") - F.col(f"__{n}")
+    values = [x for n in totals for x in (F.when(rest(f"{n}_known") > 0, rest(n)).alias(n), rest(f"{n}_known").alias(f"{n}_known"))]
+    return own.join(F.broadcast(whole)).select(key, rest("n").alias("n_others"), *values)
 
 
 def first_seen(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Distinct values in the order they first come, numbered from 0 (values, not rows, are numbered)."""
+    """Distinct values in the order they first come, numbered from 0 (values, not rows, are numbered); no task sees them all."""
     first = df.groupBy(column).agg(F.min(order).alias("first"))
-    return first.withColumn("position", F.row_number().over(Window.orderBy("first", column)) - 1)
+    return numbered(first, [F.col("first"), F.col(column)], "position")
+
+
+def numbered(df: DataFrame, order: list[Column], output: str) -> DataFrame:
+    """``df`` with row numbers from 0 in a total order: ranges are numbered each from the count of those before (one row a range)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__c"))
+    starts = counts.select(F.col("__part").alias("__p"), (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(starts, F.col("__part") == F.col("__p")).withColumn(output, F.col("__first") + within - 1).drop("__part", "__p", "__first")

@@ -66,7 +66,7 @@ def split_by_object(spark, sf_dir):
 
 @query("leave_one_out", f"WITH {P} SELECT object, (SELECT count(*) FROM p) - count(*) AS n_others, round((SELECT sum(value) FROM p) - sum(value), 3) AS total FROM p GROUP BY object")
 def leave_one_out(spark, sf_dir):
-    return sampling.leave_one_out(event_panel(spark, sf_dir), {"total": "value"}).withColumn("total", F.round("total", 3))
+    return sampling.leave_one_out(event_panel(spark, sf_dir), {"total": "value"}).select("object", "n_others", F.round("total", 3).alias("total"))
 
 
 @query("first_seen_order", f"WITH {P}, f AS (SELECT category, min(rec) AS first FROM p GROUP BY 1) SELECT category, first, row_number() OVER (ORDER BY first, category) - 1 AS position FROM f")

@@ -74,9 +74,20 @@ def welch_density(spark, sf_dir):
     return kernels.welch(event_panel(spark, sf_dir), 0.25).withColumn("density", F.round("density", 4))
 
 
-@query("wavelet_z")
+@query(
+    "wavelet_z",
+    f"""WITH {P}, o AS (SELECT object, t, value AS y, (t - min(t) OVER (PARTITION BY object)) / {float(DAY)} AS x, (max(t) OVER (PARTITION BY object) - min(t) OVER (PARTITION BY object)) / {float(DAY)} AS span, avg(value) OVER (PARTITION BY object) AS m FROM p WHERE object IS NOT NULL AND value IS NOT NULL),
+g AS (SELECT object, span * k / 7 AS tau, k, f, 2 * pi() * f * (x - span * k / 7) AS a, y - m AS y FROM o, range(8) r(k), (SELECT unnest([0.1, 0.2, 0.5, 1.0])::DOUBLE AS f) q),
+w AS (SELECT *, exp(-0.0125 * a * a) AS w, cos(a) AS c, sin(a) AS s FROM g),
+u AS (SELECT object, k, tau, f, sum(w) AS s00, sum(w * w) AS sww, sum(w * c) / sum(w) AS mc, sum(w * s) / sum(w) AS ms, sum(w * y) / sum(w) AS my, sum(w * c * c) / sum(w) AS cc, sum(w * c * s) / sum(w) AS cs, sum(w * s * s) / sum(w) AS ss,
+  sum(w * c * y) / sum(w) AS cy, sum(w * s * y) / sum(w) AS sy, sum(w * y * y) / sum(w) AS yy FROM w GROUP BY object, k, tau, f),
+v AS (SELECT *, s00 * s00 / sww AS n, cc - mc * mc AS a, cs - mc * ms AS b, ss - ms * ms AS d, cy - mc * my AS p, sy - ms * my AS q, yy - my * my AS var FROM u),
+z AS (SELECT *, (p * (p * d - q * b) + q * (a * q - b * p)) / (a * d - b * b) AS fit FROM v WHERE n > 3.5 AND a * d - b * b > 1e-12)
+SELECT object, round(tau, 6) AS tau_days, f AS frequency, round((n - 3) * fit / (2 * greatest(var - fit, 1e-12)), 4) AS z FROM z""",
+)
 def wavelet_z(spark, sf_dir):
-    return kernels.weighted_wavelet(event_panel(spark, sf_dir), FREQUENCIES)
+    out = kernels.weighted_wavelet(event_panel(spark, sf_dir), FREQUENCIES)
+    return out.select("object", F.round("tau_days", 6).alias("tau_days"), "frequency", F.round("z", 4).alias("z"))
 
 
 @query(
@@ -99,22 +110,27 @@ def detect_events(spark, sf_dir):
     return kernels.detect_events(event_panel(spark, sf_dir))
 
 
-#: Inputs of the phase scores by arithmetic on the panel: slope and variation of a hundredth of the value, the others from record numbers.
-PHASE_INPUTS = f"""{P}, f AS (SELECT object, t, rec, count(*) OVER w AS n, stddev_pop(value / 100) OVER (PARTITION BY object ORDER BY t, rec ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) * 5 AS variation,
-  coalesce(lag(t) OVER o, t) AS t0, coalesce(lead(t) OVER o, t) AS t1, coalesce(lag(value) OVER o, value) AS v0, coalesce(lead(value) OVER o, value) AS v1 FROM p WINDOW w AS (PARTITION BY object), o AS (PARTITION BY object ORDER BY t, rec)),
-x AS (SELECT object, t, rec, CASE WHEN n >= 3 AND t1 > t0 THEN (v1 - v0) / 100 / ((t1 - t0) / {float(DAY)}) ELSE 0 END AS slope, variation, (rec * 31 % 97) * 1e-5::DOUBLE AS drag, (rec * 17 % 50) / 100.0::DOUBLE AS event_rate,
-  (rec * 7 % 40 - 20)::DOUBLE AS shell_residual, (rec % 11 - 5) / 5.0::DOUBLE AS shell_drift, (rec * 13 % 100) / 100.0::DOUBLE AS evidence, (rec % 9) / 9.0::DOUBLE AS upkeep_rate, (rec % 6) / 6.0::DOUBLE AS upkeep_regularity, (rec * 5 % 21) / 21.0::DOUBLE AS upkeep_loss FROM f)"""
+#: Inputs of the phase scores from an object's records: slope, variation and offset of a hundredth of the value, rates and shares of kinds of records around each.
+PHASE_INPUTS = f"""{P}, h AS (SELECT object, t, rec, value / 100 AS v, category FROM p), f AS (SELECT *, count(*) OVER (PARTITION BY object) AS n, stddev_pop(v) OVER m * 5 AS variation, v - avg(v) OVER m AS away,
+  coalesce(lag(t) OVER o, t) AS t0, coalesce(lead(t) OVER o, t) AS t1, coalesce(lag(v) OVER o, v) AS v0, coalesce(lead(v) OVER o, v) AS v1, avg(v) OVER g AS level,
+  count(*) FILTER (category = 'error') OVER wk AS errors, count(*) FILTER (category = 'signup') OVER mo AS signups, avg((category = 'purchase')::INT) OVER g AS bought, avg((category = 'view')::INT) OVER m AS views, avg((category = 'click')::INT) OVER m AS clicks
+  FROM h WINDOW o AS (PARTITION BY object ORDER BY t, rec), m AS (PARTITION BY object ORDER BY t, rec ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), g AS (PARTITION BY object ORDER BY t, rec ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING),
+  wk AS (PARTITION BY object ORDER BY t RANGE BETWEEN {7 * DAY} PRECEDING AND {7 * DAY} FOLLOWING), mo AS (PARTITION BY object ORDER BY t RANGE BETWEEN {30 * DAY} PRECEDING AND {30 * DAY} FOLLOWING)),
+x AS (SELECT object, t, rec, CASE WHEN n >= 3 AND t1 > t0 THEN (v1 - v0) / ((t1 - t0) / {float(DAY)}) ELSE 0 END AS slope, variation, level * 4e-4 AS drag, errors / 14.0::DOUBLE AS event_rate,
+  away * 20 AS shell_residual, away AS shell_drift, bought AS evidence, signups / 10.0::DOUBLE AS upkeep_rate, 2 * views AS upkeep_regularity, greatest(0, 1 - 2 * clicks) AS upkeep_loss FROM f)"""
 
 
 def phase_inputs(spark, sf_dir):
     panel = event_panel(spark, sf_dir).withColumn("value", F.col("value") / 100)
-    known = series.central_slope(panel).withColumn("variation", F.stddev_pop("value").over(series.centred(15)) * 5)
-    rec = F.col("rec")
-    made = {
-        "drag": (rec * 31 % 97) * 1e-5, "event_rate": (rec * 17 % 50) / 100, "shell_residual": (rec * 7 % 40 - 20).cast("double"), "shell_drift": (rec % 11 - 5) / 5,
-        "evidence": (rec * 13 % 100) / 100, "upkeep_rate": (rec % 9) / 9, "upkeep_regularity": (rec % 6) / 6, "upkeep_loss": (rec * 5 % 21) / 21,
-    }
-    return known.select("object", "t", "rec", "slope", "variation", *(v.alias(c) for c, v in made.items()))
+    wide, near = series.centred(15), series.centred(7)
+    kind = lambda k: (F.col("category") == k).cast("int")
+    offset = F.col("value") - F.avg("value").over(wide)
+    known = series.central_slope(panel)
+    return known.select(
+        "object", "t", "rec", "slope", (F.stddev_pop("value").over(wide) * 5).alias("variation"), (F.avg("value").over(near) * 4e-4).alias("drag"), (F.sum(kind("error")).over(series.around(7 * DAY)) / 14.0).alias("event_rate"),
+        (offset * 20).alias("shell_residual"), offset.alias("shell_drift"), F.avg(kind("purchase")).over(near).alias("evidence"), (F.sum(kind("signup")).over(series.around(30 * DAY)) / 10.0).alias("upkeep_rate"),
+        (2 * F.avg(kind("view")).over(wide)).alias("upkeep_regularity"), F.greatest(F.lit(0.0), 1 - 2 * F.avg(kind("click")).over(wide)).alias("upkeep_loss"),
+    )
 
 
 @query(
@@ -126,12 +142,11 @@ b AS (SELECT *, greatest(0, least(2, abs(shell_residual) / 25 + 0.7 * evidence +
 e AS (SELECT rec, greatest(1e-6, 0.05) AS e0, greatest(1e-6, greatest(0, least(1, (slope - 0.2) / 0.8)) * least(1.8, 0.5 + evidence)) AS e1, greatest(1e-6, least(1, 0.55 * event_rate + 0.35 * evidence + 0.10 * abs(shell_drift))) AS e2,
   greatest(1e-6, least(2, stable * greatest(0, 1 - variation / 8) * least(1.6, 0.25 + upkeep_regularity + 0.35 * (exp(2 * upkeep_rate) - 1) / (exp(2 * upkeep_rate) + 1)) * greatest(0.2, 1 - 0.8 * upkeep_loss) * 1.2)) AS e3,
   greatest(1e-6, CASE WHEN rl >= 0.8 THEN rl ELSE 0.25 * rl END) AS e4, greatest(1e-6, CASE WHEN di >= 0.9 THEN di ELSE 0.2 * di END) AS e5, greatest(1e-6, CASE WHEN pa >= 0.85 THEN pa ELSE 0.25 * pa END) AS e6, greatest(1e-6, CASE WHEN nw > 0.7 THEN nw ELSE 0.25 * nw END) AS e7 FROM b)
-SELECT rec, round(e0 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS unknown, round(e1 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS raising, round(e3 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS operational, round(e4 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS relocation,
-  round(e5 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS disposal, round(e6 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS decay FROM e""",
+SELECT rec, round(e0 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS unknown, round(e1 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS raising, round(e2 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS transition, round(e3 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS operational, round(e4 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS relocation, round(e5 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS disposal, round(e6 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS decay, round(e7 / (e0 + e1 + e2 + e3 + e4 + e5 + e6 + e7), 6) AS nonoperational FROM e""",
 )
 def phase_emissions(spark, sf_dir):
-    names = {"unknown": 0, "raising": 1, "operational": 3, "relocation": 4, "disposal": 5, "decay": 6}
-    return phases.emissions(phase_inputs(spark, sf_dir)).select("rec", *(F.round(F.get("emission", i), 6).alias(n) for n, i in names.items()))
+    names = ("unknown", "raising", "transition", "operational", "relocation", "disposal", "decay", "nonoperational")
+    return phases.emissions(phase_inputs(spark, sf_dir)).select("rec", *(F.round(F.get("emission", i), 6).alias(n) for i, n in enumerate(names)))
 
 
 @query("viterbi_states")
@@ -144,6 +159,11 @@ def phase_dwell(spark, sf_dir):
     return phases.label(phase_inputs(spark, sf_dir))
 
 
+@query("mission_phases")
+def mission_phases(spark, sf_dir):
+    return phases.mission_phases(phase_inputs(spark, sf_dir))
+
+
 @query(
     "spaced_rows",
     f"""WITH RECURSIVE {P}, n AS (SELECT object, rec, t, value, row_number() OVER (PARTITION BY object ORDER BY t, rec) AS i, count(*) OVER (PARTITION BY object) AS c,
