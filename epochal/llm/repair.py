@@ -45,11 +45,12 @@ def _buckets(left: np.ndarray, right: np.ndarray, turn: int) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1)) ^ ((right + np.uint32(turn)) * np.uint32(0x85EBCA6B))) >> np.uint32(32 - BUCKET_BITS)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pairs, rarer ones first; which places hold one; and each such place's pair.
+def _frequent(left: np.ndarray, right: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs, rarer ones first; which places hold one; each such place's pair; and places that wait.
 
     All places are counted in buckets first; those of heavy buckets are sorted.
-    Of two frequent pairs with one bucket the rarer is left out.
+    Of two frequent pairs with one bucket the rarer waits for the next round,
+    where buckets are others.
     """
     bucket = _buckets(left, right, turn)
     some = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= MIN_COUNT)[bucket])
@@ -60,12 +61,18 @@ def _frequent(left: np.ndarray, right: np.ndarray, turn: int) -> tuple[np.ndarra
     often = times >= MIN_COUNT
     pairs = order[cuts[:-1][often]][np.argsort(times[often], kind="stable")]
     if not len(pairs):
-        return pairs, some[:0], some[:0]
+        return pairs, some[:0], some[:0], some[:0]
     table = np.zeros(1 << BUCKET_BITS, np.int32)
-    table[_buckets((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32), turn)] = np.arange(len(pairs))
+    own = _buckets((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32), turn)
+    table[own] = np.arange(len(pairs))
     number = table[bucket]
     hit = pairs[number] == keys
-    return pairs, some[hit], number[hit]
+    lost = table[own] != np.arange(len(pairs))
+    shared = np.zeros(1 << BUCKET_BITS, bool)
+    shared[own[lost]] = True
+    waits = np.flatnonzero(shared[bucket] & ~hit)
+    waits = waits[np.isin(keys[waits], pairs[lost])]
+    return pairs, some[hit], number[hit], some[waits]
 
 
 def _disjoint(at: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -82,7 +89,8 @@ def build_grammar(ids: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.nd
     """``(rules, sequence, base)``: rule ``i`` is symbol ``base + i`` and stands for its two symbols.
 
     A round looks only at places that can have become frequent: beside symbols
-    of the last round, and at frequent pairs that were not replaced.  A pair
+    of the last round, and at frequent pairs that were not replaced (or shared
+    a bucket with a more frequent one).  A pair
     with too few places left by more frequent ones waits for the next round;
     the most frequent one always keeps half of its places or more, so each
     round shortens the sequence.
@@ -93,10 +101,10 @@ def build_grammar(ids: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.nd
     total = turn = 0
     at = np.flatnonzero((seq[:-1] != end) & (seq[1:] != end))
     while len(at):
-        pairs, hit, number = _frequent(seq[at], seq[at + 1], turn)
+        pairs, hit, number, waits = _frequent(seq[at], seq[at + 1], turn)
         if not len(pairs):
             break
-        at = at[hit]
+        later, at = at[waits], at[hit]
         keep = _disjoint(at, number)
         live = np.bincount(number[keep], minlength=len(pairs)) >= MIN_COUNT // 2
         symbol = (base + total + np.cumsum(live) - 1).astype(np.uint32)
@@ -107,7 +115,7 @@ def build_grammar(ids: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.nd
         seq[own] = symbol[number[keep]]
         stays, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         stays[own + 1] = False
-        look[at] = True
+        look[at] = look[later] = True
         look[np.maximum(own - 1, 0)] = True
         seq, look = seq[stays], look[stays]
         at = np.flatnonzero(look[:-1] & (seq[:-1] != end) & (seq[1:] != end))

@@ -190,6 +190,29 @@ def test_rounds_go_on_until_no_pair_is_frequent():
     assert (repair.Block(repair.pack_block([1], np.array([len(ids)]), ids)).all_ids() == ids).all()
 
 
+def left_over(ids):
+    """Pairs of different ids that are still frequent in the remaining sequence."""
+    rules, seq, _ = repair.build_grammar(ids)
+    inner = (seq[:-1] != 2) & (seq[1:] != 2)
+    pairs, times = np.unique(np.stack([seq[:-1], seq[1:]], 1)[inner], axis=0, return_counts=True)
+    return [(a, b, n) for (a, b), n in zip(pairs.tolist(), times.tolist(), strict=True) if n >= repair.MIN_COUNT and a != b], len(rules)
+
+
+def test_frequent_pairs_of_one_bucket_all_get_rules():
+    bucket = lambda a, b: int(repair._buckets(np.array([a], np.uint32), np.array([b], np.uint32), 0)[0])
+    own = {}
+    for a in range(3, 4000):
+        own.setdefault(bucket(a, a + 5000), []).append((a, a + 5000))
+    first, second = next(v[:2] for v in own.values() if len(v) > 1)
+    rng = np.random.default_rng(6)
+    parts = [first] * 100 + [second] * 60
+    ids = np.concatenate([[*parts[i], 20_000 + k] for k, i in enumerate(rng.permutation(160))]).astype(np.uint32)
+    assert left_over(ids) == ([], 2)
+    zipf = np.minimum(rng.zipf(1.2, 1 << 18), 40_000).astype(np.uint32) + 3
+    assert left_over(zipf)[0] == []
+    assert (repair.Block(repair.pack_block([1], np.array([len(zipf)]), zipf)).all_ids() == zipf).all()
+
+
 def test_rows_without_an_id_are_parted_by_their_texts(spark):
     rows = [(None, f"text {n % 700} of none", None, None, None, None) for n in range(900)] + [(n, "x", None, None, None, None) for n in range(30)]
     path = storage.new_path(spark, "shards")
