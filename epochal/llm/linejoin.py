@@ -292,5 +292,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, key: str = "doc_id", text: str =
     gone = decisions(docs, edits, key, text).where("n_removed > 0")
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.transform("removed", lambda x: x["line_no"]).alias("__gone"))
     both = docs.join(gone, (F.col(key) == F.col("__id")) & (text_key(F.col(text)) == F.col("__key")), "left")
-    left = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
+    # numbers that stay, by hashing: linear in the lines, however many go
+    stay = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__gone"))
+    left = let(F.split(text, "\n"), lambda own: F.array_join(F.transform(stay(own), lambda i: F.get(own, i)), "\n"))
     return both.select(*(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns))
