@@ -24,7 +24,7 @@ where no earlier event, however merged, can reach the next.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from epochal.functions.orbital import MU
+from epochal.operators.asof import greedy_matches
 from epochal.operators.kernels import exponential_means
 from epochal.operators.series import ordered, whole
+from epochal.sources.shared import checkpointed
 
 SECOND = 1_000_000
 HOUR = 3600
@@ -47,8 +49,9 @@ LEAST_RECORDS = 10
 
 @dataclass(frozen=True)
 class Settings:
-    """Fixed values of the detectors, the score and the merge."""
+    """Fixed values of the detectors, the score and the merge; ``families`` are those that segments and fusion go by."""
 
+    families: tuple = FAMILIES
     trend_rows: int = 13
     sigma: float = 3.0
     prominence_rows: int = 11
@@ -244,7 +247,7 @@ def _any(columns: list[str]) -> Column:
 
 
 def detect(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """The rows with a mask ``m_<family>`` and an evidence ``e_<family>`` of every family, ``prominence``, steps and jumps."""
+    """The rows with a mask ``m_<family>`` and an evidence ``e_<family>`` of every family, prominences ``p_<family>``, steps and jumps."""
     out = features(panel, cfg)
     local, steps = {f"local_{c}": cfg.sigma for c in ("sma", "inc")}, {f"step_{c}": cfg.sigma for c in (*ENERGY, *PLANE)}
     out = _gate(out, local | steps, cfg)
@@ -278,7 +281,7 @@ def detect(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     w = ordered()
     high = F.col("e_anomaly") > cfg.anomaly_sigma
     alone = high & ~F.coalesce(F.lag(high).over(w), F.lit(False)) & ~F.coalesce(F.lead(high).over(w), F.lit(False))
-    out = out.withColumns({"m_anomaly": alone, "prominence": F.greatest("p_filtered", "p_smoothed", "p_predicted"), "slope_scale": filled(F.col("slope_scale"), None)})
+    out = out.withColumns({"m_anomaly": alone, "slope_scale": filled(F.col("slope_scale"), None)})
     around = lambda a, b: w.rowsBetween(a, b)
     nine = F.when(F.count("d1_sma").over(around(-4, 4)) >= 3, F.avg("d1_sma").over(around(-4, 4)))
     jumped = F.coalesce(d1 > F.col("jump") + 2 * F.col("jump_r"), F.lit(False)).cast("double")
@@ -286,15 +289,20 @@ def detect(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     out = out.withColumns({"sustained": F.abs(nine) / floored(F.col("slope_scale"), F.col("slope_floor")), "upkeep": many})
     sides = {f"{side}_{c}": F.avg(c).over(around(*rows)) for c in ("sma", "inc") for side, rows in (("pre", (-5, -1)), ("post", (1, 5)))}
     out = out.withColumns({**sides, "cadence_cv": F.coalesce(F.try_divide("dt_sd", "cadence"), F.lit(0.0))})
-    names = [*(f"{k}_{f}" for f in FAMILIES for k in "me"), "m_anomaly", "e_anomaly", "prominence", "energy_step", "plane_step", "d1_sma", "bstar", "sustained", "upkeep", "cadence", "cadence_cv", *sides]
+    names = [*(f"{k}_{f}" for f in FAMILIES for k in "me"), "m_anomaly", "e_anomaly", "p_filtered", "p_smoothed", "p_predicted", "energy_step", "plane_step", "d1_sma", "bstar", "sustained", "upkeep", "cadence", "cadence_cv", *sides]
     return out.select("object", "t", "rec", "i", "n", *names)
 
 
+def largest(columns: list[str]) -> Column:
+    """The largest of some columns; 0 of none."""
+    return F.lit(0.0) if not columns else F.col(columns[0]) if len(columns) == 1 else F.greatest(*columns)
+
+
 def fuse(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Adds ``union`` / ``union_score`` (any mask, largest evidence) and ``weighted_score`` / ``weighted`` (mean by weights beyond a threshold)."""
-    total = sum(cfg.weights[f] for f in FAMILIES)
-    weighted = sum((cfg.weights[f] * F.col(f"e_{f}") for f in FAMILIES), F.lit(0.0)) / total
-    out = found.withColumns({"union": _any([f"m_{f}" for f in FAMILIES]), "union_score": F.greatest(*(f"e_{f}" for f in FAMILIES)), "weighted_score": weighted})
+    total = sum(cfg.weights[f] for f in cfg.families)
+    weighted = sum((cfg.weights[f] * F.col(f"e_{f}") for f in cfg.families), F.lit(0.0)) / total
+    out = found.withColumns({"union": _any([f"m_{f}" for f in cfg.families]), "union_score": largest([f"e_{f}" for f in cfg.families]), "weighted_score": weighted})
     return out.withColumn("weighted", F.col("weighted_score") >= cfg.weighted_threshold)
 
 
@@ -302,18 +310,18 @@ def fuse(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 def supported(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Adds ``support``: rows of any family's mask, gaps filled; in objects without any, rows of high evidence, or else the rows around the peak."""
     bridge = lambda m: bridged(m, cfg.gap_rows)
-    out = found.where(F.col("n") >= LEAST_RECORDS).withColumns({f"b_{f}": bridge(F.col(f"m_{f}")) for f in FAMILIES})
-    out = out.withColumn("support", _any([f"b_{f}" for f in FAMILIES])).drop(*(f"b_{f}" for f in FAMILIES))
+    out = found.where(F.col("n") >= LEAST_RECORDS).withColumns({f"b_{f}": bridge(F.col(f"m_{f}")) for f in cfg.families})
+    out = out.withColumn("support", _any([f"b_{f}" for f in cfg.families])).drop(*(f"b_{f}" for f in cfg.families))
     out = out.withColumn("support", bridge(F.col("support")))
-    best = F.greatest(*(f"e_{f}" for f in FAMILIES))
+    best = largest([f"e_{f}" for f in cfg.families])
     out = out.withColumn("best", best)
     of = whole()
-    scales = {f"{k}_{f}": u(f"e_{f}").over(of) for f in FAMILIES for k, u in (("c", middle), ("s", simple_sigma), ("q", percentile_85))}
+    scales = {f"{k}_{f}": u(f"e_{f}").over(of) for f in cfg.families for k, u in (("c", middle), ("s", simple_sigma), ("q", percentile_85))}
     peak = F.max(F.struct("best", (-F.col("i")).alias("i"))).over(of)
     out = out.withColumns(scales).withColumns({"some": F.max("support").over(of), "peak": peak})
     high = lambda f: F.col(f"e_{f}") >= F.greatest(F.lit(0.6), F.col(f"c_{f}") + 1.2 * F.col(f"s_{f}"), F.col(f"q_{f}"))
-    out = out.withColumn("high", high(FAMILIES[0]))
-    for f in FAMILIES[1:]:
+    out = out.withColumn("high", high(cfg.families[0]))
+    for f in cfg.families[1:]:
         out = out.withColumn("high", F.col("high") | high(f))
     out = out.withColumn("high", bridged(F.col("high"), max(1, cfg.gap_rows)))
     near = (F.abs(F.col("i") + F.col("peak.i")) <= 1) & (F.col("peak.best") >= 0.7)
@@ -330,37 +338,40 @@ def segments(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     scores beyond the threshold with enough prominence, or peaks of 0.8.
     """
     w = ordered()
-    rows = supported(found, cfg)
+    shown = [f"p_{f}" for f in ("filtered", "smoothed", "predicted") if f in cfg.families]
+    rows = supported(found, cfg).withColumn("prominence", largest(shown))
+    predicts, steps = "predicted" in cfg.families, "filtered" in cfg.families
     starts = F.col("support") & ~F.coalesce(F.lag("support").over(w), F.lit(False))
     rows = rows.withColumn("__start", starts.cast("int")).withColumn("segment", F.sum("__start").over(w)).where("support")
     edge = lambda c, f: f(c, "i").alias(c)
     own = rows.groupBy("object", "segment").agg(
         F.min("i").alias("first_row"), F.max("i").alias("last_row"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("support_points"),
-        *(F.max(f"m_{f}").alias(f"m_{f}") for f in FAMILIES), *(F.max(f"e_{f}").alias(f"e_{f}") for f in FAMILIES), *(F.avg(f"e_{f}").alias(f"a_{f}") for f in FAMILIES),
+        *(F.max(f"m_{f}").alias(f"m_{f}") for f in cfg.families), *(F.max(f"e_{f}").alias(f"e_{f}") for f in cfg.families), *(F.avg(f"e_{f}").alias(f"a_{f}") for f in cfg.families),
         F.max("prominence").alias("prominence"), F.max("e_anomaly").alias("anomaly_score"), F.first("cadence").alias("cadence"), F.first("cadence_cv").alias("cadence_cv"),
-        *(F.coalesce(F.avg(f"{k}_step"), F.lit(0.0)).alias(f"{k}_signal") for k in ("energy", "plane")),
+        *((F.coalesce(F.avg(f"{k}_step"), F.lit(0.0)) if steps else F.lit(0.0)).alias(f"{k}_signal") for k in ("energy", "plane")),
         F.avg(F.abs("bstar")).alias("bstar_level"), F.avg("sustained").alias("sustained"), F.avg("upkeep").alias("upkeep"), (F.coalesce(F.avg("d1_sma"), F.lit(0.0)) * 24 * HOUR).alias("slope_day"),
-        F.min(F.when(F.col("e_predicted") >= cfg.predicted_sigma, F.col("t"))).alias("t_missed"),
+        F.min(F.when((F.col("e_predicted") >= cfg.predicted_sigma) & predicts, F.col("t"))).alias("t_missed"),
+        F.max("e_predicted").alias("missed"),
         *(edge(f"pre_{c}", F.min_by) for c in ("sma", "inc")), *(edge(f"post_{c}", F.max_by) for c in ("sma", "inc")),
     )
-    families = F.array_compact(F.array(*(F.when(F.col(f"m_{f}"), F.lit(f)) for f in FAMILIES)))
+    families = F.array_compact(F.array(*(F.when(F.col(f"m_{f}"), F.lit(f)) for f in cfg.families)))
     own = own.withColumns(
         {
             "families": families,
-            "consistency": F.size(families) / F.lit(len(FAMILIES)),
+            "consistency": F.size(families) / F.lit(len(cfg.families)),
             "duration_s": (F.col("t_end") - F.col("t_start")) / SECOND,
-            "peak_evidence": F.greatest(*(f"e_{f}" for f in FAMILIES)),
-            "integrated_evidence": sum((F.col(f"a_{f}") for f in FAMILIES), F.lit(0.0)) / len(FAMILIES),
+            "peak_evidence": largest([f"e_{f}" for f in cfg.families]),
+            "integrated_evidence": sum((F.col(f"a_{f}") for f in cfg.families), F.lit(0.0)) / len(cfg.families),
         }
     )
     own = own.where((F.col("support_points") >= cfg.least_support) & ((F.col("duration_s") >= cfg.least_seconds) | (F.col("peak_evidence") >= 0.7)))
     base = 0.42 * F.col("peak_evidence") + 0.28 * F.col("integrated_evidence") + 0.20 * F.col("prominence") + 0.10 * F.col("consistency")
-    score = base / (1 + F.col("cadence_cv")) + 0.10 * F.least(F.lit(1.0), F.col("e_predicted"))
+    score = base / (1 + F.col("cadence_cv")) + (0.10 * F.least(F.lit(1.0), F.col("missed")) if predicts else 0.0)
     own = own.withColumn("score", score)
     accepted = ((F.col("score") >= cfg.accept_score) & (F.col("prominence") >= cfg.accept_prominence)) | (F.col("peak_evidence") >= 0.8)
     delta = {f"delta_{c}": F.coalesce(F.col(f"post_{c}") - F.col(f"pre_{c}"), F.lit(0.0)) for c in ("sma", "inc")}
     out = own.withColumn("accepted", accepted).withColumns(delta)
-    return out.withColumn("event_type", event_type(cfg)).drop(*(f"{k}_{f}" for f in FAMILIES for k in "ma"))
+    return out.withColumn("event_type", event_type(cfg)).drop(*(f"{k}_{f}" for f in cfg.families for k in "ma"), "missed")
 
 
 def event_type(cfg: Settings = Settings()) -> Column:
@@ -453,7 +464,78 @@ def merge_events(events: DataFrame, cfg: Settings = Settings(), by: str = "overl
 
 def events(panel: DataFrame, cfg: Settings = Settings(), by: str = "overlap") -> DataFrame:
     """Merged events of every object of a panel, with ``quality`` (accepted, high confidence, or screened as an anomaly) and a score from 0 to 1."""
-    own = timed(segments(detect(panel, cfg), cfg).where("accepted"), cfg)
+    return events_of(detect(panel, cfg), cfg, by)
+
+
+def events_of(found: DataFrame, cfg: Settings = Settings(), by: str = "overlap") -> DataFrame:
+    """Merged events of rows that have been looked at by ``detect``."""
+    own = timed(segments(found, cfg).where("accepted"), cfg)
     out = merge_events(own, cfg, by).withColumn("event_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 2)))
     quality = F.when(F.col("event_type") == "possible_anomaly", "anomaly_screened").when(F.col("score") >= cfg.high_confidence, "accepted_high_confidence").otherwise("accepted")
     return out.withColumn("quality", quality)
+
+
+# -- known events ----------------------------------------------------------------------
+#: Detectors that are held against each other, and all of them together.
+ABLATIONS = {"local_only": ("local",), "smoothed_only": ("smoothed",), "predicted_only": ("predicted",), "filtered_only": ("filtered",), "fused": FAMILIES}
+
+
+def inject(panel: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``panel`` with planted events: ``schedule`` has ``object``, ``t_at``, ``mode``, ``delta_sma``, ``delta_inc``, ``points`` and ``set_bstar``.
+
+    From ``t_at`` on a step adds its deltas in full; a slope lets them grow
+    evenly over ``points`` rows.  ``set_bstar`` (if it is not null) is the drag
+    term from then on, of several the one planted last in time.  Events add up.
+    Rows without an object or a time, and objects without a schedule, stay as
+    they are.  An object's schedule is short: rows meet each of its events.
+    """
+    w = Window.partitionBy("object").orderBy("t", "rec")
+    rows = panel.withColumn("__i", F.row_number().over(w))
+    items = schedule.where("object IS NOT NULL AND t_at IS NOT NULL").select(F.col("object").alias("__o"), "t_at", "mode", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("delta_sma", "delta_inc")), F.greatest(F.coalesce("points", F.lit(5)), F.lit(1)).alias("points"), "set_bstar")
+    items = items.withColumn("__e", F.monotonically_increasing_id())
+    hit = rows.select("object", "__i", "t").join(items, (F.col("object") == F.col("__o")) & (F.col("t") >= F.col("t_at")))
+    own = Window.partitionBy("__o", "__e")
+    place, length = F.col("__i") - F.min("__i").over(own), F.least("points", F.count("*").over(own))
+    ramp = F.when(place >= length, 1.0).when(length == 1, 0.0).otherwise(place / (length - 1))
+    hit = hit.withColumn("share", F.when(F.lower("mode") == "slope", ramp).otherwise(1.0))
+    added = hit.groupBy(F.col("object").alias("__o"), F.col("__i").alias("__j")).agg(
+        F.sum(F.col("delta_sma") * F.col("share")).alias("__a"), F.sum(F.col("delta_inc") * F.col("share")).alias("__b"), F.max(F.when(F.col("set_bstar").isNotNull(), F.struct("t_at", "set_bstar"))).alias("__d")
+    )
+    out = rows.join(added, (F.col("object") == F.col("__o")) & (F.col("__i") == F.col("__j")), "left")
+    new = {"sma": F.col("sma") + F.coalesce("__a", F.lit(0.0)), "inc": F.col("inc") + F.coalesce("__b", F.lit(0.0)), "bstar": F.coalesce("__d.set_bstar", "bstar")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in panel.columns))
+
+
+def evaluated(found: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
+    """One row: ``tp``, ``fp``, ``fn``, ``precision``, ``recall``, ``f1``, lags in seconds and ``same_type`` of events (``object``, ``t_event``, ``event_type``) held against true ones.
+
+    True events of an object take, in the order of their times, the nearest
+    event that is still free within ``tolerance`` microseconds.  Without any
+    event on either side all rates are 1; without true ones the recall is 1;
+    lags are null where nothing matches.
+    """
+    side = lambda df, name: df.where("object IS NOT NULL AND t_event IS NOT NULL").select("object", F.col("t_event").alias("t"), F.lit(name).alias("side"))
+    pairs = greedy_matches(side(truth, "truth").unionByName(side(found, "found")), tolerance)
+    kinds = lambda df, t, name: df.groupBy(F.col("object").alias(f"__{name}"), F.col("t_event").alias(f"__t{name}")).agg(F.min("event_type").alias(name))
+    pairs = pairs.join(kinds(found, "t", "as_found"), (F.col("object") == F.col("__as_found")) & (F.col("t_found") == F.col("__tas_found")), "left")
+    pairs = pairs.join(kinds(truth, "t", "as_true"), (F.col("object") == F.col("__as_true")) & (F.col("t_truth") == F.col("__tas_true")), "left")
+    lag = F.when(F.col("kind") == "tp", (F.col("t_found") - F.col("t_truth")) / SECOND)
+    sums = pairs.agg(
+        *(F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")), F.count_if((F.col("kind") == "tp") & (F.col("as_found") == F.col("as_true"))).alias("same_type"),
+        F.avg(lag).alias("lag_mean_s"), F.percentile(lag, F.lit(0.5)).alias("lag_median_s"), F.percentile(F.abs(lag), F.lit(0.95)).alias("lag_abs_p95_s"),
+    )
+    found_any, true_any = F.col("tp") + F.col("fp") > 0, F.col("tp") + F.col("fn") > 0
+    sums = sums.withColumn("precision", F.when(found_any, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.when(true_any, 0.0).otherwise(1.0)))
+    sums = sums.withColumn("recall", F.when(true_any, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(1.0))
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return sums.select("tp", "fp", "fn", "precision", "recall", f1.alias("f1"), "same_type", "lag_mean_s", "lag_median_s", "lag_abs_p95_s")
+
+
+def ablation(panel: DataFrame, truth: DataFrame, tolerance: int, cfg: Settings = Settings()) -> DataFrame:
+    """``evaluated`` of each of ``ABLATIONS`` as ``mode``: the rows are looked at once, then judged by each choice of families."""
+    found = checkpointed(detect(panel, cfg))
+    out = None
+    for mode, families in ABLATIONS.items():
+        one = evaluated(events_of(found, replace(cfg, families=families)), truth, tolerance).select(F.lit(mode).alias("mode"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

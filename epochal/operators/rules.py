@@ -135,3 +135,24 @@ def canonical_id(text: Column) -> Column:
     """Lower-case last part of a path without its extension, blanks and dashes as underscores."""
     last = F.regexp_extract(F.lower(F.trim(text)), r"([^/\\]*)$", 1)
     return F.regexp_replace(F.regexp_replace(last, r"\.[a-z0-9]+$", ""), r"[\s-]+", "_")
+
+
+#: Choices of event layers.
+LAYER_MODES = ("all", "accepted_plus_raw", "accepted_only", "raw_only", "rejects_only", "accepted_high_confidence")
+
+
+def in_layer(mode: str, quality: str = "quality", layer: str = "layer", score: str = "event_score", least: float = 0.8) -> Column:
+    """Whether an event belongs to a layer mode, by its quality and layer names (in any case) and its score; null names are empty, a null score 0."""
+    q, name = F.lower(F.coalesce(quality, F.lit(""))), F.coalesce(layer, F.lit(""))
+    rejected = F.contains(q, F.lit("reject"))
+    modes = {
+        "all": F.lit(True),
+        "accepted_plus_raw": name.isin("accepted", "raw_candidate", "accepted_candidate"),
+        "accepted_only": ~rejected,
+        "raw_only": F.contains(F.lower(name), F.lit("raw")),
+        "rejects_only": rejected | F.contains(q, F.lit("anomaly_screened")),
+        "accepted_high_confidence": ~rejected & (F.coalesce(score, F.lit(0.0)) >= least),
+    }
+    if mode not in modes:
+        raise ValueError(f"unknown layer mode {mode!r}")
+    return modes[mode]

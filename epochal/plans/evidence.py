@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochal.operators import evidence
+from epochal.operators import evidence, rules
 from epochal.registry import query
 from epochal.sources.tables import micros, table
 
@@ -122,3 +122,45 @@ def candidate_segments(spark, sf_dir):
 @query("fused_events")
 def fused_events(spark, sf_dir):
     return evidence.events(elements(spark, sf_dir))
+
+
+#: Events planted halfway through every supplier's panel, as large as a hundredth of its account.
+PLANTED = """ps AS (SELECT s_suppkey AS object, 803347200000000 AS t_at, s_acctbal / 100 AS delta_sma FROM supplier)"""
+
+
+def planted(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("object"), F.lit(803_347_200_000_000).alias("t_at"), F.lit("step").alias("mode"), (F.col("s_acctbal") / 100).alias("delta_sma"), F.lit(0.0).alias("delta_inc"), F.lit(5).alias("points"), F.lit(None).cast("double").alias("set_bstar")
+    )
+
+
+@query("injected_events", f"WITH {ELEMENTS}, {PLANTED} SELECT el.object, el.t, round(sma + CASE WHEN el.t >= t_at THEN delta_sma ELSE 0 END, 6) AS sma FROM el LEFT JOIN ps USING (object)")
+def injected_events(spark, sf_dir):
+    return evidence.inject(elements(spark, sf_dir), planted(spark, sf_dir)).select("object", "t", F.round("sma", 6).alias("sma"))
+
+
+@query("family_ablation")
+def family_ablation(spark, sf_dir):
+    """Families of detectors alone and fused, on the panel with planted events."""
+    schedule = planted(spark, sf_dir)
+    kind = F.when(F.col("delta_sma") > 0, "semi_major_axis_raise").otherwise("semi_major_axis_lower")
+    truth = schedule.select("object", F.col("t_at").alias("t_event"), kind.alias("event_type"))
+    return evidence.ablation(evidence.inject(elements(spark, sf_dir), schedule), truth, 3 * 86_400_000_000)
+
+
+@query(
+    "event_layer_modes",
+    f"""WITH {SEGMENTS}, q AS (SELECT *, (score >= 1 AND prominence >= 0.5) OR peak >= 0.8 AS accepted, anomaly >= 5 AND n_families <= 1 AS odd FROM sc),
+l AS (SELECT *, CASE WHEN NOT accepted THEN 'rejected' WHEN odd THEN 'anomaly_screened' WHEN score >= 1.6 THEN 'accepted_high_confidence' ELSE 'accepted' END AS quality, CASE WHEN accepted THEN 'accepted' ELSE 'raw_candidate' END AS layer FROM q)
+SELECT mode, count(*) FILTER (CASE mode WHEN 'all' THEN true WHEN 'accepted_plus_raw' THEN layer IN ('accepted', 'raw_candidate', 'accepted_candidate') WHEN 'accepted_only' THEN NOT contains(quality, 'reject') WHEN 'raw_only' THEN contains(layer, 'raw')
+  WHEN 'rejects_only' THEN contains(quality, 'reject') OR contains(quality, 'anomaly_screened') ELSE NOT contains(quality, 'reject') AND least(1, score / 2) >= 0.8 END) AS n
+FROM l, (SELECT unnest(['all', 'accepted_plus_raw', 'accepted_only', 'raw_only', 'rejects_only', 'accepted_high_confidence']) AS mode) m GROUP BY mode""",
+)
+def event_layer_modes(spark, sf_dir):
+    """How many segments each of the six layer modes keeps."""
+    own = evidence.segments(evidence.detect(elements(spark, sf_dir)))
+    odd = (F.col("anomaly_score") >= 5) & (F.size("families") <= 1)
+    quality = F.when(~F.col("accepted"), "rejected").when(odd, "anomaly_screened").when(F.col("score") >= 1.6, "accepted_high_confidence").otherwise("accepted")
+    rows = own.select(quality.alias("quality"), F.when(F.col("accepted"), "accepted").otherwise("raw_candidate").alias("layer"), F.least(F.lit(1.0), F.col("score") / 2).alias("event_score"))
+    counts = rows.agg(*(F.count_if(rules.in_layer(m)).alias(m) for m in rules.LAYER_MODES))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(m).alias("n")) for m in rules.LAYER_MODES))).alias("x")).select("x.*")

@@ -136,3 +136,49 @@ def test_gaps_are_bridged(spark):
         df = spark.createDataFrame(rows, "object long, t long, rec long, i int, m boolean")
         out = df.withColumn("b", evidence.bridged(F.col("m"), gap)).orderBy("t").collect()
         assert "".join("1" if r.b else "0" for r in out) == want
+
+
+def test_planted_events(spark):
+    rows = [(o, k, k, 6900.0, 53.0, 15.0, 0.0, 1.0, 1e-4) for o in (1, 2) for k in range(10)] + [(None, 3, 3, 1.0, 1.0, 1.0, 0.0, 1.0, None)]
+    plan = [(1, 4, "step", 8.0, 0.5, None, None), (1, 6, "SLOPE", -4.0, None, 3, 5e-4), (1, 99, "step", 1.0, 1.0, 1, None), (1, 9, "slope", 2.0, 0.0, 4, None), (3, 0, "step", 1.0, 1.0, 1, None), (None, 0, "step", 1.0, 1.0, 1, None)]
+    schedule = spark.createDataFrame(plan, "object long, t_at long, mode string, delta_sma double, delta_inc double, points int, set_bstar double")
+    got = {(r.object, r.rec): (r.sma, r.inc, r.bstar) for r in evidence.inject(spark.createDataFrame(rows, PANEL), schedule).collect()}
+    assert [got[1, k][0] - 6900 for k in range(10)] == [0, 0, 0, 0, 8, 8, 8, 6, 4, 4] and [got[1, k][1] for k in range(10)] == [53.0] * 4 + [53.5] * 6
+    assert [got[1, k][2] for k in range(10)] == [1e-4] * 6 + [5e-4] * 4
+    assert all(got[2, k] == (6900.0, 53.0, 1e-4) for k in range(10)) and got[None, 3] == (1.0, 1.0, None) and len(got) == 21
+
+
+def test_events_against_true_ones(spark):
+    kind = "object long, t_event long, event_type string"
+    found = spark.createDataFrame([(1, 10, "a"), (1, 14, "b"), (1, 90, "a"), (2, 50, "a"), (None, 1, "a")], kind)
+    truth = spark.createDataFrame([(1, 12, "b"), (1, 15, "b"), (1, 60, "a"), (2, 49, "c"), (3, 5, "a")], kind)
+    r = evidence.evaluated(found, truth, 5).first()
+    # 12 takes 10 (as near as 14, and earlier), 15 takes 14
+    assert (r.tp, r.fp, r.fn, r.same_type) == (3, 1, 2, 1)
+    assert (r.precision, r.recall) == (0.75, 0.6) and r.f1 == pytest.approx(2 * 0.75 * 0.6 / 1.35) and r.lag_mean_s == pytest.approx(-2e-6 / 3) and r.lag_median_s == -1e-6
+    none = found.limit(0)
+    assert tuple(evidence.evaluated(none, none, 5).first())[:6] == (0, 0, 0, 1.0, 1.0, 1.0)
+    assert tuple(evidence.evaluated(none, truth, 5).first())[:6] == (0, 0, 5, 0.0, 0.0, 0.0)
+    assert tuple(evidence.evaluated(found, none, 5).first())[:6] == (0, 4, 0, 0.0, 1.0, 0.0)
+
+
+def test_families_alone_and_fused(spark):
+    rows = [r for o in (1, 2) for r in series(o, 100, seed=o)]
+    schedule = spark.createDataFrame([(o, 60 * 6 * HOUR, "step", 12.0, 0.0, 1, None) for o in (1, 2)], "object long, t_at long, mode string, delta_sma double, delta_inc double, points int, set_bstar double")
+    truth = schedule.selectExpr("object", "t_at AS t_event", "'semi_major_axis_raise' AS event_type")
+    panel = evidence.inject(spark.createDataFrame(rows, PANEL), schedule)
+    got = {r["mode"]: r for r in evidence.ablation(panel, truth, 24 * HOUR).collect()}
+    assert set(got) == set(evidence.ABLATIONS)
+    assert got["fused"].recall == 1.0 and got["fused"].tp == 2 and all(r.tp + r.fn == 2 for r in got.values())
+    assert got["fused"].recall >= max(r.recall for r in got.values())
+
+
+def test_layer_modes(spark):
+    from epochal.operators import rules
+
+    rows = [("accepted", "accepted", 0.9), ("Rejected_low", "raw_candidate", 0.9), ("anomaly_screened", "accepted", 0.2), (None, "RAW", None), (None, None, 0.8)]
+    df = spark.createDataFrame(rows, "quality string, layer string, event_score double")
+    counts = {m: df.where(rules.in_layer(m)).count() for m in rules.LAYER_MODES}
+    assert counts == {"all": 5, "accepted_plus_raw": 3, "accepted_only": 4, "raw_only": 2, "rejects_only": 2, "accepted_high_confidence": 2}
+    with pytest.raises(ValueError, match="unknown layer mode"):
+        rules.in_layer("some")
