@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Gravitational parameter, equatorial radius and J2 of the Earth, length of the year.
@@ -103,3 +103,52 @@ def ion_thruster(power_v: Column, current: Column, gamma: float = 0.95, utilisat
         "isp_s": 154.8 * gamma * utilisation * F.sqrt(power_v),
         "power_w": power_v * current / (beam * bus),
     }
+
+
+def with_elements(df: DataFrame) -> DataFrame:
+    """``df`` with the elements of positions ``x y z`` (km) and velocities ``vx vy vz`` (km/s).
+
+    They are ``h``, ``energy``, ``sma``, ``ecc`` and, in degrees [0, 360),
+    ``inc``, ``raan``, ``aop``, ``nu``.  Without a node (an equatorial orbit)
+    its longitude is 0; without an apsis (a circular orbit) ``aop`` is 0 and
+    ``nu`` counts from the node, or from the first axis.  A state without
+    angular momentum has null angles.  Vectors are columns of their own on the
+    way, so that no expression is spelt out many times.
+    """
+    x, y, z, vx, vy, vz = (F.col(c) for c in ("x", "y", "z", "vx", "vy", "vz"))
+    out = df.withColumns({"__r": F.sqrt(x * x + y * y + z * z), "__hx": y * vz - z * vy, "__hy": z * vx - x * vz, "__hz": x * vy - y * vx})
+    r, hx, hy, hz = (F.col(c) for c in ("__r", "__hx", "__hy", "__hz"))
+    toward = lambda a, b: a / MU - F.try_divide(b, r)
+    out = out.withColumns(
+        {
+            "h": F.sqrt(hx * hx + hy * hy + hz * hz), "__n": F.sqrt(hx * hx + hy * hy), "energy": (vx * vx + vy * vy + vz * vz) / 2 - F.try_divide(F.lit(MU), r),
+            "__ex": toward(vy * hz - vz * hy, x), "__ey": toward(vz * hx - vx * hz, y), "__ez": toward(vx * hy - vy * hx, z),
+        }
+    )
+    h, n, ex, ey, ez = (F.col(c) for c in ("h", "__n", "__ex", "__ey", "__ez"))
+    noded = n > 1e-9
+    turn = lambda a: F.when(h > 1e-12, F.pmod(F.degrees(a), F.lit(360.0)))
+    # angles from the node to a vector in the orbit's plane: along the node, and across it
+    along = lambda a, b: F.when(noded, (b * hx - a * hy) / n).otherwise(a)
+    across = lambda b, c: F.when(noded, c * h / n).otherwise(F.when(hz < 0, -b).otherwise(b))
+    out = out.withColumns({"sma": F.try_divide(F.lit(-MU), 2 * F.col("energy")), "ecc": F.sqrt(ex * ex + ey * ey + ez * ez), "__w": F.atan2(across(ey, ez), along(ex, ey)), "__u": F.atan2(across(y, z), along(x, y))})
+    out = out.withColumn("__w", F.when(F.col("ecc") > 1e-10, F.col("__w")).otherwise(0.0))
+    tilt = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(hz, h))))
+    out = out.withColumns({"inc": turn(tilt), "raan": turn(F.when(noded, F.atan2(hx, -hy)).otherwise(0.0)), "aop": turn(F.col("__w")), "nu": turn(F.col("__u") - F.col("__w"))})
+    return out.drop("__r", "__hx", "__hy", "__hz", "__n", "__ex", "__ey", "__ez", "__w", "__u")
+
+
+def phase_choice(ecc: Column, wanted: Column, fallback: Column, threshold: float = 0.01) -> Column:
+    """An orbit's phase: ``fallback`` (a longitude, say) where the eccentricity is known and too small for an apsis, else ``wanted``."""
+    return F.when(F.coalesce((ecc < threshold) & ~F.isnan(ecc), F.lit(False)), fallback).otherwise(wanted)
+
+
+def julian_date(micros: Column) -> Column:
+    """Days since noon of the first day of 4713 BC, of microseconds since 1970."""
+    return micros / 86_400_000_000.0 + 2440587.5
+
+
+def sidereal_angle(julian: Column) -> Column:
+    """Greenwich's sidereal angle (degrees) of a Julian date, by the polynomial for 0 h."""
+    t = (julian - 2451545.0) / 36525.0
+    return F.pmod(100.4606184 + t * (36000.77004 + t * (0.000387933 - t / 38710000.0)), F.lit(360.0))

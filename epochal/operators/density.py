@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +38,79 @@ def metrics(h: DataFrame, cells: int) -> DataFrame:
     return p.agg(
         F.count("*").alias("n_cells"), F.round(-F.sum(F.col("p") * F.log("p")), 6).alias("entropy"), F.round(F.sum(F.col("p") * F.log(F.col("p") * cells)), 6).alias("kl_uniform"), F.round(F.max("n") / F.percentile("n", F.lit(0.5)), 6).alias("peak_to_median")
     )
+
+
+def _bessel0(kappa: float) -> float:
+    """The modified Bessel function of order 0, by its series."""
+    total = term = 1.0
+    k = 0
+    while term > 1e-17 * total:
+        k += 1
+        term *= (kappa / 2 / k) ** 2
+        total += term
+    return total
+
+
+def _deviation_width(n: Column, deviation: Column, factor: float) -> Column:
+    return F.greatest(factor * F.coalesce(deviation, F.lit(1.0)) * F.pow(n, F.lit(-0.2)), F.lit(1e-6))
+
+
+def kde(df: DataFrame, value: str, points: int = 32, keys: tuple[str, ...] = ("object",)) -> DataFrame:
+    """``keys``, ``point``, ``x``, ``density``: a Gaussian density of each group at ``points`` places from its least to its largest value.
+
+    The width is the sample deviation times n to the power -1/5.  Groups of
+    fewer than three values, or of one value only, have none.  A value adds to
+    all places of its group, map-side combined.
+    """
+    own = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    stat = own.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("sd")).where("n >= 3 AND high > low")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    each = own.join(stat, same).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x, width = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / (points - 1), F.col("sd") * F.pow("n", F.lit(-0.2))
+    each = each.select(*keys, "point", x.alias("x"), "n", width.alias("h"), F.col(value).alias("v"))
+    u = (F.col("x") - F.col("v")) / F.col("h")
+    return each.groupBy(*keys, "point", "x").agg((F.sum(F.exp(-0.5 * u * u)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def circular_linear_kde(df: DataFrame, angle: str, value: str, angles: int = 12, values: int = 8, kappa: float = 25.0) -> DataFrame:
+    """``i``, ``j``, ``angle`` (degrees), ``value``, ``density``: von Mises times Gaussian kernels on a grid of the circle and of the values' range.
+
+    The linear width is 1.06 deviations times n to the power -1/5.  Rows
+    without either are left out; an empty table has no grid.
+    """
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    own = df.where(number(angle) & number(value)).select(F.radians(angle).alias("a"), F.col(value).cast("double").alias("v"))
+    stat = own.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("top"), F.stddev_samp("v").alias("sd")).where("n > 0")
+    stat = stat.withColumns({"high": F.when(F.col("top") > F.col("low"), F.col("top")).otherwise(F.col("low") + 1.0), "h": _deviation_width(F.col("n"), F.col("sd"), 1.06)})
+    grid = F.transform(F.sequence(F.lit(0), F.lit(angles * values - 1)), lambda k: F.struct(F.floor(k / values).cast("int").alias("i"), (k % values).cast("int").alias("j")))
+    each = own.join(F.broadcast(stat)).withColumn("g", F.explode(grid)).select("a", "v", "n", "h", "low", "high", "g.*")
+    place = F.col("low") + (F.col("high") - F.col("low")) * F.col("j") / (values - 1)
+    each = each.withColumn("x", place)
+    u = (F.col("x") - F.col("v")) / F.col("h")
+    weight = F.exp(kappa * F.cos(2 * math.pi * F.col("i") / angles - F.col("a")) - 0.5 * u * u)
+    norm = 1.0 / (2 * math.pi * _bessel0(kappa) * math.sqrt(2 * math.pi))
+    return each.groupBy("i", "j", "x").agg((F.sum(weight) * norm / (F.first("n") * F.first("h"))).alias("density")).select("i", "j", (F.col("i") * (360.0 / angles)).alias("angle"), F.col("x").alias("value"), "density")
+
+
+def ellipses(df: DataFrame, x: str, y: str, group: str, deviations: float = 2.0) -> DataFrame:
+    """``group``, ``n``, centre (``cx``, ``cy``), full ``width`` and ``height`` along the axes of the covariance, and the ``angle`` (degrees) of the longer one.
+
+    Groups of one row have none; rows without a coordinate are left out.
+    """
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    own = df.where(number(x) & number(y)).groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.var_samp(x).alias("a"), F.covar_samp(x, y).alias("b"), F.var_samp(y).alias("d")).where("n > 1")
+    middle = (F.col("a") + F.col("d")) / 2
+    away = F.sqrt((F.col("a") - F.col("d")) * (F.col("a") - F.col("d")) / 4 + F.col("b") * F.col("b"))
+    full = lambda v: 2 * deviations * F.sqrt(F.greatest(F.lit(0.0), v))
+    return own.select(group, "n", "cx", "cy", full(middle + away).alias("width"), full(middle - away).alias("height"), F.degrees(F.atan2(2 * F.col("b"), F.col("a") - F.col("d")) / 2).alias("angle"))
+
+
+def feature_columns(df: DataFrame, linear: list[str], angles: list[str]) -> DataFrame:
+    """``df`` with ``f_<column>`` of linear columns and ``f_sin_<column>``, ``f_cos_<column>`` of angles (degrees); what is unknown is the column's mean, or 0 if nothing is known."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    made = {f"f_{c}": number(c) for c in linear} | {f"f_{n}_{c}": f(F.radians(number(c))) for c in angles for n, f in (("sin", F.sin), ("cos", F.cos))}
+    rows = df.withColumns(made)
+    means = rows.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(f"__{n}") for n in made))
+    return rows.join(F.broadcast(means)).select(*df.columns, *(F.coalesce(n, f"__{n}").alias(n) for n in made))
