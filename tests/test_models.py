@@ -191,3 +191,21 @@ def test_rows_without_key_or_time_have_no_nearest_row(spark):
     right = spark.createDataFrame([(1, 4, 10, 1.0), (1, None, 11, 2.0), (None, 5, 12, 3.0)], "object long, t long, rec long, value double")
     assert {r.id: r.near_rec for r in asof.nearest(left, right).collect()} == {1: None, 2: None, 3: 10, 4: None}
     assert {r.id: r.interpolated_value for r in asof.interpolated(left, right).collect()} == {1: None, 2: None, 3: None, 4: None}
+
+
+def test_distances_between_objects_in_blocks(spark, monkeypatch):
+    from epochal.operators import posterior
+
+    monkeypatch.setattr(posterior, "BLOCK_OBJECTS", 4)
+    rng = np.random.default_rng(9)
+    own = {o: rng.normal(size=rng.integers(1, 30)) + o % 3 for o in range(17)}
+    df = spark.createDataFrame([(o, float(x)) for o, v in own.items() for x in v] + [(None, 1.0), (99, None)], "object long, x double")
+    q = {o: np.quantile(v, np.arange(1, 20) / 20) for o, v in own.items()}
+    want = {(a, b): abs(q[a] - q[b]).mean() for a in own for b in own if a < b}
+    assert {(r.a, r.b): r.w1 for r in posterior.wasserstein(df).collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    near = {}
+    for r in posterior.nearest_objects(df, 3).collect():
+        near.setdefault(r.object, []).append((r["rank"], r.other))
+    for o in own:
+        first = sorted((round(want[min(o, p), max(o, p)], 6), p) for p in own if p != o)[:3]
+        assert sorted(near[o]) == [(k + 1, p) for k, (_, p) in enumerate(first)]
