@@ -152,3 +152,21 @@ def sidereal_angle(julian: Column) -> Column:
     """Greenwich's sidereal angle (degrees) of a Julian date, by the polynomial for 0 h."""
     t = (julian - 2451545.0) / 36525.0
     return F.pmod(100.4606184 + t * (36000.77004 + t * (0.000387933 - t / 38710000.0)), F.lit(360.0))
+
+
+# Gravitational parameters (km3/s2), distances (km) and eccentricities of the sun's and the moon's orbits.
+SUN_MU, SUN_DISTANCE, SUN_ECC = 1.32712440018e11, 149_597_870.7, 0.0167086
+MOON_MU, MOON_DISTANCE, MOON_ECC = 4902.800066, 384_400.0, 0.0549
+
+
+def third_body_rates(sma: Column, ecc: Column, inc: Column) -> tuple[Column, Column]:
+    """Rates of node and perigee by sun and moon together, rad/s: both averaged to second order, for screening.
+
+    Null for elements that are no ellipse (``sma`` not above 0, ``ecc`` outside
+    [0, 1)) and for nulls and NaN.
+    """
+    pull = sum(m / MU / d**3 / (1 - e * e) ** 1.5 for m, d, e in ((SUN_MU, SUN_DISTANCE, SUN_ECC), (MOON_MU, MOON_DISTANCE, MOON_ECC)))
+    scale = 0.75 * mean_motion(sma) * pull * F.pow(sma, 3)
+    c = F.cos(F.radians(inc))
+    good = (sma > 0) & ~F.isnan(sma) & (ecc >= 0) & (ecc < 1) & ~F.isnan(inc)
+    return F.when(good, -scale * c), F.when(good, scale * (5 * c * c - 1))

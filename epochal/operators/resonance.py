@@ -173,3 +173,67 @@ def grid(df: DataFrame, a_bins: tuple[float, float, int], i_bins: tuple[float, f
     out = cells.join(stats, ["ia", "ii"], "left").join(family, ["ia", "ii"], "left")
     some = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
     return out.select("ia", "ii", F.coalesce("n", F.lit(0)).alias("n"), *(some(c) for c in ("median", "p25", "p75", "fraction", "family")))
+
+
+# -- screening --------------------------------------------------------------------
+#: How much a family's proxy of width counts; any other family counts as ``none``.
+FAMILY_SCALES = {"SRP_SOLAR_LEO": 1.0, "LUNISOLAR_SECULAR_MEO": 0.75, "INCLINATION_ONLY_SECULAR": 0.9, "TESSERAL_GROUNDTRACK": 0.6, "none": 0.5}
+#: Confidence in a proxy by method.
+WIDTH_CONFIDENCE = {"reciprocal": 0.4, "family_scaled": 0.6, "rolling_local": 0.75}
+
+
+def screened(matches: DataFrame, behaviours: DataFrame, definitions: tuple[Resonance, ...] = BUILT_IN, low_ecc: float = LOW_ECCENTRICITY) -> DataFrame:
+    """Records with how the angle of their nearest resonance behaves, and whether that makes a candidate of capture.
+
+    ``matches`` is what :func:`best_match` gives (with ``object`` and ``ecc``),
+    ``behaviours`` has ``object``, ``resonance``, ``behaviour``.  Adds
+    ``behaviour`` (``insufficient_data`` where there is none), ``candidate``
+    (near, and librating), ``weak_apsis`` (the resonance holds the perigee of
+    an orbit too round for one) and ``confidence``.
+
+    Rows with a null object or without a resonance have no behaviour.  A
+    record stays one row: behaviours are one row an object and resonance by
+    grouping; if a table repeats them, the least counts.
+    """
+    known = behaviours.groupBy(F.col("object").alias("__o"), F.col("resonance").alias("__r")).agg(F.min("behaviour").alias("behaviour"))
+    out = matches.drop("behaviour").join(known, (F.col("object") == F.col("__o")) & (F.col("name") == F.col("__r")), "left").drop("__o", "__r")
+    apsidal = [d.name for d in definitions if d.perigee]
+    out = out.withColumn("behaviour", F.coalesce("behaviour", F.lit("insufficient_data")))
+    weak = F.coalesce(F.col("name").isin(apsidal) & (F.col("ecc") <= low_ecc) & ~F.isnan("ecc"), F.lit(False))
+    out = out.withColumns({"candidate": F.col("near") & (F.col("behaviour") == "libration_candidate"), "weak_apsis": weak})
+    grade = F.when(~F.col("candidate"), "not_candidate").when(F.col("weak_apsis"), "low_confidence_low_e_apsidal").otherwise("screening_candidate")
+    return out.withColumn("confidence", grade)
+
+
+def width_proxy(df: DataFrame, method: str = "family_scaled", window: int = 12, output: str = "width", scales: dict[str, float] | None = None) -> DataFrame:
+    """Adds a proxy of a resonance's width, 1 / (1 + residual), and ``<output>_confidence``; ``df`` has ``proximity`` and ``family``.
+
+    ``family_scaled`` weighs it by the family.  ``rolling_local`` takes, of an
+    object's rows in time (``object``, ``t``, ``rec``), the median residual of
+    the last ``window`` rows (three known ones at least; else the row's own)
+    and adds the slope of those medians (half the difference of both
+    neighbours, the difference at an end).  Where a neighbour has no median
+    the proxy is null, as it is without a residual; an object with one row has
+    none.  Rows without an object are one series.
+    """
+    if method not in WIDTH_CONFIDENCE:
+        raise ValueError(f"method must be one of {sorted(WIDTH_CONFIDENCE)}")
+    scales = scales or FAMILY_SCALES
+    other = F.lit(float(scales.get("none", 0.5)))
+    weight = F.coalesce(*(F.when(F.col("family") == name, F.lit(float(x))) for name, x in scales.items()), other)
+    own = F.when(~F.isnan("proximity"), F.abs("proximity"))
+    if method != "rolling_local":
+        width = 1 / (1 + own) * (F.lit(1.0) if method == "reciprocal" else weight)
+        return df.withColumns({output: width, f"{output}_confidence": F.when(own.isNotNull(), WIDTH_CONFIDENCE[method])})
+    series = Window.partitionBy("object").orderBy("t", "rec")
+    some = series.rowsBetween(1 - max(3, window), 0)
+    out = df.withColumn("__own", own)
+    out = out.withColumn("__mid", F.when(F.count("__own").over(some) >= 3, F.percentile("__own", F.lit(0.5)).over(some)))
+    # which neighbours there are is told by rows, not by their medians
+    before, after = F.lag(F.struct("__mid")).over(series), F.lead(F.struct("__mid")).over(series)
+    out = out.withColumns({"__before": before, "__after": after})
+    left, right, mid = F.col("__before.__mid"), F.col("__after.__mid"), F.col("__mid")
+    slope = F.when(F.col("__before").isNull(), right - mid).when(F.col("__after").isNull(), mid - left).otherwise((right - left) / 2)
+    width = 1 / (1 + F.coalesce(mid, F.col("__own")) + F.abs(slope)) * weight
+    out = out.withColumn(output, width)
+    return out.withColumn(f"{output}_confidence", F.when(F.col(output).isNotNull(), WIDTH_CONFIDENCE[method])).drop("__own", "__mid", "__before", "__after")

@@ -208,7 +208,7 @@ rates AS (SELECT *, -1.5 * 1.082635854e-3 * m * pow(6378.14 / (sma * (1 - ecc *
   0.75 * 1.082635854e-3 * m * pow(6378.14 / (sma * (1 - ecc * ecc)), 2) * (5 * pow(cos(radians(inc)), 2) - 1) * 86400 AS w,
   m * 86400 AS n, 2 * pi() / 365.2422 AS sun, -2 * pi() / (18.6 * 365.2422) AS moon, 2 * pi() * 1.00273790935 AS earth FROM mm),
 every AS (
-  SELECT rec, object, t, sma, inc, list_sort([
+  SELECT rec, object, t, sma, ecc, inc, list_sort([
     {{'p': abs(w - sun), 'i': 0, 'name': 'srp_omega_minus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
     {{'p': abs(w + sun), 'i': 1, 'name': 'srp_omega_plus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
     {{'p': abs(om + w - sun), 'i': 2, 'name': 'srp_Omega_plus_omega_minus_lambda_sun', 'family': 'SRP_SOLAR_LEO'}},
@@ -220,7 +220,7 @@ every AS (
     {{'p': abs(w), 'i': 8, 'name': 'inc_domega_zero', 'family': 'INCLINATION_ONLY_SECULAR'}},
     {{'p': abs(n - 14 * earth), 'i': 9, 'name': 'tesseral_14_1', 'family': 'TESSERAL_GROUNDTRACK'}},
     {{'p': abs(n - 15 * earth), 'i': 10, 'name': 'tesseral_15_1', 'family': 'TESSERAL_GROUNDTRACK'}}])[1] AS e FROM rates),
-res AS (SELECT rec, object, t, sma, inc, e.name AS name, e.family AS family, e.p AS best, e.p <= 0.01 AS near FROM every)"""
+res AS (SELECT rec, object, t, sma, ecc, inc, e.name AS name, e.family AS family, e.p AS best, e.p <= 0.01 AS near FROM every)"""
 
 
 def near_resonances(spark, sf_dir):
