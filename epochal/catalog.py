@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from epochal import registry
-from epochal.plans import clusters, evidence, groups, joins, kernels, models, orbits, robust, rollups, screening, shapes, spectra, windows  # noqa: F401  (they register their queries)
+from epochal.plans import clusters, evidence, groups, joins, kernels, models, orbits, robust, rollups, screening, shapes, spectra, surfaces, windows  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "occupancy_7d"
 

@@ -114,3 +114,40 @@ def feature_columns(df: DataFrame, linear: list[str], angles: list[str]) -> Data
     rows = df.withColumns(made)
     means = rows.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(f"__{n}") for n in made))
     return rows.join(F.broadcast(means)).select(*df.columns, *(F.coalesce(n, f"__{n}").alias(n) for n in made))
+
+
+def seam_copies(df: DataFrame, x: str, y: str, margin: float = 10.0, half: bool = False) -> DataFrame:
+    """Points on a torus (degrees) with copies of those near its seams: ``x`` and ``y`` in [0, 360), or in [-180, 180) if ``half``, and ``copied``.
+
+    A point within ``margin`` of an axis' end is also shown a turn further,
+    beyond the other end, and near a corner in all three ways.  Points with an
+    unknown angle have no copies on that axis.
+    """
+    low = -180.0 if half else 0.0
+    turned = lambda c: F.pmod(F.col(c).cast("double") - low, F.lit(360.0)) + low
+    rows = df.withColumns({x: turned(x), y: turned(y)})
+    near = lambda c: F.array_compact(F.array(F.lit(0.0), F.when(F.col(c) <= low + margin, 360.0), F.when(F.col(c) >= low + 360.0 - margin, -360.0)))
+    out = rows.withColumns({"__x": F.explode(near(x))}).withColumn("__y", F.explode(near(y)))
+    out = out.withColumns({x: F.col(x) + F.col("__x"), y: F.col(y) + F.col("__y"), "copied": (F.col("__x") != 0) | (F.col("__y") != 0)})
+    return out.drop("__x", "__y")
+
+
+def padded(cells: DataFrame, n_i: int, n_j: int, pad: int = 1, circular_i: bool = True, circular_j: bool = True, value: str = "n") -> DataFrame:
+    """Cells (``i`` in [0, ``n_i``), ``j`` in [0, ``n_j``)) with ``pad`` more on every side: from the other end of a circular axis, else the edge's own value.
+
+    Cells that are missing stay missing.  A pad may not be longer than an axis.
+    """
+    if not 0 <= pad <= min(n_i, n_j):
+        raise ValueError("a pad is from 0 to the length of an axis")
+
+    def places(c: str, n: int, circular: bool):
+        at = F.col(c)
+        if circular:
+            return F.array_compact(F.array(at, F.when(at >= n - pad, at - n), F.when(at < pad, at + n)))
+        edge = F.sequence(F.lit(1), F.lit(pad)) if pad else F.array().cast("array<int>")
+        before = F.when(at == 0, F.transform(edge, lambda k: at - k)).otherwise(F.array().cast("array<int>"))
+        after = F.when(at == n - 1, F.transform(edge, lambda k: at + k)).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.array(at), before, after)
+
+    own = cells.where(F.col("i").between(0, n_i - 1) & F.col("j").between(0, n_j - 1)).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), value)
+    return own.select(F.explode(places("i", n_i, circular_i)).alias("__i"), "j", value).select(F.col("__i").alias("i"), F.explode(places("j", n_j, circular_j)).alias("__j"), value).select("i", F.col("__j").alias("j"), value)

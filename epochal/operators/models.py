@@ -153,3 +153,28 @@ def cluster_overlap(found: DataFrame, group: str, checkpoint: str, most: float =
     risk = pairs.select("a", "b", F.least("a_total", "b_total").alias("checkpoints"), F.exp(-0.5 * mahalanobis(difference, covariance)).alias("risk")).where(F.col("risk") > most)
     excess = (F.col("risk") - most) * (F.col("risk") - most)
     return risk.groupBy("a", "b").agg(F.first("checkpoints").alias("checkpoints"), (F.sum(excess) / F.first("checkpoints")).alias("penalty"), F.max("risk").alias("closest"))
+
+
+def arc_errors(df: DataFrame, arc: str, observed: str, predicted: str, order: list[str], turning: dict[str, tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row an arc: ``n_obs``, ``path_rmse`` over its observations, and of each angle of ``turning`` (name: observed, predicted; degrees) the last row's absolute difference on the circle.
+
+    Rows whose observed or predicted value is null or NaN don't count; an arc
+    without any has no row.  Of ``keep`` columns the first row's value stays.
+    """
+    error = F.col(predicted) - F.col(observed)
+    rows = df.where(error.isNotNull() & ~F.isnan(error.cast("double"))).withColumn("__e", error.cast("double"))
+    place = F.struct(*order)
+    gap = {n: F.abs(F.pmod(F.col(b) - F.col(a) + 180.0, F.lit(360.0)) - 180.0) for n, (a, b) in turning.items()}
+    # a struct, so that an unknown angle of the last row is not passed over
+    last = [F.max_by(F.struct(g.alias("g")), place)["g"].alias(f"{n}_error") for n, g in gap.items()]
+    return rows.groupBy(arc).agg(*(F.min_by(c, place).alias(c) for c in keep), F.count("*").alias("n_obs"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("path_rmse"), *last)
+
+
+def error_report(arcs: DataFrame, phase: str, turning: list[str]) -> DataFrame:
+    """Of each phase and of all arcs (a null phase with ``whole``): ``n_arcs``, mean, median and 90 % quantile of ``path_rmse``, and the mean absolute error of each angle.
+
+    Quantiles are exact; one phase's different errors meet in one task.
+    """
+    p = lambda q: F.percentile("path_rmse", F.lit(q))
+    stats = [F.count("*").alias("n_arcs"), F.avg("path_rmse").alias("rmse_mean"), p(0.5).alias("rmse_median"), p(0.9).alias("rmse_p90"), *(F.avg(f"{n}_error").alias(f"{n}_mae") for n in turning)]
+    return arcs.rollup(phase).agg((F.grouping(phase) == 1).alias("whole"), *stats)

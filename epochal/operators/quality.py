@@ -46,3 +46,23 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order, which must be total for a stable result."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def sanitised(df: DataFrame, core: list[str], targets: Mapping[str, list[str]]) -> DataFrame:
+    """Rows whose ``core`` columns are all finite, with masked targets zeroed.
+
+    ``targets`` names a mask column and its target columns: the mask is 1 only
+    where all of them are finite (times the row's own mask, if the table has
+    one), else 0; where it is not above one half its targets are 0.
+    """
+    out = df
+    for c in core:
+        out = out.where(finite(F.col(c)))
+    for mask, columns in targets.items():
+        good = F.lit(True)
+        for c in columns:
+            good = good & finite(F.col(c))
+        own = F.col(mask).cast("double") if mask in df.columns else F.lit(1.0)
+        out = out.withColumn(mask, F.when(good & finite(own), own).otherwise(0.0))
+        out = out.withColumns({c: F.when(F.col(mask) > 0.5, F.col(c)).otherwise(0.0) for c in columns})
+    return out
