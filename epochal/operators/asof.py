@@ -152,25 +152,67 @@ def greedy_matches(spark_df: DataFrame, tolerance: int) -> DataFrame:
 
     ``spark_df``: ``object``, ``t``, ``side`` ("truth" or "found").  Each true
     event takes the nearest free detection within tolerance (ties: the
-    earlier).  Matching is sequential by definition: it runs per object.
+    earlier).  No match can cross a gap of more than the tolerance without any
+    event, so an object's events are cut at such gaps and the pieces, which
+    are sequential by definition, are dealt to tasks each on its own.  Free
+    detections are kept in order with links to the next free ones, so a piece
+    takes little more than a sort.  Rows with a null time are left out; those
+    without an object are one object.
     """
     import pandas as pd
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        truth = sorted(rows.loc[rows["side"] == "truth", "t"])
-        free = sorted(rows.loc[rows["side"] == "found", "t"])
-        out = []
+        import bisect
+
+        truth = sorted(rows.loc[rows["side"] == "truth", "t"].tolist())
+        found = sorted(rows.loc[rows["side"] == "found", "t"].tolist())
+        n = len(found)
+        # of each place the next free one at or after it, and at or before it (shifted by one; 0: none)
+        after, before = list(range(n + 1)), list(range(n + 1))
+
+        def free(links: list[int], at: int) -> int:
+            root = at
+            while links[root] != root:
+                root = links[root]
+            while links[at] != root:
+                links[at], at = root, links[at]
+            return root
+
+        out, own, taken = [], rows["object"].iloc[0], [False] * n
         for t in truth:
-            best = min(free, key=lambda f: (abs(f - t), f), default=None)
-            if best is not None and abs(best - t) <= tolerance:
-                free.remove(best)
-                out.append((rows["object"].iloc[0], t, best, "tp"))
-            else:
-                out.append((rows["object"].iloc[0], t, None, "fn"))
-        out += [(rows["object"].iloc[0], None, f, "fp") for f in free]
-        return pd.DataFrame(out, columns=["object", "t_truth", "t_found", "kind"]).astype({"t_truth": "Int64", "t_found": "Int64"})
-
-    return spark_df.groupBy("object").applyInPandas(match, "object long, t_truth long, t_found long, kind string")
+            place = bisect.bisect_left(found, t)
+            right, left = free(after, place), free(before, place) - 1
+            best = None
+            if left >= 0 and (right == n or t - found[left] <= found[right] - t):
+                best = left
+            elif right < n:
+                best = right
+            if best is None or abs(found[best] - t) > tolerance:
+                out.append((own, t, None, "fn"))
+                continue
+            taken[best] = True
+            after[best], before[best + 1] = best + 1, best
+            out.append((own, t, found[best], "tp"))
+        out += [(own, None, f, "fp") for f, hit in zip(found, taken, strict=True) if not hit]
+        return pd.DataFrame(out, columns=["object", "t_truth", "t_found", "kind"]).astype({"object": "Int64", "t_truth": "Int64", "t_found": "Int64"})
+
+    w = Window.partitionBy("object").orderBy("t")
+    own = spark_df.select("object", "t", "side").where(F.col("t").isNotNull() & F.col("side").isin("truth", "found"))
+    cut = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(0))
+    pieces = own.withColumn("__cut", cut).withColumn("__piece", F.sum("__cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__cut")
+    return pieces.groupBy("object", "__piece").applyInPandas(match, "object long, t_truth long, t_found long, kind string")
+
+
+def match_scores(matches: DataFrame) -> DataFrame:
+    """Of each object, and of all (``whole``): counts ``tp``, ``fp``, ``fn``, ``precision``, ``recall``, ``f1``, and mean and median ``latency`` (days from truth to detection).
+
+    A share of nothing is null; so is ``f1`` where nothing was matched and there was nothing to match.
+    """
+    count = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(k)
+    late = (F.col("t_found") - F.col("t_truth")) / 8.64e10
+    own = matches.rollup("object").agg((F.grouping("object") == 1).alias("whole"), *map(count, ("tp", "fp", "fn")), F.avg(late).alias("latency_mean"), F.percentile(late, F.lit(0.5)).alias("latency_median"))
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
+    return own.withColumns({"precision": share("tp", F.col("tp") + F.col("fp")), "recall": share("tp", F.col("tp") + F.col("fn")), "f1": F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
 def clamp(x: Column, low: Column, high: Column) -> Column:
