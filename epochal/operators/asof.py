@@ -10,6 +10,9 @@ go through time buckets as well.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,13 +162,9 @@ def greedy_matches(spark_df: DataFrame, tolerance: int) -> DataFrame:
     takes little more than a sort.  Rows with a null time are left out; those
     without an object are one object.
     """
-    import pandas as pd
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        import bisect
+    import pyarrow as pa
 
-        truth = sorted(rows.loc[rows["side"] == "truth", "t"].tolist())
-        found = sorted(rows.loc[rows["side"] == "found", "t"].tolist())
+    def match(own: int | None, truth: list[int], found: list[int]) -> Iterator[tuple]:
         n = len(found)
         # of each place the next free one at or after it, and at or before it (shifted by one; 0: none)
         after, before = list(range(n + 1)), list(range(n + 1))
@@ -178,7 +177,7 @@ def greedy_matches(spark_df: DataFrame, tolerance: int) -> DataFrame:
                 links[at], at = root, links[at]
             return root
 
-        out, own, taken = [], rows["object"].iloc[0], [False] * n
+        taken = [False] * n
         for t in truth:
             place = bisect.bisect_left(found, t)
             right, left = free(after, place), free(before, place) - 1
@@ -188,19 +187,41 @@ def greedy_matches(spark_df: DataFrame, tolerance: int) -> DataFrame:
             elif right < n:
                 best = right
             if best is None or abs(found[best] - t) > tolerance:
-                out.append((own, t, None, "fn"))
+                yield own, t, None, "fn"
                 continue
             taken[best] = True
             after[best], before[best + 1] = best + 1, best
-            out.append((own, t, found[best], "tp"))
-        out += [(own, None, f, "fp") for f, hit in zip(found, taken, strict=True) if not hit]
-        return pd.DataFrame(out, columns=["object", "t_truth", "t_found", "kind"]).astype({"object": "Int64", "t_truth": "Int64", "t_found": "Int64"})
+            yield own, t, found[best], "tp"
+        yield from ((own, None, f, "fp") for f, hit in zip(found, taken, strict=True) if not hit)
+
+    schema = pa.schema([("object", pa.int64()), ("t_truth", pa.int64()), ("t_found", pa.int64()), ("kind", pa.string())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces as they come, sorted; one is held at a time."""
+        piece, own, sides = None, None, ([], [])
+
+        def written(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            out = []
+            for now, o, t, true in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if now != piece:
+                    out += match(own, *sides)
+                    piece, own, sides = now, o, ([], [])
+                sides[0 if true else 1].append(t)
+            if out:
+                yield written(out)
+        if rest := list(match(own, *sides)):
+            yield written(rest)
 
     w = Window.partitionBy("object").orderBy("t")
-    own = spark_df.select("object", "t", "side").where(F.col("t").isNotNull() & F.col("side").isin("truth", "found"))
+    rows = spark_df.select(F.col("object").cast("long").alias("object"), F.col("t").cast("long").alias("t"), "side").where(F.col("t").isNotNull() & F.col("side").isin("truth", "found"))
     cut = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(0))
-    pieces = own.withColumn("__cut", cut).withColumn("__piece", F.sum("__cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__cut")
-    return pieces.groupBy("object", "__piece").applyInPandas(match, "object long, t_truth long, t_found long, kind string")
+    pieces = rows.withColumn("__cut", cut).withColumn("__piece", F.sum("__cut").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    place = F.concat_ws("|", F.coalesce(F.col("object").cast("string"), F.lit("none")), F.col("__piece").cast("string")).alias("__p")
+    dealt = pieces.select(place, "object", "t", (F.col("side") == "truth").alias("true")).repartition("__p").sortWithinPartitions("__p", "t")
+    return dealt.mapInArrow(walk, "object long, t_truth long, t_found long, kind string")
 
 
 def match_scores(matches: DataFrame) -> DataFrame:

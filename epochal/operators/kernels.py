@@ -10,9 +10,11 @@ Rows without an object take no part; an object without values gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,28 +249,30 @@ def spaced(df: DataFrame, least: int) -> DataFrame:
     """Rows kept greedily at least ``least`` microseconds after the last kept one; an object's first and last always.
 
     A row that comes so long after the row before it is kept whatever was kept
-    before, so series are cut there and the pieces (times alone) are dealt to
-    tasks each on its own; a series without such a gap is one piece.  Rows
-    with a null time are left out; those without an object are one object.
+    before, so series are cut there and the pieces (times alone) are dealt to tasks; a
+    series without such a gap is one piece.  Rows with a null time are left
+    out; those without an object are one object.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values("t", kind="stable")
-        t = own["t"].to_numpy()
-        keep, at = [], 0
-        while at < len(t):
-            keep.append(at)
-            at = max(at + 1, int(np.searchsorted(t, t[at] + least)))
-        return own.iloc[keep][["object", "t"]]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = last = None
+        for batch in batches:
+            keep = []
+            for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(own != piece or t >= last + least)
+                if keep[-1]:
+                    piece, last = own, t
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     w = Window.partitionBy("object").orderBy("t", "rec")
-    rows = df.where("t IS NOT NULL").withColumns({"__cut": F.coalesce((F.col("t") - F.lag("t").over(w) >= least).cast("long"), F.lit(0)), "__last": F.lead(F.lit(1)).over(w).isNull(), "__k": F.row_number().over(w), "__at": F.row_number().over(Window.partitionBy("object", "t").orderBy("rec"))})
+    rows = df.where("t IS NOT NULL").withColumns({"__cut": F.coalesce((F.col("t") - F.lag("t").over(w) >= least).cast("long"), F.lit(0)), "__last": F.lead(F.lit(1)).over(w).isNull(), "__at": F.row_number().over(Window.partitionBy("object", "t").orderBy("rec"))})
     rows = rows.withColumn("__piece", F.sum("__cut").over(w)).drop("__cut")
     if least <= 0:
         return rows.select(df.columns)
-    # of rows at one time only the first can be kept, so times are enough
-    kept = rows.select("object", "t", "__piece").distinct().groupBy("object", "__piece").applyInPandas(run, f"object {dict(df.dtypes)['object']}, t long")
-    kept = kept.select(F.col("object").alias("__o"), F.col("t").alias("__t"))
+    # of rows at one time only the first can be kept, so times are enough; sorted pieces are walked as they come, none is held
+    place = F.concat_ws("|", F.coalesce(F.col("object").cast("string"), F.lit("")), F.col("object").isNull().cast("string"), F.col("__piece").cast("string")).alias("__p")
+    times = rows.select(place, "t", "object").distinct().repartition("__p").sortWithinPartitions("__p", "t")
+    kept = times.mapInArrow(walk, times.schema).select(F.col("object").alias("__o"), F.col("t").alias("__t"))
     out = rows.join(kept, F.col("object").eqNullSafe(F.col("__o")) & (F.col("t") == F.col("__t")), "left")
     return out.where((F.col("__t").isNotNull() & (F.col("__at") == 1)) | F.col("__last")).select(df.columns)
 
