@@ -16,8 +16,8 @@ Families of detectors, each a mask and an evidence (0 where nothing is known):
 * ``anomaly``: a single jump of any channel.
 
 Everything row by row is windows of the object's rows, all on one partitioning
-and order.  Robust scales (medians, clipped deviations) are windows of the
-whole object, too: small aggregates in Python that see one signal of one object
+and order; lines beside a row are fitted for batches of rows in NumPy.  Robust
+scales (medians, clipped deviations) are windows of the whole object, too: small aggregates in Python that see one signal of one object
 at a time (eight bytes a row), so nothing is joined or shuffled for them.  Events are merged by a fold over chains of events; a chain ends
 where no earlier event, however merged, can reach the next.
 """
@@ -28,6 +28,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -138,25 +139,33 @@ def rate(value: Column, seconds: Column) -> Column:
 
 def prominence(df: DataFrame, made: dict[str, Column], rows: int) -> DataFrame:
     """Adds, of each signal, the distance of a row from the median around it; where that is unknown the next (or last) known one, or 0."""
-    w = ordered().rowsBetween(-(rows // 2), rows // 2)
-    known = {n: F.when(F.count(c).over(w) >= 3, F.abs(c - F.percentile(c, F.lit(0.5)).over(w))) for n, c in made.items()}
-    out = df.withColumns(known)
-    return out.withColumns({n: filled(F.col(n)) for n in made})
+    near = {f"__near_{n}": F.array_agg(c).over(ordered().rowsBetween(-(rows // 2), rows // 2)) for n, c in made.items()}
+    known = {n: F.when(F.size(f"__near_{n}") >= 3, F.abs(c - half(F.sort_array(f"__near_{n}")))) for n, c in made.items()}
+    return filled(df.withColumns(near).withColumns(known).drop(*near), {n: 0.0 for n in made})
 
 
-def filled(value: Column, otherwise: float | None = 0.0) -> Column:
-    """An unknown value takes the next known one, at the end the last one."""
-    w = ordered()
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    back = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    known = F.coalesce(ahead, back)
-    return known if otherwise is None else F.coalesce(known, F.lit(otherwise))
+def filled(df: DataFrame, otherwise: dict[str, float | None]) -> DataFrame:
+    """Unknown values of columns take the next known one, at the end the last one, or else the given value.
+
+    What comes next is looked up in rows from last to first (``i``): a frame
+    from a row to the end would be read anew at every row.
+    """
+    back = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("object").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"__back_{c}": F.last(c, ignorenulls=True).over(back) for c in otherwise})
+    out = out.withColumns({f"__ahead_{c}": F.last(c, ignorenulls=True).over(ahead) for c in otherwise})
+    known = {c: F.coalesce(f"__ahead_{c}", f"__back_{c}", *([] if v is None else [F.lit(v)])) for c, v in otherwise.items()}
+    return out.withColumns(known).drop(*(f"__{k}_{c}" for k in ("back", "ahead") for c in otherwise))
+
+
+def half(v: Column) -> Column:
+    """Median of a sorted array."""
+    return (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
 
 
 def rolling_scale(value: Column, rows: int) -> Column:
     """1.4826 MAD of the rows around a row; null where fewer than three are known."""
     known = F.sort_array(F.array_agg(value).over(ordered().rowsBetween(-(rows // 2), rows // 2)))
-    half = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
     away = F.transform(F.array(known), lambda v: F.sort_array(F.transform(v, lambda x: F.abs(x - half(v)))))
     return F.get(F.transform(away, lambda d: F.when(F.size(d) >= 3, 1.4826 * half(d))), F.lit(0))
 
@@ -178,8 +187,9 @@ def bridged(mask: Column, gap: int) -> Column:
     """A mask with false runs of up to ``gap`` rows between true ones filled."""
     w = ordered()
     place = F.when(mask, F.col("i"))
-    before = F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(place, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # true rows further away than the gap fill nothing
+    before = F.max(place).over(w.rowsBetween(-gap, 0))
+    after = F.min(place).over(w.rowsBetween(0, gap))
     return mask | F.coalesce(after - before - 1 <= gap, F.lit(False))
 
 
@@ -193,18 +203,41 @@ def line_step(df: DataFrame, channels: tuple[str, ...], rows: int) -> DataFrame:
     Known where all rows of both sides are there and at least three values of
     each; a side at one time counts by its mean.
     """
-    w = ordered()
-    at = F.lead("x").over(w)
-    back, ahead = w.rowsBetween(-rows, -1), w.rowsBetween(1, rows)
+    near = ordered().rowsBetween(-rows, rows)
+    around = {f"__near_{c}": F.array_agg(F.coalesce(c, F.lit(float("nan")))).over(near) for c in ("x", *channels)}
     full = (F.col("i") > rows) & (F.col("n") - F.col("i") > rows)
-
-    def line(channel: str, side) -> Column:
-        some = F.when(F.col(channel).isNotNull(), F.col("x"))
-        flat = F.coalesce(F.max(some).over(side) - F.min(some).over(side) <= 0, F.lit(True))
-        fit = F.regr_intercept(F.col(channel), F.col("x")).over(side) + F.regr_slope(F.col(channel), F.col("x")).over(side) * at
-        return F.when(F.count(channel).over(side) >= 3, F.when(flat, F.avg(channel).over(side)).otherwise(fit))
-
-    return df.withColumns({f"step_{c}": F.when(full, line(c, ahead) - line(c, back)) for c in channels})
+    steps = _line_steps(channels, rows)(*(F.when(full, F.col(c)) for c in around))
+    return df.withColumns(around).withColumn("__steps", steps).withColumns({f"step_{c}": F.col(f"__steps.{c}") for c in channels}).drop(*around, "__steps")
+
+
+def _line_steps(channels: tuple[str, ...], rows: int):
+    """The steps of many rows at once, from the times and the channels' values (NaN: unknown) of ``2 rows + 1`` rows around each; null where these are null."""
+
+    def line(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(y)
+        n = known.sum(1)
+        # of fewer than three values there is no line
+        n_ = np.maximum(n, 1)
+        mx, my = np.where(known, x, 0.0).sum(1) / n_, np.where(known, y, 0.0).sum(1) / n_
+        dx, dy = np.where(known, x - mx[:, None], 0.0), np.where(known, y - my[:, None], 0.0)
+        flat = np.where(known, x, -np.inf).max(1) <= np.where(known, x, np.inf).min(1)
+        slope = (dx * dy).sum(1) / np.where(flat | (n < 3), 1.0, (dx * dx).sum(1))
+        return np.where(n < 3, np.nan, my + np.where(flat, 0.0, slope * (at - mx)))
+
+    def steps(times: pa.Array, *values: pa.Array) -> pa.Array:
+        use = np.flatnonzero(times.is_valid().to_numpy(zero_copy_only=False))
+        table = lambda v: v.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * rows + 1)
+        x = table(times)
+        # seconds since the row itself
+        x = x - x[:, rows : rows + 1]
+        at, out = x[:, rows + 1], []
+        for v in values:
+            y, all_ = table(v), np.full(len(times), np.nan)
+            all_[use] = line(x[:, rows + 1 :], y[:, rows + 1 :], at) - line(x[:, :rows], y[:, :rows], at)
+            out.append(pa.array(all_, pa.float64(), from_pandas=True))
+        return pa.StructArray.from_arrays(out, names=list(channels))
+
+    return F.arrow_udf(steps, ", ".join(f"{c} double" for c in channels))
 
 
 def features(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -281,7 +314,7 @@ def detect(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     w = ordered()
     high = F.col("e_anomaly") > cfg.anomaly_sigma
     alone = high & ~F.coalesce(F.lag(high).over(w), F.lit(False)) & ~F.coalesce(F.lead(high).over(w), F.lit(False))
-    out = out.withColumns({"m_anomaly": alone, "slope_scale": filled(F.col("slope_scale"), None)})
+    out = filled(out.withColumn("m_anomaly", alone), {"slope_scale": None})
     around = lambda a, b: w.rowsBetween(a, b)
     nine = F.when(F.count("d1_sma").over(around(-4, 4)) >= 3, F.avg("d1_sma").over(around(-4, 4)))
     jumped = F.coalesce(d1 > F.col("jump") + 2 * F.col("jump_r"), F.lit(False)).cast("double")

@@ -182,3 +182,35 @@ def test_layer_modes(spark):
     assert counts == {"all": 5, "accepted_plus_raw": 3, "accepted_only": 4, "raw_only": 2, "rejects_only": 2, "accepted_high_confidence": 2}
     with pytest.raises(ValueError, match="unknown layer mode"):
         rules.in_layer("some")
+
+
+def test_unknown_values_are_filled_without_frames_to_the_end(spark):
+    values = [None, 2.0, None, None, 5.0, None]
+    df = spark.createDataFrame([(k // 6, k, k, k % 6 + 1, values[k % 6]) for k in range(12)], "object long, t long, rec long, i long, v double")
+    out = evidence.filled(df, {"v": None}).orderBy("t").collect()
+    assert [r["v"] for r in out] == [2.0, 2.0, 5.0, 5.0, 5.0, 5.0] * 2
+    plan = evidence.segments(evidence.detect(spark.createDataFrame([], PANEL)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_line_steps_against_fits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.integers(0, 3, 40)) * 86_400.0
+    y = [None if rng.random() < 0.2 else float(v) for v in 6800 + rng.normal(size=40)]
+    df = spark.createDataFrame([(1, k, k, k + 1, 40, float(x[k]), y[k]) for k in range(40)], "object long, t long, rec long, i long, n long, x double, sma double")
+    got = [r["step_sma"] for r in evidence.line_step(df, ("sma",), 5).orderBy("t").collect()]
+
+    def line(rows, at):
+        some = [k for k in rows if y[k] is not None]
+        if len(some) < 3:
+            return None
+        a, b = np.array([x[k] for k in some]), np.array([y[k] for k in some])
+        return b.mean() if np.ptp(a) == 0 else np.polyval(np.polyfit(a - at, b, 1), 0)
+
+    for k in range(40):
+        full = k >= 5 and k + 5 < 40
+        sides = (line(range(k + 1, k + 6), x[k + 1]), line(range(k - 5, k), x[k + 1])) if full else (None, None)
+        want = None if None in sides else sides[0] - sides[1]
+        assert (got[k] is None) == (want is None) and (want is None or abs(got[k] - want) < 1e-6)
