@@ -58,3 +58,17 @@ def test_names_on_both_sides(spark):
     out = asof.in_intervals(points, intervals, 10)
     assert out.columns == ["object", "t", "value", "t_start", "t_end", "interval_value"]
     assert sorted(map(tuple, out.collect())) == [(1, 5, 2.0, 0, 9, 7.0), (1, 5, 2.0, 5, 5, 8.0)]
+
+
+def test_band_edges_against_all_pairs_in_many_tasks(spark):
+    from epochal.plans.joins import band_edges
+
+    rng = random.Random(3)
+    rows = [(k, rng.randint(1, 2), float(rng.choice([900, 905, 910]) + rng.randint(0, 40) / 4)) for k in range(200)] + [(200, None, 900.0), (201, 1, None)]
+    df = spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double")
+    want = {(a[0], b[0], round(1 - abs(a[2] - b[2]) / 5, 6)) for a in rows[:200] for b in rows[:200] if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 5}
+    out = band_edges(df, 5.0, task_pairs=1000)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # a task has about as many pairs as it may
+    assert out.rdd.getNumPartitions() > 4
