@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochal.sources.shared import checkpointed
+from epochal.sources.shared import stored
 
 BLOCK_ROWS = 2048
 
@@ -104,7 +104,7 @@ def tree(rows: DataFrame) -> DataFrame:
     members = rows.select("g", "id", F.col("id").alias("c"))
     edges = None
     while True:
-        chosen = checkpointed(least_edges(rows.join(members, ["g", "id"])))
+        chosen = stored(least_edges(rows.join(members, ["g", "id"])))
         if chosen.isEmpty():
             return edges if edges is not None else chosen.select("g", "w", "low", "high")
         found = chosen.select("g", "w", "low", "high").distinct()
@@ -114,11 +114,11 @@ def tree(rows: DataFrame) -> DataFrame:
         up = chosen.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up"))
         while True:
             next_up = up.select(F.col("c").alias("up"), F.col("up").alias("top"))
-            now = checkpointed(up.join(next_up, "up").select("c", F.col("top").alias("next"), (F.col("top") != F.col("up")).alias("moved")))
+            now = stored(up.join(next_up, "up").select("c", F.col("top").alias("next"), (F.col("top") != F.col("up")).alias("moved")))
             up = now.select("c", F.col("next").alias("up"))
             if now.where("moved").isEmpty():
                 break
-        members = checkpointed(members.join(up, "c", "left").select("g", "id", F.coalesce("up", "c").alias("c")))
+        members = stored(members.join(up, "c", "left").select("g", "id", F.coalesce("up", "c").alias("c")))
 
 
 def density_validity(df: DataFrame, dimensions: int) -> DataFrame:
@@ -130,11 +130,11 @@ def density_validity(df: DataFrame, dimensions: int) -> DataFrame:
     in the weights alone.
     """
     clusters = df.where("label >= 0").select(F.col("label").cast("long").alias("g"), "id", "v")
-    rows = checkpointed(clusters.join(core_distances(clusters, dimensions), "id"))
-    edges = checkpointed(tree(rows))
+    rows = stored(clusters.join(core_distances(clusters, dimensions), "id"))
+    edges = stored(tree(rows))
     ends = edges.select("g", F.explode(F.array("low", "high")).alias("id")).groupBy("g", "id").count().where("count > 1").select("g", "id")
     one = rows.groupBy("g").agg(F.min("id").alias("id")).join(ends.select("g").distinct(), "g", "left_anti")
-    inner = checkpointed(ends.unionByName(one.select("g", "id")))
+    inner = stored(ends.unionByName(one.select("g", "id")))
     inside = edges.join(inner.select("g", F.col("id").alias("low"), F.lit(1).alias("i")), ["g", "low"], "left").join(inner.select("g", F.col("id").alias("high"), F.lit(1).alias("j")), ["g", "high"], "left")
     sparse = inside.groupBy("g").agg(F.coalesce(F.max(F.when(F.col("i") + F.col("j") == 2, F.col("w"))), F.max("w")).alias("sparseness"))
     apart = least_edges(rows.join(inner, ["g", "id"]).withColumn("c", F.col("g")).withColumn("g", F.lit(0).cast("long"))).select(F.col("c").alias("g"), F.col("w").alias("separation"))

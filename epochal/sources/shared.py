@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,7 +14,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Only a local master may name no folder (one of this machine is made);
     elsewhere that is an error.
     """
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as files below ``spark.checkpoint.dir`` and read from there: for loops.
+
+    A checkpoint keeps the estimated size of its plan, and a join's estimate is
+    the product of its sides': over some twenty joins in a loop this number
+    gets millions of digits and planning never ends.  Files have a size.
+    """
     spark = df.sparkSession
+    path = f"{_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
@@ -23,4 +41,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()

@@ -57,3 +57,11 @@ def test_all_rows_of_a_large_label(spark, tmp_path):
     rows = [(i, int(i >= 2500), [float(v) for v in rng.normal(size=64)]) for i in range(2600)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r.label: r.n for r in catalog.queries()["density_validity"](spark, str(tmp_path)).collect()} == {0: 2500, 1: 100}
+
+
+def test_rounds_do_not_multiply_the_estimated_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, i, rng.normal(size=2).tolist(), 0.1) for i in range(60)]
+    edges = validity.tree(spark.createDataFrame(rows, "g long, id long, v array<double>, core double"))
+    assert edges.count() == 59
+    assert int(edges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 10**9
