@@ -1,41 +1,56 @@
 """Spectra of several series and of many objects: cross spectra, coherence, stacks with bootstrap bands, dominant frequencies.
 
-Transforms at given bins are sums, so a series is never gathered: each grid
-point adds to the sums of its segments and bins, map-side combined.
+A series is never gathered: points of an even grid stream by in order, and a
+task holds the segments of one Arrow batch.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from epochal.operators.kernels import even_grid
+from epochal.operators.kernels import batches_of, even_grid, pieces
 
 
-def _segments(df: DataFrame, cadence_days: float, columns: tuple[str, ...], segment: int, step: int | None, least: int) -> DataFrame:
-    """Points of even grids by segment: ``object``, ``n``, ``width``, ``s``, ``j`` and the columns; segments that are not full are left out."""
-    grid = even_grid(df, cadence_days, columns)
-    size = grid.groupBy(F.col("object").alias("__o")).agg((F.max("i") + 1).alias("n")).where(F.col("n") >= least)
-    rows = grid.join(size, F.col("object") == F.col("__o")).drop("__o")
-    rows = rows.withColumn("width", F.least(F.lit(segment), F.col("n"))).withColumn("step", F.lit(step) if step else F.col("width") - F.floor(F.col("width") / 2))
-    first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("width") + 1) / F.col("step")))
-    last = F.least(F.floor(F.col("i") / F.col("step")), F.floor((F.col("n") - F.col("width")) / F.col("step")))
-    rows = rows.where(first <= last).withColumn("s", F.explode(F.sequence(first, last)))
-    return rows.withColumn("j", F.col("i") - F.col("s") * F.col("step"))
+def _transforms(batches: Iterable[pa.RecordBatch], segment: int, step: int | None) -> Iterator[tuple]:
+    """Of runs of segments of sized grids: ``object``, ``n``, ``width``, first segment, whether the last is among them, transforms (columns by segments by bins) and power of the window.
 
+    Segments are freed of their means and have a Hann window; what does not
+    fill one is left out.
+    """
+
+    @functools.lru_cache(4096)
+    def cut(n: int) -> tuple[np.ndarray, np.ndarray]:
+        width = min(segment, n)
+        starts = np.arange(0, n - width + 1, step or width - width // 2)
+        return starts, starts + width
+
+    for name, n, first, stop, base, points in pieces(batches, cut):
+        starts, stops = cut(n)
+        width = int(stops[0])
+        every = sliding_window_view(points[:, : int(stops[stop - 1]) - base], width, axis=1)[:, int(starts[first]) - base :: step or width - width // 2]
+        hann = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(width) / width)
+        level = every - every[:, :, :1]
+        yield name, n, width, first, stop == len(starts), np.fft.rfft((level - level.mean(2, keepdims=True)) * hann, axis=2), float((hann * hann).sum())
+
+
+def _sized(df: DataFrame, cadence_days: float, columns: tuple[str, ...], least: int) -> DataFrame:
+    grid = even_grid(df, cadence_days, columns, sized=True).where(F.col("n") >= least)
+    return grid.select("object", "n", "i", *(F.col(c).cast("double").alias(c) for c in columns))
 
-def _transforms(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Of each segment and bin the windowed transform of each column, freed of its mean: ``re_<column>`` and ``im_<column>``; and ``power`` of the window."""
-    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("j") / F.col("width"))
-    each = rows.withColumn("h", hann).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("width") / 2))))
-    angle = 2 * math.pi * F.col("k") * F.col("j") / F.col("width")
-    each = each.withColumns({"c": F.cos(angle) * F.col("h"), "d": -F.sin(angle) * F.col("h")})
-    sums = [F.sum("c").alias("wc"), F.sum("d").alias("wd"), F.sum(F.col("h") * F.col("h")).alias("power"), *(F.avg(x).alias(f"m_{x}") for x in columns)]
-    sums += [F.sum(F.col(x) * F.col(p)).alias(f"{q}_{x}") for x in columns for p, q in (("c", "re"), ("d", "im"))]
-    out = each.groupBy("object", "width", "s", "k").agg(*sums)
-    return out.withColumns({f"{q}_{x}": F.col(f"{q}_{x}") - F.col(f"m_{x}") * F.col(w) for x in columns for q, w in (("re", "wc"), ("im", "wd"))})
+
+def _as_schema(df: DataFrame, rest: str) -> StructType:
+    """The schema of the object's own type and the columns of ``rest``."""
+    return StructType([StructField("object", df.schema["object"].dataType), *StructType.fromDDL(rest).fields])
 
 
 def cross_spectrum(df: DataFrame, x: str, y: str, cadence_days: float, segment: int = 256, least: int = 8) -> DataFrame:
@@ -46,15 +61,21 @@ def cross_spectrum(df: DataFrame, x: str, y: str, cadence_days: float, segment:
     segment) are freed of their means.  Where a series is constant there is no
     coherence: 0.  Objects of fewer than ``least`` grid points have no rows.
     """
-    rows = _transforms(_segments(df, cadence_days, (x, y), segment, None, least), (x, y))
-    re, im = (lambda c: F.col(f"re_{c}")), (lambda c: F.col(f"im_{c}"))
-    mean = rows.groupBy("object", "width", "k").agg(
-        F.avg(re(x) * re(y) + im(x) * im(y)).alias("real"),
-        F.avg(re(x) * im(y) - im(x) * re(y)).alias("imag"),
-        F.avg(re(x) * re(x) + im(x) * im(x)).alias("xx"),
-        F.avg(re(y) * re(y) + im(y) * im(y)).alias("yy"),
-        F.first("power").alias("power"),
-    )
+    schema = _as_schema(df, "width long, k long, real double, imag double, xx double, yy double, power double")
+    arrow = to_arrow_schema(schema)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[np.ndarray]]]:
+        sums, n = 0.0, 0
+        for name, _, width, first, ended, found, power in _transforms(batches, segment, None):
+            cross = found[0].conj() * found[1]
+            if not first:
+                sums, n = 0.0, 0
+            sums, n = sums + np.stack([cross.real, cross.imag, np.abs(found[0]) ** 2, np.abs(found[1]) ** 2]).sum(1), n + found.shape[1]
+            if ended:
+                bins = found.shape[2]
+                yield name, [np.full(bins, width), np.arange(bins), *(sums / n), np.full(bins, power)]
+
+    mean = _sized(df, cadence_days, (x, y), least).mapInArrow(lambda batches: batches_of(means(batches), arrow), schema)
     # one side of the spectrum: all but the first and the last bin of an even width stand for two
     both = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("width")), 1.0).otherwise(2.0) * cadence_days / F.col("power")
     coherence = F.when((F.col("xx") > 1e-300) & (F.col("yy") > 1e-300), F.least(F.lit(1.0), (F.col("real") * F.col("real") + F.col("imag") * F.col("imag")) / (F.col("xx") * F.col("yy")))).otherwise(0.0)
@@ -74,14 +95,14 @@ def lag_correlations(df: DataFrame, x: str, y: str, cadence_days: float, lags: i
     Products over the overlap are divided by both deviations of the whole
     series and by its length, or (``overlap``) by the overlap's.
     """
-    grid = even_grid(df, cadence_days, (x, y))
-    stat = grid.groupBy(F.col("object").alias("__o")).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("sd")).where(F.col("n") >= least)
-    w = Window.partitionBy("object").orderBy("i")
-    rows = grid.join(stat, F.col("object") == F.col("__o")).drop("__o").withColumns({"__a": F.col(x) - F.col("mx"), "__b": F.col(y) - F.col("my")})
-    # a negative lag pairs x with a later y, a positive one with an earlier y
-    pairs = F.array(*(F.struct(F.lit(k).alias("lag"), (F.lag("__b", k) if k >= 0 else F.lead("__b", -k)).over(w).alias("z")) for k in range(-lags, lags + 1)))
-    each = rows.withColumn("__pairs", pairs).select("object", "n", "sd", "__a", F.explode("__pairs").alias("p")).where("p.z IS NOT NULL")
-    sums = each.groupBy("object", "n", "sd", F.col("p.lag").alias("lag")).agg(F.sum(F.col("__a") * F.col("p.z")).alias("s"))
+    grid = even_grid(df, cadence_days, (x, y), sized=True).where(F.col("n") >= least)
+    w, own = Window.partitionBy("object").orderBy("i"), Window.partitionBy("object")
+    rows = grid.withColumns({"sd": F.stddev_pop(x).over(own) * F.stddev_pop(y).over(own), "__a": F.col(x) - F.avg(x).over(own), "__b": F.col(y) - F.avg(y).over(own)})
+    # a negative lag pairs x with a later y, a positive one with an earlier y; an object is one row of sums, one a lag
+    later = {k: (F.lag("__b", k) if k >= 0 else F.lead("__b", -k)).over(w) for k in range(-lags, lags + 1)}
+    rows = rows.withColumns({f"__z{j}": z for j, z in enumerate(later.values())})
+    wide = rows.groupBy("object", "n", "sd").agg(*(F.sum(F.col("__a") * F.col(f"__z{j}")).alias(f"__s{j}") for j in range(len(later))))
+    sums = wide.select("object", "n", "sd", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"__s{j}").alias("s")) for j, k in enumerate(later)))).alias("p")).select("object", "n", "sd", "p.*").where("s IS NOT NULL")
     length = F.col("n") - F.abs("lag") if overlap else F.col("n")
     return sums.select("object", "lag", "n", F.try_divide(F.col("s"), F.col("sd") * length).alias("r"))
 
@@ -138,10 +159,16 @@ def stacked_spectrum(spectra: DataFrame, replicates: int = 64, normalise: bool =
 
 def dominant_frequencies(df: DataFrame, cadence_days: float, window: int = 256, step: int = 64, value: str = "value") -> DataFrame:
     """``object``, ``s``, ``frequency``, ``power``: the strongest bin above zero of every window of the even grid, slid by ``step``; of equal ones the lowest."""
-    rows = _transforms(_segments(df, cadence_days, (value,), window, step, window), (value,))
-    power = F.col(f"re_{value}") * F.col(f"re_{value}") + F.col(f"im_{value}") * F.col(f"im_{value}")
-    best = rows.where("k > 0").groupBy("object", "width", "s").agg(F.max(F.struct(power.alias("power"), (-F.col("k")).alias("k"))).alias("b"))
-    return best.select("object", "s", (-F.col("b.k") / (F.col("width") * cadence_days)).alias("frequency"), F.col("b.power").alias("power"))
+    schema = _as_schema(df, "s long, frequency double, power double")
+    arrow = to_arrow_schema(schema)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[np.ndarray]]]:
+        for name, _, width, first, _, found, _ in _transforms(batches, window, step):
+            power = np.abs(found[0, :, 1:]) ** 2
+            at = power.argmax(1)
+            yield name, [first + np.arange(len(at)), (at + 1) / (width * cadence_days), power[np.arange(len(at)), at]]
+
+    return _sized(df, cadence_days, (value,), window).mapInArrow(lambda batches: batches_of(best(batches), arrow), schema)
 
 
 def frequency_diffusion(found: DataFrame) -> DataFrame:
