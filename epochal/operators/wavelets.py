@@ -9,14 +9,16 @@ chunk, however long a series is.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from epochal.operators.kernels import even_grid
+from epochal.operators.kernels import batches_of, even_grid, pieces
 from epochal.operators.peaks import grid_maxima
 
 #: Bandwidth and centre of the complex Morlet wavelet, and where it is cut off (in scales).
@@ -84,25 +86,23 @@ def _mirrored(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(at < n, at, 2 * n - 1 - at)
 
 
-def _chunks(scales: Sequence[float], chunk: int, sigma_scale: float, sigma_time: float, cadence_days: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The function of one chunk: a series' points with their neighbours to rows a point and scale."""
+def _chunks(scales: Sequence[float], chunk: int, sigma_scale: float, sigma_time: float, cadence_days: float) -> Callable[..., list[np.ndarray]]:
+    """The function of one chunk: a series' points with their neighbours (columns by points, from point ``base`` on) to columns of rows a point and scale."""
     waves = []
     for s in scales:
         k = np.arange(-math.ceil(REACH * s), math.ceil(REACH * s) + 1) / s
         waves.append(np.exp(2j * math.pi * CENTRE * k - k * k / BANDWIDTH) / math.sqrt(math.pi * BANDWIDTH * s))
     over_scales, _ = _smoother(sigma_scale)
     over_time, reach = _smoother(sigma_time)
-    columns = ["object", "i", "scale", "frequency", "power", "phase", "coherence"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        n, first = int(rows["n"].iloc[0]), int(rows["c"].iloc[0]) * chunk
+    def run(n: int, c: int, base: int, points: np.ndarray) -> list[np.ndarray]:
+        first = c * chunk
         last = min(n, first + chunk)
         low, high = max(0, first - reach), min(n, last + reach)
         halo = len(waves[-1]) // 2
         series = np.zeros((2, high - low + 2 * halo))
-        place = rows["i"].to_numpy() - (low - halo)
-        good = (place >= 0) & (place < series.shape[1])
-        series[0, place[good]], series[1, place[good]] = rows["x"].to_numpy()[good], rows["y"].to_numpy()[good]
+        begin, end = max(low - halo, base), min(high + halo, base + points.shape[1])
+        series[:, begin - low + halo : end - low + halo] = points[:, begin - base : end - base]
         both = np.empty((2, len(waves), high - low), complex)
         for k, wave in enumerate(waves):
             cut = halo - len(wave) // 2
@@ -121,8 +121,7 @@ def _chunks(scales: Sequence[float], chunk: int, sigma_scale: float, sigma_time:
         coherence = np.clip(np.divide(common, whole, out=np.zeros_like(whole), where=whole > 1e-300), 0, 1)
         own = cross[:, first - low : last - low]
         scale = np.repeat(np.asarray(scales, float), last - first)
-        out = [np.full(len(scale), rows["object"].iloc[0]), np.tile(np.arange(first, last), len(waves)), scale, CENTRE / (scale * cadence_days), np.abs(own).ravel(), np.angle(own).ravel(), coherence.ravel()]
-        return pd.DataFrame(dict(zip(columns, out, strict=True)))
+        return [np.tile(np.arange(first, last), len(waves)), scale, CENTRE / (scale * cadence_days), np.abs(own).ravel(), np.angle(own).ravel(), coherence.ravel()]
 
     return run
 
@@ -140,11 +139,19 @@ def cross_wavelet(df: DataFrame, x: str, y: str, cadence_days: float, scales: Se
     if not scales or any(a >= b for a, b in zip(scales, scales[1:], strict=False)) or scales[0] <= 0:
         raise ValueError("scales must rise, from above 0")
     halo = math.ceil(REACH * scales[-1]) + _smoother(sigma_time)[1]
-    grid = even_grid(df, cadence_days, (x, y))
-    size = grid.groupBy(F.col("object").alias("__o")).agg((F.max("i") + 1).alias("n")).where(F.col("n") >= least)
-    rows = grid.join(size, F.col("object") == F.col("__o")).select("object", "i", "n", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    first = F.greatest(F.lit(0), F.floor((F.col("i") - halo) / chunk))
-    last = F.least(F.floor((F.col("n") - 1) / chunk), F.floor((F.col("i") + halo) / chunk))
-    dealt = rows.withColumn("c", F.explode(F.sequence(first, last)))
+    grid = even_grid(df, cadence_days, (x, y), sized=True).where(F.col("n") >= least)
+    points = grid.select(F.col("object").cast("long"), "n", "i", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     run = _chunks(list(scales), chunk, sigma_scale, sigma_time, cadence_days)
-    return dealt.groupBy("object", "c").applyInPandas(run, "object long, i long, scale double, frequency double, power double, phase double, coherence double")
+
+    def cut(n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(0, n, chunk)
+        return np.maximum(0, at - halo), np.minimum(n, at + chunk + halo)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for name, n, first, stop, base, held in pieces(batches, cut):
+            for c in range(first, stop):
+                yield name, run(n, c, base, held)
+
+    schema = StructType.fromDDL("object long, i long, scale double, frequency double, power double, phase double, coherence double")
+    arrow = to_arrow_schema(schema)
+    return points.mapInArrow(lambda batches: batches_of(made(batches), arrow), schema)
