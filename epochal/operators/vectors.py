@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
+#: Rows of a block, at least and at most; between them a table is cut into ``BLOCKS``, so that what is shuffled grows with the table.
+BLOCK_ROWS, MOST_ROWS, BLOCKS = 2048, 65_536, 24
+#: Rows of the two sides that are compared at once.
+TILE = 2048
 #: Tasks that block pairs are dealt to, at most.
 MOST_TASKS = 20_000
 
@@ -82,65 +85,95 @@ def _wide(x: np.ndarray, width: int) -> np.ndarray:
 def distance_sums(df: DataFrame, key: str = "vec_id", cluster: str = "label", vector: str = "v", power: float = 1.0, across: bool = True) -> DataFrame:
     """Of each row and cluster: count of its rows and sum of distances (to ``power``) to the others of them.
 
-    Quadratic by definition.  Rows are dealt to blocks; each unordered pair of
-    blocks meets once (without ``across`` only rows of one cluster count), and
-    a task holds two blocks at a time.  Zero distances count as zero, also to a
+    Quadratic by definition.  Rows are dealt to blocks (without ``across``
+    those of each cluster on their own, as only they count); each unordered pair
+    of blocks meets once, and a task holds two blocks at a time.  Zero distances count as zero, also to a
     negative power.  Rows with an unusable vector take no part; shorter vectors
     are zero in the coordinates they lack.
     """
     good = df.where(usable(F.col(vector)))
-    blocks = max(1, -(-good.count() // BLOCK_ROWS))
+    groups = [F.col(cluster)] if not across else []
+    most = good.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // MOST_ROWS), min(-(-most // BLOCK_ROWS), BLOCKS))
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     rows = good.select(F.col(key).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("x"), own.alias("b"))
+    rows = rows.withColumn("g", F.lit(0) if across else F.col("c"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    dealt = rows.select("*", other).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("o"), (F.col("b") > F.col("o")).cast("int").alias("side"), "id", "c", "x")
-    tasks = min(MOST_TASKS, blocks * (blocks + 1) // 2)
-    dealt = dealt.repartition(tasks, "p", "o").sortWithinPartitions("p", "o", "side")
-
-    def sums(a: tuple, b: tuple, same: bool) -> Iterator[pa.RecordBatch]:
-        """Both directions of a pair of blocks (ids, clusters, vectors)."""
-        width = max(a[2].shape[1], b[2].shape[1])
-        x, y = _wide(a[2], width), _wide(b[2], width)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+    dealt = rows.select("*", other).select("g", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("o"), (F.col("b") > F.col("o")).cast("int").alias("side"), "id", "c", "x")
+    tasks = min(MOST_TASKS, blocks * (blocks + 1) // 2 * (1 if across else 8))
+    dealt = dealt.repartition(tasks, "g", "p", "o").sortWithinPartitions("g", "p", "o", "side")
+
+    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        size = (x * x).sum(1)[:, None] + (y * y).sum(1)
+        d = x @ y.T
+        d *= -2
+        d += size
         # a product loses what is very near: such distances are taken anew
-        near = np.argwhere(d * d <= 1e-7 * ((x * x).sum(1)[:, None] + (y * y).sum(1)))
+        size *= 1e-7
+        near = np.argwhere(d <= size)
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
         for at in range(0, len(near), 4096):
             i, j = near[at : at + 4096].T
             d[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
-        w = np.zeros_like(d)
-        w[d > 0] = d[d > 0] ** power
-        apart = a[0][:, None] != b[0]
-        for (ids, own_kinds, _), (_, kinds, _), weights, there in ((a, b, w, apart), (b, a, w.T, apart.T))[: 1 if same else 2]:
-            for c in np.unique(kinds).tolist():
-                at = kinds == c
-                n = there[:, at].sum(1)
-                total_ = (weights[:, at] * there[:, at]).sum(1)
-                use = (n > 0) & ((own_kinds == c) | across)
+        if power != 1:
+            some = d > 0
+            d[some] **= power
+        return d
+
+    def sums(a: tuple, b: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        """Both directions of a pair of blocks (ids, clusters, vectors), tile by tile."""
+        width = max(a[2].shape[1], b[2].shape[1])
+        sides, found = [], []
+        for ids, kinds, x in (a, b):
+            order = np.argsort(kinds, kind="stable")
+            kinds = kinds[order]
+            every, first = np.unique(kinds, return_index=True)
+            sides.append((ids[order], kinds, _wide(x, width)[order], every, [*first.tolist(), len(kinds)]))
+        for (ids, *_), (*_, every, ends) in (sides, sides[::-1]):
+            found.append((np.tile(np.diff(ends), (len(ids), 1)), np.zeros((len(ids), len(every)))))
+        (ia, _, xa, ka, ea), (ib, _, xb, kb, eb) = sides
+        for i in range(0, len(ia), TILE):
+            for j in range(0, len(ib), TILE):
+                w = distances(xa[i : i + TILE], xb[j : j + TILE])
+                # rows of one id are no pair; they lie in one block
+                alike = ia[i : i + TILE, None] == ib[j : j + TILE] if same else None
+                if same:
+                    w[alike] = 0
+                cuts = lambda ends, at: ((c, max(p - at, 0), min(q - at, TILE)) for c, (p, q) in enumerate(zip(ends, ends[1:], strict=False)) if p < at + TILE and q > at)
+                for c, p, q in cuts(eb, j):
+                    found[0][1][i : i + TILE, c] += w[:, p:q].sum(1)
+                    if same:
+                        found[0][0][i : i + TILE, c] -= alike[:, p:q].sum(1)
+                for c, p, q in () if same else cuts(ea, i):
+                    found[1][1][j : j + TILE, c] += w[p:q].sum(0)
+        for (ids, own_kinds, *_), every, (n, total_) in ((sides[0], kb, found[0]), (sides[1], ka, found[1]))[: 1 if same else 2]:
+            for c, kind in enumerate(every.tolist()):
+                use = (n[:, c] > 0) & ((own_kinds == kind) | across)
                 if use.any():
-                    parts = ids[use], own_kinds[use], np.full(use.sum(), c), n[use], total_[use]
+                    parts = ids[use], own_kinds[use], np.full(use.sum(), kind), n[use, c], total_[use, c]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()], strict=True)], ["id", "own", "other", "n", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
             sides = [tuple(np.concatenate(p) for p in (s[0], s[1])) + (np.concatenate([_wide(x, max(y.shape[1] for y in s[2])) for x in s[2]]),) for s in held if s[0]]
             if sides:
-                yield from sums(sides[0], sides[-1], now[0] == now[1])
+                yield from sums(sides[0], sides[-1], now[1] == now[2])
 
         now, held = None, [([], [], []), ([], [], [])]
         for batch in batches:
-            keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in range(3)], 1)
+            keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in range(4)], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if tuple(keys[a][:2]) != now:
-                    if now is not None and (now[0] == now[1] or (held[0][0] and held[1][0])):
+                if tuple(keys[a][:3]) != now:
+                    if now is not None and (now[1] == now[2] or (held[0][0] and held[1][0])):
                         yield from close()
-                    now, held = tuple(keys[a][:2]), [([], [], []), ([], [], [])]
-                for into, values in zip(held[keys[a][2]], (part.column(3).to_numpy(), part.column(4).to_numpy(), _rows(part, 5)), strict=True):
+                    now, held = tuple(keys[a][:3]), [([], [], []), ([], [], [])]
+                for into, values in zip(held[keys[a][3]], (part.column(4).to_numpy(), part.column(5).to_numpy(), _rows(part, 6)), strict=True):
                     into.append(values)
-        if now is not None and (now[0] == now[1] or (held[0][0] and held[1][0])):
+        if now is not None and (now[1] == now[2] or (held[0][0] and held[1][0])):
             yield from close()
 
     parts = dealt.mapInArrow(run, "id long, own int, other int, n long, total double")
