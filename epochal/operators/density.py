@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +87,22 @@ def circular_linear_kde(df: DataFrame, angle: str, value: str, angles: int = 12,
     own = df.where(number(angle) & number(value)).select(F.radians(angle).alias("a"), F.col(value).cast("double").alias("v"))
     stat = own.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("top"), F.stddev_samp("v").alias("sd")).where("n > 0")
     stat = stat.withColumns({"high": F.when(F.col("top") > F.col("low"), F.col("top")).otherwise(F.col("low") + 1.0), "h": _deviation_width(F.col("n"), F.col("sd"), 1.06)})
-    grid = F.transform(F.sequence(F.lit(0), F.lit(angles * values - 1)), lambda k: F.struct(F.floor(k / values).cast("int").alias("i"), (k % values).cast("int").alias("j")))
-    each = own.join(F.broadcast(stat)).withColumn("g", F.explode(grid)).select("a", "v", "n", "h", "low", "high", "g.*")
-    place = F.col("low") + (F.col("high") - F.col("low")) * F.col("j") / (values - 1)
-    each = each.withColumn("x", place)
-    u = (F.col("x") - F.col("v")) / F.col("h")
-    weight = F.exp(kappa * F.cos(2 * math.pi * F.col("i") / angles - F.col("a")) - 0.5 * u * u)
+    turns = 2 * math.pi * np.arange(angles) / angles
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a kernel is a product of its circle's and its line's, so a batch is one product of matrices
+        for batch in batches:
+            if batch.num_rows:
+                a, v, n, h, low, high = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                x = low[0] + (high[0] - low[0]) * np.arange(values) / (values - 1)
+                found = np.exp(kappa * np.cos(turns[:, None] - a)) @ np.exp(-0.5 * ((x - v[:, None]) / h[0]) ** 2)
+                i, j = np.divmod(np.arange(angles * values), values)
+                one = [np.full(len(i), c) for c in (n[0], h[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(x[j]), pa.array(one[0], pa.int64()), pa.array(one[1]), pa.array(found.ravel())], ["i", "j", "x", "n", "h", "w"])
+
+    each = own.join(F.broadcast(stat)).select("a", "v", "n", "h", "low", "high").mapInArrow(sums, "i int, j int, x double, n long, h double, w double")
     norm = 1.0 / (2 * math.pi * _bessel0(kappa) * math.sqrt(2 * math.pi))
-    return each.groupBy("i", "j", "x").agg((F.sum(weight) * norm / (F.first("n") * F.first("h"))).alias("density")).select("i", "j", (F.col("i") * (360.0 / angles)).alias("angle"), F.col("x").alias("value"), "density")
+    return each.groupBy("i", "j", "x").agg((F.sum("w") * norm / (F.first("n") * F.first("h"))).alias("density")).select("i", "j", (F.col("i") * (360.0 / angles)).alias("angle"), F.col("x").alias("value"), "density")
 
 
 def ellipses(df: DataFrame, x: str, y: str, group: str, deviations: float = 2.0) -> DataFrame:
