@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from epochal.operators import density, kernels, vectors
+from epochal.operators import density, kernels, posterior, vectors
 
 
 @pytest.mark.parametrize("across", [True, False])
@@ -67,3 +67,19 @@ def test_kernels_of_circle_and_line_are_sums_of_batches(spark):
         weight = np.exp(25 * np.cos(2 * np.pi * r.i / 6 - np.radians(a)) - 0.5 * ((x - v) / h) ** 2).sum()
         assert r.value == pytest.approx(x) and r.density == pytest.approx(weight / (2 * np.pi * density._bessel0(25.0) * np.sqrt(2 * np.pi) * 500 * h))
     assert out.count() == 30 and density.circular_linear_kde(rows.limit(0), "a", "v").count() == 0
+
+
+def test_copies_of_an_object_don_t_grow_with_the_objects(spark, monkeypatch):
+    # an object went to a block for every 1,024 objects
+    monkeypatch.setattr(posterior, "BLOCK_OBJECTS", 2)
+    monkeypatch.setattr(posterior, "BLOCKS", 3, raising=False)
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(20, 9))
+    out = posterior.wasserstein(spark.createDataFrame([(o, float(x)) for o, v in enumerate(values) for x in v], "object long, x double"))
+    assert re.search(r"least\(.*, 3\).*AS __blocks", out._jdf.queryExecution().optimizedPlan().toString())
+    shares = np.arange(1, 20) / 20
+    q = np.quantile(values, shares, axis=1)
+    got = {(r.a, r.b): r.w1 for r in out.collect()}
+    assert got.keys() == {(a, b) for a in range(20) for b in range(a + 1, 20)}
+    for (a, b), w in got.items():
+        assert w == pytest.approx(np.abs(q[:, a] - q[:, b]).mean(), abs=1e-6)
