@@ -38,6 +38,14 @@ def element_rules(max_sma: float) -> dict[str, Column]:
     }
 
 
+def sound_elements(max_sma: float) -> Column:
+    """Whether none of :func:`element_rules` is true, without telling which: a few comparisons (NaN is above all numbers, null is no yes)."""
+    below = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))
+    ecc, inc, sma = F.col("ecc"), F.col("inc"), F.col("sma")
+    shape = (ecc >= 0) & (ecc < 1) & (inc >= 0) & (inc <= 180) & (sma > 0) & (sma <= max_sma) & (sma < float("inf"))
+    return shape & F.col("t").isNotNull() & (F.col("mean_motion") > 0) & below("mean_motion") & below("raan") & below("aop") & below("mean_anomaly")
+
+
 def counts_by_cause(df: DataFrame, reasons: str = "reasons") -> DataFrame:
     return df.select(F.explode(F.split(reasons, ";")).alias("cause")).where("cause <> ''").groupBy("cause").agg(F.count("*").alias("n"))
 

@@ -93,14 +93,15 @@ def best_match(df: DataFrame, tolerance: float = 1e-3, definitions: tuple[Resona
     not near.
     """
     external = [F.lit(x) for x in (SUN_RATE, MOON_NODE_RATE, EARTH_RATE)]
-    every = []
-    for i, d in enumerate(definitions):
-        value = F.abs(d.of(F.col("node"), F.col("perigee"), external[0], external[1], F.col("n"), external[2]))
-        every.append(F.when(value.isNotNull() & ~F.isnan(value), F.struct(value.alias("p"), F.lit(i).alias("i"), F.lit(d.name).alias("name"), F.lit(d.family).alias("family"))))
-    best = F.least(*every) if len(every) > 1 else every[0]
-    out = df.withColumn("__b", best)
-    near = F.coalesce(F.col("__b.p") <= tolerance, F.lit(False))
-    return out.withColumns({"name": F.col("__b.name"), "family": F.col("__b.family"), "proximity": F.col("__b.p"), "near": near}).drop("__b")
+    # numbers alone are compared: the code for a struct a definition is too long a method to be compiled at run time
+    every = F.array(*(F.abs(d.of(F.col("node"), F.col("perigee"), external[0], external[1], F.col("n"), external[2])) for d in definitions))
+    out = df.withColumn("__every", every).withColumn("proximity", F.array_min("__every"))
+    out = out.withColumn("proximity", F.when(~F.isnan("proximity"), F.col("proximity")))
+    out = out.withColumn("__at", (F.array_position("__every", F.col("proximity")) - 1).cast("int"))
+    told = lambda what: F.get(F.array(*(F.lit(getattr(d, what)) for d in definitions)), F.col("__at"))
+    near = F.coalesce(F.col("proximity") <= tolerance, F.lit(False))
+    own = [c for c in df.columns if c not in ("name", "family", "proximity", "near")]
+    return out.select(*own, told("name").alias("name"), told("family").alias("family"), "proximity", near.alias("near"))
 
 
 def resonant_angles(df: DataFrame, definitions: tuple[Resonance, ...] = BUILT_IN, time: str = "t", low_ecc: float = LOW_ECCENTRICITY) -> DataFrame:
@@ -132,13 +133,39 @@ def angle_behaviour(df: DataFrame, by: list[str], order: list[str], angle: str =
     stats = some.withColumn("__step", step).groupBy(*by).agg(
         F.count("*").alias("n"), (F.max(angle) - F.min(angle)).alias("span"), F.abs(F.coalesce(F.sum("__step"), F.lit(0.0))).alias("drift")
     )
-    kind = (
-        F.when(F.col("n") < least, "insufficient_data")
-        .when((F.col("drift") > 540) & (F.col("span") > 260), "circulation")
-        .when((F.col("span") <= libration_span) & (F.col("drift") < 360), "libration_candidate")
+    return stats.withColumn("behaviour", _kind(F.col("n"), F.col("span"), F.col("drift"), least, libration_span))
+
+
+def _kind(n: Column, span: Column, drift: Column, least: int, libration_span: float) -> Column:
+    return (
+        F.when(n < least, "insufficient_data")
+        .when((drift > 540) & (span > 260), "circulation")
+        .when((span <= libration_span) & (drift < 360), "libration_candidate")
         .otherwise("transition_or_mixed")
     )
-    return stats.withColumn("behaviour", kind)
+
+
+def object_behaviours(df: DataFrame, definitions: tuple[Resonance, ...] = BUILT_IN, time: str = "t", order: tuple[str, ...] = ("t", "rec"), least: int = 24, libration_span: float = 240.0) -> DataFrame:
+    """``object``, ``resonance``, ``behaviour``: what :func:`angle_behaviour` says of each object's :func:`resonant_angles`.
+
+    A record stays one row, with a column a definition, until its object is
+    summed up: what is shuffled and sorted doesn't grow with the definitions.
+    """
+    # angles are made behind the exchange, as elements are narrower; their code there is short enough to be compiled at run time
+    base = df.select("object", *dict.fromkeys((*order, time, "raan", "aop", "mean_anomaly"))).repartition("object").sortWithinPartitions("object", *order)
+    days = (F.col(time) - EPOCH_2000_US) / 86_400_000_000
+    own = base.withColumns({f"__{k}": angles.wrap_180(F.lit(a) + F.lit(b) * days) for k, (a, b) in (("sun", SUN_LONGITUDE), ("moon", MOON_NODE), ("earth", EARTH_ANGLE))})
+    parts = [F.col(c) for c in ("raan", "aop", "__sun", "__moon", "mean_anomaly", "__earth")]
+    psi = [angles.wrap_180(d.of(*parts)) for d in definitions]
+    rows = own.select("object", *order, *(F.nullif(p, F.lit(float("nan"))).alias(f"__p{k}") for k, p in enumerate(psi)))
+    before = Window.partitionBy("object").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("object", *(f"__p{k}" for k in range(len(psi))), *(F.last(f"__p{k}", ignorenulls=True).over(before).alias(f"__b{k}") for k in range(len(psi))))
+    step = lambda k: angles.wrap_180(F.round(F.col(f"__p{k}") - F.col(f"__b{k}"), 6))
+    steps = rows.select("object", *(f"__p{k}" for k in range(len(psi))), *(step(k).alias(f"__s{k}") for k in range(len(psi))))
+    sums = [f(c).alias(n) for k in range(len(psi)) for f, c, n in ((F.count, f"__p{k}", f"n{k}"), (F.max, f"__p{k}", f"high{k}"), (F.min, f"__p{k}", f"low{k}"), (F.sum, f"__s{k}", f"turn{k}"))]
+    each = lambda k, d: F.struct(F.lit(d.name).alias("resonance"), F.col(f"n{k}").alias("n"), (F.col(f"high{k}") - F.col(f"low{k}")).alias("span"), F.abs(F.coalesce(F.col(f"turn{k}"), F.lit(0.0))).alias("drift"))
+    stats = steps.groupBy("object").agg(*sums).select("object", F.inline(F.array(*(each(k, d) for k, d in enumerate(definitions))))).where("n > 0")
+    return stats.select("object", "resonance", _kind(F.col("n"), F.col("span"), F.col("drift"), least, libration_span).alias("behaviour"))
 
 
 def by_object(df: DataFrame) -> DataFrame:

@@ -42,8 +42,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.reject_reasons(elements(spark, sf_dir), quality.element_rules(9000))
-    return judged.where("reasons = ''").drop("reasons")
+    return elements(spark, sf_dir).where(quality.sound_elements(9000))
 
 
 REASONS_SQL = f"""{ELEMENTS_SQL},

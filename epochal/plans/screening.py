@@ -35,8 +35,7 @@ SELECT *, CASE WHEN NOT candidate THEN 'not_candidate' WHEN weak_apsis THEN 'low
 def resonance_screen(spark, sf_dir):
     """Records near a resonance whose angle librates, the apsis of rounder orbits taken for weak."""
     rows = clean(spark, sf_dir).select("rec", "object", "t", "ecc", "raan", "aop", "mean_anomaly")
-    behaviours = resonance.angle_behaviour(resonance.resonant_angles(rows), ["object", "resonance"], ["t", "rec"])
-    out = resonance.screened(near_resonances(spark, sf_dir), behaviours, low_ecc=0.004)
+    out = resonance.screened(near_resonances(spark, sf_dir), resonance.object_behaviours(rows), low_ecc=0.004)
     return out.select("rec", "name", "near", "behaviour", "candidate", "weak_apsis", "confidence")
 
 
