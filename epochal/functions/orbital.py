@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # Gravitational parameter, equatorial radius and J2 of the Earth, length of the year.
 MU = 398600.4418
@@ -13,6 +16,8 @@ EARTH_RADIUS = 6378.14
 J2 = 1.082635854e-3
 TROPICAL_YEAR_DAYS = 365.2421897
 DAY_S = 86400.0
+#: What :func:`with_elements` adds.
+ELEMENTS = StructType([StructField(c, DoubleType()) for c in ("h", "energy", "sma", "ecc", "inc", "raan", "aop", "nu")])
 
 
 def semi_major_axis(rev_per_day: Column) -> Column:
@@ -112,30 +117,41 @@ def with_elements(df: DataFrame) -> DataFrame:
     ``inc``, ``raan``, ``aop``, ``nu``.  Without a node (an equatorial orbit)
     its longitude is 0; without an apsis (a circular orbit) ``aop`` is 0 and
     ``nu`` counts from the node, or from the first axis.  A state without
-    angular momentum has null angles.  Vectors are columns of their own on the
-    way, so that no expression is spelt out many times.
+    angular momentum has null angles, one with a null component nulls alone.
+    A batch of rows is worked out in NumPy: the same as column expressions is
+    too long a method for Spark's generated code to be compiled at run time.
     """
-    x, y, z, vx, vy, vz = (F.col(c) for c in ("x", "y", "z", "vx", "vy", "vz"))
-    out = df.withColumns({"__r": F.sqrt(x * x + y * y + z * z), "__hx": y * vz - z * vy, "__hy": z * vx - x * vz, "__hz": x * vy - y * vx})
-    r, hx, hy, hz = (F.col(c) for c in ("__r", "__hx", "__hy", "__hz"))
-    toward = lambda a, b: a / MU - F.try_divide(b, r)
-    out = out.withColumns(
-        {
-            "h": F.sqrt(hx * hx + hy * hy + hz * hz), "__n": F.sqrt(hx * hx + hy * hy), "energy": (vx * vx + vy * vy + vz * vz) / 2 - F.try_divide(F.lit(MU), r),
-            "__ex": toward(vy * hz - vz * hy, x), "__ey": toward(vz * hx - vx * hz, y), "__ez": toward(vx * hy - vy * hx, z),
-        }
-    )
-    h, n, ex, ey, ez = (F.col(c) for c in ("h", "__n", "__ex", "__ey", "__ez"))
-    noded = n > 1e-9
-    turn = lambda a: F.when(h > 1e-12, F.pmod(F.degrees(a), F.lit(360.0)))
-    # angles from the node to a vector in the orbit's plane: along the node, and across it
-    along = lambda a, b: F.when(noded, (b * hx - a * hy) / n).otherwise(a)
-    across = lambda b, c: F.when(noded, c * h / n).otherwise(F.when(hz < 0, -b).otherwise(b))
-    out = out.withColumns({"sma": F.try_divide(F.lit(-MU), 2 * F.col("energy")), "ecc": F.sqrt(ex * ex + ey * ey + ez * ez), "__w": F.atan2(across(ey, ez), along(ex, ey)), "__u": F.atan2(across(y, z), along(x, y))})
-    out = out.withColumn("__w", F.when(F.col("ecc") > 1e-10, F.col("__w")).otherwise(0.0))
-    tilt = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(hz, h))))
-    out = out.withColumns({"inc": turn(tilt), "raan": turn(F.when(noded, F.atan2(hx, -hy)).otherwise(0.0)), "aop": turn(F.col("__w")), "nu": turn(F.col("__u") - F.col("__w"))})
-    return out.drop("__r", "__hx", "__hy", "__hz", "__n", "__ex", "__ey", "__ez", "__w", "__u")
+
+    @F.arrow_udf(ELEMENTS)
+    def elements(x: pa.Array, y: pa.Array, z: pa.Array, vx: pa.Array, vy: pa.Array, vz: pa.Array) -> pa.Array:
+        return _elements([x, y, z, vx, vy, vz])
+
+    found = elements(*(F.col(c).cast("double") for c in ("x", "y", "z", "vx", "vy", "vz")))
+    return df.withColumn("__k", found).withColumns({c: F.col(f"__k.{c}") for c in ELEMENTS.names}).drop("__k")
+
+
+def _elements(columns: list[pa.Array]) -> pa.Array:
+    unknown = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in columns], axis=0)
+    x, y, z, vx, vy, vz = (c.fill_null(math.nan).to_numpy() for c in columns)
+    with np.errstate(all="ignore"):
+        r = np.sqrt(x * x + y * y + z * z)
+        hx, hy, hz = y * vz - z * vy, z * vx - x * vz, x * vy - y * vx
+        h, n = np.sqrt(hx * hx + hy * hy + hz * hz), np.sqrt(hx * hx + hy * hy)
+        ex, ey, ez = (vy * hz - vz * hy) / MU - x / r, (vz * hx - vx * hz) / MU - y / r, (vx * hy - vy * hx) / MU - z / r
+        energy, ecc = (vx * vx + vy * vy + vz * vz) / 2 - MU / r, np.sqrt(ex * ex + ey * ey + ez * ez)
+        noded = ~(n <= 1e-9)
+        # angles from the node to a vector in the orbit's plane: along the node, and across it
+        along = lambda a, b: np.where(noded, (b * hx - a * hy) / n, a)
+        across = lambda b, c: np.where(noded, c * h / n, np.where(hz < 0, -b, b))
+        w = np.where(ecc <= 1e-10, 0.0, np.arctan2(across(ey, ez), along(ex, ey)))
+        u = np.arctan2(across(y, z), along(x, y))
+        turns = np.degrees([np.arccos(np.fmax(-1.0, np.fmin(1.0, hz / h))), np.where(noded, np.arctan2(hx, -hy), 0.0), w, u - w])
+        turns = np.fmod(turns, 360.0)
+        turns = np.where(turns < 0, np.fmod(turns + 360.0, 360.0), turns)
+        sma = -MU / (2 * energy)
+    apart, still = unknown | (r == 0), unknown | (h <= 1e-12)
+    masked = [(h, unknown), (energy, apart), (sma, apart | (energy == 0)), (ecc, apart), *((t, still) for t in turns)]
+    return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=m) for v, m in masked], names=ELEMENTS.names)
 
 
 def phase_choice(ecc: Column, wanted: Column, fallback: Column, threshold: float = 0.01) -> Column:

@@ -6,15 +6,17 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from epochal.functions import orbital
 from epochal.operators import quality, resonance
 
 NAN = float("nan")
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["resonance_screen", "resonance_widths"])
+@pytest.mark.parametrize("name", ["resonance_screen", "resonance_widths", "elements_from_state"])
 def test_methods_are_short_enough_to_be_compiled(spark, name):
     shown, before = io.StringIO(), spark.conf.get("spark.sql.adaptive.enabled")
     # an adaptive plan has no code before it runs
@@ -54,3 +56,13 @@ def test_best_match_of_odd_rates(spark):
     df = spark.createDataFrame([(1, 0.5, 0.2, 1.0), (2, 0.2, 0.2, 1.0), (3, NAN, 0.3, 1.0), (4, None, None, 1.0), (5, NAN, NAN, NAN), (6, -0.0, 0.0, 1.0)], "k int, node double, perigee double, n double")
     got = {r.k: (r.name, r.family, r.proximity, r.near) for r in resonance.best_match(df, 0.25, some).collect()}
     assert got == {1: ("b", "y", 0.2, True), 2: ("a", "x", 0.2, True), 3: ("b", "y", 0.3, False), 4: (None, None, None, False), 5: (None, None, None, False), 6: ("a", "x", 0.0, True)}
+
+
+def test_elements_of_odd_states(spark):
+    rows = [(1, 7000.0, 0.0, 0.0, 0.0, 7.6, 0.0), (2, 7000.0, 0.0, 0.0, 0.0, -7.6, 0.0), (3, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (4, None, 0.0, 0.0, 0.0, 7.6, 0.0), (5, NAN, 0.0, 0.0, 0.0, 7.6, 1.0)]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "k int, x double, y double, z double, vx double, vy double, vz double, h string")
+    got = {r.k: r for r in orbital.with_elements(df).collect()}
+    assert (got[1].inc, got[1].raan, got[1].aop in (0.0, 180.0)) == (0.0, 0.0, True) and got[2].inc == 180.0
+    assert got[3].energy is None and got[3].sma is None and got[3].ecc is None and got[3].inc is None and got[3].h == 0.0
+    assert all(got[4][c] is None for c in orbital.ELEMENTS.names) and math.isnan(got[5].h) and math.isnan(got[5].sma)
+    assert orbital.with_elements(df.where(F.lit(False))).columns == [*df.columns, *(c for c in orbital.ELEMENTS.names if c != "h")]
