@@ -118,10 +118,14 @@ def mean_lag_correlation(found: DataFrame) -> DataFrame:
 DRAWN = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9))
 
 
-def draws(object_: Column, replicate: Column) -> Column:
-    """How often an object is drawn in a replicate: a Poisson count that follows from a hash of both."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", object_.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    return sum(((u >= share).cast("int") for share in DRAWN), F.lit(0))
+def drawn_share(object_: Column, replicate: Column) -> Column:
+    """A number in [0, 1) that follows from a hash of both."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", object_.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+
+
+def draws(share: Column) -> Column:
+    """How often an object is drawn: a Poisson count of such a share, which should be a column of its own (it is compared many times)."""
+    return sum(((share >= s).cast("int") for s in DRAWN), F.lit(0))
 
 
 def on_common_grid(spectra: DataFrame, normalise: bool = True) -> DataFrame:
@@ -145,16 +149,21 @@ def stacked_spectrum(spectra: DataFrame, replicates: int = 64, normalise: bool =
     """``frequency``, ``n_members``, ``amplitude`` (median over the objects), ``p05`` and ``p95`` of bootstrap medians.
 
     A replicate counts every object as often as ``draws`` says, inside one
-    aggregation by frequency and replicate: a median with whole weights.
+    aggregation by frequency and replicate: a median with whole weights.  The
+    objects themselves are the replicate -1, in which each counts once.
+    An object is drawn once a replicate, not again at each frequency.
     Frequencies of the common grid are few; the objects' different amplitudes
     at one frequency and replicate meet in one task.
     """
-    rows = on_common_grid(spectra, normalise)
-    middle = rows.groupBy("frequency").agg(F.count("*").alias("n_members"), F.percentile("y", F.lit(0.5)).alias("amplitude"))
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", draws(F.col("object"), F.col("replicate"))).where("times > 0")
-    each = drawn.groupBy("frequency", "replicate").agg(F.percentile("y", F.lit(0.5), F.col("times")).alias("m"))
-    bands = each.groupBy(F.col("frequency").alias("__f")).agg(F.percentile("m", F.lit(0.05)).alias("p05"), F.percentile("m", F.lit(0.95)).alias("p95"))
-    return middle.join(bands, F.col("frequency") == F.col("__f"), "left").drop("__f")
+    # rows of an object are in one task already
+    whole = on_common_grid(spectra, normalise).groupBy("object").agg(F.collect_list(F.struct("frequency", "y")).alias("points"))
+    each = whole.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    # the least share of one draw: told before the counts, so that these need not be worked out for the filter
+    each = each.withColumn("share", F.when(F.col("replicate") < 0, DRAWN[0]).otherwise(drawn_share(F.col("object"), F.col("replicate")))).where(F.col("share") >= DRAWN[0])
+    rows = each.withColumn("times", draws(F.col("share"))).select("replicate", "times", F.inline("points"))
+    medians = rows.groupBy("frequency", "replicate").agg(F.count("*").alias("n"), F.percentile("y", F.lit(0.5), F.col("times")).alias("m"))
+    plain, drawn = (lambda c: F.max(F.when(F.col("replicate") < 0, F.col(c)))), F.when(F.col("replicate") >= 0, F.col("m"))
+    return medians.groupBy("frequency").agg(plain("n").alias("n_members"), plain("m").alias("amplitude"), F.percentile(drawn, F.lit(0.05)).alias("p05"), F.percentile(drawn, F.lit(0.95)).alias("p95"))
 
 
 def dominant_frequencies(df: DataFrame, cadence_days: float, window: int = 256, step: int = 64, value: str = "value") -> DataFrame:

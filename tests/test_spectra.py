@@ -187,3 +187,15 @@ def test_dominant_frequencies_of_windows(spark):
     r = spectra.frequency_diffusion(out).first()
     assert r.n_windows == 6 and r.diffusion == pytest.approx(np.std(np.diff([g[2] for g in got])))
     assert math.isfinite(r.diffusion)
+
+
+def test_an_object_is_drawn_once_a_replicate(spark):
+    df = spark.createDataFrame([(o, k / 8, float(o + k)) for o in range(4) for k in range(1, 4)], "object long, frequency double, amplitude double")
+    out = spectra.stacked_spectrum(df, 16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # in the filter and in the column, not once a share that it is compared with
+    assert 1 <= plan.count("md5(") <= 2
+    assert plan.index("inline(points") < plan.index("md5(")
+    rows = {r.frequency: r for r in out.collect()}
+    assert {f: r.n_members for f, r in rows.items()} == {1 / 8: 4, 2 / 8: 4, 3 / 8: 4}
+    assert spectra.stacked_spectrum(df.limit(0), 16).collect() == []
