@@ -6,8 +6,11 @@ computed but keeps its row; rows without an object or a time are left out.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from epochal.functions.angles import unwrapped
 from epochal.operators.evidence import filled, floored, middle, rolling_scale
@@ -99,23 +102,58 @@ def _scale(residuals: Column) -> Column:
     return 1.4826 * _let(_let(F.sort_array(residuals), away), _middle)
 
 
-def _reweighted(rows: Column, rounds: int, c: float) -> Column:
-    """Least squares, then rounds with weights c / |residual| beyond ``c`` scales, applied to rows (so squared in the sums), until nothing moves."""
-    plain = F.transform(rows, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), F.lit(1.0).alias("w")))
+#: What a robust line is.
+LINE = StructType([StructField("slope", DoubleType()), StructField("intercept", DoubleType()), StructField("rounds", IntegerType())])
+
 
-    def once(state: Column, _: Column) -> Column:
-        def moved(scale: Column) -> Column:
-            weight = lambda u: F.when(u > c, (c / u) * (c / u)).otherwise(1.0)
-            off = lambda r: F.abs(r["y"] - state["fit"]["slope"] * r["x"] - state["fit"]["intercept"]) / scale
-            new = _weighted_line(F.transform(rows, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), weight(off(r)).alias("w"))))
-            step = lambda f: F.greatest(F.abs(f["slope"] - state["fit"]["slope"]), F.abs(f["intercept"] - state["fit"]["intercept"]))
-            done = F.struct(state["fit"].alias("fit"), F.lit(True).alias("done"), state["rounds"].alias("rounds"))
-            return F.when(F.coalesce(scale, F.lit(0.0)) <= 1e-12, done).otherwise(_let(new, lambda f: F.struct(f.alias("fit"), (step(f) < 1e-10).alias("done"), (state["rounds"] + 1).alias("rounds"))))
+def _reweighted(rows: Column, rounds: int, c: float) -> Column:
+    """``LINE`` by least squares, then rounds with weights c / |residual| beyond ``c`` scales, applied to rows (so squared in the sums), until nothing moves.
 
-        return F.when(state["done"], state).otherwise(_let(_scale(_residuals(rows, state["fit"])), moved))
+    A batch of objects at a time, each in NumPy: functions over arrays are
+    interpreted by Spark, value by value.  Null: null.
+    """
 
-    start = F.struct(_weighted_line(plain).alias("fit"), F.lit(False).alias("done"), F.lit(0).alias("rounds"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, once)
+    @F.arrow_udf(LINE)
+    def lines(held: pa.Array) -> pa.Array:
+        flat, sizes = held.flatten(), held.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        x, y, ends = flat.field("x").to_numpy(), flat.field("y").to_numpy(), np.cumsum(sizes)
+        with np.errstate(all="ignore"):
+            found = [_huber(x[b - n : b], y[b - n : b], rounds, c) if n else (None, None, None) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.float64(), pa.float64(), pa.int32()), strict=True)], names=LINE.names)
+
+    return lines(rows)
+
+
+def _huber(x: np.ndarray, y: np.ndarray, rounds: int, c: float) -> tuple[float, float, int]:
+    # a running sum adds one value after another, as an aggregate does
+    total = lambda v: np.cumsum(v)[-1]
+
+    def line(w: np.ndarray) -> tuple[float, float]:
+        s = total(w)
+        mx, my = total(w * x) / s, total(w * y) / s
+        xx, xy = total(w * (x - mx) * (x - mx)), total(w * (x - mx) * (y - my))
+        slope = xy / xx if xx != 0 else 0.0
+        return slope, my - slope * mx
+
+    def middle(v: np.ndarray) -> float:
+        v, n = np.sort(v), len(v)
+        return (v[(n - 1) // 2] + v[n // 2]) / 2
+
+    slope, intercept = line(np.ones(len(x)))
+    for k in range(rounds):
+        off = y - slope * x - intercept
+        scale = 1.4826 * middle(np.abs(off - middle(off)))
+        if scale <= 1e-12:
+            return float(slope), float(intercept), k
+        u = np.abs(off) / scale
+        less = c / u
+        new = line(np.where(u <= c, 1.0, less * less))
+        moved = max(abs(new[0] - slope), abs(new[1] - intercept))
+        slope, intercept = new
+        if moved < 1e-10:
+            return float(slope), float(intercept), k + 1
+    return float(slope), float(intercept), rounds
 
 
 def _series(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
@@ -136,7 +174,7 @@ def huber_lines(df: DataFrame, value: str = "value", least: int = 3, rounds: int
     """
     held = _series(known(df, value), value, keys).where(F.size("rows") >= max(2, least))
     out = held.withColumn("f", _reweighted(F.col("rows"), rounds, c))
-    return out.select(*keys, F.size("rows").alias("n"), F.col("f.fit.slope").alias("slope"), F.col("f.fit.intercept").alias("intercept"), F.col("f.rounds").alias("rounds"))
+    return out.select(*keys, F.size("rows").alias("n"), F.col("f.slope").alias("slope"), F.col("f.intercept").alias("intercept"), F.col("f.rounds").alias("rounds"))
 
 
 def huber_residuals(df: DataFrame, value: str = "value", least: int = 3, output: str = "residual") -> DataFrame:
@@ -165,5 +203,6 @@ def secular_rates(df: DataFrame, angle: str, least: int = 3, outlier_sigma: floa
     out = out.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(spread(F.col("away"))))
     share = F.when(F.col("scale") > 0, F.size(F.filter("away", lambda x: F.abs(x) > outlier_sigma * F.col("scale"))) / F.size("away")).otherwise(0.0)
     out = out.withColumn("outlier_share", share).withColumn("robust", F.col("outlier_share") > 0.01)
-    slope = F.when(F.col("robust"), _reweighted(F.col("rows"), 25, 1.345)["fit"]["slope"]).otherwise(F.col("fit.slope"))
+    out = out.withColumn("other", _reweighted(F.when(F.col("robust"), F.col("rows")), 25, 1.345))
+    slope = F.when(F.col("robust"), F.col("other.slope")).otherwise(F.col("fit.slope"))
     return out.select("object", F.size("rows").alias("n"), slope.alias("rate"), F.when(F.col("robust"), "huber").otherwise("ols").alias("method"), "outlier_share")
