@@ -32,7 +32,10 @@ MAX_PAIRS = 1_000_000
 MAX_KEPT_BYTES = 64
 #: Words up to so many bytes are merged over a plain list.
 SHORT = 48
-NONE = 1 << 40
+#: Bits of an id, and a number above every rank and id.
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NONE = 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,8 +68,13 @@ class ByteBpe:
         for n, (a, b) in enumerate(merges):
             self.rank.setdefault((raw[a], raw[b]), n)
         self.longest = max(map(len, self.id_of))
-        # starts of tokens, so that a greedy search ends as soon as no token goes on
-        self.starts = {t[:n] for t in self.id_of for n in range(1, len(t) + 1)}
+        # starts of tokens (their id, if they are tokens), so that a greedy search ends as soon as no token goes on
+        self.starts = dict.fromkeys((t[:n] for t in self.id_of for n in range(1, len(t) + 1)), -1) | self.id_of
+        # short words are merged by ids: a pair's rank, and the id that it makes, in one number
+        self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
+        joined = sorted((self.id_of[a] << ID_BITS | self.id_of[b], n << ID_BITS | self.id_of[a + b]) for (a, b), n in self.rank.items())
+        self.pairs, self.made = np.array([*joined, (-1, NONE)] if not joined else joined, np.int64).T.copy()
+        self.packed, self.decimals = [struct.pack("<I", i) for i in range(size)], [b"%d," % i for i in range(size)]
         self.find = regex.compile(PATTERN).findall
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.verdicts: dict[int, bool] = {}
@@ -79,23 +87,25 @@ class ByteBpe:
     def greedy(self, word: bytes) -> list[int]:
         """Longest vocabulary token from the left, again and again."""
         out, at, n = [], 0, len(word)
-        ids, starts = self.id_of, self.starts
+        find = self.starts.get
         while at < n:
-            best, stop = at + 1, at + 1
-            while stop <= n and word[at:stop] in starts:
-                if word[at:stop] in ids:
-                    best = stop
+            stop = at + 1
+            got = best = find(word[at:stop])
+            end = stop
+            while stop < n:
                 stop += 1
-            out.append(ids[word[at:best]])
-            at = best
+                if (got := find(word[at:stop])) is None:
+                    break
+                if got >= 0:
+                    best, end = got, stop
+            out.append(best)
+            at = end
         return out
 
     # -- exact merging ---------------------------------------------------
     def merge(self, word: bytes) -> list[bytes]:
         """Lowest rank first, leftmost first among equals; a heap keeps long words near-linear."""
         n = len(word)
-        if n <= SHORT:
-            return self._merge_short([word[i : i + 1] for i in range(n)])
         part = [word[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank = self.rank
@@ -116,40 +126,66 @@ class ByteBpe:
                 heapq.heappush(heap, (r, p, part[p], part[i]))
         return [p for p in part if p is not None]
 
-    def _merge_short(self, part: list[bytes]) -> list[bytes]:
-        find = self.rank.get
-        ranks = [find(p, NONE) for p in zip(part, part[1:], strict=False)]
-        while ranks and (low := min(ranks)) != NONE:
-            i = ranks.index(low)
-            part[i] += part.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = find((part[i - 1], part[i]), NONE)
-            if i < len(ranks):
-                ranks[i] = find((part[i], part[i + 1]), NONE)
-        return part
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of :meth:`merge` of each word; short words are merged together, one pair of each at a time."""
+        out: list[list[int]] = [[self.id_of[p] for p in self.merge(w)] if len(w) > SHORT else [] for w in words]
+        word = np.array([n for n, w in enumerate(words) if 0 < len(w) <= SHORT], np.int64)
+        if not len(word):
+            return out
+        lens = np.array([len(words[n]) for n in word.tolist()], np.int64)
+        flat = self.byte_ids[np.frombuffer(b"".join([words[n] for n in word.tolist()]), np.uint8)]
+        starts = np.cumsum(lens) - lens
+        # ranks of pairs, each at its left part; a word's last part has none
+        ranks = np.append(self._ranks(flat[:-1], flat[1:]), NONE)
+        ranks[starts + lens - 1] = NONE
+        while True:
+            low = np.minimum.reduceat(ranks, starts)
+            going = low != NONE
+            if not going.all():
+                for n, at, k in zip(word[~going].tolist(), starts[~going].tolist(), lens[~going].tolist(), strict=True):
+                    out[n] = flat[at : at + k].tolist()
+                keep = np.repeat(going, lens)
+                flat, ranks, word, lens, low = flat[keep], ranks[keep], word[going], lens[going], low[going]
+                if not len(word):
+                    return out
+                starts = np.cumsum(lens) - lens
+            found = np.flatnonzero(ranks == np.repeat(low, lens))
+            # the leftmost of each word: the first one found from the word's start on
+            at = found[np.searchsorted(found, starts)]
+            flat[at] = low & ID_MASK
+            stay = np.ones(len(flat), bool)
+            stay[at + 1] = False
+            last = at + 1 == starts + lens - 1
+            flat, ranks = flat[stay], ranks[stay]
+            shift = np.arange(len(word))
+            at, starts, lens = at - shift, starts - shift, lens - 1
+            ranks[at[last]] = NONE
+            right, left = at[~last], at[at > starts]
+            ranks[right] = self._ranks(flat[right], flat[right + 1])
+            ranks[left - 1] = self._ranks(flat[left - 1], flat[left])
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs = a << ID_BITS | b
+        place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == pairs, self.made[place], NONE)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the two tokens' joint bytes leaves exactly those two tokens."""
-        x, y = self.bytes_of[a], self.bytes_of[b]
-        return self.merge(x + y) == [x, y]
+        return self.merged([self.bytes_of[a] + self.bytes_of[b]]) == [[a, b]]
 
     def reachable(self, a: int) -> bool:
-        x = self.bytes_of[a]
-        return self.merge(x) == [x]
+        return self.merged([self.bytes_of[a]]) == [[a]]
 
     def _verdicts(self, pairs: np.ndarray) -> np.ndarray:
         uniq, back = np.unique(pairs, return_inverse=True)
         known = self.verdicts
         if len(known) > MAX_PAIRS:
             known.clear()
-        ok = np.empty(len(uniq), bool)
-        for n, key in enumerate(uniq.tolist()):
-            got = known.get(key)
-            if got is None:
-                got = known[key] = self.compatible(key >> 32, key & 0xFFFFFFFF)
-            ok[n] = got
-        return ok[back]
+        keys = uniq.tolist()
+        new = [(k, k >> 32, k & 0xFFFFFFFF) for k in keys if k not in known]
+        for (k, x, y), got in zip(new, self.merged([self.bytes_of[x] + self.bytes_of[y] for _, x, y in new]), strict=True):
+            known[k] = got == [x, y]
+        return np.array([known[k] for k in keys], bool)[back]
 
     def _encode_new(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
@@ -162,12 +198,14 @@ class ByteBpe:
         bad = np.zeros(len(words), bool)
         bad[owner[1:][same][~self._verdicts(pairs)]] = True
         # a token alone in its word is right if merging can make it
-        for n in np.flatnonzero(count == 1).tolist():
-            bad[n] = not self.reachable(proposed[n][0])
+        alone = np.flatnonzero(count == 1).tolist()
+        for n, got in zip(alone, self.merged([raw[n] for n in alone]), strict=True):
+            bad[n] = got != proposed[n]
         self.stats["words"] += len(words)
         self.stats["merged"] += int(bad.sum())
-        for n in np.flatnonzero(bad).tolist():
-            proposed[n] = [self.id_of[p] for p in self.merge(raw[n])]
+        rest = np.flatnonzero(bad).tolist()
+        for n, got in zip(rest, self.merged([raw[n] for n in rest]), strict=True):
+            proposed[n] = got
         self.fresh = dict(zip(words, map(tuple, proposed), strict=True))
 
     # -- whole texts -----------------------------------------------------
@@ -226,7 +264,13 @@ class TextCodec:
         split = {c: self.bpe.find(c) for c in new}
         own = {w for _, words in cut for w in words}
         ids = self._words(own.union(*split.values()) if split else own)
-        made = {c: _forms([i for w in words for i in ids[w]]) for c, words in split.items()}
+        packed, decimals = self.bpe.packed, self.bpe.decimals
+
+        def forms(words: list[str]) -> tuple[bytes, bytes]:
+            own = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
+            return b"".join([packed[i] for i in own]), b"".join([decimals[i] for i in own])
+
+        made = {c: forms(words) for c, words in split.items()}
         if len(self.known) + len(made) > MAX_WORDS:
             used = {c for chunk, _ in cut for c in chunk}
             self.known = {c: self.known[c] for c in used if c in self.known}
@@ -235,7 +279,7 @@ class TextCodec:
         out = []
         for chunk, words in cut:
             if words:
-                out.append(_forms([i for w in words for i in ids[w]]))
+                out.append(forms(words))
             else:
                 got = [known[c] for c in chunk]
                 out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
@@ -255,10 +299,6 @@ class TextCodec:
         return bpe.flat[shift + np.arange(ends[-1])].tobytes()
 
 
-def _forms(ids: list[int]) -> tuple[bytes, bytes]:
-    return np.asarray(ids, "<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids), "".join([f"{i}," for i in ids]).encode()
-
-
 _CODECS: dict[str, TextCodec] = {}
 
 

@@ -242,3 +242,17 @@ def test_digests_of_whole_rows(spark):
         want.append((r[0], len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
     got = bpe.encode_digests(frame(spark, rows).repartition(3), registry.tokenizer("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_words_merged_together_as_one_by_one():
+    import numpy as np
+    import public_tokenizers
+
+    from epochal.llm import bpe
+
+    own = bpe.codec(public_tokenizers.path("byte_bpe_50k.json")).bpe
+    rng = np.random.default_rng(5)
+    words = [b"", b"a", b" the", b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", b"ab" * 40, bytes(range(200, 240)), b"\xff"]
+    words += [bytes(rng.choice(list(b" etaoinshrdlu"), size=n)) for n in rng.integers(1, 60, 300).tolist()]
+    assert own.merged(words) == [[own.id_of[p] for p in own.merge(w)] for w in words]
+    assert own.merged([]) == [] and own.merged([b""]) == [[]]
