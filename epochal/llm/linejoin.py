@@ -60,35 +60,34 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.select("doc_id", "n_lines", F.col("t").bitwiseOR(F.col("line_no")).alias("spot"), "line")
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment: even parts, the last ones longer by one."""
     parts = edits + 1
-    base, more = F.floor(length / parts).cast("int"), length % parts
-    extra = F.greatest(F.lit(number) - (F.lit(parts) - more), F.lit(0))
-    return base * number + extra + 1, base + F.when(F.lit(number) >= F.lit(parts) - more, 1).otherwise(0)
+    base, longer = F.floor(length / parts).cast("int"), number - (parts - length % parts)
+    return base * number + F.greatest(longer, F.lit(0)) + 1, base + F.when(longer >= 0, 1).otherwise(0)
+
+
+def _key(line: Column, length: Column, number: Column, shift: Column, edits: int) -> Column:
+    """Hash of what stands in ``line`` where the segment ``number`` of a line of ``length`` would be, moved by ``shift``."""
+    start, size = _segment(length, number, edits)
+    return F.xxhash64(length, number, F.substring(line, start + shift, size))
 
 
 def index_keys(line: Column, length: Column, edits: int) -> Column:
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits)
-        out.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
-    return F.array(*out)
+    return F.array(*(_key(line, length, F.lit(i), F.lit(0), edits) for i in range(edits + 1)))
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Substrings at the places where a segment of a line shorter by ``less`` can stand.
+def probe_places(edits: int) -> Column:
+    """``less``, ``number`` and ``shift``: where a segment of a line shorter by ``less`` can stand.
 
     Segment ``i`` (from 0) has at most ``i`` edits before it and ``edits - i``
     after it, if it is the first that is left unchanged.
     """
     out = []
     for less in range(edits + 1):
-        other = length - less
         for i in range(edits + 1):
-            start, size = _segment(other, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(F.xxhash64(other, F.lit(i), F.substring(line, start + shift, size)))
+                out.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("number"), F.lit(shift).alias("shift")))
     return F.array(*out)
 
 
@@ -171,10 +170,14 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def keyed(distinct: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """The index (``h``, ``u``, ``s``) and its probes (``g``, ``v``, ``t``) of distinct lines: key, bag and segment of each."""
-    sized = distinct.select("h", "line", "bag", F.length("line").alias("n"))
-    index = sized.select("h", F.col("bag").alias("u"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("s"))
-    probe = sized.select(F.col("h").alias("g"), F.col("bag").alias("v"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("t"))
+    """The index (``h``, ``u``, ``s``) and its probes (``g``, ``v``, ``t``) of distinct lines: key, bag and segment of each.
+
+    Places are exploded first and their keys taken a row each: an array of all
+    keys of a line makes a method of 10,826 bytes, which the JVM does not compile.
+    """
+    index = distinct.select("h", F.col("bag").alias("u"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("s"))
+    placed = distinct.select(F.col("h").alias("g"), F.col("bag").alias("v"), "line", "n", F.inline(probe_places(edits)))
+    probe = placed.select("g", "v", _key(F.col("line"), F.col("n") - F.col("less"), F.col("number"), F.col("shift"), edits).alias("t"))
     return index, probe
 
 
@@ -235,8 +238,8 @@ def crowd_links(index: DataFrame, probe: DataFrame, distinct: DataFrame, edits:
 def links(docs_lines: DataFrame, edits: int) -> DataFrame:
     """Verified pairs ``a``, ``b`` of line keys that join all linked lines.  ``docs_lines``: ``h``, ``line`` with repetition."""
     long_lines = docs_lines.where(F.length("line") >= SHORTEST)
-    # bags are taken below the exchange of distinct lines: once a line, not once a key
-    distinct = long_lines.withColumn("bag", bag(F.col("line"))).dropDuplicates(["h"])
+    # bags and lengths are taken below the exchange of distinct lines: once a line, not once a key
+    distinct = long_lines.withColumns({"bag": bag(F.col("line")), "n": F.length("line")}).dropDuplicates(["h"])
     index, probe = keyed(distinct, edits)
     crowded, small = crowds(long_lines, edits)
     any_crowd = crowded.take(1)

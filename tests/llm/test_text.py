@@ -1,5 +1,7 @@
 """Line rules (6), line dedup (7), near-duplicates (8), classifier (10) and the pipeline."""
 
+import contextlib
+import io
 import os
 import random
 import re
@@ -186,6 +188,23 @@ def test_lines_of_one_class_are_no_pairs(spark, monkeypatch):
     assert components.connected(found).select("component").distinct().count() == 1
 
 
+def test_methods_of_keys_are_short_enough_to_be_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes; probes of all places in one array had 10,826."""
+    lines = frame(spark, line_rows()).select(F.xxhash64("text").alias("h"), F.col("text").alias("line"), F.lit(0).cast("long").alias("bag"), F.length("text").alias("n"))
+    index, probe = linejoin.keyed(lines, linejoin.EDITS)
+    shown, before = io.StringIO(), spark.conf.get("spark.sql.adaptive.enabled")
+    # an adaptive plan has no code before it runs
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(shown):
+            index.explain("codegen")
+            probe.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert len(sizes) > 1 and max(sizes) <= 8000
+
+
 def test_line_dedup_cuts_the_text_and_keeps_columns(spark):
     rows = line_rows()
     df = frame(spark, rows)
