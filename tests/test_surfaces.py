@@ -1,6 +1,7 @@
 """Wavelet stacks and cross wavelets, seams, segments and arcs against plain versions."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -143,3 +144,19 @@ def test_errors_of_arcs(spark):
     got = {(r.phase, r.whole): (r.n_arcs, round(r.rmse_mean, 6), r.rmse_median, r.node_mae) for r in models.error_report(arcs, "phase", ["node"]).collect()}
     half = math.sqrt(5) / 2
     assert got[("p", False)] == (2, round(half, 6), pytest.approx(half), 20.0) and got[(None, False)] == (1, 3.0, 3.0, 0.0) and got[(None, True)][0] == 4
+
+
+def test_quantiles_of_errors_without_all_errors_in_one_task(spark, monkeypatch):
+    """Cuts around a quantile leave exact results: ties, one value only, infinities, nulls, a null phase; no state of all of a phase's errors."""
+    monkeypatch.setattr(models, "UNCUT", 1500)
+    rng = random.Random(3)
+    own = {"a": [rng.lognormvariate(0, 2) for _ in range(4000)], "b": [float(rng.randint(0, 3)) for _ in range(3001)], "c": [7.0] * 2000, None: [rng.random() for _ in range(3)], "e": [1.0, math.inf], "f": [2.5], "g": [None]}
+    rows = [(p, x, 1.0) for p, xs in own.items() for x in xs]
+    rng.shuffle(rows)
+    arcs = spark.createDataFrame(rows, "phase string, path_rmse double, node_error double").repartition(3)
+    out = models.error_report(arcs, "phase", ["node"])
+    assert " percentile(" not in out._jdf.queryExecution().toString().replace(",", " ").replace("[", " ")
+    got = {(r.phase, r.whole): (r.n_arcs, r.rmse_median, r.rmse_p90) for r in out.collect()}
+    p = lambda q: F.percentile("path_rmse", F.lit(q))
+    want = arcs.rollup("phase").agg((F.grouping("phase") == 1).alias("whole"), F.count("*").alias("n"), p(0.5).alias("m"), p(0.9).alias("t")).collect()
+    assert got == {(r.phase, r.whole): (r.n, r.m, r.t) for r in want} and len(got) == 8
