@@ -144,14 +144,15 @@ def prominence(df: DataFrame, made: dict[str, Column], rows: int) -> DataFrame:
     return filled(df.withColumns(near).withColumns(known).drop(*near), {n: 0.0 for n in made})
 
 
-def filled(df: DataFrame, otherwise: dict[str, float | None]) -> DataFrame:
+def filled(df: DataFrame, otherwise: dict[str, float | None], place: str = "i") -> DataFrame:
     """Unknown values of columns take the next known one, at the end the last one, or else the given value.
 
-    What comes next is looked up in rows from last to first (``i``): a frame
-    from a row to the end would be read anew at every row.
+    What comes next is looked up in rows from last to first (``place``, a row's
+    number in its object): a frame from a row to the end would be read anew at
+    every row.
     """
     back = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("object").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("object").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({f"__back_{c}": F.last(c, ignorenulls=True).over(back) for c in otherwise})
     out = out.withColumns({f"__ahead_{c}": F.last(c, ignorenulls=True).over(ahead) for c in otherwise})
     known = {c: F.coalesce(f"__ahead_{c}", f"__back_{c}", *([] if v is None else [F.lit(v)])) for c, v in otherwise.items()}

@@ -63,9 +63,9 @@ def clean_elements(df: DataFrame, linear: str = "sma", circular: tuple[str, ...]
 
 def rolling_mad(df: DataFrame, value: str = "value", width: int = 11, output: str = "scale") -> DataFrame:
     """1.4826 MAD of the rows around a row; unknown ones (fewer than three values) take the next or last known, those of nought the object's median."""
-    out = known(df, value).withColumn("__s", rolling_scale(F.col(value), max(5, width)))
-    out = out.withColumn("__s", filled(F.col("__s"), None)).withColumn("__f", middle("__s").over(whole()))
-    return out.withColumn(output, floored(F.col("__s"), F.col("__f"))).drop("__s", "__f")
+    out = known(df, value).withColumns({"__i": F.row_number().over(ordered()), "__s": rolling_scale(F.col(value), max(5, width))})
+    out = filled(out, {"__s": None}, "__i").withColumn("__f", middle("__s").over(whole()))
+    return out.withColumn(output, floored(F.col("__s"), F.col("__f"))).drop("__i", "__s", "__f")
 
 
 # -- lines ----------------------------------------------------------------------------
