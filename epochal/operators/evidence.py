@@ -15,37 +15,37 @@ Families of detectors, each a mask and an evidence (0 where nothing is known):
 * ``predicted``: the miss of a prediction from the row before;
 * ``anomaly``: a single jump of any channel.
 
-Everything row by row is windows of the object's rows, all on one partitioning
-and order; lines beside a row are fitted for batches of rows in NumPy.  Robust
-scales (medians, clipped deviations) are windows of the whole object, too: small aggregates in Python that see one signal of one object
-at a time (eight bytes a row), so nothing is joined or shuffled for them.  Events are merged by a fold over chains of events; a chain ends
-where no earlier event, however merged, can reach the next.
+Objects are dealt once and put in order; signals, masks and runs of supported
+rows are made of batches of whole objects in NumPy (``detectors``), so that one
+pass over the rows serves every choice of families and only runs leave it.  An
+object's series is in memory of its task (about 700 bytes a row).  Events are
+merged by a fold over chains of events; a chain ends where no earlier event,
+however merged, can reach the next.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructType
 
 from epochal.functions.orbital import MU
+from epochal.operators import detectors, signals
 from epochal.operators.asof import greedy_matches
-from epochal.operators.kernels import exponential_means
-from epochal.operators.series import ordered, whole
-from epochal.sources.shared import checkpointed
+from epochal.operators.detectors import HOUR
+from epochal.operators.series import ordered
+from epochal.sources.shared import stored
 
 SECOND = 1_000_000
-HOUR = 3600
-ENERGY = ("sma", "mean_motion", "energy", "ecc")
-PLANE = ("inc", "raan")
-FIELDS = ("sma", "mean_motion", "inc", "ecc", "raan")
 FAMILIES = ("local", "filtered", "smoothed", "predicted")
-LEAST_RECORDS = 10
 
 
 @dataclass(frozen=True)
@@ -80,70 +80,20 @@ class Settings:
 
 
 # -- robust scales of an object's values ---------------------------------------------
-def _aggregates():
-    """Aggregates of a window in Python: median, 85th percentile, robust deviations.
+@F.pandas_udf(DoubleType())
+def middle(v: pd.Series) -> float:
+    """Median of an object's finite values, null without any."""
+    mid = signals.middle(v.to_numpy(float)[None])[0] if len(v) else np.nan
+    return None if np.isnan(mid) else float(mid)
 
-    They are made inside a function so that workers need no import of this module.
-    """
-
-    def known(v: pd.Series) -> np.ndarray:
-        own = v.to_numpy()
-        return own[np.isfinite(own)]
-
-    def deviation(v: np.ndarray) -> tuple[float, float]:
-        """Median, and 1.4826 MAD or the deviation where more than half of the values are one."""
-        mid = np.median(v)
-        mad = np.median(np.abs(v - mid))
-        return mid, 1.4826 * mad if mad > 1e-12 else v.std()
-
-    def clipped(v: np.ndarray, rounds: int, clip: float) -> float:
-        """Robust deviation after clipping rounds, none of which goes below eight values; 1 where there is none."""
-        for _ in range(rounds if len(v) else 0):
-            mid, sigma = deviation(v)
-            kept = v[np.abs(v - mid) <= clip * (sigma if sigma > 1e-12 else 1.0)]
-            if len(kept) < 8:
-                break
-            v = kept
-        sigma = deviation(v)[1] if len(v) else 0.0
-        return float(sigma) if sigma > 1e-12 else 1.0
-
-    def middle(v: pd.Series) -> float:
-        return float(np.median(known(v))) if len(known(v)) else None
-
-    def percentile_85(v: pd.Series) -> float:
-        return float(np.quantile(known(v), 0.85)) if len(known(v)) else None
-
-    def simple_sigma(v: pd.Series) -> float:
-        return float(deviation(known(v))[1]) if len(known(v)) else 0.0
 
-    def clipped_sigma(v: pd.Series) -> float:
-        return clipped(known(v), 3, 4.5)
-
-    def peak_sigma(v: pd.Series) -> float:
-        return clipped(known(v), 2, 4.0)
-
-    return [F.pandas_udf(f, DoubleType()) for f in (middle, percentile_85, simple_sigma, clipped_sigma, peak_sigma)]
-
-
-middle, percentile_85, simple_sigma, clipped_sigma, peak_sigma = _aggregates()
+@F.pandas_udf(DoubleType())
+def clipped_sigma(v: pd.Series) -> float:
+    """Robust deviation after three clipping rounds."""
+    return float(signals.clipped(v.to_numpy(float)[None], 3, 4.5)[0]) if len(v) else 1.0
 
 
 # -- rows ------------------------------------------------------------------------------
-def rate(value: Column, seconds: Column) -> Column:
-    """Change a second since the row before; the first row has the second's; null where no time passed."""
-    w = ordered()
-    own = F.when(seconds - F.lag(seconds).over(w) != 0, (value - F.lag(value).over(w)) / (seconds - F.lag(seconds).over(w)))
-    ahead = F.when(F.lead(seconds).over(w) - seconds != 0, (F.lead(value).over(w) - value) / (F.lead(seconds).over(w) - seconds))
-    return F.when(F.lag(F.lit(1)).over(w).isNull(), ahead).otherwise(own)
-
-
-def prominence(df: DataFrame, made: dict[str, Column], rows: int) -> DataFrame:
-    """Adds, of each signal, the distance of a row from the median around it; where that is unknown the next (or last) known one, or 0."""
-    near = {f"__near_{n}": F.array_agg(c).over(ordered().rowsBetween(-(rows // 2), rows // 2)) for n, c in made.items()}
-    known = {n: F.when(F.size(f"__near_{n}") >= 3, F.abs(c - half(F.sort_array(f"__near_{n}")))) for n, c in made.items()}
-    return filled(df.withColumns(near).withColumns(known).drop(*near), {n: 0.0 for n in made})
-
-
 def filled(df: DataFrame, otherwise: dict[str, float | None], place: str = "i") -> DataFrame:
     """Unknown values of columns take the next known one, at the end the last one, or else the given value.
 
@@ -176,14 +126,6 @@ def floored(scale: Column, floor: Column) -> Column:
     return F.when(scale > 1e-9, scale).otherwise(F.greatest(F.coalesce(floor, F.lit(1.0)), F.lit(1e-6)))
 
 
-def is_peak(value: Column, prom: Column, least: Column) -> Column:
-    """Rows at or beyond both neighbours, up or down, of enough prominence; ends are none."""
-    w = ordered()
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    extreme = ((value >= before) & (value >= after)) | ((value <= before) & (value <= after))
-    return F.coalesce(extreme & (prom >= least), F.lit(False))
-
-
 def bridged(mask: Column, gap: int) -> Column:
     """A mask with false runs of up to ``gap`` rows between true ones filled."""
     w = ordered()
@@ -194,10 +136,6 @@ def bridged(mask: Column, gap: int) -> Column:
     return mask | F.coalesce(after - before - 1 <= gap, F.lit(False))
 
 
-def widened(mask: Column, rows: int) -> Column:
-    return F.max(mask).over(ordered().rowsBetween(-rows, rows))
-
-
 def line_step(df: DataFrame, channels: tuple[str, ...], rows: int) -> DataFrame:
     """Adds ``step_<channel>``: lines through the rows before and after a row, compared at the row after it.
 
@@ -214,63 +152,72 @@ def line_step(df: DataFrame, channels: tuple[str, ...], rows: int) -> DataFrame:
 def _line_steps(channels: tuple[str, ...], rows: int):
     """The steps of many rows at once, from the times and the channels' values (NaN: unknown) of ``2 rows + 1`` rows around each; null where these are null."""
 
-    def line(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-        known = ~np.isnan(y)
-        n = known.sum(1)
-        # of fewer than three values there is no line
-        n_ = np.maximum(n, 1)
-        mx, my = np.where(known, x, 0.0).sum(1) / n_, np.where(known, y, 0.0).sum(1) / n_
-        dx, dy = np.where(known, x - mx[:, None], 0.0), np.where(known, y - my[:, None], 0.0)
-        flat = np.where(known, x, -np.inf).max(1) <= np.where(known, x, np.inf).min(1)
-        slope = (dx * dy).sum(1) / np.where(flat | (n < 3), 1.0, (dx * dx).sum(1))
-        return np.where(n < 3, np.nan, my + np.where(flat, 0.0, slope * (at - mx)))
-
     def steps(times: pa.Array, *values: pa.Array) -> pa.Array:
         use = np.flatnonzero(times.is_valid().to_numpy(zero_copy_only=False))
         table = lambda v: v.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * rows + 1)
-        x = table(times)
-        # seconds since the row itself
-        x = x - x[:, rows : rows + 1]
-        at, out = x[:, rows + 1], []
-        for v in values:
-            y, all_ = table(v), np.full(len(times), np.nan)
-            all_[use] = line(x[:, rows + 1 :], y[:, rows + 1 :], at) - line(x[:, :rows], y[:, :rows], at)
-            out.append(pa.array(all_, pa.float64(), from_pandas=True))
-        return pa.StructArray.from_arrays(out, names=list(channels))
+        out = np.full((len(values), len(times)), np.nan)
+        out[:, use] = signals.steps_around(table(times), [table(v) for v in values], rows)
+        return pa.StructArray.from_arrays([pa.array(v, pa.float64(), from_pandas=True) for v in out], names=list(channels))
 
     return F.arrow_udf(steps, ", ".join(f"{c} double" for c in channels))
 
 
-def features(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Rows in order with ``i``, ``n``, ``x`` (seconds), the channels without NaN, and every signal of the detectors."""
-    number = lambda c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double"))
-    own = panel.where("object IS NOT NULL AND t IS NOT NULL").select("object", "t", "rec", *(number(c).alias(c) for c in (*FIELDS, "bstar")))
-    own = exponential_means(own, cfg.smooth_span, {"sma": "ewm_sma", "inc": "ewm_inc"})
-    w, seconds = ordered(), F.col("x")
-    out = own.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(whole()), "x": (F.col("t") - F.min("t").over(whole())) / SECOND})
-    out = out.withColumn("energy", F.try_divide(F.lit(-MU), 2 * F.col("sma")))
-    gap = seconds - F.lag(seconds).over(w)
-    trend = w.rowsBetween(-(cfg.trend_rows // 2), cfg.trend_rows // 2)
-    mean = lambda c: F.when(F.count(c).over(trend) >= max(3, cfg.trend_rows // 3), F.avg(c).over(trend))
-    out = out.withColumns({"dt": gap, **{f"local_{c}": F.col(c) - mean(c) for c in ("sma", "inc")}, **{f"d1_{c}": rate(F.col(c), seconds) for c in FIELDS}})
-    out = out.withColumns({f"e1_{c}": rate(F.col(f"ewm_{c}"), seconds) for c in ("sma", "inc")})
-    out = line_step(out, (*ENERGY, *PLANE), cfg.line_rows)
-    guess = {f"miss_{c}": F.when(gap > 0, F.col(c) - (F.lag(c).over(w) + F.coalesce(F.lag(f"d1_{c}").over(w), F.lit(0.0)) * gap)) for c in FIELDS}
-    jumps = [F.abs(F.col(c) - F.lag(c).over(w)) / s for c, s in cfg.jump_scales.items()]
-    out = out.withColumns({**guess, **{f"e2_{c}": rate(F.col(f"e1_{c}"), seconds) for c in ("sma", "inc")}, "e_anomaly": F.coalesce(F.greatest(*jumps), F.lit(0.0))})
-    mean_of = lambda names: F.try_divide(sum((F.coalesce(F.col(f"step_{c}"), F.lit(0.0)) for c in names), F.lit(0.0)), sum((F.col(f"step_{c}").isNotNull().cast("int") for c in names), F.lit(0)))
-    return out.withColumns({"energy_step": mean_of(ENERGY), "plane_step": mean_of(PLANE)})
-
-
-def _gate(df: DataFrame, signals: dict[str, float], cfg: Settings) -> DataFrame:
-    """Adds ``z_<signal>`` and ``m_<signal>``: deviation in robust sigmas, and whether it is a prominent peak beyond its threshold."""
-    df = prominence(df, {f"p_{s}": F.col(s) for s in signals}, cfg.prominence_rows)
-    of = whole()
-    df = df.withColumns({k: v for s in signals for k, v in ((f"c_{s}", middle(s).over(of)), (f"s_{s}", clipped_sigma(s).over(of)), (f"q_{s}", middle(f"p_{s}").over(of)), (f"r_{s}", peak_sigma(f"p_{s}").over(of)))})
-    z = {f"z_{s}": F.coalesce(F.abs(F.col(s) - F.col(f"c_{s}")) / F.greatest(F.lit(1e-9), F.col(f"s_{s}")), F.lit(0.0)) for s in signals}
-    df = df.withColumns(z)
-    masks = {f"m_{s}": (F.col(f"z_{s}") >= limit) & is_peak(F.col(s), F.col(f"p_{s}"), F.greatest(F.lit(0.0), F.col(f"q_{s}") + cfg.prominence_sigmas * F.col(f"r_{s}"))) for s, limit in signals.items()}
-    return df.withColumns(masks).drop(*(f"{k}_{s}" for s in signals for k in "csqrp"))
+#: What ``detect`` says of a row.
+JUDGED = tuple(f"{k}_{f}" for f in FAMILIES for k in "me")
+AROUND = ("m_anomaly", "e_anomaly", "p_filtered", "p_smoothed", "p_predicted", "energy_step", "plane_step", "d1_sma", "bstar", "sustained", "upkeep", "cadence", "cadence_cv", *(f"{side}_{c}" for c in ("sma", "inc") for side in ("pre", "post")))
+#: What ``segments`` asks of a run of supported rows.
+RUN = ", ".join(
+    (
+        "segment long, first_row int, last_row int, t_start long, t_end long, support_points long",
+        *(f"m_{f} boolean, e_{f} double, a_{f} double" for f in FAMILIES),
+        *(f"{c} double" for c in ("prominence", "anomaly_score", "cadence", "cadence_cv", "energy_signal", "plane_signal", "bstar_level", "sustained", "upkeep", "slope_day")),
+        "t_missed long, missed double, pre_sma double, pre_inc double, post_sma double, post_inc double",
+    )
+)
+
+
+def _kind(c: str) -> str:
+    return f"{c} {'boolean' if c.startswith('m_') else 'double'}"
+
+
+def _schema(df: DataFrame, own: tuple[str, ...], rest: str) -> StructType:
+    return StructType([*(df.schema[c] for c in own), *StructType.fromDDL(rest).fields])
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Rows of an object follow each other in time, so that functions over batches see whole objects."""
+    return df.repartition("object").sortWithinPartitions("object", "t", "rec")
+
+
+def _panel(panel: DataFrame) -> DataFrame:
+    return _in_order(panel.where("object IS NOT NULL AND t IS NOT NULL").select("object", F.col("t").cast("long").alias("t"), "rec", *(F.col(c).cast("double").alias(c) for c in detectors.CHANNELS)))
+
+
+def _looked_at(rows: pa.Table, n: np.ndarray, cfg: SimpleNamespace, full: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """What the detectors find in a batch of objects, its times and where it has rows."""
+    valid = np.arange(n.max()) < n[:, None]
+    t = signals.matrix(rows.column("t").to_numpy(), valid)
+    x = np.where(valid, (t - t[:, :1]) / SECOND, np.nan)
+    own = {c: signals.matrix(signals.number(rows.column(c)), valid) for c in detectors.CHANNELS}
+    with np.errstate(all="ignore"):
+        return detectors.detect(own, x, n, MU, cfg, full), t, valid
+
+
+def detect(panel: DataFrame, cfg: Settings = Settings(), full: bool = True) -> DataFrame:
+    """The rows with a mask ``m_<family>`` and an evidence ``e_<family>`` of every family and, if ``full``, prominences ``p_<family>``, steps and jumps."""
+    names = (*JUDGED, *(AROUND if full else ()))
+    schema = _schema(df := _panel(panel), ("object", "t", "rec"), ", ".join(("i int", "n long", *map(_kind, names))))
+    arrow, plain = to_arrow_schema(schema), SimpleNamespace(**asdict(cfg))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in signals.whole_objects(batches):
+            found, _, valid = _looked_at(rows, n, plain, full)
+            place = np.broadcast_to(np.arange(1, valid.shape[1] + 1), valid.shape)[valid]
+            made = [place, np.repeat(n, n), *(found[c][valid] for c in names)]
+            columns = [*(rows.column(c).combine_chunks() for c in ("object", "t", "rec")), *(pa.array(v, f.type, from_pandas=True) for v, f in zip(made, list(arrow)[3:], strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
 
 
 def _any(columns: list[str]) -> Column:
@@ -280,53 +227,6 @@ def _any(columns: list[str]) -> Column:
     return out
 
 
-def detect(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """The rows with a mask ``m_<family>`` and an evidence ``e_<family>`` of every family, prominences ``p_<family>``, steps and jumps."""
-    out = features(panel, cfg)
-    local, steps = {f"local_{c}": cfg.sigma for c in ("sma", "inc")}, {f"step_{c}": cfg.sigma for c in (*ENERGY, *PLANE)}
-    out = _gate(out, local | steps, cfg)
-    # the miss of a prediction: each field's own deviation, the mean of those known
-    of = whole()
-    out = out.withColumns({f"s_{c}": clipped_sigma(f"miss_{c}").over(of) for c in FIELDS})
-    z = F.array_compact(F.array(*(F.abs(F.col(f"miss_{c}")) / F.col(f"s_{c}") for c in FIELDS)))
-    missed = F.when(F.size(z) > 0, F.aggregate(z, F.lit(0.0), lambda a, x: a + x) / F.size(z)).otherwise(0.0)
-    out = out.withColumn("e_predicted", missed)
-    out = prominence(out, {"p_predicted": F.col("e_predicted"), "p_filtered": F.col("energy_step"), "p_smoothed": F.coalesce("e1_sma", F.lit(0.0))}, cfg.prominence_rows)
-    rates = [F.abs(F.col(f"e{k + 1}_{c}")) / limit for c, limits in cfg.rate_limits.items() for k, limit in enumerate(limits)]
-    fast = F.coalesce(F.greatest(*rates), F.lit(0.0))
-    d1 = F.abs(F.col("d1_sma"))
-    out = out.withColumns({"slope_scale": rolling_scale(F.col("d1_sma"), 9), "jumped": d1})
-    stats = {"q_predicted": middle("p_predicted"), "r_predicted": peak_sigma("p_predicted"), "jump": middle("jumped"), "jump_r": peak_sigma("jumped"), "slope_floor": middle("slope_scale"), "cadence": middle("dt")}
-    out = out.withColumns({n: f.over(of) for n, f in stats.items()}).withColumn("dt_sd", F.stddev_pop("dt").over(of))
-    least = F.greatest(F.lit(0.0), F.col("q_predicted") + cfg.prominence_sigmas * F.col("r_predicted"))
-    bridge = lambda m: bridged(m, cfg.gap_rows)
-    out = out.withColumns(
-        {
-            "m_local": F.col("m_local_sma") | F.col("m_local_inc"),
-            "e_local": F.greatest("z_local_sma", "z_local_inc"),
-            "m_filtered": _any([f"m_{s}" for s in steps]),
-            "e_filtered": F.greatest(*(f"z_{s}" for s in steps)),
-            "e_smoothed": fast,
-            "m_predicted": (F.col("e_predicted") >= cfg.predicted_sigma) & is_peak(F.col("e_predicted"), F.col("p_predicted"), least),
-        }
-    )
-    out = out.withColumn("m_smoothed", widened(F.col("e_smoothed") >= 1, cfg.hysteresis))
-    out = out.withColumns({"m_local": bridge(F.col("m_local")), "m_smoothed": bridge(F.col("m_smoothed"))})
-    w = ordered()
-    high = F.col("e_anomaly") > cfg.anomaly_sigma
-    alone = high & ~F.coalesce(F.lag(high).over(w), F.lit(False)) & ~F.coalesce(F.lead(high).over(w), F.lit(False))
-    out = filled(out.withColumn("m_anomaly", alone), {"slope_scale": None})
-    around = lambda a, b: w.rowsBetween(a, b)
-    nine = F.when(F.count("d1_sma").over(around(-4, 4)) >= 3, F.avg("d1_sma").over(around(-4, 4)))
-    jumped = F.coalesce(d1 > F.col("jump") + 2 * F.col("jump_r"), F.lit(False)).cast("double")
-    many = F.when(F.count("*").over(around(-7, 7)) >= 3, F.avg(jumped).over(around(-7, 7))).otherwise(0.0)
-    out = out.withColumns({"sustained": F.abs(nine) / floored(F.col("slope_scale"), F.col("slope_floor")), "upkeep": many})
-    sides = {f"{side}_{c}": F.avg(c).over(around(*rows)) for c in ("sma", "inc") for side, rows in (("pre", (-5, -1)), ("post", (1, 5)))}
-    out = out.withColumns({**sides, "cadence_cv": F.coalesce(F.try_divide("dt_sd", "cadence"), F.lit(0.0))})
-    names = [*(f"{k}_{f}" for f in FAMILIES for k in "me"), "m_anomaly", "e_anomaly", "p_filtered", "p_smoothed", "p_predicted", "energy_step", "plane_step", "d1_sma", "bstar", "sustained", "upkeep", "cadence", "cadence_cv", *sides]
-    return out.select("object", "t", "rec", "i", "n", *names)
-
-
 def largest(columns: list[str]) -> Column:
     """The largest of some columns; 0 of none."""
     return F.lit(0.0) if not columns else F.col(columns[0]) if len(columns) == 1 else F.greatest(*columns)
@@ -341,53 +241,49 @@ def fuse(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 
 # -- segments --------------------------------------------------------------------------
-def supported(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Adds ``support``: rows of any family's mask, gaps filled; in objects without any, rows of high evidence, or else the rows around the peak."""
-    bridge = lambda m: bridged(m, cfg.gap_rows)
-    out = found.where(F.col("n") >= LEAST_RECORDS).withColumns({f"b_{f}": bridge(F.col(f"m_{f}")) for f in cfg.families})
-    out = out.withColumn("support", _any([f"b_{f}" for f in cfg.families])).drop(*(f"b_{f}" for f in cfg.families))
-    out = out.withColumn("support", bridge(F.col("support")))
-    best = largest([f"e_{f}" for f in cfg.families])
-    out = out.withColumn("best", best)
-    of = whole()
-    scales = {f"{k}_{f}": u(f"e_{f}").over(of) for f in cfg.families for k, u in (("c", middle), ("s", simple_sigma), ("q", percentile_85))}
-    peak = F.max(F.struct("best", (-F.col("i")).alias("i"))).over(of)
-    out = out.withColumns(scales).withColumns({"some": F.max("support").over(of), "peak": peak})
-    high = lambda f: F.col(f"e_{f}") >= F.greatest(F.lit(0.6), F.col(f"c_{f}") + 1.2 * F.col(f"s_{f}"), F.col(f"q_{f}"))
-    out = out.withColumn("high", high(cfg.families[0]))
-    for f in cfg.families[1:]:
-        out = out.withColumn("high", F.col("high") | high(f))
-    out = out.withColumn("high", bridged(F.col("high"), max(1, cfg.gap_rows)))
-    near = (F.abs(F.col("i") + F.col("peak.i")) <= 1) & (F.col("peak.best") >= 0.7)
-    support = F.when(F.col("some"), F.col("support")).when(F.max("high").over(whole()), F.col("high")).otherwise(near)
-    return out.withColumn("support", support).drop("some", "peak", "best", "high", *scales)
+def _runs(df: DataFrame, choices: dict[str, Settings], look: Settings | None) -> DataFrame:
+    """``RUN`` of every run of supported rows by each of some settings (``mode``: its name), of a panel in order (``look``: settings of its detectors) or of rows that ``detect`` gave."""
+    schema = _schema(df, ("object",), f"mode string, {RUN}")
+    arrow, plain = to_arrow_schema(schema), {mode: SimpleNamespace(**asdict(c)) for mode, c in choices.items()}
+    own = SimpleNamespace(**asdict(look)) if look else None
+
+    def known(rows: pa.Table, n: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        valid = np.arange(n.max()) < n[:, None]
+        value = lambda c: rows.column(c).to_numpy() if c.startswith("m_") else signals.number(rows.column(c))
+        return {c: signals.matrix(value(c), valid) for c in (*JUDGED, *AROUND)}, signals.matrix(rows.column("t").to_numpy(), valid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in signals.whole_objects(batches):
+            found, t = _looked_at(rows, n, own)[:2] if own else known(rows, n)
+            names = rows.column("object").combine_chunks().take(pa.array(np.cumsum(n) - n))
+            for mode, cfg in plain.items():
+                with np.errstate(all="ignore"):
+                    at, made = detectors.runs(found, t, n, cfg)
+                columns = [names.take(pa.array(at)), pa.array([mode] * len(at), pa.string()), *(pa.array(made[f.name], f.type, from_pandas=True) for f in list(arrow)[2:])]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
 
 
 def segments(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Scored segments of supported rows (see ``detect``), with ``accepted`` and ``event_type``.
+    """``scored`` segments of rows that have been looked at by ``detect``; of a panel ``segments_of`` takes one pass."""
+    return scored(_runs(_in_order(found), {"": cfg}, None).drop("mode"), cfg)
+
+
+def segments_of(panel: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """``scored`` segments of a panel: rows are looked at and their runs taken in one pass."""
+    return scored(_runs(_panel(panel), {"": cfg}, cfg).drop("mode"), cfg)
+
+
+def scored(own: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Segments of runs of supported rows, with ``accepted`` and ``event_type``.
 
     The score is 0.42 peak + 0.28 mean evidence + 0.20 prominence + 0.10 share
     of families, damped by the variation of the cadence, and up to 0.10 more
     for a missed prediction.  Short segments need a peak of 0.7; accepted are
     scores beyond the threshold with enough prominence, or peaks of 0.8.
     """
-    w = ordered()
-    shown = [f"p_{f}" for f in ("filtered", "smoothed", "predicted") if f in cfg.families]
-    rows = supported(found, cfg).withColumn("prominence", largest(shown))
-    predicts, steps = "predicted" in cfg.families, "filtered" in cfg.families
-    starts = F.col("support") & ~F.coalesce(F.lag("support").over(w), F.lit(False))
-    rows = rows.withColumn("__start", starts.cast("int")).withColumn("segment", F.sum("__start").over(w)).where("support")
-    edge = lambda c, f: f(c, "i").alias(c)
-    own = rows.groupBy("object", "segment").agg(
-        F.min("i").alias("first_row"), F.max("i").alias("last_row"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("support_points"),
-        *(F.max(f"m_{f}").alias(f"m_{f}") for f in cfg.families), *(F.max(f"e_{f}").alias(f"e_{f}") for f in cfg.families), *(F.avg(f"e_{f}").alias(f"a_{f}") for f in cfg.families),
-        F.max("prominence").alias("prominence"), F.max("e_anomaly").alias("anomaly_score"), F.first("cadence").alias("cadence"), F.first("cadence_cv").alias("cadence_cv"),
-        *((F.coalesce(F.avg(f"{k}_step"), F.lit(0.0)) if steps else F.lit(0.0)).alias(f"{k}_signal") for k in ("energy", "plane")),
-        F.avg(F.abs("bstar")).alias("bstar_level"), F.avg("sustained").alias("sustained"), F.avg("upkeep").alias("upkeep"), (F.coalesce(F.avg("d1_sma"), F.lit(0.0)) * 24 * HOUR).alias("slope_day"),
-        F.min(F.when((F.col("e_predicted") >= cfg.predicted_sigma) & predicts, F.col("t"))).alias("t_missed"),
-        F.max("e_predicted").alias("missed"),
-        *(edge(f"pre_{c}", F.min_by) for c in ("sma", "inc")), *(edge(f"post_{c}", F.max_by) for c in ("sma", "inc")),
-    )
+    predicts = "predicted" in cfg.families
     families = F.array_compact(F.array(*(F.when(F.col(f"m_{f}"), F.lit(f)) for f in cfg.families)))
     own = own.withColumns(
         {
@@ -405,7 +301,7 @@ def segments(found: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     accepted = ((F.col("score") >= cfg.accept_score) & (F.col("prominence") >= cfg.accept_prominence)) | (F.col("peak_evidence") >= 0.8)
     delta = {f"delta_{c}": F.coalesce(F.col(f"post_{c}") - F.col(f"pre_{c}"), F.lit(0.0)) for c in ("sma", "inc")}
     out = own.withColumn("accepted", accepted).withColumns(delta)
-    return out.withColumn("event_type", event_type(cfg)).drop(*(f"{k}_{f}" for f in cfg.families for k in "ma"), "missed")
+    return out.withColumn("event_type", event_type(cfg)).drop(*(f"{k}_{f}" for f in FAMILIES for k in "ma"), *(f"e_{f}" for f in FAMILIES if f not in cfg.families), "missed")
 
 
 def event_type(cfg: Settings = Settings()) -> Column:
@@ -498,13 +394,12 @@ def merge_events(events: DataFrame, cfg: Settings = Settings(), by: str = "overl
 
 def events(panel: DataFrame, cfg: Settings = Settings(), by: str = "overlap") -> DataFrame:
     """Merged events of every object of a panel, with ``quality`` (accepted, high confidence, or screened as an anomaly) and a score from 0 to 1."""
-    return events_of(detect(panel, cfg), cfg, by)
+    return events_of(segments_of(panel, cfg), cfg, by)
 
 
-def events_of(found: DataFrame, cfg: Settings = Settings(), by: str = "overlap") -> DataFrame:
-    """Merged events of rows that have been looked at by ``detect``."""
-    own = timed(segments(found, cfg).where("accepted"), cfg)
-    out = merge_events(own, cfg, by).withColumn("event_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 2)))
+def events_of(own: DataFrame, cfg: Settings = Settings(), by: str = "overlap") -> DataFrame:
+    """Merged events of scored segments."""
+    out = merge_events(timed(own.where("accepted"), cfg), cfg, by).withColumn("event_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 2)))
     quality = F.when(F.col("event_type") == "possible_anomaly", "anomaly_screened").when(F.col("score") >= cfg.high_confidence, "accepted_high_confidence").otherwise("accepted")
     return out.withColumn("quality", quality)
 
@@ -566,10 +461,12 @@ def evaluated(found: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
 
 
 def ablation(panel: DataFrame, truth: DataFrame, tolerance: int, cfg: Settings = Settings()) -> DataFrame:
-    """``evaluated`` of each of ``ABLATIONS`` as ``mode``: the rows are looked at once, then judged by each choice of families."""
-    found = checkpointed(detect(panel, cfg))
+    """``evaluated`` of each of ``ABLATIONS`` as ``mode``: the rows are looked at once and judged by each choice of families in the same pass; runs are stored, not rows."""
+    choices = {mode: replace(cfg, families=families) for mode, families in ABLATIONS.items()}
+    found = stored(_runs(_panel(panel), choices, cfg))
     out = None
-    for mode, families in ABLATIONS.items():
-        one = evaluated(events_of(found, replace(cfg, families=families)), truth, tolerance).select(F.lit(mode).alias("mode"), "*")
+    for mode, own in choices.items():
+        runs = found.where(F.col("mode") == mode).drop("mode")
+        one = evaluated(events_of(scored(runs, own), own), truth, tolerance).select(F.lit(mode).alias("mode"), "*")
         out = one if out is None else out.unionByName(one)
     return out

@@ -214,3 +214,41 @@ def test_line_steps_against_fits(spark):
         sides = (line(range(k + 1, k + 6), x[k + 1]), line(range(k - 5, k), x[k + 1])) if full else (None, None)
         want = None if None in sides else sides[0] - sides[1]
         assert (got[k] is None) == (want is None) and (want is None or abs(got[k] - want) < 1e-6)
+
+
+def test_ablation_stores_runs_and_not_rows(spark, monkeypatch):
+    rows = [r for o in (1, 2) for r in series(o, 100, step=12.0, seed=o)]
+    truth = spark.createDataFrame([(o, 60 * 6 * HOUR, "semi_major_axis_raise") for o in (1, 2)], "object long, t_event long, event_type string")
+    kept = []
+    for name in ("checkpointed", "stored"):
+        monkeypatch.setattr(evidence, name, lambda df: kept.append(df) or df, raising=False)
+    evidence.ablation(spark.createDataFrame(rows, PANEL), truth, 24 * HOUR)
+    assert len(kept) == 1
+    runs = kept[0].groupBy("mode").agg(F.sum("support_points").alias("rows"), F.count("*").alias("runs")).collect()
+    # rates are too low here for runs of the smoothed family alone
+    assert {r["mode"] for r in runs} == {*evidence.ABLATIONS} - {"smoothed_only"} and all(0 < r.runs <= r.rows <= 200 for r in runs)
+    assert sum(r.runs for r in runs) < 200
+
+
+def test_rows_are_dealt_once(spark):
+    panel = spark.createDataFrame(series(1, 30), PANEL)
+    for df in (evidence.fuse(evidence.detect(panel)), evidence.segments_of(panel)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_objects_over_several_batches(spark):
+    """Objects of many lengths, some beyond a batch: the same as each alone."""
+    rows = [r for o, n in enumerate((1, 3, 90, 12, 41, 2, 25)) for r in series(o, n, step=9.0, at=n // 2, seed=o)]
+    panel = spark.createDataFrame(rows, PANEL)
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = lambda r: (r.object, r.t)
+    whole, own = sorted(evidence.detect(panel).collect(), key=key), evidence.segments_of(panel)
+    parts = sorted(own.collect(), key=lambda r: (r.object, r.segment))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(evidence.detect(panel).collect(), key=key) == whole and len(whole) == len(rows)
+        assert sorted(evidence.segments_of(panel).collect(), key=lambda r: (r.object, r.segment)) == parts
+        assert sorted(evidence.segments(evidence.detect(panel)).collect(), key=lambda r: (r.object, r.segment)) == parts
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
