@@ -83,3 +83,14 @@ def test_copies_of_an_object_don_t_grow_with_the_objects(spark, monkeypatch):
     assert got.keys() == {(a, b) for a in range(20) for b in range(a + 1, 20)}
     for (a, b), w in got.items():
         assert w == pytest.approx(np.abs(q[:, a] - q[:, b]).mean(), abs=1e-6)
+
+
+def test_distances_are_compiled(spark):
+    """A function over arrays would be interpreted for every pair."""
+    values = [(o, float((7 * o + 3 * k * k) % 23)) for o in range(9) for k in range(12)]
+    out = posterior.wasserstein(spark.createDataFrame(values, "object long, x double"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+    own = {o: np.quantile([x for p, x in values if p == o], np.arange(1, 20) / 20) for o in range(9)}
+    want = {(a, b): float(np.abs(own[a] - own[b]).mean()) for a in own for b in own if a < b}
+    assert {(r.a, r.b): r.w1 for r in out.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
