@@ -18,7 +18,7 @@ Families of detectors, each a mask and an evidence (0 where nothing is known):
 Objects are dealt once and put in order; signals, masks and runs of supported
 rows are made of batches of whole objects in NumPy (``detectors``), so that one
 pass over the rows serves every choice of families and only runs leave it.  An
-object's series is in memory of its task (about 700 bytes a row).  Events are
+object's series is in memory of its task (about 900 bytes a row).  Events are
 merged by a fold over chains of events; a chain ends where no earlier event,
 however merged, can reach the next.
 """

@@ -15,11 +15,11 @@ FIELDS = ("sma", "mean_motion", "inc", "ecc", "raan")
 STEPS = ("sma", "mean_motion", "energy", "ecc", "inc", "raan")
 
 
-def elements(spark, sf_dir):
-    """Daily means of a supplier's shipments as a panel of elements; rows are dealt by the supplier before, so that what goes by it later deals nothing anew."""
+def elements(spark, sf_dir, dealt=False):
+    """Daily means of a supplier's shipments as a panel of elements; if ``dealt``, rows are dealt by the supplier first, so that steps by the supplier deal nothing anew."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("object"), micros("l_shipdate").alias("t"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rec"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     mean = lambda c: F.avg(c)
-    return rows.repartition("object").groupBy("object", "t").agg(
+    return (rows.repartition("object") if dealt else rows).groupBy("object", "t").agg(
         F.min("rec").alias("rec"), (6800 + mean("l_quantity")).alias("sma"), (53 + mean("l_discount")).alias("inc"), (15 + mean("l_tax")).alias("mean_motion"),
         (mean("l_tax") / 10).alias("ecc"), (mean("l_extendedprice") / 200).alias("raan"), (mean("l_discount") / 100).alias("bstar"),
     )
@@ -87,7 +87,7 @@ det AS (SELECT * EXCLUDE (m_local), {bridge('m_local')} AS m_local, {bridge('w_s
 round((e_local + 1.15 * e_filtered + e_smoothed + 1.2 * e_predicted) / 4.35, 4) AS weighted_score FROM det""",
 )
 def fuse_evidence(spark, sf_dir):
-    out = evidence.fuse(evidence.detect(elements(spark, sf_dir), full=False))
+    out = evidence.fuse(evidence.detect(elements(spark, sf_dir, dealt=True), full=False))
     return out.select("object", "t", "union", F.round("union_score", 4).alias("union_score"), F.round("weighted_score", 4).alias("weighted_score"))
 
 
@@ -112,7 +112,7 @@ sc AS (SELECT seg.*, (0.42 * peak + 0.28 * mean_e + 0.20 * prominence + 0.10 * n
 round(score, 4) AS score, (score >= 1 AND prominence >= 0.5) OR peak >= 0.8 AS accepted FROM sc""",
 )
 def candidate_segments(spark, sf_dir):
-    out = evidence.segments_of(elements(spark, sf_dir))
+    out = evidence.segments_of(elements(spark, sf_dir, dealt=True))
     return out.select(
         "object", "t_start", "t_end", "support_points", F.size("families").alias("n_families"), *(F.round(c, 4).alias(c) for c in ("peak_evidence", "integrated_evidence", "prominence")),
         F.round("anomaly_score", 3).alias("anomaly_score"), F.round("score", 4).alias("score"), "accepted",
@@ -121,7 +121,7 @@ def candidate_segments(spark, sf_dir):
 
 @query("fused_events")
 def fused_events(spark, sf_dir):
-    return evidence.events(elements(spark, sf_dir))
+    return evidence.events(elements(spark, sf_dir, dealt=True))
 
 
 #: Events planted halfway through every supplier's panel, as large as a hundredth of its account.
@@ -145,7 +145,7 @@ def family_ablation(spark, sf_dir):
     schedule = planted(spark, sf_dir)
     kind = F.when(F.col("delta_sma") > 0, "semi_major_axis_raise").otherwise("semi_major_axis_lower")
     truth = schedule.select("object", F.col("t_at").alias("t_event"), kind.alias("event_type"))
-    return evidence.ablation(evidence.inject(elements(spark, sf_dir), schedule), truth, 3 * 86_400_000_000)
+    return evidence.ablation(evidence.inject(elements(spark, sf_dir, dealt=True), schedule), truth, 3 * 86_400_000_000)
 
 
 @query(
@@ -158,7 +158,7 @@ FROM l, (SELECT unnest(['all', 'accepted_plus_raw', 'accepted_only', 'raw_only',
 )
 def event_layer_modes(spark, sf_dir):
     """How many segments each of the six layer modes keeps."""
-    own = evidence.segments_of(elements(spark, sf_dir))
+    own = evidence.segments_of(elements(spark, sf_dir, dealt=True))
     odd = (F.col("anomaly_score") >= 5) & (F.size("families") <= 1)
     quality = F.when(~F.col("accepted"), "rejected").when(odd, "anomaly_screened").when(F.col("score") >= 1.6, "accepted_high_confidence").otherwise("accepted")
     rows = own.select(quality.alias("quality"), F.when(F.col("accepted"), "accepted").otherwise("raw_candidate").alias("layer"), F.least(F.lit(1.0), F.col("score") / 2).alias("event_score"))

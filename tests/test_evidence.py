@@ -252,3 +252,11 @@ def test_objects_over_several_batches(spark):
         assert sorted(evidence.segments(evidence.detect(panel)).collect(), key=lambda r: (r.object, r.segment)) == parts
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+
+
+@pytest.mark.parametrize("name", ["fuse_evidence", "candidate_segments"])
+def test_panels_are_dealt_once(spark, name):
+    from epochal import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
